@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["profiling"]
+MODULES = ["profiling", "evaluation"]
 
 
 def all_queries() -> dict:

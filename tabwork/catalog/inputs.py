@@ -70,36 +70,51 @@ SELECT * FROM ({LINEITEM_DIRTY_SQL}) WHERE l_linenumber = 7"""
 
 
 # --- scored rows from formulas (no model): binary
-def scored_binary(spark: SparkSession, d: str) -> DataFrame:
-    """id, label, probability, prediction, model, fold from lineitem.
+# (model name, Spark expression, DuckDB expression) for the raw score before clipping
+# (model name, score formula valid in both Spark SQL and DuckDB)
+BINARY_MODELS = [
+    ("disc", "l_discount * 10"),
+    ("tax", "l_tax * 12.5"),
+    ("qty", "l_quantity / 50"),
+    ("mix", "(l_discount * 10 + l_tax * 12.5) / 2"),
+]
+
+
+def scored_binary(spark: SparkSession, d: str, models=None) -> DataFrame:
+    """id, label, probability, prediction, model, fold from the whole lineitem table.
 
-    label = returned (R); model a scores by discount, model b by tax.
+    label = returned (R); each model scores a row by a formula clipped to [0, 1].
     """
     li = table(spark, d, "lineitem")
     ident = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")
     label = F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("label")
     fold = F.pmod(F.col("l_orderkey"), F.lit(5)).cast("long").alias("fold")
-    pa = F.least(F.greatest(F.col("l_discount") * 10, F.lit(0.0)), F.lit(1.0))
-    pb = F.least(F.greatest(F.col("l_tax") * 12.5, F.lit(0.0)), F.lit(1.0))
-    a = li.select(ident, label, pa.alias("probability"), F.lit("disc").alias("model"), fold)
-    b = li.select(ident, label, pb.alias("probability"), F.lit("tax").alias("model"), fold)
-    out = a.unionByName(b)
+    out = None
+    for name, expr in BINARY_MODELS:
+        if models and name not in models:
+            continue
+        p = F.least(F.greatest(F.expr(expr), F.lit(0.0)), F.lit(1.0))
+        part = li.select(ident, label, p.alias("probability"), F.lit(name).alias("model"), fold)
+        out = part if out is None else out.unionByName(part)
     return out.withColumn("prediction", F.when(F.col("probability") >= 0.5, 1.0).otherwise(0.0))
 
 
-SCORED_BINARY_SQL = """
-SELECT *, CASE WHEN probability >= 0.5 THEN 1.0 ELSE 0.0 END AS prediction FROM (
+def scored_binary_sql(models=None) -> str:
+    parts = []
+    for name, sql in BINARY_MODELS:
+        if models and name not in models:
+            continue
+        parts.append(f"""
   SELECT l_orderkey * 10 + l_linenumber AS id,
          CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS label,
-         least(greatest(l_discount * 10, 0.0), 1.0) AS probability, 'disc' AS model,
+         least(greatest({sql}, 0.0), 1.0) AS probability, '{name}' AS model,
          CAST(l_orderkey % 5 AS BIGINT) AS fold
-  FROM lineitem
-  UNION ALL
-  SELECT l_orderkey * 10 + l_linenumber AS id,
-         CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS label,
-         least(greatest(l_tax * 12.5, 0.0), 1.0) AS probability, 'tax' AS model,
-         CAST(l_orderkey % 5 AS BIGINT) AS fold
-  FROM lineitem)"""
+  FROM lineitem""")
+    return ("SELECT *, CASE WHEN probability >= 0.5 THEN 1.0 ELSE 0.0 END AS prediction FROM ("
+            + " UNION ALL ".join(parts) + ")")
+
+
+SCORED_BINARY_SQL = scored_binary_sql()
 
 
 # --- scored rows from formulas: multiclass (label = return flag, prediction by discount band)
@@ -132,3 +147,24 @@ SCORED_REGRESSION_SQL = """
 SELECT l_orderkey * 10 + l_linenumber AS id, l_extendedprice AS label,
        l_quantity * 1500.0 AS prediction, CAST(l_orderkey % 5 AS BIGINT) AS fold
 FROM lineitem"""
+
+
+# --- long per-class scores for one-vs-rest AUC: (id, label, class, score)
+OVR_SCORES = [
+    ("A", "1.0 - l_discount * 10"),
+    ("N", "l_tax * 12.5"),
+    ("R", "l_discount * 5 + l_tax * 6.25"),
+]
+
+
+def scored_ovr(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    ident = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")
+    structs = [F.struct(F.lit(c).alias("class"), F.expr(e).alias("score")) for c, e in OVR_SCORES]
+    return (li.select(ident, F.col("l_returnflag").alias("label"), F.explode(F.array(*structs)).alias("s"))
+              .select("id", "label", "s.class", "s.score"))
+
+
+SCORED_OVR_SQL = " UNION ALL ".join(
+    f"SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag AS label, '{c}' AS class, "
+    f"{sql} AS score FROM lineitem" for c, sql in OVR_SCORES)
