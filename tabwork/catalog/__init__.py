@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["profiling", "evaluation"]
+MODULES = ["profiling", "evaluation", "privacy"]
 
 
 def all_queries() -> dict:
