@@ -168,3 +168,19 @@ def scored_ovr(spark: SparkSession, d: str) -> DataFrame:
 SCORED_OVR_SQL = " UNION ALL ".join(
     f"SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag AS label, '{c}' AS class, "
     f"{sql} AS score FROM lineitem" for c, sql in OVR_SCORES)
+
+
+# --- lineitem for EDA: an imbalanced 0/1 target and two strongly correlated columns
+def lineitem_eda(spark: SparkSession, d: str) -> DataFrame:
+    return lineitem_dirty(spark, d).select(
+        "*", (F.col("l_extendedprice") * (1 + F.col("l_tax"))).alias("l_gross"),
+        F.when(F.col("l_discount") >= 0.09, 1).otherwise(0).alias("big_disc"))
+
+
+LINEITEM_EDA_SQL = f"""
+SELECT *, l_extendedprice * (1 + l_tax) AS l_gross,
+       CASE WHEN l_discount >= 0.09 THEN 1 ELSE 0 END AS big_disc
+FROM ({LINEITEM_DIRTY_SQL})"""
+
+LINEITEM_EDA_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                        "l_extendedprice", "l_discount", "l_tax", "tiny_disc", "l_gross", "big_disc"]
