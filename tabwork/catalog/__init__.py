@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["profiling", "evaluation", "privacy", "exploration"]
+MODULES = ["profiling", "evaluation", "privacy", "exploration", "cleaning"]
 
 
 def all_queries() -> dict:

@@ -13,6 +13,11 @@ from pyspark.sql import types as T
 from ..session import table
 
 
+# Unique lineitem row id from all key columns (same text in Spark SQL and DuckDB);
+# (l_orderkey, l_linenumber) alone repeats in the generated data.
+LI_RID = "((l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey) * 10 + l_linenumber"
+
+
 def rounded(df: DataFrame, nd: int = 5) -> DataFrame:
     """Round every float column for a stable value hash against DuckDB."""
     out = []
@@ -86,7 +91,7 @@ def scored_binary(spark: SparkSession, d: str, models=None) -> DataFrame:
     label = returned (R); each model scores a row by a formula clipped to [0, 1].
     """
     li = table(spark, d, "lineitem")
-    ident = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")
+    ident = F.expr(LI_RID).alias("id")
     label = F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("label")
     fold = F.pmod(F.col("l_orderkey"), F.lit(5)).cast("long").alias("fold")
     out = None
@@ -105,7 +110,7 @@ def scored_binary_sql(models=None) -> str:
         if models and name not in models:
             continue
         parts.append(f"""
-  SELECT l_orderkey * 10 + l_linenumber AS id,
+  SELECT {LI_RID} AS id,
          CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS label,
          least(greatest({sql}, 0.0), 1.0) AS probability, '{name}' AS model,
          CAST(l_orderkey % 5 AS BIGINT) AS fold
@@ -122,13 +127,13 @@ def scored_multiclass(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
     pred = (F.when(F.col("l_discount") < 0.04, "A").when(F.col("l_discount") < 0.07, "N")
             .otherwise("R"))
-    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
+    return li.select(F.expr(LI_RID).alias("id"),
                      F.col("l_returnflag").alias("label"), pred.alias("prediction"),
                      F.lit("band").alias("model"))
 
 
 SCORED_MULTICLASS_SQL = """
-SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag AS label,
+SELECT """ + LI_RID + """ AS id, l_returnflag AS label,
        CASE WHEN l_discount < 0.04 THEN 'A' WHEN l_discount < 0.07 THEN 'N' ELSE 'R' END AS prediction,
        'band' AS model
 FROM lineitem"""
@@ -137,14 +142,14 @@ FROM lineitem"""
 # --- scored rows: regression (actual = extended price, predicted = quantity * mean unit price)
 def scored_regression(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
-    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
+    return li.select(F.expr(LI_RID).alias("id"),
                      F.col("l_extendedprice").alias("label"),
                      (F.col("l_quantity") * 1500.0).alias("prediction"),
                      F.pmod(F.col("l_orderkey"), F.lit(5)).cast("long").alias("fold"))
 
 
 SCORED_REGRESSION_SQL = """
-SELECT l_orderkey * 10 + l_linenumber AS id, l_extendedprice AS label,
+SELECT """ + LI_RID + """ AS id, l_extendedprice AS label,
        l_quantity * 1500.0 AS prediction, CAST(l_orderkey % 5 AS BIGINT) AS fold
 FROM lineitem"""
 
@@ -159,14 +164,14 @@ OVR_SCORES = [
 
 def scored_ovr(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
-    ident = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")
+    ident = F.expr(LI_RID).alias("id")
     structs = [F.struct(F.lit(c).alias("class"), F.expr(e).alias("score")) for c, e in OVR_SCORES]
     return (li.select(ident, F.col("l_returnflag").alias("label"), F.explode(F.array(*structs)).alias("s"))
               .select("id", "label", "s.class", "s.score"))
 
 
 SCORED_OVR_SQL = " UNION ALL ".join(
-    f"SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag AS label, '{c}' AS class, "
+    f"SELECT {LI_RID} AS id, l_returnflag AS label, '{c}' AS class, "
     f"{sql} AS score FROM lineitem" for c, sql in OVR_SCORES)
 
 
@@ -184,3 +189,29 @@ FROM ({LINEITEM_DIRTY_SQL})"""
 
 LINEITEM_EDA_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                         "l_extendedprice", "l_discount", "l_tax", "tiny_disc", "l_gross", "big_disc"]
+
+
+# --- lineitem with a row id, a price column with planted outliers (2 % of rows x100)
+def lineitem_outl(spark: SparkSession, d: str) -> DataFrame:
+    li = lineitem_dirty(spark, d)
+    return li.select(
+        F.expr(LI_RID).alias("rid"), "*",
+        F.when(F.col("l_quantity") >= 50, F.col("l_extendedprice") * 100)
+         .otherwise(F.col("l_extendedprice")).alias("l_price_outl"))
+
+
+LINEITEM_OUTL_SQL = f"""
+SELECT {LI_RID} AS rid, *,
+       CASE WHEN l_quantity >= 50 THEN l_extendedprice * 100 ELSE l_extendedprice END AS l_price_outl
+FROM ({LINEITEM_DIRTY_SQL})"""
+
+
+def lineitem_clean_src(spark: SparkSession, d: str) -> DataFrame:
+    li = lineitem_outl(spark, d)
+    return li.unionByName(li.where(F.col("l_linenumber") == 7))
+
+
+LINEITEM_CLEAN_SRC_SQL = f"""
+SELECT * FROM ({LINEITEM_OUTL_SQL}) UNION ALL SELECT * FROM ({LINEITEM_OUTL_SQL}) WHERE l_linenumber = 7"""
+
+LINEITEM_OUTL_COLS = ["rid"] + [c for c, _, _ in LINEITEM_DIRTY_COLS] + ["l_price_outl"]

@@ -62,3 +62,64 @@ def cumulative_sum(df: DataFrame, order_col: str, sum_cols: list[str],
     out = out.join(F.broadcast(offsets), "__bucket")
     return out.select(*[F.col(c) for c in df.columns],
                       *[(F.col("__run_" + c) + F.col("__off_" + c)).alias(c + suffix) for c in sum_cols])
+
+
+def _order_buckets(df: DataFrame, order_col: str, n_buckets: int) -> Column:
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    row = df.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10000).alias("b")).first()
+    bounds = sorted(set(x for x in (row["b"] or []) if x is not None))
+    if not bounds:
+        return F.lit(0)
+    arr = F.array(*[F.lit(float(b)) for b in bounds])
+    return F.size(F.filter(arr, lambda b: b < F.col(order_col).cast("double")))
+
+
+def fill_nulls_ordered(df: DataFrame, col: str, order_col: str, partition_cols: list[str] = (),
+                       backward: bool = False, n_buckets: int | None = None) -> DataFrame:
+    """Forward (or backward) fill of ``col`` along ``order_col``.
+
+    With ``partition_cols`` this is a windowed ``last/first(ignorenulls)`` per
+    group.  Without them the table is cut into range buckets of the order
+    column; each bucket fills locally, the last non-null value of every bucket
+    (a tiny frame) is carried across buckets, broadcast back and used for the
+    leading nulls of the next bucket — no single-task window over all rows.
+    ``order_col`` must be numeric and unique in the keyless case.
+    """
+    c = F.col("`" + col + "`")
+    if partition_cols:
+        if backward:
+            # descending order + preceding frame: Spark evaluates "current row ..
+            # unbounded following" frames row by row, which is quadratic
+            w = (Window.partitionBy(*partition_cols).orderBy(F.desc(order_col))
+                 .rowsBetween(Window.unboundedPreceding, 0))
+            return df.withColumn(col, F.last(c, ignorenulls=True).over(w))
+        w = Window.partitionBy(*partition_cols).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(col, F.last(c, ignorenulls=True).over(w))
+    spark = df.sparkSession
+    if n_buckets is None:
+        n_buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tagged = df.withColumn("__b", _order_buckets(df, order_col, n_buckets))
+    if backward:
+        w = Window.partitionBy("__b").orderBy(F.desc(order_col)).rowsBetween(Window.unboundedPreceding, 0)
+        local = F.last(c, ignorenulls=True).over(w)
+        edge = (tagged.where(c.isNotNull()).groupBy("__b")
+                .agg(F.min_by(c, F.col(order_col)).alias("__edge")))
+    else:
+        w = Window.partitionBy("__b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+        local = F.last(c, ignorenulls=True).over(w)
+        edge = (tagged.where(c.isNotNull()).groupBy("__b")
+                .agg(F.max_by(c, F.col(order_col)).alias("__edge")))
+    # carry across buckets on the (small) bucket list, so buckets without any
+    # non-null value still pass the carried value along
+    buckets = tagged.select("__b").distinct()
+    full = buckets.join(edge, "__b", "left")
+    if backward:
+        wc = Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+        carry = full.select("__b", F.last("__edge", ignorenulls=True).over(wc).alias("__carry"))
+    else:
+        wc = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        carry = full.select("__b", F.last("__edge", ignorenulls=True).over(wc).alias("__carry"))
+    out = tagged.withColumn("__local", local).join(F.broadcast(carry), "__b", "left")
+    cols = [F.coalesce(F.col("__local"), F.col("__carry")).alias(col) if f == col else F.col("`" + f + "`")
+            for f in df.columns]
+    return out.select(*cols)

@@ -64,6 +64,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def spread(df):
+    """Round-robin a scan that yields fewer partitions than the cluster has cores.
+
+    A file with a single row group is read by one task, which would leave all
+    narrow work after it (regexes, moments) on one core.  Large inputs already
+    arrive in many splits and pass through untouched, so no shuffle is added
+    where it would only cost.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
-    """Read one of the driver tables (parquet)."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Read one of the driver tables (parquet), spread over the cores if it is one split."""
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
