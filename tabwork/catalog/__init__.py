@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["profiling", "evaluation", "privacy", "exploration", "cleaning"]
+MODULES = ["profiling", "evaluation", "privacy", "exploration", "cleaning", "monitoring"]
 
 
 def all_queries() -> dict:

@@ -34,33 +34,46 @@ def top_k_per_group(df: DataFrame, group_cols: list[str], order: list[Column], k
 
 
 def cumulative_sum(df: DataFrame, order_col: str, sum_cols: list[str],
-                   n_buckets: int | None = None, suffix: str = "_cum") -> DataFrame:
-    """Running totals of ``sum_cols`` over ascending ``order_col`` (inclusive).
+                   n_buckets: int | None = None, suffix: str = "_cum",
+                   partition_cols: list[str] = ()) -> DataFrame:
+    """Running totals of ``sum_cols`` over ascending ``order_col`` (inclusive),
+    optionally restarting per ``partition_cols`` group.
 
-    ``order_col`` should be unique (pre-aggregate ties with a ``groupBy`` first;
-    that also absorbs any hot value by map-side combine).
+    ``order_col`` should be unique within a group (pre-aggregate ties with a
+    ``groupBy`` first; that also absorbs any hot value by map-side combine).
+    Range bounds come from approximate quantiles (per group when grouped), so
+    no group's rows ever have to sit in one task.
     """
     spark = df.sparkSession
+    part = list(partition_cols)
     if n_buckets is None:
         n_buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds_row = df.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10000)
-                        .alias("b")).first()
-    bounds = sorted(set(x for x in (bounds_row["b"] or []) if x is not None))
-    if bounds:
-        arr = F.array(*[F.lit(float(b)) for b in bounds])
-        bucket = F.size(F.filter(arr, lambda b: b < F.col(order_col).cast("double")))
+    x = F.col(order_col).cast("double")
+    if part:
+        bounds = df.groupBy(*part).agg(F.percentile_approx(x, probs, 10000).alias("__bounds"))
+        tagged = (df.join(F.broadcast(bounds), part, "left")
+                  .withColumn("__bucket", F.size(F.filter(F.coalesce("__bounds", F.array().cast("array<double>")),
+                                                          lambda b: b < x)))
+                  .drop("__bounds"))
     else:
-        bucket = F.lit(0)
-    tagged = df.withColumn("__bucket", bucket)
-    totals = tagged.groupBy("__bucket").agg(*[F.sum(c).alias(c) for c in sum_cols])
-    wo = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("__bucket", *[F.coalesce(F.sum(c).over(wo), F.lit(0)).alias("__off_" + c)
-                                          for c in sum_cols])
-    w = Window.partitionBy("__bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+        bounds_row = df.agg(F.percentile_approx(x, probs, 10000).alias("b")).first()
+        bs = sorted(set(v for v in (bounds_row["b"] or []) if v is not None))
+        if bs:
+            arr = F.array(*[F.lit(float(b)) for b in bs])
+            bucket = F.size(F.filter(arr, lambda b: b < x))
+        else:
+            bucket = F.lit(0)
+        tagged = df.withColumn("__bucket", bucket)
+    totals = tagged.groupBy(*part, "__bucket").agg(*[F.sum(c).alias(c) for c in sum_cols])
+    wo = (Window.partitionBy(*part) if part else Window).orderBy("__bucket") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*part, "__bucket", *[F.coalesce(F.sum(c).over(wo), F.lit(0)).alias("__off_" + c)
+                                                 for c in sum_cols])
+    w = Window.partitionBy(*part, "__bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     out = tagged.select("*", *[F.sum(c).over(w).alias("__run_" + c) for c in sum_cols])
-    out = out.join(F.broadcast(offsets), "__bucket")
-    return out.select(*[F.col(c) for c in df.columns],
+    out = out.join(F.broadcast(offsets), part + ["__bucket"])
+    return out.select(*[F.col("`" + c + "`") for c in df.columns],
                       *[(F.col("__run_" + c) + F.col("__off_" + c)).alias(c + suffix) for c in sum_cols])
 
 
