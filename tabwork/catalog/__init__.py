@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["profiling", "evaluation", "privacy", "exploration", "cleaning", "monitoring"]
+MODULES = ["profiling", "evaluation", "privacy", "exploration", "cleaning", "monitoring", "balance"]
 
 
 def all_queries() -> dict:
