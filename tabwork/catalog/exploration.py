@@ -153,7 +153,7 @@ def q_eda_mutual_information(spark, d):
     return rounded(D.eda_mutual_information(lineitem_eda(spark, d), "l_returnflag"))
 
 
-def _mi_sql(features, target, src, numeric_target=False, top=30):
+def _mi_sql(features, target, src, numeric_target=False, top=30, rnd=True):
     stats, longs = [], []
     for i, f in enumerate(features + ([target] if numeric_target else [])):
         x = f"CAST({f} AS DOUBLE)"
@@ -175,7 +175,7 @@ nxy AS (SELECT feature, x, y, count(*) AS n FROM l GROUP BY ALL),
 m AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature, x) AS nx, sum(n) OVER (PARTITION BY feature, y) AS ny,
         sum(n) OVER (PARTITION BY feature) AS nt FROM nxy),
 mi AS (SELECT feature, greatest(sum(n / nt * ln(n * nt / (nx * ny))), 0.0) AS mi FROM m GROUP BY feature)
-SELECT feature, round(mi, 5) AS mi FROM mi ORDER BY mi DESC, feature LIMIT {top}"""
+SELECT feature, {"round(mi, 5)" if rnd else "mi"} AS mi FROM mi ORDER BY mi DESC, feature LIMIT {top}"""
 
 
 def q_eda_abs_correlation_rank(spark, d):
