@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["profiling", "evaluation", "privacy", "exploration", "cleaning", "monitoring", "balance", "featuring"]
+MODULES = ["profiling", "evaluation", "privacy", "exploration", "cleaning", "monitoring", "balance", "featuring", "workspace"]
 
 
 def all_queries() -> dict:
