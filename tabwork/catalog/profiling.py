@@ -10,9 +10,11 @@ from .inputs import (LINEITEM_DIRTY_COLS, LINEITEM_DIRTY_SQL, LINEITEM_DUPS_SQL,
 T_SQL = f"({LINEITEM_DIRTY_SQL}) t"
 
 
-def _columns_sql() -> str:
+def _columns_sql(cols=None, src=None) -> str:
+    cols = cols or LINEITEM_DIRTY_COLS
+    T_SQL = src or globals()["T_SQL"]
     parts = []
-    for pos, (c, dtype, kind) in enumerate(LINEITEM_DIRTY_COLS):
+    for pos, (c, dtype, kind) in enumerate(cols):
         if kind == "numeric":
             x = f"CAST({c} AS DOUBLE)"
             stats = (f"avg({x}) AS mean, stddev_samp({x}) AS std, min({x}) AS mn, max({x}) AS mx, "
