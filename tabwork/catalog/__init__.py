@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["profiling", "evaluation", "privacy", "exploration", "cleaning", "monitoring", "balance", "featuring", "workspace", "sources", "streams", "advice"]
+MODULES = ["profiling", "evaluation", "privacy", "exploration", "cleaning", "monitoring", "balance", "featuring", "workspace", "sources", "streams", "advice", "modeling"]
 
 
 def all_queries() -> dict:
