@@ -98,3 +98,29 @@ def hash_unit(*cols: Column, seed: int = 42) -> Column:
 
 def chunks(items: list, size: int) -> list[list]:
     return [items[i:i + size] for i in range(0, len(items), size)] or [[]]
+
+
+# Exact percentiles buffer every distinct value of a column in one aggregation
+# buffer; above this estimated input size quantiles switch to percentile_approx.
+EXACT_QUANTILE_MAX_BYTES = 1 << 30   # 1 GiB, override with conf tabwork.quantile.exactMaxBytes
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Optimizer's size estimate of a plan (no job is run)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # pragma: no cover - statistics unavailable
+        return 0
+
+
+def exact_quantiles_ok(df: DataFrame) -> bool:
+    limit = int(df.sparkSession.conf.get("tabwork.quantile.exactMaxBytes", str(EXACT_QUANTILE_MAX_BYTES)))
+    return estimated_bytes(df) <= limit
+
+
+def quantile(x: Column, p, exact: bool, accuracy: int = 100000) -> Column:
+    """Linear-interpolated quantile(s) when ``exact`` (pandas/DuckDB semantics),
+    else the bounded-memory ``percentile_approx``; ``p`` is a float or a list."""
+    if exact:
+        return F.percentile(x, F.array(*[F.lit(float(v)) for v in p]) if isinstance(p, (list, tuple)) else F.lit(float(p)))
+    return F.percentile_approx(x, list(p) if isinstance(p, (list, tuple)) else float(p), accuracy)

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import nan_to_null, q
+from ..functions.columns import exact_quantiles_ok, nan_to_null, q, quantile
 from ..functions.ordered import fill_nulls_ordered
 
 STRATEGIES = {"drop_column", "mean_impute", "median_impute", "mode_impute", "forward_fill",
@@ -51,13 +51,13 @@ def _as_actions(actions, overrides: dict | None) -> list[Action]:
 def _stats(df: DataFrame, needs: dict[str, set]) -> dict:
     """One aggregate for mean/median/quartiles of all columns in the stage, plus top-1 counts for modes."""
     aggs = []
+    exact = exact_quantiles_ok(df)
     for c, kinds in needs.items():
         x = F.col(q(c))
         if "mean" in kinds:
             aggs.append(F.avg(x).alias(f"mean|{c}"))
         if kinds & {"median", "q1", "q3"}:
-            aggs.append(F.percentile(x.cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-                        .alias(f"pct|{c}"))
+            aggs.append(quantile(x.cast("double"), [0.25, 0.5, 0.75], exact).alias(f"pct|{c}"))
     res = {}
     if aggs:
         row = df.agg(*aggs).first().asDict()

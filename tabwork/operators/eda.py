@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import chunks, nan_to_null, numeric_columns, q
+from ..functions.columns import chunks, exact_quantiles_ok, nan_to_null, numeric_columns, q
 
 # Thresholds of the reference analyzer.
 MAR_BELOW = 0.1
@@ -154,9 +154,11 @@ def eda_issues(*frames: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ mutual information
-def _bin_plan(df: DataFrame, cols: list[str], bins: int, discrete_max: int, approx: bool):
+def _bin_plan(df: DataFrame, cols: list[str], bins: int, discrete_max: int, approx: bool | None):
     """Per column: median, quantile edges, and whether it is treated as discrete (one small row)."""
     probs = [i / bins for i in range(1, bins)]
+    if approx is None:
+        approx = not exact_quantiles_ok(df)
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(q(c)).cast("double")
@@ -181,7 +183,7 @@ def _binned(col: Column, spec: dict) -> Column:
 
 
 def mutual_information(df: DataFrame, features: list[str], target: str, bins: int = MI_BINS,
-                       discrete_max: int = DISCRETE_MAX, approx: bool = False) -> DataFrame:
+                       discrete_max: int = DISCRETE_MAX, approx: bool | None = None) -> DataFrame:
     """(feature, mi) in nats: plug-in MI between binned feature and (binned) target.
 
     Features are median-imputed; a feature or target with at most

@@ -13,7 +13,7 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import q
+from ..functions.columns import exact_quantiles_ok, q, quantile
 
 PDP_POINTS = 30
 PDP_TOP = 20
@@ -83,15 +83,16 @@ def explain_base_value(model, df: DataFrame, features: list[str]) -> float:
 def explain_pdp(model, df: DataFrame, feature: str, n_points: int = PDP_POINTS) -> DataFrame:
     """Partial dependence: ``n_points`` values between the 1st and 99th percentile;
     mean, p10 and p90 of predictions with the feature set to each value (all rows)."""
-    p = df.agg(F.percentile(F.col(q(feature)).cast("double"), F.array(F.lit(0.01), F.lit(0.99))).alias("p")).first()["p"]
+    ex_ok = exact_quantiles_ok(df)
+    p = df.agg(quantile(F.col(q(feature)).cast("double"), [0.01, 0.99], ex_ok).alias("p")).first()["p"]
     lo, hi = float(p[0]), float(p[1])
     grid = [lo + (hi - lo) * i / (n_points - 1) for i in range(n_points)] if n_points > 1 else [lo]
     g = F.array(*[F.struct(F.lit(i).alias("point"), F.lit(v).alias("value")) for i, v in enumerate(grid)])
     ex = df.select("*", F.explode(g).alias("__g")).withColumn(feature, F.col("__g.value"))
     pred = model.transform(ex)
     return pred.groupBy(F.col("__g.point").cast("long").alias("point"), F.col("__g.value").alias("value")).agg(
-        F.avg("prediction").alias("mean"), F.percentile("prediction", 0.1).alias("p10"),
-        F.percentile("prediction", 0.9).alias("p90"))
+        F.avg("prediction").alias("mean"), quantile(F.col("prediction"), 0.1, ex_ok).alias("p10"),
+        quantile(F.col("prediction"), 0.9, ex_ok).alias("p90"))
 
 
 def explain_pdp_features(importances: DataFrame, top: int = PDP_TOP) -> DataFrame:
@@ -102,7 +103,8 @@ def explain_pdp_features(importances: DataFrame, top: int = PDP_TOP) -> DataFram
 def explain_counterfactual(model, df: DataFrame, features: list[str], id_col: str) -> DataFrame:
     """Every row with its numeric features set to the medians: new prediction and the
     range-normalised Euclidean distance to the original row (fitted encodings reused, Q19)."""
-    st = df.agg(*[F.percentile(F.col(q(f)).cast("double"), 0.5).alias(f"m_{f}") for f in features],
+    ex_ok = exact_quantiles_ok(df)
+    st = df.agg(*[quantile(F.col(q(f)).cast("double"), 0.5, ex_ok).alias(f"m_{f}") for f in features],
                 *[F.min(F.col(q(f)).cast("double")).alias(f"lo_{f}") for f in features],
                 *[F.max(F.col(q(f)).cast("double")).alias(f"hi_{f}") for f in features]).first()
     base = model.transform(df).select(id_col, F.col("prediction").alias("original_prediction"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import nan_to_null, q
+from ..functions.columns import exact_quantiles_ok, nan_to_null, q, quantile
 from ..functions.text import tokens, with_bigrams
 
 MISSING = "missing"
@@ -23,11 +23,12 @@ TARGET_SMOOTHING = 10.0
 
 def _stats(df: DataFrame, cols: dict[str, set]) -> dict:
     aggs = []
+    exact = exact_quantiles_ok(df)
     for c, kinds in cols.items():
         x = F.col(q(c)).cast("double")
         for k in sorted(kinds):
             fn = {"min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_samp, "std_pop": F.stddev_pop,
-                  "median": lambda v: F.percentile(v, 0.5)}[k]
+                  "median": lambda v: quantile(v, 0.5, exact)}[k]
             aggs.append(fn(x).alias(f"{k}|{c}"))
     if not aggs:
         return {}

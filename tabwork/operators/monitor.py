@@ -127,8 +127,9 @@ def monitor_rate_quantiles(df: DataFrame, measure: str, ts: str, error_flag: Col
                            window: str = "1 day") -> DataFrame:
     """Per window: p50/p95/p99 of a measure, rows per minute, error share."""
     minutes = {"1 day": 1440.0, "1 hour": 60.0}.get(window, 1440.0)
+    from ..functions.columns import exact_quantiles_ok, quantile
     g = df.groupBy(F.window(ts, window).alias("w")).agg(
-        F.percentile(F.col(measure).cast("double"), F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p"),
+        quantile(F.col(measure).cast("double"), [0.5, 0.95, 0.99], exact_quantiles_ok(df)).alias("p"),
         F.count(F.lit(1)).alias("n"), F.avg(error_flag.cast("double")).alias("error_rate"))
     return g.select(F.col("w.start").alias("window_start"), F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"),
                     F.col("p")[2].alias("p99"), (F.col("n") / minutes).alias("per_minute"), "error_rate")

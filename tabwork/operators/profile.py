@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import (chunks, finite_or_null, is_datetime, is_numeric,
+from ..functions.columns import (chunks, exact_quantiles_ok, finite_or_null, is_datetime, is_numeric,
                                  is_scalar, nan_to_null, q, sample_kurtosis,
                                  sample_skewness)
 from ..functions.ordered import top_k_per_group
@@ -141,10 +141,15 @@ def profile_top_values(df: DataFrame, k: int = 5, columns: list[str] | None = No
     return top_k_per_group(vc, ["column_name"], [F.desc("count"), F.asc("value")], k)
 
 
-def profile_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row per column: type tag, missing share, distinct count, moments, warnings."""
+def profile_columns(df: DataFrame, columns: list[str] | None = None,
+                    counts: DataFrame | None = None) -> DataFrame:
+    """One row per column: type tag, missing share, distinct count, moments, warnings.
+
+    Pass ``counts`` (from ``value_counts``) to share one value-count shuffle
+    with top values or the advisor.
+    """
     stats = column_stats(df, columns)
-    uniq = profile_unique(df, columns)
+    uniq = profile_unique(df, columns, counts=counts)
     n = F.col("n_rows")
     nn = F.col("n_nonnull")
     inferred = (F.when(F.col("kind") == "boolean", "boolean")
@@ -260,13 +265,15 @@ def profile_histogram(df: DataFrame, bins: int = 10, columns: list[str] | None =
 
 
 def profile_quantiles(df: DataFrame, columns: list[str], probs=(0.25, 0.5, 0.75),
-                      approx: bool = False, accuracy: int = 100000) -> DataFrame:
+                      approx: bool | None = None, accuracy: int = 100000) -> DataFrame:
     """(column, p, value): linear-interpolated quantiles (pandas `quantile`).
 
     ``approx=True`` switches to ``percentile_approx`` (bounded memory) for very
     large inputs; the exact form buffers value counts per column.
     """
     df = nan_to_null(df)
+    if approx is None:
+        approx = not exact_quantiles_ok(df)
     aggs = []
     for i, c in enumerate(columns):
         x = F.col(q(c)).cast("double")
