@@ -124,3 +124,17 @@ def quantile(x: Column, p, exact: bool, accuracy: int = 100000) -> Column:
     if exact:
         return F.percentile(x, F.array(*[F.lit(float(v)) for v in p]) if isinstance(p, (list, tuple)) else F.lit(float(p)))
     return F.percentile_approx(x, list(p) if isinstance(p, (list, tuple)) else float(p), accuracy)
+
+
+def column_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict:
+    """{(column, p): value}: one ``percentile`` aggregate for small inputs, the distributed
+    exact plan (``functions.quantiles``) above the size limit — exact either way."""
+    if not columns:
+        return {}
+    if exact_quantiles_ok(df):
+        row = df.agg(*[F.percentile(F.col(q(c)).cast("double"), F.array(*[F.lit(float(p)) for p in probs]))
+                       .alias(f"q{i}") for i, c in enumerate(columns)]).first()
+        return {(c, float(p)): (row[f"q{i}"] or [None] * len(probs))[j]
+                for i, c in enumerate(columns) for j, p in enumerate(probs)}
+    from .quantiles import exact_quantiles
+    return exact_quantiles(df, columns, probs)

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import exact_quantiles_ok, nan_to_null, q, quantile
+from ..functions.columns import column_quantiles, nan_to_null, q
 from ..functions.ordered import fill_nulls_ordered
 
 STRATEGIES = {"drop_column", "mean_impute", "median_impute", "mode_impute", "forward_fill",
@@ -50,24 +50,17 @@ def _as_actions(actions, overrides: dict | None) -> list[Action]:
 
 def _stats(df: DataFrame, needs: dict[str, set]) -> dict:
     """One aggregate for mean/median/quartiles of all columns in the stage, plus top-1 counts for modes."""
-    aggs = []
-    exact = exact_quantiles_ok(df)
-    for c, kinds in needs.items():
-        x = F.col(q(c))
-        if "mean" in kinds:
-            aggs.append(F.avg(x).alias(f"mean|{c}"))
-        if kinds & {"median", "q1", "q3"}:
-            aggs.append(quantile(x.cast("double"), [0.25, 0.5, 0.75], exact).alias(f"pct|{c}"))
+    aggs = [F.avg(F.col(q(c))).alias(f"mean|{c}") for c, kinds in needs.items() if "mean" in kinds]
     res = {}
     if aggs:
         row = df.agg(*aggs).first().asDict()
         for k, v in row.items():
-            kind, c = k.split("|", 1)
-            if kind == "mean":
-                res[(c, "mean")] = v
-            else:
-                v = v or [None, None, None]
-                res[(c, "q1")], res[(c, "median")], res[(c, "q3")] = v
+            res[(k.split("|", 1)[1], "mean")] = v
+    qcols = [c for c, kinds in needs.items() if kinds & {"median", "q1", "q3"}]
+    if qcols:
+        qs = column_quantiles(df, qcols, [0.25, 0.5, 0.75])
+        for c in qcols:
+            res[(c, "q1")], res[(c, "median")], res[(c, "q3")] = qs[(c, 0.25)], qs[(c, 0.5)], qs[(c, 0.75)]
     for c, kinds in needs.items():
         if "mode" in kinds:
             top = (df.where(F.col(q(c)).isNotNull()).groupBy(F.col(q(c)).alias("v")).count()

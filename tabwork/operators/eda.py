@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import chunks, exact_quantiles_ok, nan_to_null, numeric_columns, q
+from ..functions.columns import chunks, column_quantiles, nan_to_null, numeric_columns, q
 
 # Thresholds of the reference analyzer.
 MAR_BELOW = 0.1
@@ -155,22 +155,19 @@ def eda_issues(*frames: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ mutual information
 def _bin_plan(df: DataFrame, cols: list[str], bins: int, discrete_max: int, approx: bool | None):
-    """Per column: median, quantile edges, and whether it is treated as discrete (one small row)."""
+    """Per column: median, quantile edges, and whether it is treated as discrete (a few numbers)."""
     probs = [i / bins for i in range(1, bins)]
-    if approx is None:
-        approx = not exact_quantiles_ok(df)
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(q(c)).cast("double")
-        pct = (F.percentile_approx(x, [0.5] + probs, 100000) if approx
-               else F.percentile(x, F.array(*[F.lit(p) for p in [0.5] + probs])))
-        aggs += [pct.alias(f"q{i}"), F.approx_count_distinct(x).alias(f"d{i}")]
-    row = df.agg(*aggs).first()
+    dist = df.agg(*[F.approx_count_distinct(F.col(q(c)).cast("double")).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    if approx:
+        row = df.agg(*[F.percentile_approx(F.col(q(c)).cast("double"), [0.5] + probs, 100000).alias(f"q{i}")
+                       for i, c in enumerate(cols)]).first()
+        qs = {(c, p): (row[f"q{i}"] or [None] * bins)[j] for i, c in enumerate(cols) for j, p in enumerate([0.5] + probs)}
+    else:
+        qs = column_quantiles(df, cols, [0.5] + probs)
     plan = {}
     for i, c in enumerate(cols):
-        qs = row[f"q{i}"] or [None] * bins
-        plan[c] = dict(median=qs[0], edges=[float(e) for e in qs[1:] if e is not None],
-                       discrete=(row[f"d{i}"] or 0) <= discrete_max)
+        plan[c] = dict(median=qs[(c, 0.5)], edges=[float(qs[(c, float(p))]) for p in probs if qs[(c, float(p))] is not None],
+                       discrete=(dist[f"d{i}"] or 0) <= discrete_max)
     return plan
 
 

@@ -13,7 +13,7 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import exact_quantiles_ok, q, quantile
+from ..functions.columns import column_quantiles, exact_quantiles_ok, q, quantile
 
 PDP_POINTS = 30
 PDP_TOP = 20
@@ -84,8 +84,8 @@ def explain_pdp(model, df: DataFrame, feature: str, n_points: int = PDP_POINTS)
     """Partial dependence: ``n_points`` values between the 1st and 99th percentile;
     mean, p10 and p90 of predictions with the feature set to each value (all rows)."""
     ex_ok = exact_quantiles_ok(df)
-    p = df.agg(quantile(F.col(q(feature)).cast("double"), [0.01, 0.99], ex_ok).alias("p")).first()["p"]
-    lo, hi = float(p[0]), float(p[1])
+    qs = column_quantiles(df, [feature], [0.01, 0.99])
+    lo, hi = float(qs[(feature, 0.01)]), float(qs[(feature, 0.99)])
     grid = [lo + (hi - lo) * i / (n_points - 1) for i in range(n_points)] if n_points > 1 else [lo]
     g = F.array(*[F.struct(F.lit(i).alias("point"), F.lit(v).alias("value")) for i, v in enumerate(grid)])
     ex = df.select("*", F.explode(g).alias("__g")).withColumn(feature, F.col("__g.value"))
@@ -103,10 +103,10 @@ def explain_pdp_features(importances: DataFrame, top: int = PDP_TOP) -> DataFram
 def explain_counterfactual(model, df: DataFrame, features: list[str], id_col: str) -> DataFrame:
     """Every row with its numeric features set to the medians: new prediction and the
     range-normalised Euclidean distance to the original row (fitted encodings reused, Q19)."""
-    ex_ok = exact_quantiles_ok(df)
-    st = df.agg(*[quantile(F.col(q(f)).cast("double"), 0.5, ex_ok).alias(f"m_{f}") for f in features],
-                *[F.min(F.col(q(f)).cast("double")).alias(f"lo_{f}") for f in features],
-                *[F.max(F.col(q(f)).cast("double")).alias(f"hi_{f}") for f in features]).first()
+    med = column_quantiles(df, features, [0.5])
+    st = df.agg(*[F.min(F.col(q(f)).cast("double")).alias(f"lo_{f}") for f in features],
+                *[F.max(F.col(q(f)).cast("double")).alias(f"hi_{f}") for f in features]).first().asDict()
+    st.update({f"m_{f}": med[(f, 0.5)] for f in features})
     base = model.transform(df).select(id_col, F.col("prediction").alias("original_prediction"))
     cf = df.withColumns({f: F.lit(float(st[f"m_{f}"])) for f in features})
     newp = model.transform(cf).select(id_col, F.col("prediction").alias("counterfactual_prediction"))

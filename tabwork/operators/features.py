@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import exact_quantiles_ok, nan_to_null, q, quantile
+from ..functions.columns import column_quantiles, nan_to_null, q
 from ..functions.text import tokens, with_bigrams
 
 MISSING = "missing"
@@ -23,17 +23,20 @@ TARGET_SMOOTHING = 10.0
 
 def _stats(df: DataFrame, cols: dict[str, set]) -> dict:
     aggs = []
-    exact = exact_quantiles_ok(df)
     for c, kinds in cols.items():
         x = F.col(q(c)).cast("double")
-        for k in sorted(kinds):
-            fn = {"min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_samp, "std_pop": F.stddev_pop,
-                  "median": lambda v: quantile(v, 0.5, exact)}[k]
+        for k in sorted(kinds - {"median"}):
+            fn = {"min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_samp, "std_pop": F.stddev_pop}[k]
             aggs.append(fn(x).alias(f"{k}|{c}"))
-    if not aggs:
-        return {}
-    row = df.agg(*aggs).first().asDict()
-    return {tuple(k.split("|", 1)[::-1]): v for k, v in row.items()}
+    out = {}
+    if aggs:
+        row = df.agg(*aggs).first().asDict()
+        out = {tuple(k.split("|", 1)[::-1]): v for k, v in row.items()}
+    med = [c for c, kinds in cols.items() if "median" in kinds]
+    if med:
+        qs = column_quantiles(df, med, [0.5])
+        out.update({(c, "median"): qs[(c, 0.5)] for c in med})
+    return out
 
 
 def fe_log(x: Column, mn: float | None) -> Column:

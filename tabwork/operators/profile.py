@@ -265,27 +265,32 @@ def profile_histogram(df: DataFrame, bins: int = 10, columns: list[str] | None =
 
 
 def profile_quantiles(df: DataFrame, columns: list[str], probs=(0.25, 0.5, 0.75),
-                      approx: bool | None = None, accuracy: int = 100000) -> DataFrame:
+                      approx: bool = False, accuracy: int = 100000) -> DataFrame:
     """(column, p, value): linear-interpolated quantiles (pandas `quantile`).
 
-    ``approx=True`` switches to ``percentile_approx`` (bounded memory) for very
-    large inputs; the exact form buffers value counts per column.
+    Exact by default — one ``percentile`` aggregate for small inputs, the
+    distributed exact plan above ``tabwork.quantile.exactMaxBytes``;
+    ``approx=True`` uses ``percentile_approx``.
     """
     df = nan_to_null(df)
-    if approx is None:
-        approx = not exact_quantiles_ok(df)
-    aggs = []
-    for i, c in enumerate(columns):
-        x = F.col(q(c)).cast("double")
-        if approx:
-            aggs.append(F.percentile_approx(x, list(probs), accuracy).alias(f"q{i}"))
-        else:
-            aggs.append(F.percentile(x, F.array(*[F.lit(float(p)) for p in probs])).alias(f"q{i}"))
-    wide = df.agg(*aggs)
-    rows = [F.struct(F.lit(c).alias("column_name"), F.lit(float(p)).alias("p"),
-                     F.col(f"q{i}")[j].cast("double").alias("value"))
-            for i, c in enumerate(columns) for j, p in enumerate(probs)]
-    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    spark = df.sparkSession
+    if approx:
+        wide = df.agg(*[F.percentile_approx(F.col(q(c)).cast("double"), list(probs), accuracy).alias(f"q{i}")
+                        for i, c in enumerate(columns)])
+        rows = [F.struct(F.lit(c).alias("column_name"), F.lit(float(p)).alias("p"),
+                         F.col(f"q{i}")[j].cast("double").alias("value"))
+                for i, c in enumerate(columns) for j, p in enumerate(probs)]
+        return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    if exact_quantiles_ok(df):
+        wide = df.agg(*[F.percentile(F.col(q(c)).cast("double"), F.array(*[F.lit(float(p)) for p in probs]))
+                        .alias(f"q{i}") for i, c in enumerate(columns)])
+        rows = [F.struct(F.lit(c).alias("column_name"), F.lit(float(p)).alias("p"),
+                         F.col(f"q{i}")[j].cast("double").alias("value"))
+                for i, c in enumerate(columns) for j, p in enumerate(probs)]
+        return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    from ..functions.quantiles import quantiles_long
+    long = df.select(*[F.col(q(c)).cast("double").alias(c) for c in columns]).unpivot([], columns, "column_name", "v")
+    return quantiles_long(long, ["column_name"], "v", list(probs))
 
 
 def profile_datetime_range(df: DataFrame) -> DataFrame:

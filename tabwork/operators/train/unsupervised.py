@@ -131,9 +131,10 @@ def isolation_forest(vectors: DataFrame, id_col: str, n_trees: int = 100, sample
 def anomaly_threshold(scores: DataFrame, contamination: float = 0.05, score_col: str = "score") -> DataFrame:
     """Label the top ``contamination`` share (score ≥ the (1−c) quantile); report share and percentiles."""
     contamination = min(max(contamination, 0.01), 0.49)
-    from ...functions.columns import exact_quantiles_ok, quantile
-    q = scores.agg(quantile(F.col(score_col), [1 - contamination, 0.5, 0.9, 0.95, 0.99],
-                            exact_quantiles_ok(scores)).alias("q"))
+    from ...functions.columns import column_quantiles
+    probs = [1 - contamination, 0.5, 0.9, 0.95, 0.99]
+    qs = column_quantiles(scores, [score_col], probs)
+    q = scores.sparkSession.range(1).select(F.array(*[F.lit(qs[(score_col, float(p))]).cast("double") for p in probs]).alias("q"))
     j = scores.withColumn("__k", F.lit(0)).join(F.broadcast(q.withColumn("__k", F.lit(0))), "__k")
     return j.select(*scores.columns, (F.col(score_col) >= F.col("q")[0]).alias("is_anomaly"),
                     F.col("q")[1].alias("p50"), F.col("q")[2].alias("p90"), F.col("q")[3].alias("p95"),
