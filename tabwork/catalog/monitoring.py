@@ -229,12 +229,20 @@ LABEL_EXPRS = [
 
 
 def label_batch(spark, d):
-    table(spark, d, "events").createOrReplaceTempView("__tabwork_events")
-    parts = [spark.sql(s.replace("FROM events", "FROM __tabwork_events")) for s in LABEL_EXPRS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """The same three label sources as ``LABEL_EXPRS``, built with DataFrame expressions."""
+    ev = table(spark, d, "events")
+    pid = F.concat(F.lit("p"), F.col("event_id").cast("string"))
+    first = ev.where(F.col("event_type") == "click").select(
+        pid.alias("prediction_id"),
+        F.concat(F.lit('{"label": "'), F.when(F.col("value") > 50, "yes").otherwise("no"), F.lit('"}')).alias("ground_truth"),
+        (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("recorded_at"))
+    fix = ev.where((F.col("event_type") == "click") & (F.pmod("user_id", F.lit(2)) == 0)).select(
+        pid.alias("prediction_id"), F.lit('{"label": "maybe"}').alias("ground_truth"),
+        (F.col("ts") + F.expr("INTERVAL 2 DAY")).alias("recorded_at"))
+    unknown = ev.where((F.col("event_type") == "view") & (F.col("value") > 300)).select(
+        F.concat(F.lit("q"), F.col("event_id").cast("string")).alias("prediction_id"),
+        F.lit('{"label": "yes"}').alias("ground_truth"), F.col("ts").alias("recorded_at"))
+    return first.unionByName(fix).unionByName(unknown)
 
 
 LABELS_SQL = " UNION ALL ".join(LABEL_EXPRS)
