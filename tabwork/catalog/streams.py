@@ -39,13 +39,30 @@ def q_pii_text_redact_stream(spark, d):
     return out.withColumn("redacted", F.sha2("redacted", 256))
 
 
+def q_record_ground_truth_stream(spark, d):
+    from .monitoring import label_batch, prediction_log
+    from ..streaming.labels import record_ground_truth_stream
+    labels = label_batch(spark, d)
+    path = scratch_path(spark, "labels")
+    labels.repartition(4).write.parquet(path)
+    out = record_ground_truth_stream(spark, prediction_log(spark, d), path, labels.schema)
+    return out.select("prediction_id", "ground_truth")
+
+
 QUERIES = {
+    "record_ground_truth_stream": q_record_ground_truth_stream,
     "monitor_volume_stream": q_monitor_volume_stream,
     "stream_prediction_log": q_stream_prediction_log,
     "pii_text_redact_stream": q_pii_text_redact_stream,
 }
 
+def _rgt_sql():
+    from .monitoring import RGT_SQL
+    return RGT_SQL
+
+
 ORACLE = {
+    "record_ground_truth_stream": _rgt_sql(),
     "monitor_volume_stream": """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS count
 FROM events GROUP BY 1""",
     "stream_prediction_log": "SELECT event_type, count(*) AS n, round(sum(value), 5) AS value_sum FROM events GROUP BY 1",
