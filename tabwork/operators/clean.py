@@ -78,11 +78,17 @@ def _bounds(st, c):
 
 
 def clean_apply(df: DataFrame, actions, overrides: dict | None = None, order_by: str | None = None,
-                partition_by: list[str] = ()) -> DataFrame:
+                partition_by: list[str] = (), checkpoint_stages: bool = False) -> DataFrame:
     """Fold ``actions`` (plan rows or dicts with column/strategy) into ``df``.
 
     ``order_by`` (a unique numeric column) is required for forward/backward fill.
+    ``checkpoint_stages`` cuts the lineage after every stage with a reliable
+    ``checkpoint()`` into the session's ``spark.checkpoint.dir`` (shared storage),
+    so a long plan does not recompute from the source after an executor loss.
     """
+    if checkpoint_stages:
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
     acts = _as_actions(actions, overrides)
     df = nan_to_null(df)
     for a in acts:
@@ -110,6 +116,8 @@ def clean_apply(df: DataFrame, actions, overrides: dict | None = None, order_by:
         st = _stats(df, live) if live else {}
         for a in stage:
             df = _apply_one(df, a, st, order_by, list(partition_by))
+        if checkpoint_stages and i < len(acts):
+            df = df.checkpoint(eager=True)
     return df
 
 

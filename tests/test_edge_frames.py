@@ -76,3 +76,12 @@ def test_single_class_sampling(spark):
     df = spark.createDataFrame([(i, "a") for i in range(10)], "id long, y string")
     assert S.undersample_random(df, "y", "id").count() == 10
     assert S.oversample_random(df, "y", "id").count() == 10
+
+
+def test_clean_apply_with_checkpointed_stages(spark):
+    df = spark.createDataFrame([(1, None, "a"), (1, None, "a"), (2, 3.0, "b"), (3, 5.0, None)], SCHEMA)
+    acts = [{"column_name": "__all__", "strategy": "drop_rows"}, {"column_name": "x", "strategy": "mean_impute"},
+            {"column_name": "c", "strategy": "drop_rows"}, {"column_name": "x", "strategy": "clip_outliers"}]
+    a = sorted(map(tuple, C.clean_apply(df, acts).collect()), key=str)
+    b = sorted(map(tuple, C.clean_apply(df, acts, checkpoint_stages=True).collect()), key=str)
+    assert a == b and len(a) == 2
