@@ -92,10 +92,16 @@ def isolation_forest(vectors: DataFrame, id_col: str, n_trees: int = 100, sample
     n = arr.count()
     psi = min(sample, n)
     limit = int(math.ceil(math.log2(max(psi, 2))))
-    frac = min(1.0, psi / max(n, 1))
-    # each tree takes the rows whose per-tree hash falls under the sampling fraction
-    trees_rows = arr.select(F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"), id_col, "x") \
-        .where((F.pmod(F.xxhash64(F.col(id_col), F.col("tree"), F.lit(seed)), F.lit(1_000_000)) / 1e6) < frac)
+    # one hash per row draws a pool of about 2·n_trees·psi rows; only pool rows are
+    # assigned to trees (each tree keeps a pool row with probability psi / pool size)
+    pool_frac = min(1.0, 2.0 * n_trees * psi / max(n, 1))
+    u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1_000_000)) / 1e6
+    pool = arr.where(u < pool_frac)
+    pool_n = max(1, int(round(n * pool_frac)))
+    frac = min(1.0, psi / pool_n)
+    member = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
+                      lambda t: (F.pmod(F.xxhash64(F.col(id_col), t, F.lit(seed + 1)), F.lit(1_000_000)) / 1e6) < frac)
+    trees_rows = pool.select(F.explode(member).alias("tree"), id_col, "x")
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf.tree.iloc[0])
@@ -112,19 +118,28 @@ def isolation_forest(vectors: DataFrame, id_col: str, n_trees: int = 100, sample
 
     @F.pandas_udf("double")
     def score(xs: pd.Series) -> pd.Series:
+        """Vectorised over the Arrow batch: all rows descend each tree level by level."""
         trees_ = bmodel.value
-        out = []
-        for x in xs:
-            x = np.asarray(x, dtype=float)
-            total = 0.0
-            for feat, split, left, right, size in trees_:
-                i, depth = 0, 0
-                while feat[i] >= 0:
-                    i = left[i] if x[feat[i]] < split[i] else right[i]
-                    depth += 1
-                total += depth + _c(size[i])
-            out.append(2.0 ** (-(total / max(len(trees_), 1)) / cn) if cn > 0 else 0.5)
-        return pd.Series(out)
+        if len(xs) == 0:
+            return pd.Series([], dtype=float)
+        x = np.stack(xs.to_numpy()).astype(float)
+        rows = np.arange(len(x))
+        total = np.zeros(len(x))
+        for feat, split, left, right, size in trees_:
+            node = np.zeros(len(x), dtype=np.int64)
+            depth = np.zeros(len(x))
+            for _ in range(limit + 1):
+                f = feat[node]
+                inner = f >= 0
+                if not inner.any():
+                    break
+                go_left = x[rows, np.where(inner, f, 0)] < split[node]
+                nxt = np.where(go_left, left[node], right[node])
+                node = np.where(inner, nxt, node)
+                depth += inner
+            total += depth + np.vectorize(_c, otypes=[float])(size[node])
+        avg = total / max(len(trees_), 1)
+        return pd.Series(2.0 ** (-avg / cn) if cn > 0 else np.full(len(x), 0.5))
     return arr.select(id_col, score("x").alias("score"))
 
 
