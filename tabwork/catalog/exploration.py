@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import eda as D
 from ..operators import profile as P
-from .inputs import (LINEITEM_DIRTY_SQL, LINEITEM_EDA_NUMERIC, LINEITEM_EDA_SQL,
+from .inputs import (LINEITEM_EDA_NUMERIC, LINEITEM_EDA_SQL,
                      lineitem_dirty, lineitem_eda, lineitem_with_dups, rounded)
 from .profiling import ORACLE as PROF_SQL
 

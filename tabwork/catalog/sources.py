@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import detect as DT
 from ..session import table
 from ..sources import io as IO
-from .inputs import lineitem_dirty, rounded
+from .inputs import LINEITEM_DIRTY_SQL, lineitem_dirty, rounded
 
 
 def q_read_csv_auto(spark, d):
@@ -106,7 +106,8 @@ ORACLE = {
     "write_versioned": """SELECT 'lineitem' AS dataset_id, 'cleaned' AS stage, count(*) AS row_count, CAST(14 AS BIGINT) AS col_count
 FROM lineitem WHERE l_linenumber <> 3""",
     "numeric_columns": " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, CAST({_POS[c]} AS BIGINT) AS position, '{_DT.get(c, 'double')}' AS dtype"
+        f"SELECT '{c}' AS column_name, CAST({_POS[c]} AS BIGINT) AS position, '{_DT.get(c, 'double')}' AS dtype, "
+        f"count({c}) AS n_non_null FROM ({LINEITEM_DIRTY_SQL})"
         for c in _NUMS),
     "detect_text_columns": " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, round(avg(len(string_split_regex(trim({c}), '\\s+'))), 5) AS avg_words, "

@@ -13,7 +13,6 @@ DuckDB ``quantile_cont``) as a plan:
 """
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

@@ -14,9 +14,15 @@ DATE_PARSE_SHARE = 0.7
 
 
 def numeric_columns_frame(df: DataFrame) -> DataFrame:
-    rows = [(f.name, i, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)
-            if is_numeric(f.dataType)]
-    return df.sparkSession.createDataFrame(rows, "column_name string, position int, dtype string")
+    """Numeric columns (``select_dtypes(number)``) with their position, type and non-null count."""
+    fields = [(i, f) for i, f in enumerate(df.schema.fields) if is_numeric(f.dataType)]
+    if not fields:
+        return df.sparkSession.createDataFrame([], "column_name string, position int, dtype string, n_non_null long")
+    wide = df.agg(*[F.count(F.col(q(f.name))).alias(f"n{i}") for i, f in fields])
+    return wide.select(F.explode(F.array(*[
+        F.struct(F.lit(f.name).alias("column_name"), F.lit(i).alias("position"),
+                 F.lit(f.dataType.simpleString()).alias("dtype"), F.col(f"n{i}").cast("long").alias("n_non_null"))
+        for i, f in fields])).alias("s")).select("s.*")
 
 
 def detect_text_columns(df: DataFrame, exclude: str | None = None, min_avg_words: float = MIN_AVG_WORDS) -> DataFrame:
