@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import chunks, column_quantiles, nan_to_null, numeric_columns, q
+from ..functions.columns import chunks, column_quantiles, exact_quantiles_ok, nan_to_null, numeric_columns, q
 
 # Thresholds of the reference analyzer.
 MAR_BELOW = 0.1
@@ -82,23 +82,24 @@ def eda_correlation_matrix(df: DataFrame, columns: list[str] | None = None,
         return spark.createDataFrame([], "col_a string, col_b string, r double")
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     parts = []
-    for ch in chunks(pairs, max_exprs):
+    for n_chunk, ch in enumerate(chunks(pairs, max_exprs)):
         aggs = [F.corr(F.col(q(a)).cast("double"), F.col(q(b)).cast("double")).alias(f"p{i}")
                 for i, (a, b) in enumerate(ch)]
+        if n_chunk == 0:  # the diagonal rides along with the first chunk: one scan
+            aggs += [F.stddev_samp(F.col(q(c)).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]
         wide = df.agg(*aggs)
         structs = []
         for i, (a, b) in enumerate(ch):
             r = F.coalesce(F.when(~F.isnan(F.col(f"p{i}")), F.col(f"p{i}")), F.lit(0.0))
             structs.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), r.alias("r")))
             structs.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), r.alias("r")))
+        if n_chunk == 0:
+            structs += [F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"),
+                                 F.when(F.col(f"s{i}") > 0, F.lit(1.0)).otherwise(F.lit(0.0)).alias("r"))
+                        for i, c in enumerate(cols)]
         parts.append(wide.select(F.explode(F.array(*structs)).alias("s")).select("s.*"))
-    diag_w = df.agg(*[F.stddev_samp(F.col(q(c)).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)])
-    diag = diag_w.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"),
-                 F.when(F.col(f"s{i}") > 0, F.lit(1.0)).otherwise(F.lit(0.0)).alias("r"))
-        for i, c in enumerate(cols)])).alias("s")).select("s.*")
-    out = diag
-    for p in parts:
+    out = parts[0]
+    for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
@@ -155,15 +156,23 @@ def eda_issues(*frames: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ mutual information
 def _bin_plan(df: DataFrame, cols: list[str], bins: int, discrete_max: int, approx: bool | None):
-    """Per column: median, quantile edges, and whether it is treated as discrete (a few numbers)."""
+    """Per column: median, quantile edges, and whether it is treated as discrete (a few numbers).
+
+    Small inputs: distinct estimates and exact percentiles in one aggregate.  Large
+    inputs: distinct estimates, then the distributed exact quantiles (or approx).
+    """
     probs = [i / bins for i in range(1, bins)]
-    dist = df.agg(*[F.approx_count_distinct(F.col(q(c)).cast("double")).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    if approx:
-        row = df.agg(*[F.percentile_approx(F.col(q(c)).cast("double"), [0.5] + probs, 100000).alias(f"q{i}")
-                       for i, c in enumerate(cols)]).first()
-        qs = {(c, p): (row[f"q{i}"] or [None] * bins)[j] for i, c in enumerate(cols) for j, p in enumerate([0.5] + probs)}
+    allp = [0.5] + probs
+    dist_aggs = [F.approx_count_distinct(F.col(q(c)).cast("double")).alias(f"d{i}") for i, c in enumerate(cols)]
+    if approx or exact_quantiles_ok(df):
+        qfn = ((lambda x: F.percentile_approx(x, allp, 100000)) if approx
+               else (lambda x: F.percentile(x, F.array(*[F.lit(p) for p in allp]))))
+        row = df.agg(*dist_aggs, *[qfn(F.col(q(c)).cast("double")).alias(f"q{i}") for i, c in enumerate(cols)]).first()
+        qs = {(c, float(p)): (row[f"q{i}"] or [None] * len(allp))[j] for i, c in enumerate(cols) for j, p in enumerate(allp)}
+        dist = row
     else:
-        qs = column_quantiles(df, cols, [0.5] + probs)
+        dist = df.agg(*dist_aggs).first()
+        qs = column_quantiles(df, cols, allp)
     plan = {}
     for i, c in enumerate(cols):
         plan[c] = dict(median=qs[(c, 0.5)], edges=[float(qs[(c, float(p))]) for p in probs if qs[(c, float(p))] is not None],
