@@ -74,9 +74,14 @@ def spread(df):
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    current = df.rdd.getNumPartitions()
+    if current >= cores:
+        return df
+    # about one partition per 256 KiB of (compressed) input, so a tiny lookup table on a large
+    # cluster does not become thousands of empty tasks
+    from .functions.columns import estimated_bytes
+    target = min(cores, max(2, -(-estimated_bytes(df) // (1 << 18))))
+    return df.repartition(target) if target > current else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):
