@@ -19,7 +19,12 @@ def _sel(cols, over=None):
     out = []
     for c in cols:
         e = over.get(c, c)
-        out.append(f"round({e}, 5) AS {c}" if c in DOUBLE_COLS else f"{e} AS {c}")
+        if c in DOUBLE_COLS:
+            out.append(f"round({e}, 5) AS {c}")
+        elif c == "l_shipdate":
+            out.append(f"strftime({e}, '%Y-%m-%d %H:%M:%S') AS {c}")
+        else:
+            out.append(f"{e} AS {c}")
     return ", ".join(out)
 
 

@@ -411,8 +411,8 @@ ORACLE = {
     "select_mutual_info": _sel_mi_sql(),
     "select_pearson_abs": _pearson_sql(),
     "select_with_overrides": _overrides_sql(),
-    "select_audit": f"""SELECT sum(CAST(keep AS BIGINT)) AS kept, sum(CAST(NOT keep AS BIGINT)) AS dropped,
-  sum(CAST(decision = 'pinned' AS BIGINT)) AS pinned, sum(CAST(decision = 'excluded' AS BIGINT)) AS excluded,
-  sum(CAST(decision = 'auto' AS BIGINT)) AS auto FROM ({_overrides_sql()})""",
+    "select_audit": f"""SELECT CAST(sum(CAST(keep AS BIGINT)) AS BIGINT) AS kept, CAST(sum(CAST(NOT keep AS BIGINT)) AS BIGINT) AS dropped,
+  CAST(sum(CAST(decision = 'pinned' AS BIGINT)) AS BIGINT) AS pinned, CAST(sum(CAST(decision = 'excluded' AS BIGINT)) AS BIGINT) AS excluded,
+  CAST(sum(CAST(decision = 'auto' AS BIGINT)) AS BIGINT) AS auto FROM ({_overrides_sql()})""",
     "leakage_scan": LEAK_SQL,
 }

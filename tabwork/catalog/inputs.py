@@ -19,12 +19,14 @@ LI_RID = "((l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey) * 10 + l_linen
 
 
 def rounded(df: DataFrame, nd: int = 5) -> DataFrame:
-    """Round every float column for a stable value hash against DuckDB."""
+    """Round every float column (and print timestamps as text) for a stable value hash against DuckDB."""
     out = []
     for f in df.schema.fields:
         c = F.col("`" + f.name + "`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             out.append((F.round(c.cast("double"), nd) + F.lit(0.0)).alias(f.name))
+        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            out.append(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(f.name))
         else:
             out.append(c)
     return df.select(*out)
