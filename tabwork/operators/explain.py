@@ -13,7 +13,7 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import column_quantiles, exact_quantiles_ok, q, quantile
+from ..functions.columns import column_quantiles, exact_quantiles_ok, q
 
 PDP_POINTS = 30
 PDP_TOP = 20
@@ -89,10 +89,19 @@ def explain_pdp(model, df: DataFrame, feature: str, n_points: int = PDP_POINTS)
     grid = [lo + (hi - lo) * i / (n_points - 1) for i in range(n_points)] if n_points > 1 else [lo]
     g = F.array(*[F.struct(F.lit(i).alias("point"), F.lit(v).alias("value")) for i, v in enumerate(grid)])
     ex = df.select("*", F.explode(g).alias("__g")).withColumn(feature, F.col("__g.value"))
-    pred = model.transform(ex)
-    return pred.groupBy(F.col("__g.point").cast("long").alias("point"), F.col("__g.value").alias("value")).agg(
-        F.avg("prediction").alias("mean"), quantile(F.col("prediction"), 0.1, ex_ok).alias("p10"),
-        quantile(F.col("prediction"), 0.9, ex_ok).alias("p90"))
+    pred = model.transform(ex).select(F.col("__g.point").cast("long").alias("point"),
+                                      F.col("__g.value").alias("value"), F.col("prediction").cast("double"))
+    if ex_ok:
+        return pred.groupBy("point", "value").agg(
+            F.avg("prediction").alias("mean"), F.percentile("prediction", 0.1).alias("p10"),
+            F.percentile("prediction", 0.9).alias("p90"))
+    from ..functions.quantiles import quantiles_long
+    q = quantiles_long(pred.withColumnRenamed("value", "grid_value"), ["point", "grid_value"], "prediction", [0.1, 0.9])
+    bands = q.groupBy("point", "grid_value").agg(F.max(F.when(F.col("p") == 0.1, F.col("value"))).alias("p10"),
+                                                 F.max(F.when(F.col("p") == 0.9, F.col("value"))).alias("p90"))
+    means = pred.groupBy("point", F.col("value").alias("grid_value")).agg(F.avg("prediction").alias("mean"))
+    return (means.join(bands, ["point", "grid_value"])
+            .select("point", F.col("grid_value").alias("value"), "mean", "p10", "p90"))
 
 
 def explain_pdp_features(importances: DataFrame, top: int = PDP_TOP) -> DataFrame:

@@ -125,14 +125,26 @@ def monitor_volume(log: DataFrame, hours: int = 12, ts: str = "created_at") -> D
 
 def monitor_rate_quantiles(df: DataFrame, measure: str, ts: str, error_flag: Column,
                            window: str = "1 day") -> DataFrame:
-    """Per window: p50/p95/p99 of a measure, rows per minute, error share."""
+    """Per window: p50/p95/p99 of a measure, rows per minute, error share.
+
+    Quantiles are exact: a grouped ``percentile`` for small inputs, the
+    distributed per-window plan (``functions.quantiles``) above the size limit.
+    """
+    from ..functions.columns import exact_quantiles_ok
     minutes = {"1 day": 1440.0, "1 hour": 60.0}.get(window, 1440.0)
-    from ..functions.columns import exact_quantiles_ok, quantile
-    g = df.groupBy(F.window(ts, window).alias("w")).agg(
-        quantile(F.col(measure).cast("double"), [0.5, 0.95, 0.99], exact_quantiles_ok(df)).alias("p"),
-        F.count(F.lit(1)).alias("n"), F.avg(error_flag.cast("double")).alias("error_rate"))
-    return g.select(F.col("w.start").alias("window_start"), F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"),
-                    F.col("p")[2].alias("p99"), (F.col("n") / minutes).alias("per_minute"), "error_rate")
+    w = F.window(ts, window).start.alias("window_start")
+    base = df.groupBy(w).agg(F.count(F.lit(1)).alias("n"), F.avg(error_flag.cast("double")).alias("error_rate"))
+    if exact_quantiles_ok(df):
+        qs = df.groupBy(w).agg(F.percentile(F.col(measure).cast("double"),
+                                            F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p"))
+        qs = qs.select("window_start", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"))
+    else:
+        from ..functions.quantiles import quantiles_long
+        long = quantiles_long(df.select(w, F.col(measure).alias("__m")), ["window_start"], "__m", [0.5, 0.95, 0.99])
+        qs = long.groupBy("window_start").agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n)
+                                                for p, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))])
+    return base.join(qs, "window_start").select("window_start", "p50", "p95", "p99",
+                                                (F.col("n") / minutes).alias("per_minute"), "error_rate")
 
 
 # ------------------------------------------------------------------ uncertainty
