@@ -200,9 +200,9 @@ def tfidf(df: DataFrame, text_col: str, id_col: str, ngram_max: int = 2, min_df:
            .select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf")))
     w = (F.lit(1.0) + F.log(F.col("tf"))) if sublinear_tf else F.col("tf").cast("double")
     raw = tf.join(F.broadcast(idf), "term").select("doc", "term", (w * F.col("idf")).alias("raw"))
-    norm = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return (raw.join(norm, "doc").select(F.col("doc").alias(id_col), "term",
-                                         (F.col("raw") / F.col("norm")).alias("weight")))
+    # L2 norm per document as a window (one exchange by doc, no join back)
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc")))
+    return raw.select(F.col("doc").alias(id_col), "term", (F.col("raw") / norm).alias("weight"))
 
 
 def tfidf_top_terms(weights: DataFrame, n_docs: DataFrame, top: int = 20) -> DataFrame:
