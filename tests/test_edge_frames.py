@@ -85,3 +85,13 @@ def test_clean_apply_with_checkpointed_stages(spark):
     a = sorted(map(tuple, C.clean_apply(df, acts).collect()), key=str)
     b = sorted(map(tuple, C.clean_apply(df, acts, checkpoint_stages=True).collect()), key=str)
     assert a == b and len(a) == 2
+
+
+def test_clean_apply_persisted_stages_same_result(spark):
+    df = spark.createDataFrame([(1, None, "a"), (1, None, "a"), (2, 3.0, "b"), (3, 5.0, None), (4, 9.0, "c")], SCHEMA)
+    acts = [{"column_name": "__all__", "strategy": "drop_rows"}, {"column_name": "x", "strategy": "median_impute"},
+            {"column_name": "x", "strategy": "clip_outliers"}]
+    a = sorted(map(tuple, C.clean_apply(df, acts).collect()), key=str)
+    b = sorted(map(tuple, C.clean_apply(df, acts, persist_stages=True).collect()), key=str)
+    spark.catalog.clearCache()
+    assert a == b and len(a) == 4
