@@ -7,6 +7,7 @@ Spark ML ``SQLTransformer``) and carry DuckDB oracles.
 from __future__ import annotations
 
 from pyspark.ml.feature import SQLTransformer
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import explain as X
@@ -267,8 +268,7 @@ SELECT model, tp, fp, fn, round(pr, 5) AS precision, round(re, 5) AS recall,
 def q_anomaly_rank(spark, d):
     s = U.anomaly_summary(_labelled(spark, d), ["model"])
     r = U.anomaly_rank(s, 0.05).select("model", "detected_contamination", "gap")
-    return rounded(r.withColumn("rank", F.row_number().over(
-        __import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("gap", "model")).cast("long")))
+    return rounded(r.withColumn("rank", F.row_number().over(Window.orderBy("gap", "model")).cast("long")))
 
 
 RANK_SQL = f"""
