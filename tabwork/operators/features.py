@@ -87,19 +87,23 @@ def fe_one_hot(df: DataFrame, col: str, out: str, values: list[str] | None = Non
 
 
 def label_codes(df: DataFrame, cols: list[str], missing: str = MISSING) -> DataFrame:
-    """(column_name, value, code): alphabetical codes per column, computed distributed.
+    """(column_name, value, code): alphabetical codes per column, computed in the JVM.
 
-    Distinct (column, value) pairs are range-sorted and numbered with
-    ``zipWithIndex``; a column's codes are its indices minus the column's first index.
+    Distinct (column, value) pairs are range-sorted; ``monotonically_increasing_id``
+    gives each row its partition (high bits) and position inside it (low 33 bits);
+    a small (column, partition) table of counts turns positions into per-column
+    ranks.  No value passes through Python and no column is ranked in one task.
     """
-    spark = df.sparkSession
     long = (df.select(*[F.coalesce(F.col(q(c)).cast("string"), F.lit(missing)).alias(c) for c in cols])
             .unpivot([], cols, "column_name", "value").distinct().orderBy("column_name", "value"))
-    indexed = long.rdd.zipWithIndex().map(lambda r: (r[0][0], r[0][1], r[1])).toDF(
-        "column_name string, value string, idx long")
-    first = indexed.groupBy("column_name").agg(F.min("idx").alias("base"))
-    return (indexed.join(F.broadcast(first), "column_name")
-            .select("column_name", "value", (F.col("idx") - F.col("base")).cast("int").alias("code")))
+    mid = F.monotonically_increasing_id()
+    tagged = long.select("column_name", "value", F.shiftright(mid, 33).alias("__pid"),
+                         mid.bitwiseAND(F.lit((1 << 33) - 1)).alias("__pos")).cache()
+    per = tagged.groupBy("column_name", "__pid").agg(F.count(F.lit(1)).alias("__n"), F.min("__pos").alias("__first"))
+    w = Window.partitionBy("column_name").orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = per.select("column_name", "__pid", "__first", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
+    return (tagged.join(F.broadcast(offs), ["column_name", "__pid"])
+            .select("column_name", "value", (F.col("__off") + F.col("__pos") - F.col("__first")).cast("int").alias("code")))
 
 
 def fe_label_encode(df: DataFrame, cols: list[str], outputs: dict[str, str] | None = None,
