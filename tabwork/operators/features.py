@@ -177,10 +177,36 @@ def fe_target_encode(df: DataFrame, col: str, target: str, fold_col: str,
 
 
 def fe_lags(df: DataFrame, value: str, order: str, lags: int = 12, series: list[str] = (),
-            drop_incomplete: bool = True) -> DataFrame:
-    """lag_1..lag_k of ``value`` per series ordered by ``order``; rows with a missing lag dropped."""
-    w = Window.partitionBy(*series).orderBy(order) if series else Window.orderBy(order)
-    out = df.select("*", *[F.lag(F.col(q(value)), i).over(w).alias(f"lag_{i}") for i in range(1, lags + 1)])
+            drop_incomplete: bool = True, method: str = "window") -> DataFrame:
+    """lag_1..lag_k of ``value`` per series ordered by ``order``; rows with a missing lag dropped.
+
+    ``method="window"`` is a per-series window (fine for many small series).
+    ``method="join"`` is skew-safe: exact positions come from the bucketed running
+    count per series and each row is joined to the rows 1..k positions earlier on
+    (series, position), so even a series holding a third of all rows is spread
+    over many tasks.  ``order`` must be unique within a series.
+    """
+    if method == "window":
+        w = Window.partitionBy(*series).orderBy(order) if series else Window.orderBy(order)
+        out = df.select("*", *[F.lag(F.col(q(value)), i).over(w).alias(f"lag_{i}") for i in range(1, lags + 1)])
+    elif method == "join":
+        from ..functions.ordered import cumulative_sum
+        keys = list(series) or ["__all"]
+        base = df if series else df.withColumn("__all", F.lit(0))
+        t = base.withColumn("__o", F.col(q(order)).cast("timestamp").cast("double")
+                            if not isinstance(base.schema[order].dataType, (T.NumericType,)) else F.col(q(order)).cast("double"))
+        t = t.withColumn("__one", F.lit(1).cast("long"))
+        pos = cumulative_sum(t, "__o", ["__one"], partition_cols=keys).withColumnRenamed("__one_cum", "__pos")
+        pos = pos.drop("__one", "__o")
+        ahead = pos.select(*keys, F.col(q(value)).alias("__y"), F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("__i"),
+                           "__pos").select(*keys, "__y", "__i", (F.col("__pos") + F.col("__i")).alias("__pos"))
+        lagged = ahead.groupBy(*keys, "__pos").agg(*[F.max(F.when(F.col("__i") == i, F.col("__y"))).alias(f"lag_{i}")
+                                                     for i in range(1, lags + 1)])
+        out = pos.join(lagged, keys + ["__pos"], "left").drop("__pos")
+        if not series:
+            out = out.drop("__all")
+    else:
+        raise ValueError(f"unknown method {method!r}")
     return out.dropna(subset=[f"lag_{i}" for i in range(1, lags + 1)]) if drop_incomplete else out
 
 
