@@ -51,8 +51,10 @@ def cumulative_sum(df: DataFrame, order_col: str, sum_cols: list[str],
     probs = [i / n_buckets for i in range(1, n_buckets)]
     x = F.col(order_col).cast("double")
     if part:
+        # one row of bounds per group: grows with the number of groups, so no forced
+        # broadcast — AQE broadcasts it at run time only if it is actually small
         bounds = df.groupBy(*part).agg(F.percentile_approx(x, probs, 10000).alias("__bounds"))
-        tagged = (df.join(F.broadcast(bounds), part, "left")
+        tagged = (df.join(bounds, part, "left")
                   .withColumn("__bucket", F.size(F.filter(F.coalesce("__bounds", F.array().cast("array<double>")),
                                                           lambda b: b < x)))
                   .drop("__bounds"))
@@ -72,7 +74,8 @@ def cumulative_sum(df: DataFrame, order_col: str, sum_cols: list[str],
                                                  for c in sum_cols])
     w = Window.partitionBy(*part, "__bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     out = tagged.select("*", *[F.sum(c).over(w).alias("__run_" + c) for c in sum_cols])
-    out = out.join(F.broadcast(offsets), part + ["__bucket"])
+    # offsets: n_buckets rows (bounded) without groups; groups × buckets rows with them
+    out = out.join(offsets if part else F.broadcast(offsets), part + ["__bucket"])
     return out.select(*[F.col("`" + c + "`") for c in df.columns],
                       *[(F.col("__run_" + c) + F.col("__off_" + c)).alias(c + suffix) for c in sum_cols])
 

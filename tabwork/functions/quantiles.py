@@ -7,8 +7,8 @@ DuckDB ``quantile_cont``) as a plan:
 
 1. value counts per (key, value) — one shuffle, map-side combined;
 2. running counts per key over value order — bucketed, no single-task window;
-3. the rows holding ranks floor(p·(n−1)) and ceil(p·(n−1)) found by a
-   broadcast equi-join on the key with a range condition (targets are tiny);
+3. the rows holding ranks floor(p·(n−1)) and ceil(p·(n−1)) found by an
+   equi-join on the key with a range condition (targets: keys × probs × 2 rows);
 4. interpolation.
 """
 from __future__ import annotations
@@ -35,7 +35,9 @@ def quantiles_long(long: DataFrame, keys: list[str], value: str, probs: list[flo
     ranks = tg.select(*keys, "p", F.explode(F.array(
         F.struct(F.lit("lo").alias("side"), F.col("__lo").alias("rank")),
         F.struct(F.lit("hi").alias("side"), F.col("__hi").alias("rank")))).alias("r")).select(*keys, "p", "r.*")
-    hit = cum.join(F.broadcast(ranks), keys).where(
+    # ranks: keys × probs × 2 rows — small for columns or grid points, but it grows with
+    # the number of groups, so AQE decides on broadcasting from the real size
+    hit = cum.join(ranks, keys).where(
         (F.col("rank") >= F.col("__c_cum") - F.col("__c")) & (F.col("rank") < F.col("__c_cum")))
     vals = hit.groupBy(*keys, "p").agg(F.max(F.when(F.col("side") == "lo", F.col("__v"))).alias("vlo"),
                                        F.max(F.when(F.col("side") == "hi", F.col("__v"))).alias("vhi"))

@@ -120,7 +120,7 @@ def folds_time_series(series: DataFrame, series_col: str, ts_col: str, n_splits:
     k = F.least(F.lit(n_splits), F.greatest(F.lit(2), F.floor(F.col("n") / 10)))
     plan = sizes.select(series_col, "n", k.cast("long").alias("k"),
                         F.floor(F.col("n") / (k + 1)).cast("long").alias("test_size"))
-    j = r.join(F.broadcast(plan), series_col)
+    j = r.join(plan, series_col)  # one row per series: may be large, AQE decides on broadcasting
     folds = j.withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     train_end = F.col("n") - (F.col("k") - F.col("fold")) * F.col("test_size")
     role = (F.when(F.col("pos") <= train_end, "train")
