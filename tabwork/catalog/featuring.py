@@ -225,6 +225,12 @@ def q_fe_lags(spark, d):
     return out.select("series", F.date_format("day", "yyyy-MM-dd").alias("day"), "y", "lag_1", "lag_2", "lag_3")
 
 
+def q_fe_lags_skew_safe(spark, d):
+    s = daily_orders(spark, d)
+    out = FE.fe_lags(s, "y", "day", lags=3, series=["series"], method="join")
+    return out.select("series", F.date_format("day", "yyyy-MM-dd").alias("day"), "y", "lag_1", "lag_2", "lag_3")
+
+
 LAGS_SQL = f"""
 SELECT * FROM (SELECT series, strftime(day, '%Y-%m-%d') AS day, y,
   lag(y, 1) OVER (PARTITION BY series ORDER BY day) AS lag_1, lag(y, 2) OVER (PARTITION BY series ORDER BY day) AS lag_2,
@@ -377,6 +383,7 @@ QUERIES = {
     "fe_tfidf": q_fe_tfidf,
     "tfidf_top_terms": q_tfidf_top_terms,
     "fe_lags": q_fe_lags,
+    "fe_lags_skew_safe": q_fe_lags_skew_safe,
     "prep_matrix": q_prep_matrix,
     "prep_scaled_matrix": q_prep_scaled_matrix,
     "select_mutual_info": q_select_mutual_info,
@@ -406,6 +413,7 @@ ORACLE = {
     "fe_tfidf": TFIDF_SQL,
     "tfidf_top_terms": TOP_TERMS_SQL,
     "fe_lags": LAGS_SQL,
+    "fe_lags_skew_safe": LAGS_SQL,
     "prep_matrix": _matrix_sql(False),
     "prep_scaled_matrix": _matrix_sql(True),
     "select_mutual_info": _sel_mi_sql(),
