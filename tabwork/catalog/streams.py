@@ -10,10 +10,13 @@ from ..streaming import monitor as SM
 from .privacy import _redact_sql
 
 
-def _log_folder(spark, d, name, n_files=4):
+def _log_folder(spark, d, name, n_files=4, time_col=None):
+    """Copy a table into a log folder of ``n_files`` files; with ``time_col`` the files are
+    time ranges written in order (as a serving tier appends them), else round-robin."""
     df = table(spark, d, name)
     path = scratch_path(spark, f"log-{name}")
-    df.repartition(n_files).write.parquet(path)
+    parts = df.repartitionByRange(n_files, time_col).sortWithinPartitions(time_col) if time_col else df.repartition(n_files)
+    parts.write.parquet(path)
     return path, df.schema
 
 

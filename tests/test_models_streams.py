@@ -51,3 +51,26 @@ def test_stream_equals_batch(spark, sf):
     exp = {r.h: r.c for r in ev.groupBy(F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss").alias("h"))
            .agg(F.count(F.lit(1)).alias("c")).collect()}
     assert got == exp
+
+
+def _append_vs_complete(spark, sf, time_col):
+    from tabwork.catalog.streams import _log_folder
+    from tabwork.streaming import monitor as SM
+    path, schema = _log_folder(spark, sf, "events", time_col=time_col)
+    out, ckpt = SM.stream_dirs(spark, "append")
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    agg = SM.hourly_volume(src, "ts").select(F.col("w.start").alias("start"), "count")
+    SM.run_append_to_parquet(agg, out, ckpt)
+    appended = {r.start: r["count"] for r in spark.read.parquet(out).collect()}
+    complete = {r.w.start: r["count"] for r in SM.monitor_volume_stream(spark, path, schema, ts_col="ts").collect()}
+    return appended, complete
+
+
+def test_append_mode_is_subset_of_complete(spark, sf):
+    """Append emits a window once the watermark passes it (the newest stay open) and drops
+    rows that arrive behind the watermark; complete mode keeps every row.  For any file
+    order the appended windows are a subset and never count more."""
+    for time_col in ("ts", None):
+        appended, complete = _append_vs_complete(spark, sf, time_col)
+        assert appended and set(appended) < set(complete)
+        assert all(v <= complete[k] for k, v in appended.items())
