@@ -81,17 +81,19 @@ def hot_split(counted: DataFrame, count: str, total: int) -> tuple[DataFrame, Da
     return counted.filter(hot), counted.filter(~hot)
 
 
-def lookup(df: DataFrame, key: str, counted: DataFrame, value: str, count: str, total: int) -> DataFrame:
+def lookup(df: DataFrame, key: str, counted: DataFrame, value: str, count: str, total: int,
+           salt: list[str]) -> DataFrame:
     """Left lookup of ``value`` by ``key`` in a per-key table, safe when few keys hold most rows.
 
     Hot keys (see ``hot_split``) come from a broadcast of at most HOT_SHARE rows.  All other rows
-    join by a shuffle; rows already answered, and null keys, are dealt by a salt that matches
-    nothing.  Key must be a string column.  Adds ``value``, null where the key is not listed.
+    join by a shuffle; rows already answered, and null keys, are dealt by a hash of the ``salt``
+    columns that matches nothing (a function of the row, so a repeated task deals it the same way).
+    Key must be a string column.  Adds ``value``, null where the key is not listed.
     """
     hot, rest = hot_split(counted.select(key, value, count), count, total)
     hot = F.broadcast(hot.select(F.col(key).alias("_hk"), F.col(value).alias("_hv"), F.lit(True).alias("_hit")))
     first = df.join(hot, F.col(key) == F.col("_hk"), "left")
-    salted = F.concat(F.lit("\u0000"), F.monotonically_increasing_id().cast("string"))
+    salted = F.concat(F.lit("\u0000"), F.xxhash64(*salt).cast("string"))
     first = first.withColumn("_k2", F.when(F.col("_hit").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(salted))
     rest = rest.select(F.col(key).alias("_rk"), F.col(value).alias("_rv"))
     return (first.join(rest, F.col("_k2") == F.col("_rk"), "left")

@@ -1,14 +1,17 @@
 """Queries of the training-data operators and the SQL of those that SQL can express."""
 from __future__ import annotations
 
-from . import sharding
+from . import sharding, warc
 
 
 def llm_queries():
     return {
+        "op4_warc_writer": warc.op4_warc_writer,
         "op8_jump_sharding": sharding.op8_jump_sharding,
     }
 
 
 def llm_oracles():
-    return {}
+    return {
+        "op4_warc_writer": warc.OP4_SQL,
+    }
