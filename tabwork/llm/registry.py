@@ -1,11 +1,12 @@
 """Queries of the training-data operators and the SQL of those that SQL can express."""
 from __future__ import annotations
 
-from . import sharding, warc
+from . import packing, sharding, warc
 
 
 def llm_queries():
     return {
+        "op2_power_packing": packing.op2_power_packing,
         "op4_warc_writer": warc.op4_warc_writer,
         "op8_jump_sharding": sharding.op8_jump_sharding,
     }
