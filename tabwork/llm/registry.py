@@ -1,12 +1,13 @@
 """Queries of the training-data operators and the SQL of those that SQL can express."""
 from __future__ import annotations
 
-from . import packing, sharding, warc
+from . import decontam, packing, sharding, warc
 
 
 def llm_queries():
     return {
         "op2_power_packing": packing.op2_power_packing,
+        "op3_suffix_decontamination": decontam.op3_suffix_decontamination,
         "op4_warc_writer": warc.op4_warc_writer,
         "op8_jump_sharding": sharding.op8_jump_sharding,
     }
@@ -14,5 +15,6 @@ def llm_queries():
 
 def llm_oracles():
     return {
+        "op3_suffix_decontamination": decontam.OP3_SQL,
         "op4_warc_writer": warc.OP4_SQL,
     }
