@@ -1,7 +1,7 @@
 """Queries of the training-data operators and the SQL of those that SQL can express."""
 from __future__ import annotations
 
-from . import decontam, packing, sharding, simhash, warc
+from . import decontam, neardup, packing, sharding, simhash, warc
 
 
 def llm_queries():
@@ -9,6 +9,7 @@ def llm_queries():
         "op2_power_packing": packing.op2_power_packing,
         "op3_suffix_decontamination": decontam.op3_suffix_decontamination,
         "op4_warc_writer": warc.op4_warc_writer,
+        "op5_spherical_cells": neardup.op5_spherical_cells,
         "op6_simhash_dedup": simhash.op6_simhash_dedup,
         "op8_jump_sharding": sharding.op8_jump_sharding,
     }
@@ -18,4 +19,5 @@ def llm_oracles():
     return {
         "op3_suffix_decontamination": decontam.OP3_SQL,
         "op4_warc_writer": warc.OP4_SQL,
+        "op5_spherical_cells": neardup.OP5_SQL,
     }
