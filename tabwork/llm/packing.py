@@ -13,8 +13,8 @@ an empty result; other columns of the documents are not read.
 """
 from __future__ import annotations
 
+import json
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +26,9 @@ from .common import table
 
 SEQUENCE = 2048   # longest sequence, a power of two
 END_ID = 1        # id that ends every document
-MEMO = 400_000    # chunks whose ids a task remembers; a full memo is emptied, results do not change
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
-# Unicode White_Space as the inside of a character class: fixed values
-WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+# How byte-level tokenizers cut a text into words: a fixed value
+WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def piece_lengths(n: int, longest: int = SEQUENCE) -> list[int]:
@@ -38,12 +37,22 @@ def piece_lengths(n: int, longest: int = SEQUENCE) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in range(longest.bit_length(), -1, -1) if rest >> b & 1]
 
 
+def _byte_of() -> dict[str, int]:
+    """The character that stands for each byte in a byte-level vocabulary, inverted.
+
+    Printable Latin-1 bytes stand for themselves, the others take the code points from 256 on.
+    """
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class _Ids:
-    """Ids of a text as little-endian 32-bit bytes, from a tokenizer file.
+    """Ids of a text as little-endian 32-bit bytes, from a tokenizer file of the byte-level BPE kind.
 
-    The byte-level pre-tokenizer never joins what stands before a white-space run to what follows,
-    so a text is cut where white space follows other characters, equal chunks are encoded once, and
-    the ids are those of the whole text.
+    The merges of such a file are ranked by the ids they make, so its vocabulary is a table of byte
+    strings by rank, which tiktoken encodes with about five times the speed of the file's own
+    library.  A file of any other kind is encoded by that library.
     """
 
     def __init__(self, path: str):
@@ -51,31 +60,33 @@ class _Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.chunks = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
-        self.memo: dict[str, bytes] = {}
-
-    def learn(self, texts: list[str]) -> None:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        if len(self.memo) + len(texts) > MEMO:
-            self.memo = {}
-        self.memo.update((t, np.array(e.ids, "<u4").tobytes()) for t, e in zip(texts, found, strict=True))
+        file = json.loads(self.tokenizer.to_str())
+        special = {t["content"]: t["id"] for t in file["added_tokens"]}
+        self.special, self.fast = list(special), None
+        if self._ranked(file):
+            import tiktoken
+
+            byte_of = _byte_of()
+            ranks = {bytes(byte_of[c] for c in t): i for t, i in file["model"]["vocab"].items() if t not in special}
+            self.fast = tiktoken.Encoding("file", pat_str=WORDS, mergeable_ranks=ranks, special_tokens=special)
+
+    @staticmethod
+    def _ranked(file: dict) -> bool:
+        model, cut = file["model"], file["pre_tokenizer"] or {}
+        plain = (model["type"] == "BPE" and cut.get("type") == "ByteLevel" and cut.get("use_regex")
+                 and not cut.get("add_prefix_space") and file["normalizer"] is None and not model.get("ignore_merges")
+                 and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in file["added_tokens"]))
+        if not plain:
+            return False
+        made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        return all(a < b for a, b in zip(made, made[1:]))
 
     def of(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
+        if self.fast is None:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        chunks = self.chunks(text)
-        out = []
-        for i in range(0, len(chunks), MEMO // 4):
-            part = chunks[i:i + MEMO // 4]
-            fresh = {c for c in part if c not in self.memo}
-            if fresh:
-                self.learn(list(fresh))
-                if len(self.memo) == len(fresh):  # it was emptied
-                    self.learn([c for c in set(part) if c not in self.memo])
-            memo = self.memo
-            out.append(b"".join([memo[c] for c in part]))
-        return b"".join(out)
+        if any(s in text for s in self.special):
+            return np.array(self.fast.encode(text, allowed_special="all"), "<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 def _splitter(path: str, longest: int, end_id: int):
