@@ -1,7 +1,7 @@
 """Queries of the training-data operators and the SQL of those that SQL can express."""
 from __future__ import annotations
 
-from . import decontam, langid, neardup, packing, sharding, simhash, toxicity, warc
+from . import decontam, langid, neardup, packing, sharding, simhash, sitetree, toxicity, warc
 
 
 def llm_queries():
@@ -11,6 +11,7 @@ def llm_queries():
         "op4_warc_writer": warc.op4_warc_writer,
         "op5_spherical_cells": neardup.op5_spherical_cells,
         "op6_simhash_dedup": simhash.op6_simhash_dedup,
+        "op7_site_style_tree": sitetree.op7_site_style_tree,
         "op8_jump_sharding": sharding.op8_jump_sharding,
         "op9_counterfactual_toxicity": toxicity.op9_counterfactual_toxicity,
         "op10_mixture_langid": langid.op10_mixture_langid,
