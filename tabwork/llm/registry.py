@@ -1,11 +1,12 @@
 """Queries of the training-data operators and the SQL of those that SQL can express."""
 from __future__ import annotations
 
-from . import decontam, langid, neardup, packing, sharding, simhash, sitetree, toxicity, warc
+from . import decontam, langid, mixing, neardup, packing, sharding, simhash, sitetree, toxicity, warc
 
 
 def llm_queries():
     return {
+        "op1_context_mixing": mixing.op1_context_mixing,
         "op2_power_packing": packing.op2_power_packing,
         "op3_suffix_decontamination": decontam.op3_suffix_decontamination,
         "op4_warc_writer": warc.op4_warc_writer,
