@@ -32,7 +32,7 @@ from .common import crc_key, saved, table
 
 SAMPLE = 20_000       # labelled rows the model is fitted on
 FEATURES = 4096       # features it may use
-EVIDENCE = 24.0       # likelihood ratio (G squared) a feature must reach
+EVIDENCE = 12.0       # likelihood ratio (G squared) a feature must reach
 BEGINNINGS = (4, 5, 6, 7)  # bytes
 THRESHOLD = 0.7
 RIDGE = 1e-4
