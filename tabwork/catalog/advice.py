@@ -178,7 +178,7 @@ def q_top_features(spark, d):
     return rounded(A.adv_top_features(corrs(spark, d)))
 
 
-TOPF_SQL = f"SELECT feature, round(correlation, 3) AS correlation FROM ({_corr_sql()}) ORDER BY round(correlation, 3) DESC, feature LIMIT 10"
+TOPF_SQL = f"SELECT feature, round(correlation, 3) AS correlation FROM ({_corr_sql()})"
 
 
 def q_problem_difficulty(spark, d):

@@ -268,7 +268,7 @@ UNION ALL SELECT NULL, 0.0, 1.0"""
 
 def q_eval_pr_auc(spark, d):
     s = scored_binary(spark, d)
-    return rounded(E.eval_pr_auc(E.eval_pr_curve(s, ["model"]), ["model"]))
+    return rounded(E.eval_pr_auc(s, ["model"]))
 
 
 PRAUC_SQL = _curve_sql(SB, "model") + """,

@@ -107,11 +107,11 @@ GROUP BY 1 ORDER BY count DESC, label LIMIT 20"""
 
 
 def q_eda_issue_imbalance(spark, d):
-    return _flat(D.eda_issue_imbalance(D.eda_target_distribution(lineitem_eda(spark, d), "big_disc"), "big_disc"))
+    return _flat(D.eda_issue_imbalance(D.eda_target_counts(lineitem_eda(spark, d), "big_disc"), "big_disc"))
 
 
 IMB_SQL = f"""
-WITH td AS (SELECT CAST(big_disc AS VARCHAR) AS label, count(*) AS c FROM {EDA} GROUP BY 1 ORDER BY c DESC, label LIMIT 20),
+WITH td AS (SELECT CAST(big_disc AS VARCHAR) AS label, count(*) AS c FROM {EDA} GROUP BY 1),
 a AS (SELECT count(*) AS k, max(c) / greatest(min(c), 1) AS ratio FROM td)
 SELECT 'class_imbalance' AS type, CASE WHEN ratio > 10 THEN 'high' ELSE 'medium' END AS severity,
   'big_disc' AS column_name, 'Class imbalance detected in ''big_disc''' AS title,
@@ -138,7 +138,7 @@ def q_eda_issues(spark, d):
     cols = LINEITEM_EDA_NUMERIC
     frames = [D.eda_issue_missing(pc), D.eda_issue_duplicates(P.profile_dataset(lineitem_with_dups(spark, d))),
               D.eda_issue_correlation(D.eda_high_correlation(D.eda_correlation_matrix(eda, cols), cols)),
-              D.eda_issue_imbalance(D.eda_target_distribution(eda, "big_disc"), "big_disc"),
+              D.eda_issue_imbalance(D.eda_target_counts(eda, "big_disc"), "big_disc"),
               D.eda_issue_low_variance(pc)]
     return _flat(D.eda_issues(*frames))
 

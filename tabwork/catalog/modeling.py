@@ -408,7 +408,7 @@ QUERIES = {
 
 def _pdp_features_sql():
     from .featuring import _pearson_sql
-    return f"SELECT feature, importance FROM ({_pearson_sql()}) WHERE importance > 0 ORDER BY importance DESC, feature LIMIT 20"
+    return f"SELECT feature, importance FROM ({_pearson_sql()}) WHERE importance > 0"
 
 
 ORACLE = {

@@ -183,7 +183,7 @@ def q_pii_apply_pseudonymize(spark, d):
     return P.pii_apply_pseudonymize(contacts(spark, d), ["c_name"], key="k1").select("c_custkey", "c_name")
 
 
-PSEUDO_SQL = f"SELECT c_custkey, 'C_NA_' || substr(sha256('k1' || c_name), 1, 12) AS c_name FROM ({CONTACTS_SQL})"
+PSEUDO_SQL = f"SELECT c_custkey, 'C_NA_' || substr(sha256('k1' || c_name), 1, 32) AS c_name FROM ({CONTACTS_SQL})"
 
 
 def q_pii_apply_drop(spark, d):
@@ -229,7 +229,10 @@ def _redact_sql(src: str, id_col: str, text: str) -> str:
         counts.append(f"CAST(len({found}) AS BIGINT) AS {e.lower()}_count")
     red = text
     for e in PT.REDACT_ORDER:
-        red = f"regexp_replace({red}, '{PT.CONTENT_PATTERNS[e]}', '[{e}]', 'g')"
+        if e == "CREDIT_CARD":  # only numbers whose check digit holds
+            red = f"list_reduce(list_prepend({red}, {_cards_sql(red)}), lambda text, card: replace(text, card, '[{e}]'))"
+        else:
+            red = f"regexp_replace({red}, '{PT.CONTENT_PATTERNS[e]}', '[{e}]', 'g')"
     return f"SELECT {id_col}, {', '.join(counts)}, sha256({red}) AS redacted FROM {src}"
 
 

@@ -17,6 +17,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def bucket_of(x: Column, bounds: list[float]) -> Column:
+    """Number of sorted ``bounds`` below ``x``: a binary search written as nested conditions,
+    compiled by Spark, so the cost per row is the logarithm of the number of bounds."""
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(x > F.lit(float(bounds[mid])), search(mid + 1, hi)).otherwise(search(lo, mid))
+    return search(0, len(bounds))
+
+
 def top_k_per_group(df: DataFrame, group_cols: list[str], order: list[Column], k: int,
                     rank_col: str = "rank", salt_buckets: int = 32) -> DataFrame:
     """Keep the first ``k`` rows of each group by ``order`` and number them 1..k.
@@ -61,12 +72,7 @@ def cumulative_sum(df: DataFrame, order_col: str, sum_cols: list[str],
     else:
         bounds_row = df.agg(F.percentile_approx(x, probs, 10000).alias("b")).first()
         bs = sorted(set(v for v in (bounds_row["b"] or []) if v is not None))
-        if bs:
-            arr = F.array(*[F.lit(float(b)) for b in bs])
-            bucket = F.size(F.filter(arr, lambda b: b < x))
-        else:
-            bucket = F.lit(0)
-        tagged = df.withColumn("__bucket", bucket)
+        tagged = df.withColumn("__bucket", bucket_of(x, bs))
     totals = tagged.groupBy(*part, "__bucket").agg(*[F.sum(c).alias(c) for c in sum_cols])
     wo = (Window.partitionBy(*part) if part else Window).orderBy("__bucket") \
         .rowsBetween(Window.unboundedPreceding, -1)
@@ -84,10 +90,7 @@ def _order_buckets(df: DataFrame, order_col: str, n_buckets: int) -> Column:
     probs = [i / n_buckets for i in range(1, n_buckets)]
     row = df.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10000).alias("b")).first()
     bounds = sorted(set(x for x in (row["b"] or []) if x is not None))
-    if not bounds:
-        return F.lit(0)
-    arr = F.array(*[F.lit(float(b)) for b in bounds])
-    return F.size(F.filter(arr, lambda b: b < F.col(order_col).cast("double")))
+    return bucket_of(F.col(order_col).cast("double"), bounds)
 
 
 def fill_nulls_ordered(df: DataFrame, col: str, order_col: str, partition_cols: list[str] = (),

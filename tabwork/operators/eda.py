@@ -21,11 +21,10 @@ ISSUE_MISSING = 0.3
 ISSUE_MISSING_HIGH = 0.5
 DUP_MEDIUM = 0.02
 HIGH_CORR = 0.9
-MAX_CORR_COLS = 25
-TARGET_TOP = 20
+TARGET_TOP = 20        # rows of the target report
+IMBALANCE_MAX_CLASSES = 20
 IMBALANCE_MEDIUM = 3
 IMBALANCE_HIGH = 10
-MI_TOP = 30
 MI_BINS = 10
 DISCRETE_MAX = 20
 
@@ -69,14 +68,14 @@ def eda_issue_duplicates(profile_ds: DataFrame) -> DataFrame:
 
 
 def eda_correlation_matrix(df: DataFrame, columns: list[str] | None = None,
-                           max_cols: int = MAX_CORR_COLS, max_exprs: int = 400) -> DataFrame:
-    """Long form (col_a, col_b, r) over the first ``max_cols`` numeric columns.
+                           max_exprs: int = 400) -> DataFrame:
+    """Long form (col_a, col_b, r) over all numeric columns (or those given).
 
     Pearson, pairwise-complete; a null or undefined r is reported as 0; the
     diagonal is 1 for a non-constant column.  Both (a, b) and (b, a) rows.
     """
     df = nan_to_null(df)
-    cols = (columns or numeric_columns(df))[:max_cols]
+    cols = columns or numeric_columns(df)
     spark = df.sparkSession
     if len(cols) < 2:
         return spark.createDataFrame([], "col_a string, col_b string, r double")
@@ -121,17 +120,22 @@ def eda_issue_correlation(high: DataFrame) -> DataFrame:
         "features", F.lit(HIGH_CORR), F.col("cols")))
 
 
+def eda_target_counts(df: DataFrame, target: str) -> DataFrame:
+    """Rows of every (non-null) target value."""
+    return (df.where(F.col(q(target)).isNotNull())
+            .groupBy(F.col(q(target)).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("count")))
+
+
 def eda_target_distribution(df: DataFrame, target: str, top: int = TARGET_TOP) -> DataFrame:
-    """Most frequent target values (non-null), ties by label."""
-    vc = (df.where(F.col(q(target)).isNotNull())
-          .groupBy(F.col(q(target)).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("count")))
-    return vc.orderBy(F.desc("count"), F.asc("label")).limit(top)
+    """Report of the most frequent target values (non-null), ties by label."""
+    return eda_target_counts(df, target).orderBy(F.desc("count"), F.asc("label")).limit(top)
 
 
-def eda_issue_imbalance(target_dist: DataFrame, target: str) -> DataFrame:
-    agg = target_dist.agg(F.count(F.lit(1)).alias("k"), F.max("count").alias("mx"), F.min("count").alias("mn"))
+def eda_issue_imbalance(target_counts: DataFrame, target: str) -> DataFrame:
+    """``target_counts`` holds every class (``eda_target_counts``), not a report of the largest."""
+    agg = target_counts.agg(F.count(F.lit(1)).alias("k"), F.max("count").alias("mx"), F.min("count").alias("mn"))
     ratio = F.col("mx") / F.greatest(F.col("mn"), F.lit(1))
-    return agg.where((F.col("k") >= 2) & (F.col("k") <= TARGET_TOP) & (ratio > IMBALANCE_MEDIUM)).select(*_issue(
+    return agg.where((F.col("k") >= 2) & (F.col("k") <= IMBALANCE_MAX_CLASSES) & (ratio > IMBALANCE_MEDIUM)).select(*_issue(
         "class_imbalance", F.when(ratio > IMBALANCE_HIGH, "high").otherwise("medium"), F.lit(target),
         F.lit(f"Class imbalance detected in '{target}'"),
         F.format_string("Majority class is %.1fx larger than minority class. Consider SMOTE or class weighting.", ratio),
@@ -213,10 +217,10 @@ def mutual_information(df: DataFrame, features: list[str], target: str, bins: in
     return t.groupBy("feature").agg(F.greatest(F.sum(term), F.lit(0.0)).alias("mi"))
 
 
-def eda_mutual_information(df: DataFrame, target: str, top: int = MI_TOP, **kw) -> DataFrame:
+def eda_mutual_information(df: DataFrame, target: str, **kw) -> DataFrame:
+    """Every numeric feature with its mutual information, most informative first."""
     feats = [c for c in numeric_columns(df) if c != target]
-    mi = mutual_information(df, feats, target, **kw)
-    return mi.orderBy(F.desc("mi"), F.asc("feature")).limit(top)
+    return mutual_information(df, feats, target, **kw).orderBy(F.desc("mi"), F.asc("feature"))
 
 
 def eda_abs_correlation_rank(df: DataFrame, target: str) -> DataFrame:

@@ -27,13 +27,14 @@ BUSINESS_DEFAULTS = dict(tp_benefit=100.0, fp_cost=10.0, fn_cost=50.0, tn_benefi
 
 
 def attach(big: DataFrame, small: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
-    """Join a small per-group frame (one row per group) back onto ``big``.
+    """Join a per-group frame (one row per group) back onto ``big``.
 
-    Without group keys both sides get a constant key, so the plan is a
-    broadcast equi-join rather than a cartesian product.
+    The number of groups has no bound, so with keys the choice of a broadcast is left to
+    Spark, which knows the size.  Without group keys ``small`` is one row and both sides get a
+    constant key: a broadcast equi-join rather than a cartesian product.
     """
     if by:
-        return big.join(F.broadcast(small), list(by), how)
+        return big.join(small, list(by), how)
     return (big.withColumn("__k", F.lit(0))
             .join(F.broadcast(small.withColumn("__k", F.lit(0))), "__k", how).drop("__k"))
 
@@ -220,51 +221,54 @@ def eval_calibration_error(calib: DataFrame, by: list[str] = ()) -> DataFrame:
 
 
 def _curve_base(scored: DataFrame, by: list[str], score: str) -> DataFrame:
-    """Distinct scores with cumulative positives/negatives at or above each score."""
-    sc = score_counts(scored, by, score)
-    if by:
-        w = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-        cum = sc.select("*", F.sum("pos").over(w).alias("pos_cum"), F.sum("neg").over(w).alias("neg_cum"))
-    else:
-        cum = cumulative_sum(sc.withColumn("__neg_score", -F.col("score")), "__neg_score",
-                             ["pos", "neg"]).drop("__neg_score")
+    """Distinct scores with cumulative positives/negatives at or above each score.
+
+    The running sums are bucketed by score, within the group if there is one, so a curve over
+    continuous scores of a single model still runs in many tasks.
+    """
+    sc = score_counts(scored, by, score).withColumn("__neg_score", -F.col("score"))
+    cum = cumulative_sum(sc, "__neg_score", ["pos", "neg"], partition_cols=by).drop("__neg_score")
     tot = sc.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     return attach(cum, tot, list(by))
 
 
-def eval_roc_curve(scored: DataFrame, by: list[str] = (), score: str = "probability") -> DataFrame:
-    """One (fpr, tpr) point per distinct score, descending, plus the (0, 0) start.
+def _with_start(base: DataFrame, by: list[str], point: dict, start: dict) -> DataFrame:
+    """The curve's points and, beside that of the highest score, its start (score null)."""
+    here = F.struct(F.col("score").cast("double").alias("score"), *[v.alias(k) for k, v in point.items()])
+    first = F.struct(F.lit(None).cast("double").alias("score"), *[F.lit(v).alias(k) for k, v in start.items()])
+    highest = (F.col("pos_cum") == F.col("pos")) & (F.col("neg_cum") == F.col("neg"))
+    both = base.select(*by, F.explode(F.when(highest, F.array(here, first)).otherwise(F.array(here))).alias("__p"))
+    return both.select(*by, "__p.*")
 
-    With ``by`` the running sums are windows partitioned by the group (many
-    groups, each reduced to its distinct scores); without it they use the
-    bucketed global scheme.
-    """
-    base = _curve_base(scored, list(by), score)
-    pts = base.select(*by, "score", _safe_div(F.col("neg_cum"), F.col("N")).alias("fpr"),
-                      _safe_div(F.col("pos_cum"), F.col("P")).alias("tpr"))
-    start = base.select(*by).distinct().select(*by, F.lit(None).cast("double").alias("score"),
-                                                F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    return pts.unionByName(start)
+
+def eval_roc_curve(scored: DataFrame, by: list[str] = (), score: str = "probability") -> DataFrame:
+    """One (fpr, tpr) point per distinct score, descending, plus the (0, 0) start."""
+    by = list(by)
+    point = {"fpr": _safe_div(F.col("neg_cum"), F.col("N")), "tpr": _safe_div(F.col("pos_cum"), F.col("P"))}
+    return _with_start(_curve_base(scored, by, score), by, point, {"fpr": 0.0, "tpr": 0.0})
 
 
 def eval_pr_curve(scored: DataFrame, by: list[str] = (), score: str = "probability") -> DataFrame:
     """(recall, precision) per distinct score threshold plus the (0, 1) end point."""
-    base = _curve_base(scored, list(by), score)
-    pts = base.select(*by, "score", _safe_div(F.col("pos_cum"), F.col("P")).alias("recall"),
-                      _safe_div(F.col("pos_cum"), F.col("pos_cum") + F.col("neg_cum")).alias("precision"))
-    end = base.select(*by).distinct().select(*by, F.lit(None).cast("double").alias("score"),
-                                              F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision"))
-    return pts.unionByName(end)
+    by = list(by)
+    point = {"recall": _safe_div(F.col("pos_cum"), F.col("P")),
+             "precision": _safe_div(F.col("pos_cum"), F.col("pos_cum") + F.col("neg_cum"))}
+    return _with_start(_curve_base(scored, by, score), by, point, {"recall": 0.0, "precision": 1.0})
+
 
+def eval_pr_auc(scored: DataFrame, by: list[str] = (), score: str = "probability") -> DataFrame:
+    """Trapezoid rule over the PR curve ordered by score (as the client computes it).
 
-def eval_pr_auc(curve: DataFrame, by: list[str] = ()) -> DataFrame:
-    """Trapezoid rule over the PR curve ordered by score (as the client computes it)."""
-    o = F.asc_nulls_last("score")
-    w = Window.partitionBy(*by).orderBy(o) if by else Window.orderBy(o)
-    seg = curve.select(*by, "score", "recall", "precision",
-                       F.lag("recall").over(w).alias("r0"), F.lag("precision").over(w).alias("p0"))
-    area = F.abs(F.col("recall") - F.col("r0")) * ((F.col("precision") + F.col("p0")) / 2)
-    return seg.groupBy(*by).agg(F.abs(F.coalesce(F.sum(area), F.lit(0.0))).alias("pr_auc"))
+    A point's neighbour at the next higher score is its own running sums without its own counts,
+    so no window over the curve is needed; the neighbour of the highest score is the (0, 1) end.
+    """
+    base = _curve_base(scored, list(by), score)
+    pos, neg = F.col("pos_cum") - F.col("pos"), F.col("neg_cum") - F.col("neg")
+    recall, recall0 = _safe_div(F.col("pos_cum"), F.col("P")), _safe_div(pos, F.col("P"))
+    precision = _safe_div(F.col("pos_cum"), F.col("pos_cum") + F.col("neg_cum"))
+    precision0 = F.when(pos + neg > 0, pos / (pos + neg)).otherwise(1.0)
+    area = F.abs(recall - recall0) * (precision + precision0) / 2
+    return base.groupBy(*by).agg(F.abs(F.coalesce(F.sum(area), F.lit(0.0))).alias("pr_auc"))
 
 
 def eval_auc_roc(scored: DataFrame, by: list[str] = (), score: str = "probability",
@@ -274,11 +278,7 @@ def eval_auc_roc(scored: DataFrame, by: list[str] = (), score: str = "probabilit
     AUC = Σ_s pos(s)·(neg below s + ½·neg at s) / (P·N), over distinct scores.
     """
     sc = score_counts(scored, by, score, positive)
-    if by:
-        w = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-        cum = sc.select("*", F.sum("neg").over(w).alias("neg_cum"))
-    else:
-        cum = cumulative_sum(sc, "score", ["neg"])
+    cum = cumulative_sum(sc, "score", ["neg"], partition_cols=list(by))
     term = F.col("pos") * (F.col("neg_cum") - F.col("neg") + 0.5 * F.col("neg"))
     agg = cum.groupBy(*by).agg(F.sum(term).alias("u"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     return agg.select(*by, F.when((F.col("P") > 0) & (F.col("N") > 0),

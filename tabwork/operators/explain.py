@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from ..functions.columns import column_quantiles, exact_quantiles_ok, q
 
 PDP_POINTS = 30
-PDP_TOP = 20
 
 
 def explain_linear_shap(df: DataFrame, coefs: dict[str, float], means: dict[str, float], id_col: str) -> DataFrame:
@@ -104,9 +103,10 @@ def explain_pdp(model, df: DataFrame, feature: str, n_points: int = PDP_POINTS)
             .select("point", F.col("grid_value").alias("value"), "mean", "p10", "p90"))
 
 
-def explain_pdp_features(importances: DataFrame, top: int = PDP_TOP) -> DataFrame:
+def explain_pdp_features(importances: DataFrame) -> DataFrame:
+    """All features with a positive importance, most important first."""
     return (importances.where(F.col("importance") > 0).orderBy(F.desc("importance"), F.asc("feature"))
-            .limit(top).select("feature", "importance"))
+            .select("feature", "importance"))
 
 
 def explain_counterfactual(model, df: DataFrame, features: list[str], id_col: str) -> DataFrame:

@@ -159,19 +159,23 @@ def pii_apply_mask(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: mask_text(F.col(q(c))) for c in columns})
 
 
-def pii_apply_hash(df: DataFrame, columns: list[str], salt: str = "") -> DataFrame:
+def pii_apply_hash(df: DataFrame, columns: list[str], salt: str) -> DataFrame:
+    """Salted sha256; without a secret salt short values such as card or social security numbers
+    could be found by trying them all."""
+    if not salt:
+        raise ValueError("hashing personal data needs a salt")
     return df.withColumns({c: F.sha2(F.concat(F.lit(salt), F.col(q(c)).cast("string")), 256)
                            for c in columns})
 
 
 def pii_apply_pseudonymize(df: DataFrame, columns: list[str], key: str = "tabwork",
                            prefix: str | None = None) -> DataFrame:
-    """Stable token per value: prefix + first 12 hex chars of sha256(key || value)."""
+    """Stable token per value: prefix + first 128 bits of sha256(key || value) in hex."""
     out = {}
     for c in columns:
         p = prefix if prefix is not None else c.upper()[:4] + "_"
         h = F.sha2(F.concat(F.lit(key), F.col(q(c)).cast("string")), 256)
-        out[c] = F.when(F.col(q(c)).isNull(), None).otherwise(F.concat(F.lit(p), F.substring(h, 1, 12)))
+        out[c] = F.when(F.col(q(c)).isNull(), None).otherwise(F.concat(F.lit(p), F.substring(h, 1, 32)))
     return df.withColumns(out)
 
 
@@ -205,8 +209,8 @@ def pii_apply(df: DataFrame, actions: dict[str, str], key: str = "tabwork") -> D
             raise ValueError(f"unknown column {col!r}")
         if act == "encrypt":
             df = pii_apply_encrypt(df, [col], key)
-        elif act == "pseudonymize":
-            df = pii_apply_pseudonymize(df, [col], key)
+        elif act in ("pseudonymize", "hash"):
+            df = APPLY[act](df, [col], key)
         elif act in APPLY:
             df = APPLY[act](df, [col])
         else:
@@ -215,10 +219,14 @@ def pii_apply(df: DataFrame, actions: dict[str, str], key: str = "tabwork") -> D
 
 
 # ------------------------------------------------------------------ free text
+def luhn_valid(candidate):
+    return F.call_function("luhn_check", F.regexp_replace(candidate, r"[^0-9]", ""))
+
+
 def pii_text_redact(df: DataFrame, text_col: str, keep: list[str] = ()) -> DataFrame:
     """Per row: count of each entity in the text and the text with entities replaced.
 
-    Card counts include only Luhn-valid candidates; redaction runs in
+    Only Luhn-valid card candidates are counted and replaced; redaction runs in
     ``REDACT_ORDER`` so e-mail digits are not re-read as phones.
     """
     t = F.col(q(text_col))
@@ -226,9 +234,13 @@ def pii_text_redact(df: DataFrame, text_col: str, keep: list[str] = ()) -> DataF
     for e, rx in PT.CONTENT_PATTERNS.items():
         found = F.regexp_extract_all(t, F.lit(rx), 0)
         if e == "CREDIT_CARD":
-            found = F.filter(found, lambda x: F.call_function("luhn_check", F.regexp_replace(x, r"[^0-9]", "")))
+            found = F.filter(found, luhn_valid)
         counts[e.lower() + "_count"] = F.size(found).cast("long")
     red = t
     for e in PT.REDACT_ORDER:
-        red = F.regexp_replace(red, PT.CONTENT_PATTERNS[e], f"[{e}]")
+        if e == "CREDIT_CARD":
+            cards = F.filter(F.regexp_extract_all(red, F.lit(PT.CREDIT_CARD), 0), luhn_valid)
+            red = F.aggregate(cards, red, lambda text, card: F.replace(text, card, F.lit(f"[{e}]")))
+        else:
+            red = F.regexp_replace(red, PT.CONTENT_PATTERNS[e], f"[{e}]")
     return df.select(*keep, *[v.alias(k) for k, v in counts.items()], red.alias("redacted"))

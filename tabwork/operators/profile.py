@@ -187,37 +187,30 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None,
 def profile_dataset(df: DataFrame) -> DataFrame:
     """One row: rows, columns, duplicate rows, missing cells and share, memory estimate.
 
-    Everything comes from one grouped count over all scalar columns (exact
-    duplicates are group sizes above one); the group-by is map-side combined,
-    so a row repeated a billion times costs one hash entry per task.
+    Duplicates are rows whose 128-bit hash over all columns (arrays, maps and structs included)
+    was seen before; the group-by on the hash is map-side combined, so a row repeated a billion
+    times costs one hash entry per task, and whole rows are never shuffled.
     """
     df = nan_to_null(df)
     cols = df.columns
-    scalar = [f.name for f in df.schema.fields if is_scalar(f.dataType)]
-    other = [f for f in df.schema.fields if not is_scalar(f.dataType)]
-
-    def missing(names):
-        return sum((F.col(q(c)).isNull().cast("long") for c in names), F.lit(0).cast("long"))
-
-    def size(fields):
-        s = F.lit(0).cast("long")
-        for f in fields:
-            if isinstance(f.dataType, T.StringType):
-                s = s + F.coalesce(F.octet_length(F.col(q(f.name))), F.lit(0)) + F.lit(49)
-            else:
-                s = s + F.lit(8)
-        return s
-
-    scalar_fields = [f for f in df.schema.fields if f.name in scalar]
-    groups = df.groupBy(*[F.col(q(c)) for c in scalar]).agg(
-        F.count(F.lit(1)).alias("__c"),
-        F.sum(missing([f.name for f in other])).alias("__m_other"),
-        F.sum(size(other)).alias("__b_other"))
+    fields = df.schema.fields
+    missing = sum((F.col(q(c)).isNull().cast("long") for c in cols), F.lit(0).cast("long"))
+    size = F.lit(128).cast("long")
+    for f in fields:
+        if isinstance(f.dataType, T.StringType):
+            size = size + F.coalesce(F.octet_length(F.col(q(f.name))), F.lit(0)) + F.lit(49)
+        else:
+            size = size + F.lit(8)
+    # nested values as JSON text with their nulls; which columns are null is hashed too, as the
+    # hash functions pass over nulls
+    values = [F.col(q(f.name)) if is_scalar(f.dataType)
+              else F.to_json(F.struct(F.col(q(f.name)).alias("v")), {"ignoreNullFields": "false"}) for f in fields]
+    values.append(F.concat(*[F.col(q(c)).isNull().cast("int").cast("string") for c in cols]) if cols else F.lit(""))
+    groups = df.groupBy(F.xxhash64(*values).alias("__h1"), F.xxhash64(F.lit(1), *values).alias("__h2")).agg(
+        F.count(F.lit(1)).alias("__c"), F.sum(missing).alias("__m"), F.sum(size).alias("__b"))
     totals = groups.agg(
-        F.sum("__c").alias("row_count"),
-        F.sum(F.col("__c") - 1).alias("duplicate_rows"),
-        F.sum(missing(scalar) * F.col("__c") + F.col("__m_other")).alias("missing_cells"),
-        F.sum((size(scalar_fields) + F.lit(128)) * F.col("__c") + F.col("__b_other")).alias("bytes"))
+        F.sum("__c").alias("row_count"), F.sum(F.col("__c") - 1).alias("duplicate_rows"),
+        F.sum("__m").alias("missing_cells"), F.sum("__b").alias("bytes"))
     ncol = len(cols)
     rc = F.coalesce(F.col("row_count"), F.lit(0)).cast("long")
     return totals.select(

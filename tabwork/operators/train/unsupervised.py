@@ -17,13 +17,16 @@ SEED = 42
 def scaled_vectors(df: DataFrame, id_col: str, array_col: str) -> DataFrame:
     """Standard-scale an array<float> column per dimension (population std) into a vector."""
     from pyspark.ml.functions import array_to_vector
-    dims = df.select(F.max(F.size(array_col))).first()[0] or 0
-    stats = df.agg(*[F.avg(F.col(array_col)[i]).alias(f"m{i}") for i in range(dims)],
-                   *[F.stddev_pop(F.col(array_col)[i]).alias(f"s{i}") for i in range(dims)]).first()
-    m = [stats[f"m{i}"] or 0.0 for i in range(dims)]
-    s = [stats[f"s{i}"] or 1.0 for i in range(dims)]
-    arr = F.array(*[((F.col(array_col)[i] - m[i]) / (s[i] if s[i] else 1.0)).cast("double") for i in range(dims)])
-    return df.select(id_col, array_to_vector(arr).alias("features"), *[c for c in df.columns if c not in (id_col, array_col)])
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.functions import array_to_vector
+    keep = [c for c in df.columns if c != array_col]
+    raw = df.select(*keep, array_to_vector(F.col(array_col).cast("array<double>")).alias("__raw"))
+    model = StandardScaler(inputCol="__raw", outputCol="features", withMean=True, withStd=True).fit(raw)
+    # the scaler divides by the sample deviation; the population's is smaller by sqrt((n - 1) / n)
+    n = raw.count()
+    ratio = math.sqrt(n / (n - 1)) if n > 1 else 1.0
+    rescaled = F.transform(vector_to_array("features"), lambda v: v * F.lit(ratio))
+    return model.transform(raw).select(id_col, array_to_vector(rescaled).alias("features"), *[c for c in keep if c != id_col])
 
 
 def cluster_kmeans(vectors: DataFrame, n_clusters: int = 8, max_k: int = 15) -> tuple[DataFrame, DataFrame]:
@@ -92,20 +95,26 @@ def isolation_forest(vectors: DataFrame, id_col: str, n_trees: int = 100, sample
     n = arr.count()
     psi = min(sample, n)
     limit = int(math.ceil(math.log2(max(psi, 2))))
-    # one hash per row draws a pool of about 2·n_trees·psi rows; only pool rows are
-    # assigned to trees (each tree keeps a pool row with probability psi / pool size)
-    pool_frac = min(1.0, 2.0 * n_trees * psi / max(n, 1))
-    u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1_000_000)) / 1e6
-    pool = arr.where(u < pool_frac)
-    pool_n = max(1, int(round(n * pool_frac)))
-    frac = min(1.0, psi / pool_n)
-    member = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                      lambda t: (F.pmod(F.xxhash64(F.col(id_col), t, F.lit(seed + 1)), F.lit(1_000_000)) / 1e6) < frac)
-    trees_rows = pool.select(F.explode(member).alias("tree"), id_col, "x")
+
+    def below(h, share: float):
+        """Whether a 64-bit hash falls into the lowest ``share`` of its range."""
+        return h <= F.lit(min((1 << 63) - 1, int(-(1 << 63) + share * (1 << 64))))
+
+    # one hash per row draws a pool; of the pool each tree takes the psi rows of smallest own hash.
+    # Both shares lie eight deviations above what is needed, so that psi rows are there.
+    wanted = n_trees * psi * 2 + 8 * math.sqrt(n_trees * psi * 2)
+    pool_share = min(1.0, wanted / max(n, 1))
+    pool = arr.where(below(F.xxhash64(F.col(id_col), F.lit(seed)), pool_share))
+    share = min(1.0, (psi + 8 * math.sqrt(psi) + 16) / max(1.0, n * pool_share))
+    own = F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)),
+                      lambda t: F.struct(t.alias("tree"), F.xxhash64(F.col(id_col), t, F.lit(seed + 1)).alias("h")))
+    trees_rows = pool.select(F.explode(F.filter(own, lambda s: below(s["h"], share))).alias("s"), id_col, "x").select(
+        "s.tree", "s.h", id_col, "x")
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf.tree.iloc[0])
-        x = np.stack(pdf.x.to_numpy()).astype(float)[:psi]
+        chosen = pdf.sort_values(["h", id_col]).head(psi)  # the smallest hashes, whatever order rows arrive in
+        x = np.stack(chosen.x.to_numpy()).astype(float)
         feat, split, left, right, size = _grow(x, np.random.default_rng(seed + t), limit)
         return pd.DataFrame({"tree": [t], "feat": [feat], "split": [split], "left": [left], "right": [right],
                              "size": [size]})

@@ -16,7 +16,6 @@ PHASE_SOURCE = {"pii": "pii_report", "profile": "profile_data", "eda": "eda_repo
                 "cleaning": "cleaning_plan", "sampling": "sampling_config", "features": "feature_plan",
                 "selection": "selection_plan", "training": "training_results",
                 "evaluation": "evaluation_results", "explain": "training_results"}
-FEED_MAX = 200
 
 
 def phase_status(datasets: DataFrame) -> DataFrame:
@@ -78,7 +77,9 @@ def platform_overview(projects: DataFrame, datasets: DataFrame, audit: DataFrame
 
 
 def activity_feed(audit: DataFrame, limit: int = 50, project_id=None) -> DataFrame:
-    limit = min(limit, FEED_MAX)
+    """The newest ``limit`` entries."""
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
     src = audit.where(F.col("project_id") == project_id) if project_id is not None else audit
     return src.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
 
