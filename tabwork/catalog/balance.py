@@ -1,6 +1,5 @@
-"""Sampling / split / fold queries (§2.8).  Hash-chosen rows have no DuckDB
-twin (different hash functions), so those keys compare class counts, which
-are exact by construction; the pure hash splits are rows-only."""
+"""Sampling / split / fold queries (§2.8).  Rows are chosen by an md5 of the id, which DuckDB
+computes alike, so the oracles compare the chosen rows themselves."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
@@ -12,6 +11,15 @@ from .inputs import LINEITEM_OUTL_SQL, lineitem_outl, rounded
 CLS_SQL = f"(SELECT rid, l_returnflag, CASE WHEN l_discount >= 0.09 THEN 1 ELSE 0 END AS big_disc FROM ({LINEITEM_OUTL_SQL}))"
 
 
+# the row hash of operators.sampling, and each row's rank in its class by it
+HASH_SQL = "CAST('0x' || substr(md5(CAST(rid AS VARCHAR) || ':42'), 1, 13) AS BIGINT)"
+
+
+def _ranked_sql(label):
+    return (f"(SELECT *, row_number() OVER (PARTITION BY {label} ORDER BY {HASH_SQL}) AS rk, "
+            f"count(*) OVER (PARTITION BY {label}) AS nc FROM {CLS_SQL} WHERE {label} IS NOT NULL)")
+
+
 def li_cls(spark, d):
     return lineitem_outl(spark, d).select(
         "rid", "l_returnflag", F.when(F.col("l_discount") >= 0.09, 1).otherwise(0).alias("big_disc"))
@@ -41,53 +49,55 @@ SELECT rid, t.big_disc, round(n / (k * nc), 5) AS weight FROM t JOIN c ON t.big_
 
 
 def q_undersample_random(spark, d):
-    return S.undersample_random(li_cls(spark, d), "big_disc", "rid").groupBy("big_disc").agg(
-        F.count(F.lit(1)).alias("n"))
+    return S.undersample_random(li_cls(spark, d), "big_disc", "rid").select("rid", "big_disc")
 
 
-UNDER_SQL = f"""SELECT big_disc, (SELECT min(c) FROM (SELECT count(*) AS c FROM {CLS_SQL} GROUP BY big_disc)) AS n
-FROM {CLS_SQL} GROUP BY big_disc"""
+UNDER_SQL = f"""
+WITH r AS {_ranked_sql("big_disc")}
+SELECT rid, big_disc FROM r WHERE rk <= (SELECT min(nc) FROM r)"""
 
 
 def q_oversample_random(spark, d):
-    return S.oversample_random(li_cls(spark, d), "big_disc", "rid").groupBy("big_disc").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("rid").alias("distinct_rows"))
+    return S.oversample_random(li_cls(spark, d), "big_disc", "rid").select("rid", "big_disc", "copy")
 
 
-OVER_SQL = f"""SELECT big_disc, (SELECT max(c) FROM (SELECT count(*) AS c FROM {CLS_SQL} GROUP BY big_disc)) AS n,
-count(DISTINCT rid) AS distinct_rows FROM {CLS_SQL} GROUP BY big_disc"""
+OVER_SQL = f"""
+WITH r AS {_ranked_sql("big_disc")}, m AS (SELECT max(nc) AS mx FROM r)
+SELECT rid, big_disc, CAST(unnest(range(1, mx // nc + CASE WHEN rk <= mx % nc THEN 1 ELSE 0 END + 1)) AS BIGINT) AS copy
+FROM r, m"""
 
 
 def q_split_train_val_test(spark, d):
-    return S.split_train_val_test(li_cls(spark, d), "rid").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    return S.split_train_val_test(li_cls(spark, d), "rid").select("rid", "split")
+
+
+SPLIT_SQL = f"""
+SELECT rid, CASE WHEN {HASH_SQL} % 1000 < 200 THEN 'test' WHEN {HASH_SQL} % 1000 < 300 THEN 'val' ELSE 'train' END AS split
+FROM {CLS_SQL}"""
 
 
 def q_split_stratified(spark, d):
-    return S.split_stratified(li_cls(spark, d), "l_returnflag", "rid").groupBy("l_returnflag", "split").agg(
-        F.count(F.lit(1)).alias("n"))
+    return S.split_stratified(li_cls(spark, d), "l_returnflag", "rid").select("rid", "l_returnflag", "split")
 
 
 STRAT_SPLIT_SQL = f"""
-WITH c AS (SELECT l_returnflag, count(*) AS nc FROM {CLS_SQL} GROUP BY 1),
-s AS (SELECT l_returnflag, nc, round(nc * 0.2) AS nt, round(nc * 0.1) AS nv FROM c)
-SELECT l_returnflag, 'test' AS split, CAST(nt AS BIGINT) AS n FROM s
-UNION ALL SELECT l_returnflag, 'val', CAST(nv AS BIGINT) FROM s
-UNION ALL SELECT l_returnflag, 'train', CAST(nc - nt - nv AS BIGINT) FROM s"""
+SELECT rid, l_returnflag, CASE WHEN rk <= round(nc * 0.2) THEN 'test' WHEN rk <= round(nc * 0.2) + round(nc * 0.1) THEN 'val'
+  ELSE 'train' END AS split FROM {_ranked_sql("l_returnflag")}"""
 
 
 def q_folds_kfold(spark, d):
-    return S.folds_kfold(li_cls(spark, d), "rid").groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    return S.folds_kfold(li_cls(spark, d), "rid").select("rid", F.col("fold").cast("long").alias("fold"))
+
+
+KFOLD_SQL = f"SELECT rid, CAST({HASH_SQL} % 5 AS BIGINT) AS fold FROM {CLS_SQL}"
 
 
 def q_folds_stratified(spark, d):
     f = S.folds_stratified(li_cls(spark, d), "l_returnflag", "rid")
-    return f.groupBy("l_returnflag", F.col("fold").cast("long").alias("fold")).agg(F.count(F.lit(1)).alias("n"))
+    return f.select("rid", "l_returnflag", F.col("fold").cast("long").alias("fold"))
 
 
-STRAT_FOLD_SQL = f"""
-WITH c AS (SELECT l_returnflag, count(*) AS nc FROM {CLS_SQL} GROUP BY 1)
-SELECT l_returnflag, CAST(f AS BIGINT) AS fold, CAST(nc // 5 + CASE WHEN f < nc % 5 THEN 1 ELSE 0 END AS BIGINT) AS n
-FROM c, range(5) t(f)"""
+STRAT_FOLD_SQL = f"SELECT rid, l_returnflag, CAST((rk - 1) % 5 AS BIGINT) AS fold FROM {_ranked_sql('l_returnflag')}"
 
 
 def daily_orders(spark, d):
@@ -134,6 +144,8 @@ ORACLE = {
     "class_weights": WEIGHTS_SQL,
     "undersample_random": UNDER_SQL,
     "oversample_random": OVER_SQL,
+    "split_train_val_test": SPLIT_SQL,
+    "folds_kfold": KFOLD_SQL,
     "split_stratified": STRAT_SPLIT_SQL,
     "folds_stratified": STRAT_FOLD_SQL,
     "folds_time_series": TS_FOLD_SQL,

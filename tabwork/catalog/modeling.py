@@ -10,6 +10,7 @@ from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import column_quantiles
 from ..operators import explain as X
 from ..operators import sampling as S
 from ..operators.train import cv as CV
@@ -25,9 +26,9 @@ OUTL = f"({LINEITEM_OUTL_SQL})"
 
 
 def _tab(spark, d):
-    li = lineitem_outl(spark, d).where(F.col("l_quantity").isNotNull())
-    li = li.withColumn("is_return", F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0))
-    return S.folds_kfold(li, "rid", k=3)
+    """All rows, nulls in l_quantity included, in five folds; the class is a function of the row."""
+    li = lineitem_outl(spark, d).withColumn("is_return", F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0))
+    return S.folds_kfold(li, "rid")
 
 
 def q_train_classification(spark, d):
@@ -42,12 +43,12 @@ def q_train_regression(spark, d):
 
 
 def q_cv_out_of_fold(spark, d):
-    m = CV.assemble(_tab(spark, d), FEATS, "is_return", "rid", "fold", index_label=True)
-    return CV.cv_out_of_fold(m, CV.classifiers(2)["logistic_regression"], "logistic_regression", "rid", "fold").scored
+    _, scored = CV.train_candidates(_tab(spark, d), FEATS, "is_return", "rid", "fold", models=["logistic_regression"])
+    return scored
 
 
 def q_retrain_one(spark, d):
-    lb, _ = CV.retrain_one(_tab(spark, d), FEATS, "is_return", "rid", "fold", "gbt", {"maxDepth": 3, "maxIter": 5})
+    lb, _ = CV.retrain_one(_tab(spark, d), FEATS, "is_return", "rid", "fold", "gbt", {"maxDepth": 3})
     return lb
 
 
@@ -58,13 +59,13 @@ def q_params_fix_overfit(spark, d):
 
 
 def q_tune_random_search(spark, d):
-    return CV.tune_random_search(_tab(spark, d), FEATS, "is_return", "rid", "fold", "logistic_regression", n_trials=5)
+    return CV.tune_random_search(_tab(spark, d), FEATS, "is_return", "rid", "fold", "logistic_regression")
 
 
 def q_feature_importance(spark, d):
     from pyspark.ml.classification import GBTClassifier
     m = CV.assemble(_tab(spark, d), FEATS, "is_return", "rid", None, index_label=True)
-    model = GBTClassifier(maxIter=10, seed=42).fit(m)
+    model = GBTClassifier(maxIter=100, seed=42).fit(m)
     return spark.createDataFrame(CV.feature_importance(model, FEATS), "feature string, importance double")
 
 
@@ -74,7 +75,7 @@ def q_learning_curve(spark, d):
 
 def q_train_text(spark, d):
     docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    docs = S.folds_kfold(docs, "doc_id", k=3)
+    docs = S.folds_kfold(docs, "doc_id")
     lb, _ = TX.train_text(docs, "text", "quality", "doc_id", "fold")
     return lb
 
@@ -170,7 +171,7 @@ def q_forecast_lag_ridge(spark, d):
 
 
 def q_forecast_lag_gbm(spark, d):
-    return rounded(FC.forecast_lag_gbm(daily(spark, d), lags=12, horizon=3, max_iter=10))
+    return rounded(FC.forecast_lag_gbm(daily(spark, d), lags=12, horizon=12))
 
 
 # ------------------------------------------------------------------ unsupervised
@@ -191,7 +192,7 @@ def q_cluster_silhouette(spark, d):
 
 
 def q_anomaly_isolation_forest(spark, d):
-    return U.isolation_forest(_vectors(spark, d), "vec_id", n_trees=50)
+    return U.isolation_forest(_vectors(spark, d), "vec_id")
 
 
 def q_explain_unsupervised(spark, d):
@@ -287,10 +288,14 @@ def formula_model():
 
 
 def _xdf(spark, d):
-    return lineitem_outl(spark, d).where(F.col("l_quantity").isNotNull()).select("rid", *X_FEATS)
+    """All rows; the median stands in for a missing quantity, as in training."""
+    li = lineitem_outl(spark, d)
+    median = column_quantiles(li, ["l_quantity"], [0.5])[("l_quantity", 0.5)]
+    return li.withColumn("l_quantity", F.coalesce(F.col("l_quantity").cast("double"), F.lit(median))).select("rid", *X_FEATS)
 
 
-XDF = f"(SELECT rid, {', '.join(X_FEATS)} FROM {OUTL} WHERE l_quantity IS NOT NULL)"
+XDF = (f"(SELECT rid, coalesce(l_quantity, (SELECT quantile_cont(l_quantity, 0.5) FROM {OUTL})) AS l_quantity, "
+       f"l_discount, l_extendedprice FROM {OUTL})")
 
 
 def _slopes(spark, d):
@@ -331,14 +336,13 @@ SELECT c.rid, feature, round(contribution, 4) AS contribution,
 
 
 def q_explain_sampled_shapley(spark, d):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-    df = _xdf(spark, d)
-    feats = ["l_quantity", "l_discount"]
-    model = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="features"),
-                             LinearRegression(labelCol="l_extendedprice")]).fit(df)
-    return X.explain_sampled_shapley(model, df.select("rid", *feats), feats, "rid", n_permutations=4)
+    """On an additive model the sampled values are exact: coefficient times distance from the mean."""
+    return rounded(X.explain_sampled_shapley(formula_model(), _xdf(spark, d), X_FEATS, "rid"), 4)
+
+
+SHAPLEY_SQL = " UNION ALL ".join(
+    f"SELECT rid, '{f}' AS feature, round({c} * ({f} - (SELECT avg({f}) FROM {XDF})), 4) AS contribution FROM {XDF}"
+    for f, c in (("l_quantity", 0.5), ("l_discount", 1000.0), ("l_extendedprice", 0.0001)))
 
 
 def q_explain_pdp(spark, d):
@@ -422,6 +426,7 @@ ORACLE = {
     "explain_linear_shap": f"SELECT rid, feature, round(contribution, 4) AS contribution FROM ({CONTRIB_SQL})",
     "explain_global_rank": f"SELECT feature, round(avg(abs(contribution)), 4) AS mean_abs_contribution FROM ({CONTRIB_SQL}) GROUP BY feature",
     "explain_waterfall": WATERFALL_SQL,
+    "explain_sampled_shapley": SHAPLEY_SQL,
     "explain_pdp": PDP_SQL,
     "explain_pdp_features": _pdp_features_sql(),
     "explain_counterfactual": CF_SQL,

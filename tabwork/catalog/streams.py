@@ -15,13 +15,19 @@ def _log_folder(spark, d, name, n_files=4, time_col=None):
     time ranges written in order (as a serving tier appends them), else round-robin."""
     df = table(spark, d, name)
     path = scratch_path(spark, f"log-{name}")
-    parts = df.repartitionByRange(n_files, time_col).sortWithinPartitions(time_col) if time_col else df.repartition(n_files)
-    parts.write.parquet(path)
+    if time_col:
+        ranged = df.repartitionByRange(n_files, time_col).withColumn("__range", F.spark_partition_id())
+        ranged = ranged.persist()
+        for i in range(n_files):  # one after the other, so that file times follow the rows' times
+            ranged.where(F.col("__range") == i).drop("__range").coalesce(1).write.mode("append").parquet(path)
+        ranged.unpersist()
+    else:
+        df.repartition(n_files).write.parquet(path)
     return path, df.schema
 
 
 def q_monitor_volume_stream(spark, d):
-    path, schema = _log_folder(spark, d, "events")
+    path, schema = _log_folder(spark, d, "events", time_col="ts")
     out = SM.monitor_volume_stream(spark, path, schema, ts_col="ts")
     return out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "count")
 
@@ -32,8 +38,8 @@ def q_stream_prediction_log(spark, d):
     out, ckpt = SM.stream_dirs(spark, "log")
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     agg = src.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 5).alias("value_sum"))
-    SM.run_complete_to_parquet(agg, out, ckpt)
-    return spark.read.parquet(out)
+    SM.run_update_to_parquet(agg, out, ckpt)
+    return SM.newest_groups(spark, out, ["event_type"])
 
 
 def q_pii_text_redact_stream(spark, d):

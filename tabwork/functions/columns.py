@@ -100,11 +100,6 @@ def chunks(items: list, size: int) -> list[list]:
     return [items[i:i + size] for i in range(0, len(items), size)] or [[]]
 
 
-# Exact percentiles buffer every distinct value of a column in one aggregation
-# buffer; above this estimated input size quantiles switch to percentile_approx.
-EXACT_QUANTILE_MAX_BYTES = 1 << 30   # 1 GiB, override with conf tabwork.quantile.exactMaxBytes
-
-
 def estimated_bytes(df: DataFrame) -> int:
     """Optimizer's size estimate of a plan (no job is run)."""
     try:
@@ -113,28 +108,7 @@ def estimated_bytes(df: DataFrame) -> int:
         return 0
 
 
-def exact_quantiles_ok(df: DataFrame) -> bool:
-    limit = int(df.sparkSession.conf.get("tabwork.quantile.exactMaxBytes", str(EXACT_QUANTILE_MAX_BYTES)))
-    return estimated_bytes(df) <= limit
-
-
-def quantile(x: Column, p, exact: bool, accuracy: int = 100000) -> Column:
-    """Linear-interpolated quantile(s) when ``exact`` (pandas/DuckDB semantics),
-    else the bounded-memory ``percentile_approx``; ``p`` is a float or a list."""
-    if exact:
-        return F.percentile(x, F.array(*[F.lit(float(v)) for v in p]) if isinstance(p, (list, tuple)) else F.lit(float(p)))
-    return F.percentile_approx(x, list(p) if isinstance(p, (list, tuple)) else float(p), accuracy)
-
-
 def column_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict:
-    """{(column, p): value}: one ``percentile`` aggregate for small inputs, the distributed
-    exact plan (``functions.quantiles``) above the size limit — exact either way."""
-    if not columns:
-        return {}
-    if exact_quantiles_ok(df):
-        row = df.agg(*[F.percentile(F.col(q(c)).cast("double"), F.array(*[F.lit(float(p)) for p in probs]))
-                       .alias(f"q{i}") for i, c in enumerate(columns)]).first()
-        return {(c, float(p)): (row[f"q{i}"] or [None] * len(probs))[j]
-                for i, c in enumerate(columns) for j, p in enumerate(probs)}
+    """{(column, p): value}, exact at every size: one plan, no column in a single buffer."""
     from .quantiles import exact_quantiles
     return exact_quantiles(df, columns, probs)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import chunks, column_quantiles, exact_quantiles_ok, nan_to_null, numeric_columns, q
+from ..functions.columns import chunks, column_quantiles, nan_to_null, numeric_columns, q
 
 # Thresholds of the reference analyzer.
 MAR_BELOW = 0.1
@@ -160,22 +160,16 @@ def eda_issues(*frames: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ mutual information
 def _bin_plan(df: DataFrame, cols: list[str], bins: int, discrete_max: int, approx: bool | None):
-    """Per column: median, quantile edges, and whether it is treated as discrete (a few numbers).
-
-    Small inputs: distinct estimates and exact percentiles in one aggregate.  Large
-    inputs: distinct estimates, then the distributed exact quantiles (or approx).
-    """
+    """Per column: median, quantile edges, and whether it is treated as discrete (a few numbers)."""
     probs = [i / bins for i in range(1, bins)]
     allp = [0.5] + probs
-    dist_aggs = [F.approx_count_distinct(F.col(q(c)).cast("double")).alias(f"d{i}") for i, c in enumerate(cols)]
-    if approx or exact_quantiles_ok(df):
-        qfn = ((lambda x: F.percentile_approx(x, allp, 100000)) if approx
-               else (lambda x: F.percentile(x, F.array(*[F.lit(p) for p in allp]))))
-        row = df.agg(*dist_aggs, *[qfn(F.col(q(c)).cast("double")).alias(f"q{i}") for i, c in enumerate(cols)]).first()
-        qs = {(c, float(p)): (row[f"q{i}"] or [None] * len(allp))[j] for i, c in enumerate(cols) for j, p in enumerate(allp)}
-        dist = row
+    aggs = [F.approx_count_distinct(F.col(q(c)).cast("double")).alias(f"d{i}") for i, c in enumerate(cols)]
+    if approx:
+        aggs += [F.percentile_approx(F.col(q(c)).cast("double"), allp, 100000).alias(f"q{i}") for i, c in enumerate(cols)]
+    dist = df.agg(*aggs).first()
+    if approx:
+        qs = {(c, float(p)): (dist[f"q{i}"] or [None] * len(allp))[j] for i, c in enumerate(cols) for j, p in enumerate(allp)}
     else:
-        dist = df.agg(*dist_aggs).first()
         qs = column_quantiles(df, cols, allp)
     plan = {}
     for i, c in enumerate(cols):

@@ -13,7 +13,7 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import column_quantiles, exact_quantiles_ok, q
+from ..functions.columns import column_quantiles, q
 
 PDP_POINTS = 30
 
@@ -53,25 +53,23 @@ def explain_sampled_shapley(model, df: DataFrame, features: list[str], id_col: s
     rng = random.Random(seed)
     perms = [rng.sample(range(d), d) for _ in range(n_permutations)]
     ref = df.agg(*[F.avg(F.col(q(f)).cast("double")).alias(f) for f in features]).first()
+    # a prediction counts for the feature that its step added, and against the one added next
     steps = []
-    for p, perm in enumerate(perms):
+    for perm in perms:
         for j in range(d + 1):
-            mask = [0] * d
-            for i in perm[:j]:
-                mask[i] = 1
-            added = features[perm[j - 1]] if j > 0 else None
-            steps.append(F.struct(F.lit(p).alias("perm"), F.lit(j).alias("step"),
-                                  F.lit(added).cast("string").alias("feature"),
-                                  F.array(*[F.lit(m) for m in mask]).alias("mask")))
+            before = set(perm[:j])
+            signed = [F.struct(F.lit(features[perm[j - 1]]).alias("feature"), F.lit(1.0).alias("sign"))] if j else []
+            if j < d:
+                signed.append(F.struct(F.lit(features[perm[j]]).alias("feature"), F.lit(-1.0).alias("sign")))
+            steps.append(F.struct(F.array(*[F.lit(int(i in before)) for i in range(d)]).alias("mask"),
+                                  F.array(*signed).alias("signed")))
     ex = df.select(id_col, *[F.col(q(f)) for f in features], F.explode(F.array(*steps)).alias("s"))
-    coal = ex.select(id_col, "s.perm", "s.step", "s.feature", *[
+    coal = ex.select(id_col, "s.signed", *[
         F.when(F.col("s.mask")[i] == 1, F.col(q(f)).cast("double")).otherwise(F.lit(float(ref[f]))).alias(f)
         for i, f in enumerate(features)])
-    scored = model.transform(coal).select(id_col, "perm", "step", "feature", F.col("prediction").cast("double"))
-    w = Window.partitionBy(id_col, "perm").orderBy("step")
-    delta = scored.select(id_col, "feature", (F.col("prediction") - F.lag("prediction").over(w)).alias("delta"))
-    return delta.where(F.col("feature").isNotNull()).groupBy(id_col, "feature").agg(
-        F.avg("delta").alias("contribution"))
+    scored = model.transform(coal).select(id_col, F.col("prediction").cast("double"), F.explode("signed").alias("t"))
+    return scored.groupBy(id_col, F.col("t.feature").alias("feature")).agg(
+        (F.sum(F.col("prediction") * F.col("t.sign")) / n_permutations).alias("contribution"))
 
 
 def explain_base_value(model, df: DataFrame, features: list[str]) -> float:
@@ -82,7 +80,6 @@ def explain_base_value(model, df: DataFrame, features: list[str]) -> float:
 def explain_pdp(model, df: DataFrame, feature: str, n_points: int = PDP_POINTS) -> DataFrame:
     """Partial dependence: ``n_points`` values between the 1st and 99th percentile;
     mean, p10 and p90 of predictions with the feature set to each value (all rows)."""
-    ex_ok = exact_quantiles_ok(df)
     qs = column_quantiles(df, [feature], [0.01, 0.99])
     lo, hi = float(qs[(feature, 0.01)]), float(qs[(feature, 0.99)])
     grid = [lo + (hi - lo) * i / (n_points - 1) for i in range(n_points)] if n_points > 1 else [lo]
@@ -90,13 +87,9 @@ def explain_pdp(model, df: DataFrame, feature: str, n_points: int = PDP_POINTS)
     ex = df.select("*", F.explode(g).alias("__g")).withColumn(feature, F.col("__g.value"))
     pred = model.transform(ex).select(F.col("__g.point").cast("long").alias("point"),
                                       F.col("__g.value").alias("value"), F.col("prediction").cast("double"))
-    if ex_ok:
-        return pred.groupBy("point", "value").agg(
-            F.avg("prediction").alias("mean"), F.percentile("prediction", 0.1).alias("p10"),
-            F.percentile("prediction", 0.9).alias("p90"))
     from ..functions.quantiles import quantiles_long
-    q = quantiles_long(pred.withColumnRenamed("value", "grid_value"), ["point", "grid_value"], "prediction", [0.1, 0.9])
-    bands = q.groupBy("point", "grid_value").agg(F.max(F.when(F.col("p") == 0.1, F.col("value"))).alias("p10"),
+    qs = quantiles_long(pred.withColumnRenamed("value", "grid_value"), ["point", "grid_value"], "prediction", [0.1, 0.9])
+    bands = qs.groupBy("point", "grid_value").agg(F.max(F.when(F.col("p") == 0.1, F.col("value"))).alias("p10"),
                                                  F.max(F.when(F.col("p") == 0.9, F.col("value"))).alias("p90"))
     means = pred.groupBy("point", F.col("value").alias("grid_value")).agg(F.avg("prediction").alias("mean"))
     return (means.join(bands, ["point", "grid_value"])
@@ -116,13 +109,15 @@ def explain_counterfactual(model, df: DataFrame, features: list[str], id_col: st
     st = df.agg(*[F.min(F.col(q(f)).cast("double")).alias(f"lo_{f}") for f in features],
                 *[F.max(F.col(q(f)).cast("double")).alias(f"hi_{f}") for f in features]).first().asDict()
     st.update({f"m_{f}": med[(f, 0.5)] for f in features})
-    base = model.transform(df).select(id_col, F.col("prediction").alias("original_prediction"))
-    cf = df.withColumns({f: F.lit(float(st[f"m_{f}"])) for f in features})
-    newp = model.transform(cf).select(id_col, F.col("prediction").alias("counterfactual_prediction"))
-    dist = F.sqrt(sum(((F.col(q(f)).cast("double") - F.lit(float(st[f"m_{f}"]))) /
-                       F.lit(float((st[f"hi_{f}"] - st[f"lo_{f}"]) or 1.0))) ** 2 for f in features))
-    d = df.select(id_col, dist.alias("distance"))
-    return base.join(newp, id_col).join(d, id_col)
+    # both predictions from the same row: the originals ride along while the medians are scored
+    own = [f"__own_{i}" for i in range(len(features))]
+    base = model.transform(df).select(id_col, F.col("prediction").alias("original_prediction"),
+                                      *[F.col(q(f)).alias(o) for f, o in zip(features, own)])
+    cf = base.withColumns({f: F.lit(float(st[f"m_{f}"])) for f in features})
+    dist = F.sqrt(sum(((F.col(o).cast("double") - F.lit(float(st[f"m_{f}"]))) /
+                       F.lit(float((st[f"hi_{f}"] - st[f"lo_{f}"]) or 1.0))) ** 2 for f, o in zip(features, own)))
+    return model.transform(cf).select(id_col, "original_prediction",
+                                      F.col("prediction").alias("counterfactual_prediction"), dist.alias("distance"))
 
 
 def explain_unsupervised_clusters(centers: list[list[float]], features: list[str]) -> list[tuple[str, float]]:

@@ -4,7 +4,7 @@
 ``select``.  Categorical encodings never collect values per row: one-hot
 needs the (bounded, checked) category list; label codes come from a
 distributed sort of distinct values with ``zipWithIndex`` and are joined back
-(broadcast only under a size bound).  TF-IDF is an explode / groupBy plan.
+(whether to broadcast the codes is Spark's decision, by their size).  TF-IDF is an explode / groupBy plan.
 """
 from __future__ import annotations
 
@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ensure_checkpoint_dir
 from ..functions.columns import column_quantiles, nan_to_null, q
 from ..functions.text import tokens, with_bigrams
 
 MISSING = "missing"
 MAX_ONE_HOT = 100          # refuse one-hot above this many categories
-BROADCAST_CODES = 1_000_000  # label-code tables up to this size are broadcast
 TARGET_SMOOTHING = 10.0
 
 
@@ -98,7 +98,11 @@ def label_codes(df: DataFrame, cols: list[str], missing: str = MISSING) -> DataF
             .unpivot([], cols, "column_name", "value").distinct().orderBy("column_name", "value"))
     mid = F.monotonically_increasing_id()
     tagged = long.select("column_name", "value", F.shiftright(mid, 33).alias("__pid"),
-                         mid.bitwiseAND(F.lit((1 << 33) - 1)).alias("__pos")).cache()
+                         mid.bitwiseAND(F.lit((1 << 33) - 1)).alias("__pos"))
+    # positions depend on the sort's range bounds: they are fixed in the shared checkpoint folder,
+    # so a lost block is read again, never computed with other bounds
+    ensure_checkpoint_dir(df.sparkSession)
+    tagged = tagged.checkpoint()
     per = tagged.groupBy("column_name", "__pid").agg(F.count(F.lit(1)).alias("__n"), F.min("__pos").alias("__first"))
     w = Window.partitionBy("column_name").orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = per.select("column_name", "__pid", "__first", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
@@ -111,12 +115,9 @@ def fe_label_encode(df: DataFrame, cols: list[str], outputs: dict[str, str] | No
     """Replace (or add, via ``outputs``) alphabetical codes for string columns."""
     outputs = outputs or {c: c for c in cols}
     codes = label_codes(df, cols, missing)
-    n_codes = codes.count()
     out = df
     for c in cols:
         m = codes.where(F.col("column_name") == c).select(F.col("value").alias("__v"), F.col("code").alias("__code"))
-        if n_codes <= BROADCAST_CODES:
-            m = F.broadcast(m)
         out = (out.withColumn("__v", F.coalesce(F.col(q(c)).cast("string"), F.lit(missing)))
                .join(m, "__v", "left").drop("__v"))
         out = out.withColumn(outputs[c], F.col("__code")).drop("__code")
@@ -221,16 +222,20 @@ def tfidf(df: DataFrame, text_col: str, id_col: str, ngram_max: int = 2, min_df:
     """
     tok = df.select(F.col(q(id_col)).alias("doc"), tokens(F.col(q(text_col))).alias("__toks"))
     terms = with_bigrams(F.col("__toks")) if ngram_max >= 2 else F.col("__toks")
-    tf = (tok.select("doc", F.explode(terms).alias("term"))
-          .groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")))
     n_docs = df.agg(F.count(F.lit(1)).alias("n_docs"))
-    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= min_df)
-    vocab = stats.orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
+    # one shuffle by term, combined in the tasks: occurrences, and documents from each row's distinct terms
+    one = F.concat(F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(1).alias("cf"), F.lit(0).alias("df"))),
+                   F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("term"), F.lit(0).alias("cf"), F.lit(1).alias("df"))))
+    stats = (tok.select(F.explode(one).alias("s")).groupBy("s.term").agg(F.sum("s.df").alias("df"), F.sum("s.cf").alias("cf"))
+             .where(F.col("df") >= min_df))
+    vocab = stats.orderBy(F.desc("cf"), F.asc("term")).limit(max_features)  # bounded by max_features
     idf = (vocab.withColumn("__k", F.lit(0)).join(F.broadcast(n_docs.withColumn("__k", F.lit(0))), "__k")
            .select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf")))
+    # only vocabulary terms travel, once, to their document; counting and the norm need no further shuffle
+    known = tok.select("doc", F.explode(terms).alias("term")).join(F.broadcast(idf), "term").repartition("doc")
+    tf = known.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))
     w = (F.lit(1.0) + F.log(F.col("tf"))) if sublinear_tf else F.col("tf").cast("double")
-    raw = tf.join(F.broadcast(idf), "term").select("doc", "term", (w * F.col("idf")).alias("raw"))
-    # L2 norm per document as a window (one exchange by doc, no join back)
+    raw = tf.select("doc", "term", (w * F.col("idf")).alias("raw"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc")))
     return raw.select(F.col("doc").alias(id_col), "term", (F.col("raw") / norm).alias("weight"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordered import cumulative_sum
+from ..functions.quantiles import quantiles_long
 
 # PSI bucket count and epsilon, drift bands, uncertainty epsilon.
 PSI_BUCKETS = 10
@@ -114,9 +115,16 @@ def drift_report(baseline: DataFrame, log: DataFrame, numeric: list[str], catego
 
 # ------------------------------------------------------------------ volume and rates
 def monitor_volume(log: DataFrame, hours: int = 12, ts: str = "created_at") -> DataFrame:
-    """Predictions per hour for the last ``hours`` hours up to the newest row, gaps as 0."""
-    per_hour = log.groupBy(F.date_trunc("hour", F.col(ts)).alias("hour")).agg(F.count(F.lit(1)).alias("count"))
-    last = log.agg(F.date_trunc("hour", F.max(ts)).alias("end"))
+    """Predictions per hour for the last ``hours`` hours up to the newest row, gaps as 0.
+
+    The newest time is one aggregate over the time column; only rows of the hours shown are counted,
+    so the filter reaches the scan.
+    """
+    end = F.date_trunc("hour", F.max(ts))
+    last = log.agg(end.alias("end"))
+    first = log.agg(F.date_format(end - F.expr(f"INTERVAL {hours - 1} HOURS"), "yyyy-MM-dd HH:mm:ss")).first()[0]
+    shown = log if first is None else log.where(F.col(ts) >= F.lit(first).cast(log.schema[ts].dataType))
+    per_hour = shown.groupBy(F.date_trunc("hour", F.col(ts)).alias("hour")).agg(F.count(F.lit(1)).alias("count"))
     grid = last.select(F.explode(F.sequence(F.col("end") - F.expr(f"INTERVAL {hours - 1} HOURS"), F.col("end"),
                                             F.expr("INTERVAL 1 HOUR"))).alias("hour"))
     return grid.join(per_hour, "hour", "left").select(
@@ -127,22 +135,14 @@ def monitor_rate_quantiles(df: DataFrame, measure: str, ts: str, error_flag: Col
                            window: str = "1 day") -> DataFrame:
     """Per window: p50/p95/p99 of a measure, rows per minute, error share.
 
-    Quantiles are exact: a grouped ``percentile`` for small inputs, the
-    distributed per-window plan (``functions.quantiles``) above the size limit.
+    Quantiles are exact at every size (``functions.quantiles``): no window sits in one buffer.
     """
-    from ..functions.columns import exact_quantiles_ok
     minutes = {"1 day": 1440.0, "1 hour": 60.0}.get(window, 1440.0)
     w = F.window(ts, window).start.alias("window_start")
     base = df.groupBy(w).agg(F.count(F.lit(1)).alias("n"), F.avg(error_flag.cast("double")).alias("error_rate"))
-    if exact_quantiles_ok(df):
-        qs = df.groupBy(w).agg(F.percentile(F.col(measure).cast("double"),
-                                            F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p"))
-        qs = qs.select("window_start", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"))
-    else:
-        from ..functions.quantiles import quantiles_long
-        long = quantiles_long(df.select(w, F.col(measure).alias("__m")), ["window_start"], "__m", [0.5, 0.95, 0.99])
-        qs = long.groupBy("window_start").agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n)
-                                                for p, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))])
+    long = quantiles_long(df.select(w, F.col(measure).alias("__m")), ["window_start"], "__m", [0.5, 0.95, 0.99])
+    qs = long.groupBy("window_start").agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n)
+                                            for p, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))])
     return base.join(qs, "window_start").select("window_start", "p50", "p95", "p99",
                                                 (F.col("n") / minutes).alias("per_minute"), "error_rate")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import (chunks, exact_quantiles_ok, finite_or_null, is_datetime, is_numeric,
+from ..functions.columns import (chunks, finite_or_null, is_datetime, is_numeric,
                                  is_scalar, nan_to_null, q, sample_kurtosis,
                                  sample_skewness)
 from ..functions.ordered import top_k_per_group
@@ -261,9 +261,8 @@ def profile_quantiles(df: DataFrame, columns: list[str], probs=(0.25, 0.5, 0.75)
                       approx: bool = False, accuracy: int = 100000) -> DataFrame:
     """(column, p, value): linear-interpolated quantiles (pandas `quantile`).
 
-    Exact by default — one ``percentile`` aggregate for small inputs, the
-    distributed exact plan above ``tabwork.quantile.exactMaxBytes``;
-    ``approx=True`` uses ``percentile_approx``.
+    Exact by default, in a plan that holds no column in one buffer; ``approx=True`` uses
+    ``percentile_approx``.
     """
     df = nan_to_null(df)
     spark = df.sparkSession
@@ -274,13 +273,6 @@ def profile_quantiles(df: DataFrame, columns: list[str], probs=(0.25, 0.5, 0.75)
                          F.col(f"q{i}")[j].cast("double").alias("value"))
                 for i, c in enumerate(columns) for j, p in enumerate(probs)]
         return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-    if exact_quantiles_ok(df):
-        wide = df.agg(*[F.percentile(F.col(q(c)).cast("double"), F.array(*[F.lit(float(p)) for p in probs]))
-                        .alias(f"q{i}") for i, c in enumerate(columns)])
-        rows = [F.struct(F.lit(c).alias("column_name"), F.lit(float(p)).alias("p"),
-                         F.col(f"q{i}")[j].cast("double").alias("value"))
-                for i, c in enumerate(columns) for j, p in enumerate(probs)]
-        return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     from ..functions.quantiles import quantiles_long
     long = df.select(*[F.col(q(c)).cast("double").alias(c) for c in columns]).unpivot([], columns, "column_name", "v")
     return quantiles_long(long, ["column_name"], "v", list(probs))

@@ -7,7 +7,7 @@ holding a third of all rows is still ranked by many tasks.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordered import cumulative_sum
@@ -28,10 +28,10 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
 def imbalance_report(df: DataFrame, label: str) -> DataFrame:
     """All classes with count and share of non-null rows, max/min ratio and advice (quirk Q7)."""
     cc = class_counts(df, label)
-    w = Window.partitionBy(F.lit(0))  # over the per-class frame (one row per class)
-    t = cc.select(F.col("class").cast("string").alias("label"), F.col("n_class").alias("count"),
-                  F.sum("n_class").over(w).alias("n"), F.count(F.lit(1)).over(w).alias("k"),
-                  F.max("n_class").over(w).alias("mx"), F.min("n_class").over(w).alias("mn"))
+    all_ = cc.agg(F.sum("n_class").alias("n"), F.count(F.lit(1)).alias("k"), F.max("n_class").alias("mx"),
+                  F.min("n_class").alias("mn")).withColumn("__k", F.lit(0))  # one row
+    t = (cc.select(F.col("class").cast("string").alias("label"), F.col("n_class").alias("count"), F.lit(0).alias("__k"))
+         .join(F.broadcast(all_), "__k"))
     ratio = F.when(F.col("k") >= 2, F.round(F.col("mx") / F.greatest(F.col("mn"), F.lit(1)), 2)).otherwise(F.lit(1.0))
     return t.select("label", "count", F.round(F.col("count") / F.col("n"), 4).alias("pct"),
                     ratio.alias("imbalance_ratio"),
@@ -40,16 +40,23 @@ def imbalance_report(df: DataFrame, label: str) -> DataFrame:
 
 
 def class_weights(df: DataFrame, label: str, weight_col: str = "weight") -> DataFrame:
-    """``balanced`` weights n / (k · n_c), attached by a broadcast join of class counts."""
+    """``balanced`` weights n / (k · n_c), attached by a join of class counts."""
     cc = class_counts(df, label)
     tot = cc.agg(F.sum("n_class").alias("n"), F.count(F.lit(1)).alias("k"))
     wts = (cc.withColumn("__k", F.lit(0)).join(F.broadcast(tot.withColumn("__k", F.lit(0))), "__k")
            .select(F.col("class").alias(label), (F.col("n") / (F.col("k") * F.col("n_class"))).alias(weight_col)))
-    return df.join(F.broadcast(wts), label, "left")
+    return df.join(wts, label, "left")
 
 
 def row_hash(id_col: str, seed: int = SEED):
-    return F.xxhash64(F.col(id_col), F.lit(seed))
+    """52 bits of the md5 of "id:seed": any engine with md5 draws the same rows."""
+    key = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}"))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("long")
+
+
+def hash_share(id_col: str, seed: int = SEED):
+    """The hash as a number from 0 to below 1."""
+    return row_hash(id_col, seed) / F.lit(float(1 << 52))
 
 
 def rank_in_class(df: DataFrame, label: str, id_col: str, seed: int = SEED, name: str = "__rank") -> DataFrame:
@@ -75,7 +82,7 @@ def oversample_random(df: DataFrame, label: str, id_col: str, seed: int = SEED)
     plan = (cc.withColumn("__k", F.lit(0)).join(F.broadcast(mx.withColumn("__k", F.lit(0))), "__k")
             .select(F.col("class").alias(label), (F.floor(F.col("M") / F.col("n_class"))).cast("long").alias("__copies"),
                     F.pmod(F.col("M"), F.col("n_class")).cast("long").alias("__rem")))
-    r = rank_in_class(df.where(F.col(label).isNotNull()), label, id_col, seed).join(F.broadcast(plan), label)
+    r = rank_in_class(df.where(F.col(label).isNotNull()), label, id_col, seed).join(plan, label)
     n = F.col("__copies") + F.when(F.col("__rank") <= F.col("__rem"), 1).otherwise(0)
     out = r.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), n.cast("long"))))
     return out.drop("__rank", "__copies", "__rem")
@@ -93,7 +100,7 @@ def split_stratified(df: DataFrame, label: str, id_col: str, test_size: float =
                      val_size: float = VAL_SIZE, seed: int = SEED) -> DataFrame:
     """Per class: the first round(test·n_c) rows by hash are test, the next round(val·n_c) val."""
     cc = class_counts(df, label).select(F.col("class").alias(label), "n_class")
-    r = rank_in_class(df.where(F.col(label).isNotNull()), label, id_col, seed).join(F.broadcast(cc), label)
+    r = rank_in_class(df.where(F.col(label).isNotNull()), label, id_col, seed).join(cc, label)
     nt = F.round(F.col("n_class") * test_size)
     nv = F.round(F.col("n_class") * val_size)
     return r.withColumn("split", F.when(F.col("__rank") <= nt, "test").when(F.col("__rank") <= nt + nv, "val")

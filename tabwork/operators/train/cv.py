@@ -2,48 +2,54 @@
 
 One out-of-fold job per candidate writes the ``scored`` table
 (id, label, prediction, probability, model, fold); every evaluation metric of
-§2.11 is an aggregate over it, so nothing is refit for evaluation.  The
-assembled matrix is cached once and reused by all folds and candidates.
-Folds come from ``sampling.folds_*`` (hash-based, repartition-proof).
+§2.11 is an aggregate over it, so nothing is refit for evaluation.  The raw
+rows are kept once and reused by all folds and candidates; imputation and
+encoding are stages of the fitted pipeline, so a fold never sees the values of
+its held-out rows.  Folds come from ``sampling.folds_*`` (hash-based, repartition-proof).
 """
 from __future__ import annotations
 
+import json
+import math
 import random
 from dataclasses import dataclass, field
 
-from pyspark.ml import Estimator
+from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.feature import Imputer, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ...functions.columns import is_numeric, q
 from ..evaluate import eval_accuracy, eval_macro_weighted, eval_r2_rmse_mae
-from ..sampling import class_weights
+from ..features import label_codes
+from ..sampling import class_weights, hash_share, oversample_random, undersample_random
 
 SEED = 42
 
 
 # ------------------------------------------------------------------ candidates
-def classifiers(n_classes: int, small: bool = True) -> dict[str, Estimator]:
-    """Boosted trees (binary; one-vs-rest above two classes), random forest, logistic regression.
-    ``small`` keeps tree counts low for checks; the API defaults follow the reference (200 trees)."""
-    trees = 20 if small else 200
-    gbt = GBTClassifier(maxIter=10 if small else 100, maxDepth=5, seed=SEED)
+def classifiers(n_classes: int, trees: int = 200, rounds: int = 100) -> dict[str, Estimator]:
+    """Boosted trees (binary; one-vs-rest above two classes), random forest, logistic regression."""
+    gbt = GBTClassifier(maxIter=rounds, maxDepth=5, seed=SEED)
     return {
-        "gbt": gbt if n_classes <= 2 else OneVsRest(classifier=GBTClassifier(maxIter=10 if small else 100, seed=SEED)),
+        "gbt": gbt if n_classes <= 2 else OneVsRest(classifier=gbt),
         "random_forest": RandomForestClassifier(numTrees=trees, seed=SEED),
         "logistic_regression": LogisticRegression(maxIter=100),
     }
 
 
-def regressors(n_rows: int, small: bool = True, alpha: float = 1.0) -> dict[str, Estimator]:
+def regressors(n_rows: int, trees: int = 200, rounds: int = 100, alpha: float = 1.0) -> dict[str, Estimator]:
     """Boosted trees, random forest, ridge (α/n regParam on unstandardised features = scikit-learn Ridge(α))."""
     return {
-        "gbt": GBTRegressor(maxIter=10 if small else 100, maxDepth=5, seed=SEED),
-        "random_forest": RandomForestRegressor(numTrees=20 if small else 200, seed=SEED),
+        "gbt": GBTRegressor(maxIter=rounds, maxDepth=5, seed=SEED),
+        "random_forest": RandomForestRegressor(numTrees=trees, seed=SEED),
         "ridge": LinearRegression(elasticNetParam=0.0, regParam=alpha / max(n_rows, 1), standardization=False),
     }
 
@@ -56,12 +62,14 @@ FIX_OVERFIT = {
     "ridge": {"regParam": 0.1},
 }
 
-# Random-search ranges per model (sampled, replaces the reference's TPE search).
+# Random-search ranges per model: (least, most, scale).  Trials are drawn from the ranges, so any
+# number of different trials can be asked for.
 SEARCH_SPACE = {
-    "gbt": {"maxDepth": [2, 3, 4, 5, 6], "stepSize": [0.01, 0.05, 0.1, 0.2], "maxIter": [10, 20, 40]},
-    "random_forest": {"numTrees": [10, 20, 50], "maxDepth": [3, 5, 8, 10], "minInstancesPerNode": [1, 5, 10]},
-    "logistic_regression": {"regParam": [0.0, 0.001, 0.01, 0.1, 1.0], "elasticNetParam": [0.0, 0.5, 1.0]},
-    "ridge": {"regParam": [0.0, 0.0001, 0.001, 0.01, 0.1]},
+    "gbt": {"maxDepth": (2, 8, "int"), "stepSize": (0.01, 0.3, "log"), "maxIter": (20, 200, "int"),
+            "subsamplingRate": (0.6, 1.0, "linear")},
+    "random_forest": {"numTrees": (50, 300, "int"), "maxDepth": (3, 15, "int"), "minInstancesPerNode": (1, 10, "int")},
+    "logistic_regression": {"regParam": (1e-5, 10.0, "log"), "elasticNetParam": (0.0, 1.0, "linear")},
+    "ridge": {"regParam": (1e-6, 1.0, "log")},
 }
 
 
@@ -70,12 +78,14 @@ def params_fix_overfit(model_name: str) -> dict:
 
 
 def with_params(est: Estimator, params: dict) -> Estimator:
+    """A copy with the parameters set; of a pipeline its last stage, of one-vs-rest its classifier."""
+    if isinstance(est, Pipeline):
+        stages = est.getStages()
+        return Pipeline(stages=[*stages[:-1], with_params(stages[-1], params)])
     if isinstance(est, OneVsRest):
-        inner = est.getClassifier().copy()
-        for k, v in params.items():
-            if inner.hasParam(k):
-                inner._set(**{k: v})
-        return OneVsRest(classifier=inner)
+        outer = {k: v for k, v in params.items() if est.hasParam(k) and not est.getClassifier().hasParam(k)}
+        out = OneVsRest(classifier=with_params(est.getClassifier(), params))
+        return out._set(**outer) if outer else out
     e = est.copy()
     for k, v in params.items():
         if e.hasParam(k):
@@ -84,21 +94,55 @@ def with_params(est: Estimator, params: dict) -> Estimator:
 
 
 # ------------------------------------------------------------------ matrix
+def labelled(df: DataFrame, features: list[str], label: str, id_col: str, fold_col: str | None = None,
+             index_label: bool = False) -> DataFrame:
+    """Raw feature columns, numeric label (``label_str`` kept when indexed), id (and fold).
+
+    Only rows without a label are left out.  Class codes are alphabetical and come from a
+    distributed sort; the codes are joined back, not collected.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    feats = [F.col(q(f)).cast("double").alias(f) if is_numeric(kinds[f]) or isinstance(kinds[f], T.BooleanType)
+             else F.col(q(f)).cast("string").alias(f) for f in features]
+    keep = [F.col(q(id_col))] + ([F.col(q(fold_col))] if fold_col else [])
+    out = df.where(F.col(q(label)).isNotNull())
+    if not index_label:
+        return out.select(*keep, *feats, F.col(q(label)).cast("double").alias("label"))
+    out = out.select(*keep, *feats, F.col(q(label)).cast("string").alias("label_str"))
+    codes = label_codes(out, ["label_str"]).select(F.col("value").alias("label_str"), F.col("code").cast("double").alias("label"))
+    return out.join(codes, "label_str")
+
+
+def feature_stages(rows: DataFrame, features: list[str]) -> list:
+    """Pipeline stages from raw columns to ``features``; fitted with the model, so per training fold.
+
+    Numbers: nulls become the median.  Texts: index by frequency, nulls and values not seen in
+    training one further index.
+    """
+    text = [f.name for f in rows.schema.fields if f.name in features and isinstance(f.dataType, T.StringType)]
+    numbers = [f for f in features if f not in text]
+    stages = []
+    if numbers:
+        stages.append(Imputer(inputCols=numbers, outputCols=[f"__n_{f}" for f in numbers], strategy="median"))
+    if text:
+        stages.append(StringIndexer(inputCols=text, outputCols=[f"__i_{f}" for f in text], handleInvalid="keep"))
+        # indices as plain numbers: trees would otherwise want a bin for every value
+        plain = ", ".join(f"`__i_{f}` + 0.0D AS `__t_{f}`" for f in text)
+        stages.append(SQLTransformer(statement=f"SELECT *, {plain} FROM __THIS__"))
+    inputs = [f"__t_{f}" if f in text else f"__n_{f}" for f in features]
+    stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
+    return stages
+
+
 def assemble(df: DataFrame, features: list[str], label: str, id_col: str, fold_col: str | None = None,
              index_label: bool = False) -> DataFrame:
-    """Vector column + numeric label (``label_str`` kept when indexed) + id (+ fold)."""
-    keep = [id_col] + ([fold_col] if fold_col else [])
-    lab = F.col(label)
-    out = df.where(lab.isNotNull())
-    if index_label:
-        classes = sorted(r[0] for r in out.select(lab.cast("string")).distinct().collect())  # class names: bounded
-        m = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))])
-        out = out.withColumn("__label", m[lab.cast("string")]).withColumn("label_str", lab.cast("string"))
-        keep.append("label_str")
-    else:
-        out = out.withColumn("__label", lab.cast("double"))
-    va = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    return va.transform(out).select(*keep, F.col("__label").alias("label"), "features")
+    """id (and fold), numeric label and one ``features`` vector fitted on all rows (no folds: no leak to guard)."""
+    rows = labelled(df, features, label, id_col, fold_col, index_label)
+    keep = [c for c in rows.columns if c not in features]
+    return Pipeline(stages=feature_stages(rows, features)).fit(rows).transform(rows).select(*keep, "features")
+
+
+BALANCERS = {"undersample_random": undersample_random, "oversample_random": oversample_random}
 
 
 @dataclass
@@ -107,42 +151,69 @@ class CVResult:
     train_scores: dict = field(default_factory=dict)
 
 
+def _probabilities(pred: DataFrame):
+    """Probability of every class: the model's own, or from the margins of one-vs-rest."""
+    if "probability" in pred.columns:
+        return vector_to_array("probability")
+    if "rawPrediction" in pred.columns:
+        raw = vector_to_array("rawPrediction")
+        odds = F.transform(raw, lambda m: 1 / (1 + F.exp(-2 * m)))
+        return F.transform(odds, lambda p: p / F.greatest(F.aggregate(odds, F.lit(0.0), lambda a, x: a + x), F.lit(1e-300)))
+    return F.lit(None).cast("array<double>")
+
+
 def cv_out_of_fold(matrix: DataFrame, estimator: Estimator, name: str, id_col: str, fold_col: str = "fold",
                    k: int | None = None, balance: str | None = None, classification: bool = True,
                    positive: float = 1.0) -> CVResult:
     """Fit on k−1 folds, score the held-out fold, for every fold; union of held-out rows.
 
-    ``balance='class_weights'`` weights rows inside the training folds only.
+    ``balance`` (class_weights, undersample_random, oversample_random) acts inside the training
+    folds only.  ``probabilities`` holds every class, ``probability`` the positive one.
     """
+    if balance not in (None, "none", "class_weights", *BALANCERS):
+        raise ValueError(f"unknown balancing {balance!r}")
     folds = list(range(k)) if k is not None else sorted(r[0] for r in matrix.select(fold_col).distinct().collect())
     parts, train_scores = [], {}
     for f in folds:
-        tr = matrix.where(F.col(fold_col) != f)
+        whole = tr = matrix.where(F.col(fold_col) != f)
         te = matrix.where(F.col(fold_col) == f)
         est = estimator
-        if balance == "class_weights" and classification:
+        if classification and balance == "class_weights":
             tr = class_weights(tr, "label", "weight")
             est = with_params(estimator, {"weightCol": "weight"})
+        elif classification and balance in BALANCERS:
+            tr = BALANCERS[balance](tr, "label", id_col).drop("copy")
         model = est.fit(tr)
         pred = model.transform(te)
-        cols = [F.col(id_col).alias("id"), "label", F.col("prediction").cast("double").alias("prediction")]
-        if classification and "probability" in pred.columns:
-            prob = vector_to_array("probability")
-            cols.append(F.when(F.size(prob) > int(positive), prob[int(positive)]).alias("probability"))
-        else:
-            cols.append(F.lit(None).cast("double").alias("probability"))
-        parts.append(pred.select(*cols, F.lit(name).alias("model"), F.lit(f).cast("long").alias("fold")))
+        prob = _probabilities(pred) if classification else F.lit(None).cast("array<double>")
+        one = F.when(F.size(prob) > int(positive), prob[int(positive)]) if classification else F.lit(None)
+        parts.append(pred.select(F.col(id_col).alias("id"), "label", F.col("prediction").cast("double").alias("prediction"),
+                                 one.cast("double").alias("probability"), prob.alias("probabilities"),
+                                 F.lit(name).alias("model"), F.lit(f).cast("long").alias("fold")))
+        again = model.transform(whole)
         if classification:
-            acc = model.transform(tr).select(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+            score = F.avg((F.col("prediction") == F.col("label")).cast("double"))
         else:
-            acc = None
-        train_scores[f] = acc
+            score = _r2()
+        train_scores[f] = again.select(score).first()[0]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return CVResult(out, train_scores)
 
 
+def _r2():
+    """R² as one aggregate; null when the label is constant."""
+    sst = F.var_pop("label") * F.count("label")
+    return F.when(sst > 0, 1 - F.sum((F.col("label") - F.col("prediction")) ** 2) / sst)
+
+
+def class_scores(scored: DataFrame) -> DataFrame:
+    """Long (id, model, fold, label, class, score), one row per class: the input of the one-vs-rest AUC."""
+    return scored.select("id", "model", "fold", "label", F.posexplode("probabilities").alias("class", "score")) \
+        .withColumn("class", F.col("class").cast("double"))
+
+
 def leaderboard(scored: DataFrame, train_scores: dict[str, float], classification: bool = True) -> DataFrame:
     """Per model: cv score (mean accuracy or max(R², 0) over folds), fold std, F1, train score."""
     spark = scored.sparkSession
@@ -161,29 +232,47 @@ def leaderboard(scored: DataFrame, train_scores: dict[str, float], classificatio
     return lb.join(ts, "model", "left").withColumnRenamed("model", "model_name")
 
 
+def _rows_and_candidates(df, features, label, id_col, fold_col, classification):
+    """Kept raw rows, and every candidate as a pipeline from raw columns."""
+    rows = labelled(df, features, label, id_col, fold_col, index_label=classification).persist()
+    cands = classifiers(rows.select("label").distinct().count()) if classification else regressors(rows.count())
+    stages = feature_stages(rows, features)
+    return rows, {name: Pipeline(stages=[*stages, est]) for name, est in cands.items()}
+
+
 def train_candidates(df: DataFrame, features: list[str], label: str, id_col: str, fold_col: str,
-                     classification: bool = True, small: bool = True, balance: str | None = None,
-                     models: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """All candidates with k-fold CV: (leaderboard, scored rows)."""
-    m = assemble(df, features, label, id_col, fold_col, index_label=classification).cache()
-    if classification:
-        n_classes = m.select("label").distinct().count()
-        cands = classifiers(n_classes, small)
-    else:
-        cands = regressors(m.count(), small)
-    if models:
-        cands = {k: v for k, v in cands.items() if k in models}
+                     classification: bool = True, balance: str | None = None, models: list[str] | None = None,
+                     params: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """All candidates with k-fold CV: (leaderboard, scored rows).
+
+    Features may be numbers or texts with nulls; imputation and encoding are fitted per training
+    fold.  ``params`` overrides parameters by model name.
+    """
+    rows, cands = _rows_and_candidates(df, features, label, id_col, fold_col, classification)
     scored, train = None, {}
     for name, est in cands.items():
-        res = cv_out_of_fold(m, est, name, id_col, fold_col, balance=balance, classification=classification)
-        scored = res.scored if scored is None else scored.unionByName(res.scored)
+        if models and name not in models:
+            continue
+        est = with_params(est, (params or {}).get(name, {}))
+        res = cv_out_of_fold(rows, est, name, id_col, fold_col, balance=balance, classification=classification)
+        # one pass over each model's held-out rows: what the leaderboard and the caller read
+        part = kept(res.scored)
+        scored = part if scored is None else scored.unionByName(part)
         vals = [v for v in res.train_scores.values() if v is not None]
         train[name] = sum(vals) / len(vals) if vals else None
+    rows.unpersist()
     return leaderboard(scored, train, classification), scored
 
 
-def feature_importance(model, features: list[str], top: int = 20) -> list[tuple[str, float]]:
-    """Native importances or |coefficients|, normalised to sum 1, top ``top`` (model metadata, bounded)."""
+def kept(scored: DataFrame) -> DataFrame:
+    """The rows written to the shared checkpoint folder: models are not run again for every reader."""
+    from ...session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(scored.sparkSession)
+    return scored.checkpoint()
+
+
+def feature_importance(model, features: list[str]) -> list[tuple[str, float]]:
+    """Native importances or |coefficients| of all features, normalised to sum 1 (model metadata)."""
     if hasattr(model, "featureImportances"):
         imps = list(model.featureImportances.toArray())
     elif hasattr(model, "coefficients"):
@@ -196,21 +285,30 @@ def feature_importance(model, features: list[str], top: int = 20) -> list[tuple[
     tot = sum(imps)
     if tot == 0:
         return []
-    pairs = sorted(((f, float(v) / float(tot)) for f, v in zip(features, imps)), key=lambda x: (-x[1], x[0]))
-    return pairs[:top]
+    return sorted(((f, float(v) / float(tot)) for f, v in zip(features, imps)), key=lambda x: (-x[1], x[0]))
 
 
 def retrain_one(df: DataFrame, features: list[str], label: str, id_col: str, fold_col: str, model_name: str,
                 params: dict, leaderboard_df: DataFrame | None = None, classification: bool = True):
     """One candidate with given parameters; patches the leaderboard (anti-join old row, union new)."""
-    m = assemble(df, features, label, id_col, fold_col, index_label=classification).cache()
-    base = (classifiers(m.select("label").distinct().count()) if classification else regressors(m.count()))[model_name]
-    res = cv_out_of_fold(m, with_params(base, params), model_name, id_col, fold_col, classification=classification)
-    vals = [v for v in res.train_scores.values() if v is not None]
-    lb = leaderboard(res.scored, {model_name: (sum(vals) / len(vals)) if vals else None}, classification)
+    lb, scored = train_candidates(df, features, label, id_col, fold_col, classification, models=[model_name],
+                                  params={model_name: params})
     if leaderboard_df is not None:
         lb = leaderboard_df.join(lb.select("model_name"), "model_name", "left_anti").unionByName(lb)
-    return lb, res.scored
+    return lb, scored
+
+
+def draw(space: dict, rng: random.Random) -> dict:
+    """One trial: a value of every parameter."""
+    out = {}
+    for name, (least, most, scale) in sorted(space.items()):
+        if scale == "int":
+            out[name] = rng.randint(least, most)
+        elif scale == "log":
+            out[name] = math.exp(rng.uniform(math.log(least), math.log(most)))
+        else:
+            out[name] = rng.uniform(least, most)
+    return out
 
 
 def tune_random_search(df: DataFrame, features: list[str], label: str, id_col: str, fold_col: str,
@@ -218,34 +316,40 @@ def tune_random_search(df: DataFrame, features: list[str], label: str, id_col: s
                        parallelism: int = 4) -> DataFrame:
     """Random search over ``SEARCH_SPACE`` scored by CrossValidator on the given folds.
 
-    Returns one row per trial (params as text, mean CV metric), best first.
+    Returns one row per trial asked for (params as text, mean CV metric), best first;
+    ``retrain_best`` trains with the first row's parameters.
     """
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-    from pyspark.ml.tuning import CrossValidator
-    n_trials = max(5, min(100, n_trials))
-    m = assemble(df, features, label, id_col, fold_col, index_label=classification)
-    m = m.withColumn("fold", F.col(fold_col).cast("int")) if fold_col != "fold" else m.withColumn("fold", F.col("fold").cast("int"))
-    base = (classifiers(m.select("label").distinct().count()) if classification else regressors(m.count()))[model_name]
-    space = SEARCH_SPACE[model_name]
+    if n_trials < 1:
+        raise ValueError("at least one trial is needed")
+    rows, cands = _rows_and_candidates(df, features, label, id_col, fold_col, classification)
     rng = random.Random(seed)
-    grid, seen = [], set()
-    for _ in range(n_trials * 5):
-        if len(grid) >= n_trials:
-            break
-        pick = tuple((k, rng.choice(v)) for k, v in sorted(space.items()))
-        if pick not in seen:
-            seen.add(pick)
-            grid.append(pick)
-    est = base.getClassifier() if isinstance(base, OneVsRest) else base
-    maps = [{est.getParam(k): v for k, v in pick} for pick in grid]
+    trials = [draw(SEARCH_SPACE[model_name], rng) for _ in range(n_trials)]
+    # the trials differ in the model alone: features are fitted with each fold by the pipeline
+    pipe = cands[model_name]
+    model = pipe.getStages()[-1]
+    owner = model.getClassifier() if isinstance(model, OneVsRest) else model
+    maps = [{owner.getParam(k): v for k, v in t.items()} for t in trials]
+    if isinstance(model, OneVsRest):  # parameters of the classifier inside: one estimator per trial
+        maps = [{pipe.stages: [*pipe.getStages()[:-1], with_params(model, t)]} for t in trials]
     ev = (MulticlassClassificationEvaluator(metricName="accuracy") if classification
           else RegressionEvaluator(metricName="r2"))
-    cv = CrossValidator(estimator=base if not isinstance(base, OneVsRest) else est, estimatorParamMaps=maps,
-                        evaluator=ev, foldCol="fold", parallelism=parallelism, seed=seed)
-    model = cv.fit(m.drop(id_col))
-    rows = [(", ".join(f"{k}={v}" for k, v in pick), float(s)) for pick, s in zip(grid, model.avgMetrics)]
-    out = df.sparkSession.createDataFrame(rows, "params string, cv_score double")
-    return out.orderBy(F.desc("cv_score"), F.asc("params"))
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, foldCol="__fold",
+                        parallelism=parallelism, seed=seed)
+    # CrossValidator wants its folds numbered 0..k-1
+    numbers = sorted(r[0] for r in rows.select(fold_col).distinct().collect())
+    position = F.create_map(*[x for i, v in enumerate(numbers) for x in (F.lit(v), F.lit(i))])
+    cv = cv.setNumFolds(len(numbers))
+    found = cv.fit(rows.withColumn("__fold", position[F.col(fold_col)].cast("int")))
+    rows.unpersist()
+    out = [(json.dumps(t, sort_keys=True), float(s)) for t, s in zip(trials, found.avgMetrics)]
+    return df.sparkSession.createDataFrame(out, "params string, cv_score double").orderBy(F.desc("cv_score"), F.asc("params"))
+
+
+def retrain_best(df: DataFrame, features: list[str], label: str, id_col: str, fold_col: str, model_name: str,
+                 trials: DataFrame, leaderboard_df: DataFrame | None = None, classification: bool = True):
+    """``retrain_one`` with the parameters of the best trial."""
+    best = trials.orderBy(F.desc("cv_score"), F.asc("params")).first()
+    return retrain_one(df, features, label, id_col, fold_col, model_name, json.loads(best.params), leaderboard_df, classification)
 
 
 def learning_curve(df: DataFrame, features: list[str], label: str, id_col: str, model_name: str = "logistic_regression",
@@ -255,30 +359,19 @@ def learning_curve(df: DataFrame, features: list[str], label: str, id_col: str,
 
     Samples are drawn inside the pool only (quirk Q14: no hold-out leakage).
     """
-    from ..sampling import row_hash
-    u = (F.pmod(row_hash(id_col, seed), F.lit(1_000_000)) / 1_000_000.0)
-    m = assemble(df.withColumn("__u", u), features, label, id_col, None, index_label=classification)
-    m = m.join(df.select(id_col, u.alias("__u")), id_col).cache()
-    test = m.where(F.col("__u") < holdout)
-    pool = m.where(F.col("__u") >= holdout)
-    base = (classifiers(m.select("label").distinct().count()) if classification else regressors(m.count()))[model_name]
-    rows = []
-    n_pool = pool.count()
+    rows, cands = _rows_and_candidates(df, features, label, id_col, None, classification)
+    u = hash_share(id_col, seed)
+    test, out = rows.where(u < holdout), []
+    score = F.avg((F.col("prediction") == F.col("label")).cast("double")) if classification else _r2()
     for fr in fractions:
-        cut = holdout + (1 - holdout) * fr
-        tr = pool.where(F.col("__u") < cut)
-        model = base.fit(tr)
-        def score(x):
-            p = model.transform(x)
-            if classification:
-                return p.select(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-            r = p.select(F.sum((F.col("label") - F.col("prediction")) ** 2).alias("sse"),
-                         (F.var_pop("label") * F.count(F.lit(1))).alias("sst")).first()
-            return 1 - r["sse"] / r["sst"] if r["sst"] else None
-        trs, vs = score(tr), score(test)
-        rows.append((float(fr), tr.count(), trs, vs, (trs - vs) if trs is not None and vs is not None else None))
+        tr = rows.where((u >= holdout) & (u < holdout + (1 - holdout) * fr))
+        model = cands[model_name].fit(tr)
+        trs, size = model.transform(tr).select(score, F.count(F.lit(1))).first()
+        vs = model.transform(test).select(score).first()[0]
+        out.append((float(fr), size, trs, vs, (trs - vs) if trs is not None and vs is not None else None))
+    rows.unpersist()
     return df.sparkSession.createDataFrame(
-        rows, "training_fraction double, training_size long, train_score double, val_score double, gap double")
+        out, "training_fraction double, training_size long, train_score double, val_score double, gap double")
 
 
 def model_verdicts(lb: DataFrame, classification: bool = True) -> DataFrame:

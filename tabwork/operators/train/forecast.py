@@ -120,7 +120,7 @@ def forecast_lag_ridge(series: DataFrame, lags: int = 12, horizon: int = 12, reg
     return tail.groupBy("series").applyInPandas(rec, "series string, h long, predicted double, model string")
 
 
-def forecast_lag_gbm(series: DataFrame, lags: int = 12, horizon: int = 12, max_iter: int = 20) -> DataFrame:
+def forecast_lag_gbm(series: DataFrame, lags: int = 12, horizon: int = 12, max_iter: int = 100) -> DataFrame:
     """Direct multi-step GBT: one model per horizon h on (lags -> y shifted by h)."""
     rows = lag_rows(series, lags)
     cols = [f"lag_{i}" for i in range(1, lags + 1)]

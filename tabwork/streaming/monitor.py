@@ -31,16 +31,29 @@ def hourly_volume(stream: DataFrame, ts_col: str = "created_at", watermark: str
     return s.groupBy(F.window("__ts", "1 hour").alias("w"), *by).agg(F.count(F.lit(1)).alias("count"))
 
 
-def run_complete_to_parquet(agg: DataFrame, out_path: str, checkpoint: str) -> None:
-    """Run an aggregating stream to completion; each micro-batch overwrites the full result."""
+def run_update_to_parquet(agg: DataFrame, out_path: str, checkpoint: str) -> None:
+    """Run an aggregating stream to completion.
+
+    Each micro-batch writes only the groups it changed, as a part named by its epoch: a repeated
+    batch replaces its own part, and a crash never leaves the table empty.  Groups behind the
+    watermark leave the state.
+    """
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+        batch.write.mode("overwrite").parquet(os.path.join(out_path, f"epoch={epoch}"))
 
-    q = (agg.writeStream.outputMode("complete").foreachBatch(write)
+    q = (agg.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
+def newest_groups(spark: SparkSession, out_path: str, keys: list[str]) -> DataFrame:
+    """The current result: every group's row of its newest epoch."""
+    parts = spark.read.parquet(out_path)
+    rest = [c for c in parts.columns if c not in (*keys, "epoch")]
+    newest = parts.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("__newest"))
+    return newest.select(*keys, "__newest.*")
+
+
 def run_append_to_parquet(stream: DataFrame, out_path: str, checkpoint: str) -> None:
     q = (stream.writeStream.outputMode("append").format("parquet").option("path", out_path)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
@@ -48,12 +61,15 @@ def run_append_to_parquet(stream: DataFrame, out_path: str, checkpoint: str) ->
 
 
 def monitor_volume_stream(spark: SparkSession, log_dir: str, schema, ts_col: str = "created_at",
-                          max_files_per_trigger: int = 1) -> DataFrame:
-    """Hourly volume of a prediction-log folder as a stream; returns the final result table."""
+                          max_files_per_trigger: int = 1, watermark: str = "1 hour") -> DataFrame:
+    """Hourly volume of a prediction-log folder as a stream; returns the final result table.
+
+    Rows that come later than the watermark allows are dropped, as their window has left the state.
+    """
     out, ckpt = stream_dirs(spark, "volume")
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(log_dir)
-    run_complete_to_parquet(hourly_volume(src, ts_col), out, ckpt)
-    return spark.read.parquet(out)
+    run_update_to_parquet(hourly_volume(src, ts_col, watermark), out, ckpt)
+    return newest_groups(spark, out, ["w"])
 
 
 def pii_redact_stream(spark: SparkSession, src_dir: str, schema, text_col: str, keep: list[str],
