@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tabwork.llm import decontam, langid, packing, simhash, toxicity
 from tabwork.llm.common import saved, table
 
-LEAST_LANGUAGE = 0.5  # share of a text that its language must have
+LEAST_LANGUAGE = 1 / 3  # share of a text that its language must have: mixed texts in two languages stay
 
 
 def _kept(docs: DataFrame, judge: Callable[[DataFrame, str], DataFrame], keep: Column) -> DataFrame:

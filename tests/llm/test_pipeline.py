@@ -42,7 +42,7 @@ def test_language_stage(spark, stages):
     before, after, _, _ = stages["language"]
     model = langid.learned(spark.createDataFrame(before))
     found = langid.mixtures(model, [(r.text or "").encode() for r in before])
-    assert {r.doc_id for r in after} == {r.doc_id for r, (lang, score, _) in zip(before, found) if lang != "und" and score >= 0.5}
+    assert {r.doc_id for r in after} == {r.doc_id for r, (lang, score, _) in zip(before, found) if lang != "und" and score >= P.LEAST_LANGUAGE}
 
 
 def test_one_of_every_group_stays(stages):
