@@ -91,7 +91,8 @@ def linked(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         outside = F.col("mask_a").bitwiseAND(F.lit(signed(0xFF << 8 * p))) == 0
         before = before & ~(later & outside & (same[p] == 1))
     near = (F.col("a") < F.col("b")) & (tally >= least) & (F.bit_count(differ) <= max_bits) & before
-    return a.join(b, meet & near).select("a", "b")
+    # Spark's size estimate does not see that the lists are many times the fingerprints: no broadcast
+    return a.hint("merge").join(b.hint("merge"), meet & near).select("a", "b")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
