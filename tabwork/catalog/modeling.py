@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import column_quantiles
 from ..operators import explain as X
+from ..operators import neighbours as NB
 from ..operators import sampling as S
 from ..operators.train import cv as CV
 from ..operators.train import forecast as FC
@@ -174,6 +175,26 @@ def q_forecast_lag_gbm(spark, d):
     return rounded(FC.forecast_lag_gbm(daily(spark, d), lags=12, horizon=12))
 
 
+# ------------------------------------------------------------------ formula model and its rows
+FORMULA = "0.5 * l_quantity + 1000.0 * l_discount + 0.0001 * l_extendedprice"
+X_FEATS = ["l_quantity", "l_discount", "l_extendedprice"]
+
+
+def formula_model():
+    return SQLTransformer(statement=f"SELECT *, {FORMULA} AS prediction FROM __THIS__")
+
+
+def _xdf(spark, d):
+    """All rows; the median stands in for a missing quantity, as in training."""
+    li = lineitem_outl(spark, d)
+    median = column_quantiles(li, ["l_quantity"], [0.5])[("l_quantity", 0.5)]
+    return li.withColumn("l_quantity", F.coalesce(F.col("l_quantity").cast("double"), F.lit(median))).select("rid", *X_FEATS)
+
+
+XDF = (f"(SELECT rid, coalesce(l_quantity, (SELECT quantile_cont(l_quantity, 0.5) FROM {OUTL})) AS l_quantity, "
+       f"l_discount, l_extendedprice FROM {OUTL})")
+
+
 # ------------------------------------------------------------------ unsupervised
 def _vectors(spark, d):
     return U.scaled_vectors(table(spark, d, "embeddings"), "vec_id", "embedding")
@@ -204,6 +225,66 @@ def q_explain_unsupervised(spark, d):
     return spark.createDataFrame(imp, "feature string, importance double")
 
 
+def q_anomaly_lof(spark, d):
+    return rounded(NB.local_outlier_factor(table(spark, d, "embeddings"), "vec_id", "embedding"), 4)
+
+
+PAIRS_SQL = """
+v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+p AS (SELECT a.vec_id AS i, b.vec_id AS j, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id)"""
+
+LOF_SQL = f"""
+WITH {PAIRS_SQL},
+r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS k FROM p QUALIFY k <= 20),
+kd AS (SELECT i AS j, max(d) AS kd FROM r GROUP BY i),
+lrd AS (SELECT i, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM r JOIN kd USING (j) GROUP BY i),
+o AS (SELECT r.i, avg(lrd.lrd) AS around FROM r JOIN lrd ON lrd.i = r.j GROUP BY r.i)
+SELECT o.i AS vec_id, round(around / lrd, 4) AS score FROM o JOIN lrd ON o.i = lrd.i"""
+
+
+def q_cluster_dbscan(spark, d):
+    return NB.cluster_dbscan(table(spark, d, "embeddings"), "vec_id", "embedding")
+
+
+DBSCAN_SQL = f"""
+WITH RECURSIVE {PAIRS_SQL},
+far AS (SELECT d, lead(d) OVER (ORDER BY d) - d AS jump FROM
+        (SELECT i, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS k FROM p) WHERE k = 4),
+eps AS (SELECT greatest(0.1, round(d, 4)) AS eps FROM far ORDER BY jump DESC NULLS LAST, d LIMIT 1),
+near AS (SELECT i, j, d FROM p, eps WHERE d <= eps),
+core AS (SELECT vec_id FROM v LEFT JOIN near ON i = vec_id GROUP BY vec_id HAVING count(j) + 1 >= 5),
+l AS (SELECT i, j FROM near WHERE i IN (SELECT vec_id FROM core) AND j IN (SELECT vec_id FROM core)),
+reach AS (SELECT vec_id AS i, vec_id AS j FROM core UNION SELECT reach.i, l.j FROM reach JOIN l ON reach.j = l.i),
+c AS (SELECT i, min(j) AS cluster FROM reach GROUP BY i),
+b AS (SELECT near.i, arg_min(c.cluster, (near.d, near.j)) AS cluster FROM near JOIN c ON c.i = near.j
+      WHERE near.i NOT IN (SELECT vec_id FROM core) GROUP BY near.i)
+SELECT vec_id, coalesce(c.cluster, b.cluster, -1) AS cluster FROM v LEFT JOIN c ON c.i = vec_id LEFT JOIN b ON b.i = vec_id"""
+
+
+def _classed(spark, d):
+    x = _xdf(spark, d)
+    vec = F.array(F.col("l_quantity") / 50, F.col("l_extendedprice").cast("double") / 100000)
+    return x.select("rid", vec.alias("x"), F.when(F.col("l_discount") >= 0.09, "big").otherwise("usual").alias("label"))
+
+
+def _class_sizes(rows):
+    return rows.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_oversample_smote(spark, d):
+    return _class_sizes(NB.oversample_smote(_classed(spark, d), "rid", "x", "label"))
+
+
+SMOTE_SQL = f"""
+WITH c AS (SELECT CASE WHEN l_discount >= 0.09 THEN 'big' ELSE 'usual' END AS label, count(*) AS n FROM {XDF} WHERE l_extendedprice IS NOT NULL GROUP BY 1)
+SELECT label, false AS synthetic, n FROM c UNION ALL
+SELECT label, true, (SELECT max(n) FROM c) - n FROM c WHERE n < (SELECT max(n) FROM c)"""
+
+
+def q_oversample_adasyn(spark, d):
+    return NB.oversample_adasyn(_classed(spark, d), "rid", "x", "label")
+
+
 # formula anomaly scores: |z| of three lineitem measures
 Z_MEASURES = ["l_extendedprice", "l_quantity", "l_discount"]
 
@@ -279,25 +360,6 @@ SELECT model, round(dc, 5) AS detected_contamination, round(abs(dc - 0.05), 5) A
 
 
 # ------------------------------------------------------------------ explanations
-FORMULA = "0.5 * l_quantity + 1000.0 * l_discount + 0.0001 * l_extendedprice"
-X_FEATS = ["l_quantity", "l_discount", "l_extendedprice"]
-
-
-def formula_model():
-    return SQLTransformer(statement=f"SELECT *, {FORMULA} AS prediction FROM __THIS__")
-
-
-def _xdf(spark, d):
-    """All rows; the median stands in for a missing quantity, as in training."""
-    li = lineitem_outl(spark, d)
-    median = column_quantiles(li, ["l_quantity"], [0.5])[("l_quantity", 0.5)]
-    return li.withColumn("l_quantity", F.coalesce(F.col("l_quantity").cast("double"), F.lit(median))).select("rid", *X_FEATS)
-
-
-XDF = (f"(SELECT rid, coalesce(l_quantity, (SELECT quantile_cont(l_quantity, 0.5) FROM {OUTL})) AS l_quantity, "
-       f"l_discount, l_extendedprice FROM {OUTL})")
-
-
 def _slopes(spark, d):
     df = _xdf(spark, d).withColumn("y", F.col("l_extendedprice"))
     y_feats = ["l_quantity", "l_discount"]
@@ -396,6 +458,10 @@ QUERIES = {
     "cluster_kmeans": q_cluster_kmeans,
     "cluster_silhouette": q_cluster_silhouette,
     "anomaly_isolation_forest": q_anomaly_isolation_forest,
+    "anomaly_lof": q_anomaly_lof,
+    "cluster_dbscan": q_cluster_dbscan,
+    "oversample_smote": q_oversample_smote,
+    "oversample_adasyn": q_oversample_adasyn,
     "anomaly_threshold": q_anomaly_threshold,
     "anomaly_supervised_metrics": q_anomaly_supervised_metrics,
     "anomaly_rank": q_anomaly_rank,
@@ -420,6 +486,9 @@ ORACLE = {
     "forecast_naive": NAIVE_SQL,
     "forecast_backtest": BACKTEST_SQL,
     "forecast_timeline": TIMELINE_SQL,
+    "anomaly_lof": LOF_SQL,
+    "cluster_dbscan": DBSCAN_SQL,
+    "oversample_smote": SMOTE_SQL,
     "anomaly_threshold": THRESH_SQL,
     "anomaly_supervised_metrics": SUP_SQL,
     "anomaly_rank": RANK_SQL,
