@@ -335,8 +335,8 @@ CASE WHEN count(*) FILTER (WHERE datetime_like) > 0 THEN 'time_aware' END AS rec
 def q_smart_profile(spark, d):
     parts = A.adv_smart_profile(adv_input(spark, d), target="l_discount")
     out = None
-    for name, df in parts.items():
-        part = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("section"), "n_rows")
+    for name, df in parts.items():  # the whole profile: every row of every section, as JSON
+        part = df.select(F.lit(name).alias("section"), F.to_json(F.struct(*df.columns)).alias("content"))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -151,6 +151,15 @@ SELECT model, series, fold, round(sqrt(avg((actual - predicted) ^ 2)), 5) AS rms
   count(*) AS n FROM ({NAIVE_SQL}) GROUP BY ALL"""
 
 
+def q_forecast_board(spark, d):
+    """Every forecaster back-tested on the same folds, ranked."""
+    naive = _naive(spark, d).withColumns({"actual": F.col("actual").cast("double"), "predicted": F.col("predicted").cast("double")})
+    holt = FC.forecast_holt(FC.backtest_frame(daily(spark, d)))
+    lag = FC.backtest_lag_models(daily(spark, d))
+    columns = ["series", "fold", "pos", "ts", "actual", "predicted", "model"]
+    return rounded(FC.forecast_board(naive.select(*columns).unionByName(holt.select(*columns)).unionByName(lag.select(*columns))))
+
+
 def q_forecast_timeline(spark, d):
     t = FC.forecast_timeline(daily(spark, d), 12)
     return t.select("series", F.col("h").cast("long"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
@@ -452,6 +461,7 @@ QUERIES = {
     "forecast_naive": q_forecast_naive,
     "forecast_backtest": q_forecast_backtest,
     "forecast_timeline": q_forecast_timeline,
+    "forecast_board": q_forecast_board,
     "forecast_holt": q_forecast_holt,
     "forecast_lag_ridge": q_forecast_lag_ridge,
     "forecast_lag_gbm": q_forecast_lag_gbm,

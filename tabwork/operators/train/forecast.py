@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..features import fe_lags
 from ..sampling import folds_time_series
+from .cv import kept
 
 HOLT_GRID = [round(x, 2) for x in np.arange(0.1, 1.0, 0.1)]
 
@@ -57,23 +59,22 @@ def forecast_timeline(series: DataFrame, horizon: int = 12) -> DataFrame:
 
 
 def _holt(y: np.ndarray, h: int) -> tuple[np.ndarray, float, float]:
-    """Additive-trend exponential smoothing; (α, β) by one-step SSE on a grid; last value if too short."""
+    """Additive-trend exponential smoothing; (α, β) by one-step SSE on a grid; last value if too short.
+
+    All pairs of the grid advance together, one vector step per observation.
+    """
     if len(y) < 3:
         return np.repeat(y[-1] if len(y) else 0.0, h), float("nan"), float("nan")
-    best = None
-    for a in HOLT_GRID:
-        for b in HOLT_GRID:
-            lvl, tr, sse = y[0], y[1] - y[0], 0.0
-            for t in range(1, len(y)):
-                f = lvl + tr
-                sse += (y[t] - f) ** 2
-                new = a * y[t] + (1 - a) * f
-                tr = b * (new - lvl) + (1 - b) * tr
-                lvl = new
-            if best is None or sse < best[0]:
-                best = (sse, a, b, lvl, tr)
-    _, a, b, lvl, tr = best
-    return lvl + tr * np.arange(1, h + 1), a, b
+    a, b = (g.ravel() for g in np.meshgrid(HOLT_GRID, HOLT_GRID, indexing="ij"))
+    level, trend, sse = np.full(len(a), float(y[0])), np.full(len(a), float(y[1] - y[0])), np.zeros(len(a))
+    for v in y[1:]:
+        ahead = level + trend
+        sse += (v - ahead) ** 2
+        new = a * v + (1 - a) * ahead
+        trend = b * (new - level) + (1 - b) * trend
+        level = new
+    i = int(np.argmin(sse))
+    return level[i] + trend[i] * np.arange(1, h + 1), float(a[i]), float(b[i])
 
 
 def forecast_holt(folds: DataFrame) -> DataFrame:
@@ -139,3 +140,39 @@ def forecast_lag_gbm(series: DataFrame, lags: int = 12, horizon: int = 12, max_i
                                                       F.col("prediction").alias("predicted"))
         out = p if out is None else out.unionByName(p)
     return out.withColumn("model", F.lit("lag_gbm"))
+
+
+def lag_candidates(lags: int, n: int, reg: float = 1.0, max_iter: int = 100) -> dict:
+    """Pipelines from lag columns: ridge on scaled lags, and boosting."""
+    va = VectorAssembler(inputCols=[f"lag_{i}" for i in range(1, lags + 1)], outputCol="features")
+    scale = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
+    ridge = LinearRegression(featuresCol="scaled", labelCol="y", regParam=reg / max(n, 1), elasticNetParam=0.0, standardization=False)
+    return {"lag_ridge": Pipeline(stages=[va, scale, ridge]),
+            "lag_gbm": Pipeline(stages=[va, GBTRegressor(labelCol="y", maxIter=max_iter, maxDepth=3, seed=42)])}
+
+
+def backtest_lag_models(series: DataFrame, lags: int = 12, n_splits: int = 5, max_iter: int = 100) -> DataFrame:
+    """Expanding-window back-test of the lag models, in the shape of ``forecast_naive``.
+
+    Folds are taken over the rows that have all lags; each test row is forecast one step ahead from
+    its own lags, by one model per fold over all series.
+    """
+    wide = lag_rows(series, lags).persist()
+    roles = backtest_frame(wide.select("series", "ts", "y"), n_splits).select("series", "ts", "fold", "pos", "role")
+    rows = wide.join(roles, ["series", "ts"]).persist()
+    out = None
+    for fold in [r.fold for r in rows.select("fold").distinct().orderBy("fold").collect()]:
+        here = rows.where(F.col("fold") == fold)
+        train, test = here.where(F.col("role") == "train"), here.where(F.col("role") == "test")
+        for name, est in lag_candidates(lags, train.count(), max_iter=max_iter).items():
+            part = est.fit(train).transform(test).select(
+                "series", "fold", "pos", "ts", F.col("y").alias("actual"), F.col("prediction").alias("predicted"), F.lit(name).alias("model"))
+            out = part if out is None else out.unionByName(part)
+    return kept(out)
+
+
+def forecast_board(preds: DataFrame) -> DataFrame:
+    """Models ranked by their mean RMSE over series and folds, as the reference ranks candidates."""
+    per = forecast_backtest(preds, ["model", "series", "fold"])
+    mean = per.groupBy("model").agg(*[F.avg(c).alias(c) for c in ("rmse", "mae", "mape", "smape")])
+    return mean.withColumn("rank", F.row_number().over(Window.orderBy("rmse", "model")).cast("long"))  # one row per model
