@@ -350,7 +350,16 @@ def q_select_features(spark, d):
     enc = _encoded(spark, d)
     imp = SE.select_with_overrides(SE.select_mutual_info(enc, SEL_FEATURES, "l_returnflag"),
                                    spark.createDataFrame(OVERRIDES, "feature string, override string"))
-    return rounded(SE.select_features(enc, imp, "l_returnflag"))
+    chosen = SE.select_features(enc, imp, "l_returnflag")
+    # which columns are kept depends on the data, so the check compares them in long form
+    return rounded(chosen.unpivot([], chosen.columns, "feature", "value"))
+
+
+def _select_features_sql():
+    long = " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM e" for f in SEL_FEATURES)
+    return f"""
+WITH e AS {_encoded_sql()}, d AS ({_overrides_sql()}), x AS ({long})
+SELECT feature, round(value, 5) AS value FROM x WHERE feature IN (SELECT feature FROM d WHERE keep)"""
 
 
 def q_leakage_scan(spark, d):
@@ -419,6 +428,7 @@ ORACLE = {
     "select_mutual_info": _sel_mi_sql(),
     "select_pearson_abs": _pearson_sql(),
     "select_with_overrides": _overrides_sql(),
+    "select_features": _select_features_sql(),
     "select_audit": f"""SELECT CAST(sum(CAST(keep AS BIGINT)) AS BIGINT) AS kept, CAST(sum(CAST(NOT keep AS BIGINT)) AS BIGINT) AS dropped,
   CAST(sum(CAST(decision = 'pinned' AS BIGINT)) AS BIGINT) AS pinned, CAST(sum(CAST(decision = 'excluded' AS BIGINT)) AS BIGINT) AS excluded,
   CAST(sum(CAST(decision = 'auto' AS BIGINT)) AS BIGINT) AS auto FROM ({_overrides_sql()})""",

@@ -17,7 +17,6 @@ from ..functions.columns import column_quantiles, nan_to_null, q
 from ..functions.text import tokens, with_bigrams
 
 MISSING = "missing"
-MAX_ONE_HOT = 100          # refuse one-hot above this many categories
 TARGET_SMOOTHING = 10.0
 
 
@@ -71,21 +70,34 @@ def fe_date_parts(c: Column, dtype: T.DataType, out: str) -> list[Column]:
             F.coalesce(F.weekday(ts), F.lit(0)).alias(f"{out}_dow")]
 
 
-def category_values(df: DataFrame, col: str, limit: int = MAX_ONE_HOT) -> list[str]:
-    """Sorted categories (null as 'missing'); bounded — raises above ``limit``."""
+def category_values(df: DataFrame, col: str, limit: int | None = None) -> list[str]:
+    """Sorted categories (null as 'missing'): they become columns, so the caller may set a ``limit``."""
     v = F.coalesce(F.col(q(col)).cast("string"), F.lit(MISSING))
-    vals = [r[0] for r in df.select(v.alias("v")).distinct().limit(limit + 1).collect()]
-    if len(vals) > limit:
-        raise ValueError(f"{col}: more than {limit} categories for one-hot; use label or target encoding")
+    found = df.select(v.alias("v")).distinct()
+    vals = [r[0] for r in (found if limit is None else found.limit(limit + 1)).collect()]
+    if limit is not None and len(vals) > limit:
+        raise ValueError(f"{col}: more than {limit} categories; use fe_one_hot_vector, label or target encoding")
     return sorted(vals)
 
 
-def fe_one_hot(df: DataFrame, col: str, out: str, values: list[str] | None = None) -> list[Column]:
-    values = values if values is not None else category_values(df, col)
+def fe_one_hot(df: DataFrame, col: str, out: str, values: list[str] | None = None, limit: int | None = None) -> list[Column]:
+    """One 0/1 column per category; for very many categories see ``fe_one_hot_vector``."""
+    values = values if values is not None else category_values(df, col, limit)
     v = F.coalesce(F.col(q(col)).cast("string"), F.lit(MISSING))
     return [(v == F.lit(x)).cast("int").alias(f"{out}_{x}") for x in values]
 
 
+def fe_one_hot_vector(df: DataFrame, col: str, out: str) -> DataFrame:
+    """``df`` with one sparse 0/1 vector in place of a column per category (alphabetical, null as 'missing')."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    v = F.coalesce(F.col(q(col)).cast("string"), F.lit(MISSING))
+    pipe = Pipeline(stages=[StringIndexer(inputCol="__v", outputCol="__i", stringOrderType="alphabetAsc"),
+                            OneHotEncoder(inputCol="__i", outputCol=out, dropLast=False)])
+    rows = df.withColumn("__v", v)
+    return pipe.fit(rows).transform(rows).drop("__v", "__i")
+
+
 def label_codes(df: DataFrame, cols: list[str], missing: str = MISSING) -> DataFrame:
     """(column_name, value, code): alphabetical codes per column, computed in the JVM.
 

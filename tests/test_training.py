@@ -86,3 +86,20 @@ def test_search_gives_every_trial_and_retrains_the_best(spark, monkeypatch):
     assert many.count() == 2 and many.first().cv_score > 0.6
     with pytest.raises(ValueError):
         cv.tune_random_search(df, FEATURES, "label", "id", "fold", "gbt", n_trials=0)
+
+
+def test_text_weights_equal_the_formula_and_are_fitted_within_the_fold(spark):
+    import numpy as np
+
+    from tabwork.operators.train import text
+
+    docs = spark.createDataFrame([(1, "red red blue", 0.0, 0), (2, "red green", 1.0, 0), (3, "red blue", 0.0, 0), (4, "only here only", 1.0, 1), (5, None, 0.0, 1)],
+                                 "id long, t string, label double, fold int")
+    rows = text.text_rows(docs, "t", "label", "id", "fold")
+    model = text.SublinearTfidf(min_df=2).fit(rows.where("fold = 0"))
+    vocab = model.counts.vocabulary
+    assert set(vocab) == {"red", "blue", "red blue"}
+    got = {r.id: r.features.toArray() for r in model.transform(rows).collect()}
+    df = {"red": 3, "blue": 2, "red blue": 2}
+    raw = np.array([(1 + np.log(2 if v == "red" else 1)) * (np.log(4 / (1 + df[v])) + 1) for v in vocab])
+    assert np.allclose(got[1], raw / np.linalg.norm(raw)) and not got[4].any() and not got[5].any()

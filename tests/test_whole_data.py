@@ -4,7 +4,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from tabwork.operators import eda, evaluate, pii, profile, workspace
+from tabwork.operators import eda, evaluate, features, pii, profile, workspace
 from tabwork.operators.train import unsupervised
 from tabwork.functions.ordered import bucket_of
 
@@ -105,3 +105,13 @@ def test_bucket_of_is_a_count_of_smaller_bounds(spark):
     got = spark.range(100).select((F.col("id") / 10).alias("x")).select("x", bucket_of(F.col("x"), bounds).alias("b")).collect()
     assert all(r.b == sum(v < r.x for v in bounds) for r in got)
     assert spark.range(1).select(bucket_of(F.col("id").cast("double"), []).alias("b")).first().b == 0
+
+
+def test_one_hot_takes_any_number_of_categories(spark):
+    df = spark.range(150).selectExpr("id", "CASE WHEN id < 140 THEN concat('k', id) END AS c")
+    wide = df.select("id", *features.fe_one_hot(df, "c", "c"))
+    assert len(wide.columns) == 142 and wide.where("c_missing = 1").count() == 10
+    with pytest.raises(ValueError):
+        features.fe_one_hot(df, "c", "c", limit=100)
+    vector = features.fe_one_hot_vector(df, "c", "v").collect()
+    assert all(r.v.size == 141 and r.v.numNonzeros() == 1 for r in vector)
