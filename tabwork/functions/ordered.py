@@ -95,50 +95,36 @@ def _order_buckets(df: DataFrame, order_col: str, n_buckets: int) -> Column:
 
 def fill_nulls_ordered(df: DataFrame, col: str, order_col: str, partition_cols: list[str] = (),
                        backward: bool = False, n_buckets: int | None = None) -> DataFrame:
-    """Forward (or backward) fill of ``col`` along ``order_col``.
-
-    With ``partition_cols`` this is a windowed ``last/first(ignorenulls)`` per
-    group.  Without them the table is cut into range buckets of the order
-    column; each bucket fills locally, the last non-null value of every bucket
-    (a tiny frame) is carried across buckets, broadcast back and used for the
-    leading nulls of the next bucket — no single-task window over all rows.
-    ``order_col`` must be numeric and unique in the keyless case.
+    """Forward (or backward) fill of ``col`` along ``order_col``, within ``partition_cols`` if given.
+
+    The table is cut into range buckets of the order column; each (key, bucket) fills locally, the
+    last non-null value of every one (at most a row per key and bucket) is carried along the key's
+    buckets and joined back for the leading nulls of the next — neither all rows nor the rows of one
+    key ever sit in one task.  ``order_col`` must be numeric and unique within a key.
     """
     c = F.col("`" + col + "`")
-    if partition_cols:
-        if backward:
-            # descending order + preceding frame: Spark evaluates "current row ..
-            # unbounded following" frames row by row, which is quadratic
-            w = (Window.partitionBy(*partition_cols).orderBy(F.desc(order_col))
-                 .rowsBetween(Window.unboundedPreceding, 0))
-            return df.withColumn(col, F.last(c, ignorenulls=True).over(w))
-        w = Window.partitionBy(*partition_cols).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(col, F.last(c, ignorenulls=True).over(w))
-    spark = df.sparkSession
+    part = list(partition_cols)
     if n_buckets is None:
-        n_buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        n_buckets = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     tagged = df.withColumn("__b", _order_buckets(df, order_col, n_buckets))
-    if backward:
-        w = Window.partitionBy("__b").orderBy(F.desc(order_col)).rowsBetween(Window.unboundedPreceding, 0)
-        local = F.last(c, ignorenulls=True).over(w)
-        edge = (tagged.where(c.isNotNull()).groupBy("__b")
-                .agg(F.min_by(c, F.col(order_col)).alias("__edge")))
-    else:
-        w = Window.partitionBy("__b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-        local = F.last(c, ignorenulls=True).over(w)
-        edge = (tagged.where(c.isNotNull()).groupBy("__b")
-                .agg(F.max_by(c, F.col(order_col)).alias("__edge")))
-    # carry across buckets on the (small) bucket list, so buckets without any
-    # non-null value still pass the carried value along
-    buckets = tagged.select("__b").distinct()
-    full = buckets.join(edge, "__b", "left")
-    if backward:
-        wc = Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
-        carry = full.select("__b", F.last("__edge", ignorenulls=True).over(wc).alias("__carry"))
-    else:
-        wc = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-        carry = full.select("__b", F.last("__edge", ignorenulls=True).over(wc).alias("__carry"))
-    out = tagged.withColumn("__local", local).join(F.broadcast(carry), "__b", "left")
+    group = [*[F.col("`" + p + "`") for p in part], F.col("__b")]
+    # descending order with a preceding frame: Spark evaluates "current row .. unbounded following"
+    # frames row by row, which is quadratic
+    along = F.desc(order_col) if backward else F.asc(order_col)
+    w = Window.partitionBy(*group).orderBy(along).rowsBetween(Window.unboundedPreceding, 0)
+    local = F.last(c, ignorenulls=True).over(w)
+    pick = F.min_by if backward else F.max_by
+    # every (key, bucket), so that one without any value still passes the carried one along; the
+    # order of null values is null, so they are never picked
+    edge = tagged.groupBy(*group).agg(pick(c, F.when(c.isNotNull(), F.col(order_col))).alias("__edge"))
+    wc = Window.partitionBy(*group[:-1]).orderBy(F.desc("__b") if backward else F.asc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = edge.select(*[g.alias(f"__k{i}") for i, g in enumerate(group[:-1])], F.col("__b").alias("__cb"),
+                        F.last("__edge", ignorenulls=True).over(wc).alias("__carry"))
+    same = F.col("__b") == F.col("__cb")
+    for i, p in enumerate(part):
+        same = same & F.col("`" + p + "`").eqNullSafe(F.col(f"__k{i}"))
+    # without a key there are at most n_buckets rows; with one Spark decides by the size
+    out = tagged.withColumn("__local", local).join(carry if part else F.broadcast(carry), same, "left")
     cols = [F.coalesce(F.col("__local"), F.col("__carry")).alias(col) if f == col else F.col("`" + f + "`")
             for f in df.columns]
     return out.select(*cols)

@@ -79,17 +79,16 @@ def _bounds(st, c):
 
 def clean_apply(df: DataFrame, actions, overrides: dict | None = None, order_by: str | None = None,
                 partition_by: list[str] = (), checkpoint_stages: bool = False,
-                persist_stages: bool = False) -> DataFrame:
+                persist_stages: bool = True) -> DataFrame:
     """Fold ``actions`` (plan rows or dicts with column/strategy) into ``df``.
 
     ``order_by`` (a unique numeric column) is required for forward/backward fill.
     ``checkpoint_stages`` cuts the lineage after every stage with a reliable
     ``checkpoint()`` into the session's ``spark.checkpoint.dir`` (shared storage),
     so a long plan does not recompute from the source after an executor loss.
-    ``persist_stages`` instead keeps a stage boundary (memory, spilling to disk)
-    when the next stage needs statistics, so e.g. a dedupe shuffle is not run
-    twice; lost blocks are recomputed from lineage.  Unpersist via
-    ``spark.catalog.clearCache()`` or the frame's parents when done.
+    ``persist_stages`` writes a stage boundary as a Parquet table into that folder when the
+    next stage needs statistics, so that e.g. a dedupe shuffle runs once, not once for each
+    statistic and again for the result.
     """
     if checkpoint_stages:
         from ..session import ensure_checkpoint_dir
@@ -119,8 +118,10 @@ def clean_apply(df: DataFrame, actions, overrides: dict | None = None, order_by:
                 break
         live = {c: k for c, k in needs.items() if c in df.columns}
         if live and persist_stages and i > len(stage):
-            from pyspark import StorageLevel
-            df = df.persist(StorageLevel.MEMORY_AND_DISK)
+            from ..sources.io import scratch_path
+            path = scratch_path(df.sparkSession, "clean-stage")
+            df.write.parquet(path)
+            df = df.sparkSession.read.schema(df.schema).parquet(path)
         st = _stats(df, live) if live else {}
         for a in stage:
             df = _apply_one(df, a, st, order_by, list(partition_by))

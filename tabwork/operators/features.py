@@ -190,7 +190,7 @@ def fe_target_encode(df: DataFrame, col: str, target: str, fold_col: str,
 
 
 def fe_lags(df: DataFrame, value: str, order: str, lags: int = 12, series: list[str] = (),
-            drop_incomplete: bool = True, method: str = "window") -> DataFrame:
+            drop_incomplete: bool = True, method: str = "join") -> DataFrame:
     """lag_1..lag_k of ``value`` per series ordered by ``order``; rows with a missing lag dropped.
 
     ``method="window"`` is a per-series window (fine for many small series).

@@ -115,3 +115,22 @@ def test_one_hot_takes_any_number_of_categories(spark):
         features.fe_one_hot(df, "c", "c", limit=100)
     vector = features.fe_one_hot_vector(df, "c", "v").collect()
     assert all(r.v.size == 141 and r.v.numNonzeros() == 1 for r in vector)
+
+
+def test_ordered_fill_within_and_without_keys(spark):
+    import random
+
+    from tabwork.functions.ordered import fill_nulls_ordered
+
+    r = random.Random(0)
+    rows = [(i, r.choice(["hot", "hot", "hot", "b", None]), r.choice([None, None, float(i)])) for i in range(400)]
+    df = spark.createDataFrame(rows, "o long, k string, v double").repartition(5)
+    for part in ([], ["k"]):
+        for backward in (False, True):
+            got = {x.o: x.v for x in fill_nulls_ordered(df, "v", "o", part, backward, n_buckets=7).collect()}
+            last, want = {}, {}
+            for o, k, v in sorted(rows, reverse=backward):
+                key = k if part else 0
+                last[key] = v if v is not None else last.get(key)
+                want[o] = last[key]
+            assert got == want
