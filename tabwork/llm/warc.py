@@ -192,7 +192,7 @@ def write_archive(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, f
     placed = (known.withColumn("refers_to", F.when(older, F.col("last_id")))
               .withColumn("record", F.when(~older | F.col("last_id").isNull(), F.col("record")))
               .withColumn("shard", _shard_of(uppers, parts))
-              .repartition(max(1, sum(parts) + 1), "shard")
+              .repartition(4 * (sum(parts) + 1), "shard")  # more tasks than shards: few tasks get two
               .sortWithinPartitions("shard", "page_id", "digest", "url"))
     placed = placed.select("shard", "page_id", "url", "digest", "payload_bytes", "refers_to", "record")
     manifest = saved(placed.mapInArrow(_writer(path, file_bytes), MANIFEST), "warc-manifest")
