@@ -193,7 +193,7 @@ def fe_lags(df: DataFrame, value: str, order: str, lags: int = 12, series: list[
             drop_incomplete: bool = True, method: str = "join") -> DataFrame:
     """lag_1..lag_k of ``value`` per series ordered by ``order``; rows with a missing lag dropped.
 
-    ``method="window"`` is a per-series window (fine for many small series).
+    ``method="window"`` is a per-series window (for many small series).
     ``method="join"`` is skew-safe: exact positions come from the bucketed running
     count per series and each row is joined to the rows 1..k positions earlier on
     (series, position), so even a series holding a third of all rows is spread
