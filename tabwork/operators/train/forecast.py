@@ -123,7 +123,7 @@ def forecast_lag_ridge(series: DataFrame, lags: int = 12, horizon: int = 12, reg
 
 def forecast_lag_gbm(series: DataFrame, lags: int = 12, horizon: int = 12, max_iter: int = 100) -> DataFrame:
     """Direct multi-step GBT: one model per horizon h on (lags -> y shifted by h)."""
-    rows = lag_rows(series, lags)
+    rows = kept(lag_rows(series, lags))  # read once per horizon
     cols = [f"lag_{i}" for i in range(1, lags + 1)]
     w = Window.partitionBy("series").orderBy("ts")
     va = VectorAssembler(inputCols=cols, outputCol="features")
