@@ -4,7 +4,8 @@ The pages of a host are merged into one tree: a node is a path of elements (tag,
 digits aside).  Over the pages that contain a node, Spark counts the variants of its inner structure
 (presentation) and of its text (content); the entropy of either, relative to its maximum, is its
 importance.  A branch that looks and reads the same on page after page has importance near zero and
-is removed from every page of the host.  Elements whose name, role or class states that they are no
+is removed from the pages of the host, except from a page of whose text it holds most: pages of equal
+text count as one page, and a text that many pages share is still a text.  Elements whose name, role or class states that they are no
 article text (menus, forms, adverts, comments, ...) have importance zero from the start, because
 such a part may well change from page to page and no entropy shows it.  Plain prose elements inside
 an article are never removed for being alike: copies of an article are still articles.
@@ -13,13 +14,14 @@ If a page has article or main elements that keep any text, only their text count
 
 Defined cases: null or empty html has no text; a page without tags is one block; pages without url
 form one host of their own; unclosed elements, stray end tags and cut-off pages are read as far as
-they go; repeated pages count as pages; an empty table gives an empty result; other columns are
+they go; repeated pages are one page of the tree and a row each of the result; an empty table gives an empty result; other columns are
 not read.
 """
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -190,23 +192,35 @@ class Parser:
 
     def facts(self, page: str) -> list[tuple[int, bool, int, int]]:
         """(path, whether entropy decides on it, structure hash, content hash) of the nodes of a page."""
+        return self.signed_facts(page)[1]
+
+    def signed_facts(self, page: str) -> tuple[int, list[tuple[int, bool, int, int]]]:
+        """Hash of all candidate text, digits aside, and the facts."""
         blocks, children = self.blocks(page)
+        whole = xxhash.xxh64()
         texts: dict[int, xxhash.xxh64] = {}
         free: dict[int, bool] = {}
-        for text, _, stack in blocks:
+        for text, good, stack in blocks:
             seen = DIGITS("#", text)
+            if good:
+                whole.update(seen + "\n")
             for e in stack[1:]:
                 if e.path not in texts:
                     texts[e.path] = xxhash.xxh64()
                     free[e.path] = not (e.plain or e.drop or e.tag in ("html", "body"))
                 texts[e.path].update(seen)
-        return [(path, free[path], xxhash.xxh64_intdigest("|".join(children.get(path, []))) & MASK, h.intdigest() & MASK)
-                for path, h in texts.items()]
+        return whole.intdigest() & MASK, [(path, free[path], xxhash.xxh64_intdigest("|".join(children.get(path, []))) & MASK, h.intdigest() & MASK)
+                                          for path, h in texts.items()]
 
     def text(self, page: str, low: frozenset) -> str:
-        """The page's main text, without the branches ``low``."""
-        kept = [(text, stack[-1].main) for text, good, stack in self.blocks(page)[0]
-                if good and (not low or not any(x.path in low for x in stack))]
+        """The page's main text, without those of the branches ``low`` that hold less than most of it."""
+        blocks = [(text, stack) for text, good, stack in self.blocks(page)[0] if good]
+        if low:
+            most = _most(blocks, low)
+            # the outermost branch decides
+            blocks = [(text, stack) for text, stack in blocks
+                      if next((e.path in most for e in stack if e.path in low), True)]
+        kept = [(text, stack[-1].main) for text, stack in blocks]
         if any(main for _, main in kept):
             kept = [(text, main) for text, main in kept if main]
         return "\n\n".join(text for text, _ in kept)
@@ -215,35 +229,50 @@ class Parser:
 _ENDS_OF = {t: re.compile(f"</{t}(?=[\\s/>])", re.I) for t in RAW}
 
 
+def _most(blocks: list[tuple[str, tuple]], paths: frozenset) -> set[int]:
+    """Those of the paths that hold more than half of the blocks' text."""
+    held = Counter()
+    for text, stack in blocks:
+        for path in {e.path for e in stack if e.path in paths}:
+            held[path] += len(text)
+    total = sum(len(text) for text, _ in blocks)
+    return {path for path, n in held.items() if 2 * n > total}
+
+
 def _text(value) -> str:
     return value.as_py() if value.is_valid else ""
 
 
 def importances(pages: DataFrame) -> DataFrame:
-    """(host, path, free, pages, importance) of the nodes of every host's tree.
+    """(host, path, free, pages, copies, importance) of the nodes of every host's tree.
 
     ``pages`` has host and html.  ``free`` nodes are those that entropy decides on.  Variants are
-    counted first, so a host with a third of all pages is a few counts per task.
+    counted first, so a host with a third of all pages is a few counts per task.  Pages of equal text
+    are one page (``copies`` counts all): mirrors, print versions and repeated rows say nothing about a site's template.
     """
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser()
         for batch in batches:
-            rows = [(host, *fact) for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
-                    for fact in parser.facts(_text(page))]
+            rows = []
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                whole, found = parser.signed_facts(_text(page))
+                rows += [(host, whole, *fact) for fact in found]
             if rows:
-                kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
-                                                 ["host", "path", "free", "structure", "content"])
+                                                 ["host", "whole", "path", "free", "structure", "content"])
 
-    seen = pages.select("host", "html").mapInArrow(facts, "host string, path long, free boolean, structure long, content long")
-    variants = seen.select("host", "path", "free", F.posexplode(F.array("structure", "content")).alias("kind", "variant"))
+    facts_of_all = pages.select("host", "html").mapInArrow(facts, "host string, whole long, path long, free boolean, structure long, content long")
+    seen = (facts_of_all.groupBy("host", "whole", "path", "free")
+            .agg(F.min("structure").alias("structure"), F.min("content").alias("content"), F.count("*").alias("copies")))
+    variants = seen.select("host", "path", "free", "copies", F.posexplode(F.array("structure", "content")).alias("kind", "variant"))
     node = ["host", "path", "free", "kind"]
-    counts = variants.groupBy(*node, "variant").agg(F.count("*").alias("c"))
-    sums = counts.groupBy(*node).agg(F.sum("c").alias("pages"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
+    counts = variants.groupBy(*node, "variant").agg(F.count("*").alias("c"), F.sum("copies").alias("copies"))
+    sums = counts.groupBy(*node).agg(F.sum("c").alias("pages"), F.sum("copies").alias("copies"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
     entropy = F.when(F.col("pages") > 1, 1 - F.col("clogc") / (F.col("pages") * F.log("pages"))).otherwise(1.0)
     weight = F.when(F.col("kind") == 1, CONTENT_WEIGHT).otherwise(1 - CONTENT_WEIGHT)
     return (sums.groupBy("host", "path", "free")
-            .agg(F.max("pages").alias("pages"), F.sum(weight * entropy).alias("importance")))
+            .agg(F.max("pages").alias("pages"), F.max("copies").alias("copies"), F.sum(weight * entropy).alias("importance")))
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -253,7 +282,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                           F.col(html_col).cast("string").alias("html"), host.alias("host"))
     tree = importances(source)
     low = (tree.filter(F.col("free") & (F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
-           .groupBy("host").agg(F.collect_list("path").alias("low"), F.max("pages").alias("n")))
+           .groupBy("host").agg(F.collect_list("path").alias("low"), F.max("copies").alias("n")))
     found = lookup(source, "host", saved(low, "low-branches"), "low", "n", source.count(), ["page_id", "url"])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -91,3 +91,18 @@ def test_query(spark, sf):
         article = r.html[r.html.index("<article>") + 9:r.html.index("</article>")]
         parts = [" ".join(html.unescape(re.sub("<[^>]*>", " ", x)).split()) for x in re.split("</?(?:p|h1)>", article)]
         assert got[r.page_id].text == "\n\n".join(x for x in parts if x)
+
+
+def test_copies_on_a_host_keep_their_text(spark):
+    page = "<body><div class=content><p>{}</p><p>It goes on for a while.</p></div><div class=tail>Made by us</div></body>"
+    rows = [(i, f"http://c.example/?utm={i}", page.format("The same story on every mirror.")) for i in range(1000)]
+    rows += [(1000 + i, f"http://c.example/{i}", page.format(f"Story {w}, found only here.")) for i, w in enumerate("abcdef")]
+    # near-copies: the text is equal, a line beside it differs, so the pages are distinct
+    near = "<body><div class=x><div class=line>by {}</div><div class=content><p>One text on all pages of this host, of some length.</p></div></div></body>"
+    rows += [(2000 + i, f"http://d.example/{i}", near.format(c)) for i, c in enumerate("abcdefghij")]
+    got = {r.page_id: r.text for r in sitetree.extracted(frame(spark, rows)).collect()}
+    assert all(got[i] == "The same story on every mirror.\n\nIt goes on for a while." for i in range(1000))
+    for i, w in enumerate("abcdef"):
+        assert got[1000 + i] == f"Story {w}, found only here.\n\nIt goes on for a while."
+    for i, c in enumerate("abcdefghij"):
+        assert got[2000 + i] == f"by {c}\n\nOne text on all pages of this host, of some length."
