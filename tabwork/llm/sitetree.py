@@ -5,12 +5,16 @@ digits aside).  Over the pages that contain a node, Spark counts the variants of
 (presentation) and of its text (content); the entropy of either, relative to its maximum, is its
 importance.  A branch that looks and reads the same on page after page has importance near zero and
 is removed from the pages of the host, except from a page of whose text it holds most: pages of equal
-text count as one page, and a text that many pages share is still a text.  Elements whose name, role or class states that they are no
-article text (menus, forms, adverts, comments, ...) have importance zero from the start, because
-such a part may well change from page to page and no entropy shows it.  Plain prose elements inside
+text count as one page, and a text that many pages share is still a text.  Elements whose tag or role
+states that they are no article text (menus, forms, ...) have importance zero from the start, because
+such a part may well change from page to page and no entropy shows it.  A class or id that states so
+(adverts, comments, ...) is a prior only: layout wrappers bear such names too, so the branch stays if
+it holds most of the page's text, NAMED_ODDS times that of the unnamed text around it, and its
+importance is not low.  Plain prose elements inside
 an article are never removed for being alike: copies of an article are still articles.
 
-If a page has article or main elements that keep any text, only their text counts.
+If a page has article or main elements that keep any text, only their text counts, unless a branch
+beside them holds most of the kept text: then they are teasers, and all kept text counts.
 
 Defined cases: null or empty html has no text; a page without tags is one block; pages without url
 form one host of their own; unclosed elements, stray end tags and cut-off pages are read as far as
@@ -34,6 +38,7 @@ from .common import lookup, saved, table
 LEAST_PAGES = 5       # pages of a host that must hold a node before it can be judged
 LEAST_IMPORTANCE = 0.2
 CONTENT_WEIGHT = 0.9  # of content importance; the rest is presentation
+NAMED_ODDS = 4        # a branch named like boilerplate must hold so many times the unnamed text around it
 MASK = (1 << 63) - 1
 
 # Names below are fixed values.
@@ -67,7 +72,7 @@ NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 class _Element:
     """What the parser has to know about an opening tag below a given path."""
 
-    __slots__ = ("tag", "path", "sign", "drop", "main", "plain", "head")
+    __slots__ = ("tag", "path", "sign", "drop", "named", "main", "plain", "head")
 
 
 class Parser:
@@ -77,7 +82,7 @@ class Parser:
         self.memo: dict = {}
 
     def _element(self, above: _Element | None, tag: str, attributes: str) -> _Element:
-        key = (above.path if above else 0, above.drop if above else False, tag, attributes)
+        key = (above.path if above else 0, above.drop if above else False, above.named if above else (), tag, attributes)
         found = self.memo.get(key)
         if found is not None:
             return found
@@ -102,8 +107,9 @@ class Parser:
         e.main = (above.main if above else False) or tag in ("article", "main") or role in ("main", "article")
         e.head = (above.head if above else False) or tag == "header" or not whole and bool(parts & HEAD_NAMES)
         named = bool(parts & NO_TEXT_NAMES) and (not whole or tag == "article" and bool(parts & {"comment", "comments", "reply"}))
-        e.drop = ((above.drop if above else False) or hidden or tag in NO_TEXT or role in NO_TEXT_ROLES or named
-                  or e.head and not e.main)
+        e.drop = (above.drop if above else False) or hidden or tag in NO_TEXT or role in NO_TEXT_ROLES or e.head and not e.main
+        # branches named like boilerplate, the outermost first
+        e.named = (above.named if above else ()) + ((e.path,) if named else ())
         # plain prose below an article or main element
         e.plain = e.main and (tag in ("article", "main") or (above.plain if above else False) and tag in PROSE and not names)
         if len(self.memo) > 200_000:
@@ -112,7 +118,7 @@ class Parser:
         return e
 
     def blocks(self, page: str) -> tuple[list[tuple[str, bool, tuple]], dict[int, list[str]]]:
-        """(text, whether it may be article text, elements around it) of every block; children by path."""
+        """(text, whether it may be article text, names aside, elements around it) of every block; children by path."""
         stack: list[_Element] = [self._element(None, "#page", "")]
         out, pieces, children = [], [], {}
         at = 0
@@ -160,7 +166,7 @@ class Parser:
             if tag in INLINE:
                 if attributes and tag not in VOID:
                     e = self._element(stack[-1], tag, attributes)
-                    if e.drop and not stack[-1].drop:  # an inline advert, a share link
+                    if e.drop and not stack[-1].drop or len(e.named) > len(stack[-1].named):  # an inline advert, a share link
                         flush()
                         stack.append(e)
                 continue
@@ -195,14 +201,14 @@ class Parser:
         return self.signed_facts(page)[1]
 
     def signed_facts(self, page: str) -> tuple[int, list[tuple[int, bool, int, int]]]:
-        """Hash of all candidate text, digits aside, and the facts."""
+        """Hash of all unnamed candidate text (if there is none, of all candidate text), digits aside, and the facts."""
         blocks, children = self.blocks(page)
-        whole = xxhash.xxh64()
+        whole, unnamed = xxhash.xxh64(), any(good and not stack[-1].named for _, good, stack in blocks)
         texts: dict[int, xxhash.xxh64] = {}
         free: dict[int, bool] = {}
         for text, good, stack in blocks:
             seen = DIGITS("#", text)
-            if good:
+            if good and not (unnamed and stack[-1].named):
                 whole.update(seen + "\n")
             for e in stack[1:]:
                 if e.path not in texts:
@@ -215,13 +221,15 @@ class Parser:
     def text(self, page: str, low: frozenset) -> str:
         """The page's main text, without those of the branches ``low`` that hold less than most of it."""
         blocks = [(text, stack) for text, good, stack in self.blocks(page)[0] if good]
+        good = _unnamed(blocks, low)
+        blocks = [(text, stack) for text, stack in blocks if good.issuperset(stack[-1].named)]
         if low:
             most = _most(blocks, low)
             # the outermost branch decides
             blocks = [(text, stack) for text, stack in blocks
                       if next((e.path in most for e in stack if e.path in low), True)]
         kept = [(text, stack[-1].main) for text, stack in blocks]
-        if any(main for _, main in kept):
+        if any(main for _, main in kept) and not _beside(blocks):
             kept = [(text, main) for text, main in kept if main]
         return "\n\n".join(text for text, _ in kept)
 
@@ -239,6 +247,32 @@ def _most(blocks: list[tuple[str, tuple]], paths: frozenset) -> set[int]:
     return {path for path, n in held.items() if 2 * n > total}
 
 
+def _unnamed(blocks: list[tuple[str, tuple]], low: frozenset) -> set[int]:
+    """Branches named like boilerplate that hold the page's text all the same."""
+    paths = frozenset(path for _, stack in blocks for path in stack[-1].named)
+    if not paths:
+        return set()
+    found = set()
+    for path in _most(blocks, paths):
+        if path in low:
+            continue
+        chain = next(e.named for _, stack in blocks for e in stack if e.path == path)
+        inside = sum(len(text) for text, stack in blocks if any(e.path == path for e in stack))
+        # as good by name as the place where the branch stands
+        around = sum(len(text) for text, stack in blocks
+                     if stack[-1].named == chain[:len(stack[-1].named)] and len(stack[-1].named) < len(chain))
+        if inside >= NAMED_ODDS * around:
+            found.add(path)
+    return found
+
+
+def _beside(blocks: list[tuple[str, tuple]]) -> bool:
+    """Whether one branch without article or main elements holds most of the text."""
+    around = {e.path for _, stack in blocks if stack[-1].main for e in stack}
+    paths = frozenset(e.path for _, stack in blocks if not stack[-1].main for e in stack) - around
+    return bool(paths and _most(blocks, paths))
+
+
 def _text(value) -> str:
     return value.as_py() if value.is_valid else ""
 

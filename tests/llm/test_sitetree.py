@@ -106,3 +106,21 @@ def test_copies_on_a_host_keep_their_text(spark):
         assert got[1000 + i] == f"Story {w}, found only here.\n\nIt goes on for a while."
     for i, c in enumerate("abcdefghij"):
         assert got[2000 + i] == f"by {c}\n\nOne text on all pages of this host, of some length."
+
+
+def test_names_are_a_prior_only(spark):
+    story = "<p>A long story begins on this page.</p><p>It goes on, and ends in a second paragraph.</p>"
+    want = "A long story begins on this page.\n\nIt goes on, and ends in a second paragraph."
+    side = "<div class=sidebar>side</div><nav>menu</nav>"
+    assert text(f"<div id=page class='layout sidebar-right'>{side}<div class=content>{story}</div></div>") == want
+    assert text(f"<div class='related-work'>{story}</div><div class=ad>buy</div>") == want
+    # beside an article such a branch stays out, and so do the small ones within a wrapper
+    assert text(f"<article>{story}</article><div class=comments>{story * 2}</div>") == want
+    assert text(f"<div class='layout sidebar-right'><article>{story}</article><div class=comments>{story * 2}</div></div>") == want
+    # elements that are no text by tag stay out whatever they hold
+    assert text(f"<nav>{story * 9}</nav><p>text</p>") == "text"
+    cards = "<article><h2>More</h2></article><article><h2>And more</h2></article>"
+    assert text(f"<div class=content>{story}</div>{cards}").startswith(want)
+    # a named branch that reads the same on every page is boilerplate, however long
+    rows = [(i, f"http://e.example/{i}", f"<div class=sidebar>{story}</div><div class=x><p>{c * 15}</p></div>") for i, c in enumerate("abcdefgh")]
+    assert {r.text for r in sitetree.extracted(frame(spark, rows)).collect()} == {c * 15 for c in "abcdefgh"}
