@@ -3,9 +3,7 @@
 Centres are fitted on a bounded sample (SAMPLE vectors); every vector is then placed in the cell of
 its nearest centre, and also visits each cell whose boundary is closer than a margin.  Two vectors
 with cosine >= c lie at most d = sqrt(2 - 2c) apart, so of a linked pair parted by a boundary one is
-within d/2 of it: with margin d/2 no link is lost.  In many dimensions a pair is spread over all of
-them and seldom moves far along one direction, so the margin is d/2 * min(1, REACH / sqrt(dims)).
-Vectors of up to REACH^2 dimensions lose no link; for more, recall is measured in tests/llm.
+within d/2 of it: with margin d/2 no link is lost, in any number of dimensions.
 
 Equal vectors of a label are one class before the search.  Inside a cell and label, classes are dealt to
 blocks of about BLOCK, and a task multiplies one block by another, so a dense cell is many tasks.
@@ -36,12 +34,12 @@ SAMPLE = 20_000     # vectors the centres are fitted on
 PER_CELL = 1024     # vectors a cell should hold
 CELLS = 4096        # most centres; denser cells are split into blocks
 BLOCK = 1024        # classes on either side of one product
-REACH = 4.3
 SEED = 7
 
 
-def margin(cosine: float, dims: int) -> float:
-    return float(np.sqrt(2 - 2 * cosine) / 2 * min(1.0, REACH / np.sqrt(dims)))
+def margin(cosine: float) -> float:
+    """Half the distance of the farthest linked vectors, rounding allowed for."""
+    return float(np.sqrt(2 - 2 * cosine) / 2 + 1e-9)
 
 
 def _centres(classes: DataFrame, n: int) -> np.ndarray:
@@ -170,7 +168,7 @@ def groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     met = None
     for dims, n in [(r.dims, r.n) for r in classes.groupBy(F.size("vec").alias("dims")).agg(F.count("*").alias("n")).collect()]:
         some = classes.filter(F.size("vec") == dims).select("node", "label", "n", "vec")
-        placed = saved(_placed(some, _centres(some, n), margin(cosine, dims)), "placed")
+        placed = saved(_placed(some, _centres(some, n), margin(cosine)), "placed")
         part = _met(placed, cosine, block)
         met = part if met is None else met.union(part)
     if met is None:

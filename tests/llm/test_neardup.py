@@ -82,6 +82,14 @@ def test_recall_in_many_dimensions(spark, monkeypatch):
     assert sum(got.values()) >= 0.99 * sum(want.values())
 
 
+def test_no_link_is_lost_among_vectors_of_low_rank(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PER_CELL", 20)
+    r = np.random.default_rng(6)
+    x = r.normal(size=(600, 3)) @ np.linalg.qr(r.normal(size=(64, 3)))[0].T  # differences along three directions
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    assert run(spark, rows) == brute(rows)
+
+
 def test_empty(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, None, 3)]) == [(1, 0, 1, True)]
