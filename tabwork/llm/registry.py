@@ -1,7 +1,7 @@
 """Queries of the training-data operators and the SQL of those that SQL can express."""
 from __future__ import annotations
 
-from . import decontam, langid, mixing, neardup, packing, sharding, simhash, sitetree, toxicity, warc
+from . import alignment, centroids, decontam, langid, mixing, neardup, packing, sharding, simhash, sitetree, toxicity, warc
 
 
 def llm_queries():
@@ -16,6 +16,8 @@ def llm_queries():
         "op8_jump_sharding": sharding.op8_jump_sharding,
         "op9_counterfactual_toxicity": toxicity.op9_counterfactual_toxicity,
         "op10_mixture_langid": langid.op10_mixture_langid,
+        "op12_token_alignment": alignment.op12_token_alignment,
+        "op13_integer_centroids": centroids.op13_integer_centroids,
     }
 
 
@@ -24,4 +26,5 @@ def llm_oracles():
         "op3_suffix_decontamination": decontam.OP3_SQL,
         "op4_warc_writer": warc.OP4_SQL,
         "op5_spherical_cells": neardup.OP5_SQL,
+        "op13_integer_centroids": centroids.OP13_SQL,
     }
