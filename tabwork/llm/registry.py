@@ -1,7 +1,7 @@
 """Queries of the training-data operators and the SQL of those that SQL can express."""
 from __future__ import annotations
 
-from . import alignment, centroids, decontam, langid, mixing, neardup, packing, sharding, simhash, sitetree, toxicity, warc
+from . import alignment, centroids, decontam, langid, mixing, neardup, packing, preference, sharding, simhash, sitetree, toxicity, warc
 
 
 def llm_queries():
@@ -16,6 +16,7 @@ def llm_queries():
         "op8_jump_sharding": sharding.op8_jump_sharding,
         "op9_counterfactual_toxicity": toxicity.op9_counterfactual_toxicity,
         "op10_mixture_langid": langid.op10_mixture_langid,
+        "op11_pairwise_quality": preference.op11_pairwise_quality,
         "op12_token_alignment": alignment.op12_token_alignment,
         "op13_integer_centroids": centroids.op13_integer_centroids,
     }
