@@ -1,8 +1,8 @@
 """Centroid clustering in integers: Lloyd rounds as JVM expressions.
 
 Vectors become arrays of whole numbers, floor(SCALE * x).  In each round zip_with and aggregate give a
-vector's squared distance to every centroid, the centroids standing in the plan as literal arrays;
-array_min over structs (distance, number) chooses the nearest, ties the smaller number.  Then one
+vector's squared distance to every centroid, |x|^2 - 2 x.c + |c|^2, the centroids standing in the plan as
+literal arrays; array_min over structs (distance, number) chooses the nearest, ties the smaller number.  Then one
 aggregation sums each component by cluster, inside generated code, and the driver divides: it sees
 k rows of sums per salt and nothing else.  All arithmetic is exact, so the result does not depend on
 partitions or on the order of rows.
@@ -54,14 +54,18 @@ class Clustering:
 
 
 def whole_numbers(df: DataFrame, id_col: str, vec_col: str, dims: int = DIMS, scale: int = SCALE) -> DataFrame:
-    """(id, x) of the vectors with exactly ``dims`` finite components, as arrays of whole numbers."""
+    """(id, x, own) of the vectors with exactly ``dims`` finite components, as arrays of whole numbers; own = |x|^2."""
     raw = F.col(vec_col).cast("array<double>")
     infinite = F.lit(float("inf"))
     whole = raw.isNotNull() & (F.size(raw) == dims) & F.forall(
         raw, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < infinite), F.lit(False)))
     most = largest(dims)
     number = F.transform(raw, lambda v: F.floor(F.greatest(F.lit(float(-most)), F.least(F.lit(float(most)), v * scale))))
-    return df.filter(whole).select(F.col(id_col).alias("id"), number.alias("x"))
+    return df.filter(whole).select(F.col(id_col).alias("id"), number.alias("x")).withColumn("own", _product(F.col("x"), F.col("x")))
+
+
+def _product(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0).cast("long"), lambda s, v: s + v)
 
 
 def first_centroids(numbers: DataFrame, k: int, seed: int = SEED) -> list[list[int]]:
@@ -71,14 +75,14 @@ def first_centroids(numbers: DataFrame, k: int, seed: int = SEED) -> list[list[i
     return [list(r.x) for r in best.collect()]
 
 
-def nearest(x: Column, centroids: list[list[int]]) -> Column:
+def nearest(centroids: list[list[int]], x: str = "x", own: str = "own") -> Column:
     """struct(distance, cluster) of the nearest centroid."""
     # one literal for all centroids: as SQL text it is parsed at once, as columns it is thousands of calls to the JVM
-    every = F.expr("array(" + ",".join("array(" + ",".join(f"{v}L" for v in c) + ")" for c in centroids) + ")")
-    zero = F.lit(0).cast("long")
+    named = [f"named_struct('x',array({','.join(f'{v}L' for v in c)}),'own',{sum(v * v for v in c)}L)" for c in centroids]
+    every = F.expr(f"array({','.join(named)})")
 
     def distance(c: Column) -> Column:
-        return F.aggregate(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), zero, lambda s, v: s + v)
+        return F.col(own) - F.lit(2).cast("long") * _product(F.col(x), c["x"]) + c["own"]
 
     return F.array_min(F.transform(every, lambda c, i: F.struct(distance(c).alias("distance"), i.alias("cluster"))))
 
@@ -86,7 +90,7 @@ def nearest(x: Column, centroids: list[list[int]]) -> Column:
 def _moved(numbers: DataFrame, centroids: list[list[int]]) -> list[list[int]]:
     """The centroids after one round: componentwise floor(sum / count) of the vectors nearest to each."""
     dims = len(centroids[0])
-    placed = numbers.select("x", nearest(F.col("x"), centroids)["cluster"].alias("cluster"),
+    placed = numbers.select("x", nearest(centroids)["cluster"].alias("cluster"),
                             F.pmod(F.xxhash64("id", "x"), F.lit(SALTS)).alias("salt"))
     sums = placed.groupBy("cluster", "salt").agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(dims)])
@@ -108,7 +112,7 @@ def clustered(df: DataFrame, id_col: str, vec_col: str, k: int = CLUSTERS, round
         return Clustering(none, [], [])
     for _ in range(rounds):
         centroids = _moved(numbers, centroids)
-    best = numbers.select("id", nearest(F.col("x"), centroids).alias("best"))
+    best = numbers.select("id", nearest(centroids).alias("best"))
     rows = saved(best.select("id", F.col("best.cluster").alias("cluster"), F.col("best.distance").alias("distance")), "clusters")
     inertias = [0] * len(centroids)
     # a sum of longs in decimals cannot overflow

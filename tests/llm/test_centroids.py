@@ -79,6 +79,6 @@ def test_empty(spark):
 def test_plan_is_jvm_only(spark, sf):
     numbers = C.whole_numbers(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding")
     start = C.first_centroids(numbers, 5)
-    plan = numbers.select(C.nearest(numbers.x, start)["cluster"].alias("cluster"), "x").groupBy("cluster").agg({"cluster": "count"})
+    plan = numbers.select(C.nearest(start)["cluster"].alias("cluster"), "x").groupBy("cluster").agg({"cluster": "count"})
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text and "Arrow" not in text and "Pandas" not in text
