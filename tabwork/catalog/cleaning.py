@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from ..operators import clean as C
 from ..operators import profile as P
 from ..plans import cleaning as CP
-from .inputs import (LINEITEM_CLEAN_SRC_SQL, LINEITEM_OUTL_COLS, LINEITEM_OUTL_SQL,
+from ..operators.impute import DECIMALS, knn_impute
+from .inputs import (GAPPY, LINEITEM_CLEAN_SRC_SQL, LINEITEM_GAPPY_SQL, lineitem_gappy, LINEITEM_OUTL_COLS, LINEITEM_OUTL_SQL,
                      lineitem_clean_src, lineitem_outl, rounded)
 
 SRC = f"({LINEITEM_CLEAN_SRC_SQL})"
@@ -158,7 +159,38 @@ def _single_sql(col, expr, stats="", where=""):
     return f"SELECT rid, {_sel([col], {col: expr})} FROM {frm}{w}"
 
 
+def q_clean_knn_impute(spark, d):
+    return rounded(knn_impute(lineitem_gappy(spark, d), GAPPY, k=KNN))
+
+
+KNN = 5
+
+
+def _knn_sql():
+    """Every row with a gap against every donor: distances over shared columns by range, ties of the k-th included."""
+    ranges = ", ".join(f"max({c}) - min({c}) AS r_{c}" for c in GAPPY)
+    scaled = ", ".join(f"{c} / nullif(r_{c}, 0) AS v_{c}" for c in GAPPY)
+    gap = lambda c: f"(a.v_{c} - b.v_{c}) * (a.v_{c} - b.v_{c})"
+    total = " + ".join(f"coalesce({gap(c)}, 0)" for c in GAPPY)
+    shared = " + ".join(f"(a.v_{c} IS NOT NULL AND b.v_{c} IS NOT NULL)::INTEGER" for c in GAPPY)
+    d2 = f"round(({total}) * ({len(GAPPY)}.0::DOUBLE / ({shared})), {DECIMALS})"
+    parts, filled = [], []
+    for c in GAPPY:
+        # equal donors are one, with a count and a sum: what is summed does not change
+        donors = f"SELECT {', '.join(f'v_{o}' for o in GAPPY if o != c)}, NULL::DOUBLE AS v_{c}, count(*) AS m, sum({c}) AS s FROM v WHERE {c} IS NOT NULL GROUP BY ALL"
+        parts.append(f"""p_{c} AS (SELECT rid, d2, sum(m) AS m, sum(s) AS s FROM (SELECT a.rid, {d2} AS d2, b.m, b.s
+  FROM (SELECT * FROM v WHERE {c} IS NULL) a JOIN ({donors}) b ON ({shared}) > 0) GROUP BY rid, d2),
+f_{c} AS (SELECT rid, sum(s) / sum(m) AS f FROM (SELECT *, coalesce(sum(m) OVER (PARTITION BY rid ORDER BY d2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM p_{c}) WHERE before < {KNN} GROUP BY rid)""")
+        filled.append(f"round(coalesce(v.{c}, (SELECT f FROM f_{c} WHERE f_{c}.rid = v.rid), (SELECT median({c}) FROM v)), 5) AS {c}")
+    return f"""
+WITH g AS MATERIALIZED ({LINEITEM_GAPPY_SQL}), r AS (SELECT {ranges} FROM g), v AS MATERIALIZED (SELECT g.*, {scaled} FROM g, r),
+{", ".join(parts)}
+SELECT rid, {", ".join(filled)} FROM v"""
+
+
 QUERIES = {
+    "clean_knn_impute": q_clean_knn_impute,
     "clean_plan": q_clean_plan,
     "clean_apply": q_clean_apply,
     "stage_audit": q_stage_audit,
@@ -180,6 +212,7 @@ QUERIES = {
 _Q = "SELECT quantile_cont(l_price_outl, 0.25) AS q1, quantile_cont(l_price_outl, 0.75) AS q3 FROM " + OUTL
 _B = f"SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM ({_Q})"
 ORACLE = {
+    "clean_knn_impute": _knn_sql(),
     "clean_plan": _plan_sql(),
     "clean_apply": CLEAN_APPLY_SQL,
     "stage_audit": AUDIT_SQL,

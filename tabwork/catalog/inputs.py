@@ -65,6 +65,20 @@ LINEITEM_DIRTY_COLS = [
 ]
 
 
+# --- lineitem measures with values missing alone, together and in whole rows
+GAPPY = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_GAPS = {"l_quantity": "h % 211 = 0", "l_extendedprice": "h % 307 = 0 OR h % 401 = 1", "l_discount": "h % 401 < 2", "l_tax": "h % 503 = 0 OR h % 401 = 0"}
+_GAPPY = ", ".join(f"CASE WHEN {_GAPS[c]} OR h % 1999 = 0 THEN NULL ELSE {c} END AS {c}" for c in GAPPY)
+# the remainder of a product of the keys stands for a draw; the same text in both dialects
+LINEITEM_GAPPY_SQL = f"SELECT rid, {_GAPPY} FROM (SELECT *, {LI_RID} AS rid, (l_orderkey * 7919 + l_partkey * 104729 + l_linenumber * 31) % 1000003 AS h FROM lineitem)"
+
+
+def lineitem_gappy(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem").withColumn("rid", F.expr(LI_RID))
+    return (li.withColumn("h", F.expr("(l_orderkey * 7919 + l_partkey * 104729 + l_linenumber * 31) % 1000003"))
+            .select("rid", *[F.expr(f"CASE WHEN {_GAPS[c]} OR h % 1999 = 0 THEN NULL ELSE {c} END").alias(c) for c in GAPPY]))
+
+
 # --- lineitem with exact duplicate rows appended (every 7th line number repeated)
 def lineitem_with_dups(spark: SparkSession, d: str) -> DataFrame:
     li = lineitem_dirty(spark, d)

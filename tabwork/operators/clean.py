@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import column_quantiles, nan_to_null, q
 from ..functions.ordered import fill_nulls_ordered
+from .impute import knn_impute
 
 STRATEGIES = {"drop_column", "mean_impute", "median_impute", "mode_impute", "forward_fill",
-              "backward_fill", "constant_fill", "clip_outliers", "remove_outliers", "drop_rows", "none"}
+              "backward_fill", "constant_fill", "clip_outliers", "remove_outliers", "drop_rows", "knn_impute", "none"}
 ROW_REMOVING = {"remove_outliers", "drop_rows"}
 NEEDS_STATS = {"mean_impute": ["mean"], "median_impute": ["median"], "clip_outliers": ["q1", "q3"],
                "remove_outliers": ["q1", "q3"], "mode_impute": ["mode"]}
@@ -160,6 +161,8 @@ def _apply_one(df: DataFrame, a: Action, st: dict, order_by, partition_by) -> Da
         return df if lo is None else df.where((col >= lo) & (col <= hi))
     if s == "drop_rows":
         return df.dropna(subset=[c])
+    if s == "knn_impute":
+        return knn_impute(df, wanted=[c])
     return df
 
 

@@ -69,13 +69,29 @@ def _split(leaf: int):
             near = squared(x, centres).argmin(axis=1)
             used = np.unique(near)
             centres = np.unique(np.stack([x[near == c].mean(axis=0) for c in used]), axis=0)
-        return pd.DataFrame({"node": [key[0]], "centres": [centres.ravel().tolist()]})
+        return pd.DataFrame({"node": [key[0]], "dims": [x.shape[1]], "centres": [centres.ravel().tolist()]})
 
     return split
 
 
-def _centres(flat: np.ndarray, dims: int) -> np.ndarray:
-    return np.asarray(flat, float).reshape(-1, dims)
+def _centres(node: pd.Series) -> np.ndarray:
+    return np.asarray(node.centres, float).reshape(-1, int(node.dims))
+
+
+def _via(enough):
+    """For each child, how far beyond its centre enough points of the node are certain to lie."""
+    def look(batches):
+        for frame in batches:
+            found = []
+            for _, node in frame.iterrows():
+                radius, n, w = (np.asarray(node[c], float) for c in ("radius", "many", "w"))
+                middle = _centres(node)[np.asarray(node["at"], int)]
+                reach = np.sqrt(squared(middle, middle)) + radius  # of every child, from every centre
+                all_ = reach.max(axis=1) if enough(n.sum(), w.sum()) else np.full(len(n), np.inf)
+                found.append(np.minimum(all_, np.where(enough(n, w), reach, np.inf).min(axis=1)).tolist())
+            yield frame.assign(via=found)
+
+    return look
 
 
 def _met(asking: DataFrame, nodes: DataFrame, meet, schema: str) -> DataFrame:
@@ -92,14 +108,13 @@ def _met(asking: DataFrame, nodes: DataFrame, meet, schema: str) -> DataFrame:
     return dealt.groupBy("node", "block").cogroup(copies.groupBy("node", "block")).applyInPandas(task, schema)
 
 
-def build(points: DataFrame, leaf: int = LEAF, enough=None) -> Tree:
+def build(points: DataFrame, leaf: int = LEAF, enough=lambda n, w: n < 0) -> Tree:
     """The tree of ``points`` (pid, x, m and any other columns; ``root`` if there are several trees).
 
-    ``enough`` is a condition on (n, w), a node's points and their multiplicity; ``up`` of a point is the
-    bound |x - centre| + radius of its smallest node that meets it: all the node's points are that near.
+    ``enough(n, w)`` says, in numpy, whether n points of multiplicity w are as many as a search wants;
+    ``up`` of a point is a distance within which there are so many, null where its root is a leaf.
     """
     named = points.withColumn("node", F.col("root") if "root" in points.columns else F.lit("0"))
-    enough = F.lit(False) if enough is None else enough
     current = kept(named.withColumn("up", F.lit(None).cast("double")))
     sizes = kept(current.groupBy("node").agg(F.count(F.lit(1)).alias("n")))
     big = F.col("n") > leaf
@@ -109,14 +124,14 @@ def build(points: DataFrame, leaf: int = LEAF, enough=None) -> Tree:
     while not sizes.isEmpty():
         share = F.pmod(F.xxhash64("pid", F.lit(len(levels))), F.lit(1 << 30)) * F.col("n") < F.lit(SPLIT_SAMPLE * (1 << 30))
         fitted = kept(current.where(share).select("node", "n", "pid", "x").groupBy("node")
-                      .applyInPandas(_split(leaf), "node string, centres array<double>"))
+                      .applyInPandas(_split(leaf), "node string, dims int, centres array<double>"))
         # a node whose sample is empty by chance is a leaf, like one that cannot be parted
         stuck = current.join(fitted.select("node"), "node", "left_anti").drop("n")
         row = _schema(current)
 
         def place(left: pd.DataFrame, node: pd.Series) -> pd.DataFrame:
             x = np.stack(left.x.to_numpy())
-            d = squared(x, _centres(node.centres, x.shape[1]))
+            d = squared(x, _centres(node))
             at = d.argmin(axis=1)
             return left.drop(columns="block").assign(at=at, d=np.sqrt(d[np.arange(len(x)), at]))
 
@@ -124,14 +139,16 @@ def build(points: DataFrame, leaf: int = LEAF, enough=None) -> Tree:
         stats = placed.groupBy("node", "at").agg(F.count(F.lit(1)).alias("many"), F.sum("m").alias("w"),
                                                  F.max("d").alias("radius"), F.first("n").alias("of"))
         stats = kept(stats.withColumn("last", (F.col("many") <= leaf) | (F.col("many") == F.col("of"))))
-        kid = F.struct("at", "radius", "many", "w", "last")
-        kids = stats.groupBy("node").agg(F.array_sort(F.collect_list(kid)).alias("kids"))  # at most FAN
-        levels.append(kept(fitted.join(kids, "node").select(
-            "node", "centres", *[F.col(f"kids.{c}").alias(c) for c in ("at", "radius", "many", "w", "last")])))
-        child = F.concat_ws("/", "node", "at")
-        bound = F.when(enough, F.col("d") + F.col("radius")).otherwise(F.col("up"))
-        moved = (placed.drop("n").join(stats.select("node", "at", F.col("many").alias("n"), "w", "radius", "last"), ["node", "at"])
-                 .withColumn("up", bound).withColumn("node", child).drop("at", "d", "w", "radius"))
+        names = ["at", "radius", "many", "w", "last"]
+        kids = stats.groupBy("node").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("kids"))  # at most FAN
+        level = fitted.join(kids, "node").select("node", "dims", "centres", *[F.col(f"kids.{c}").alias(c) for c in names])
+        level = kept(level.mapInPandas(_via(enough), f"{_schema(level)}, via array<double>"))
+        levels.append(level)
+        each = level.select("node", F.explode(F.arrays_zip("at", "many", "last", "via")).alias("k"))
+        each = each.select("node", "k.at", F.col("k.many").alias("n"), "k.last", "k.via")
+        moved = (placed.drop("n").join(each, ["node", "at"])
+                 .withColumn("up", F.least("up", F.when(F.col("via") < float("inf"), F.col("d") + F.col("via"))))
+                 .withColumn("node", F.concat_ws("/", "node", "at")).drop("at", "d", "via"))
         moved = kept(moved)
         found += [stuck, moved.where("last").drop("n", "last")]
         current = moved.where("not last").drop("last")
@@ -143,7 +160,7 @@ def build(points: DataFrame, leaf: int = LEAF, enough=None) -> Tree:
     return Tree(kept(out), levels)
 
 
-def _asked(tree: Tree, queries: DataFrame, choose, extra: str) -> DataFrame:
+def _asked(tree: Tree, queries: DataFrame, choose) -> DataFrame:
     """Carry ``queries`` (pid, x, ...) down from their roots; a row for every leaf that ``choose`` leads them to."""
     at = kept(queries.withColumn("node", F.col("root") if "root" in queries.columns else F.lit("0")))
     row = _schema(at)
@@ -160,26 +177,25 @@ def _asked(tree: Tree, queries: DataFrame, choose, extra: str) -> DataFrame:
     return kept(found)
 
 
-def homes(tree: Tree, queries: DataFrame, enough) -> DataFrame:
-    """``queries`` (pid, x, root, ...) with ``node``, the leaf reached through the nearest centres, and ``up``
-    as in ``build``; ``enough(n, w)`` is a numpy condition."""
+def homes(tree: Tree, queries: DataFrame) -> DataFrame:
+    """``queries`` (pid, x, root, ...) with ``node``, the leaf reached through the nearest centres, and ``up`` as in ``build``."""
     def choose(left: pd.DataFrame, node: pd.Series) -> pd.DataFrame:
         x = np.stack(left.x.to_numpy())
         at = np.asarray(node["at"], int)
-        d = np.sqrt(squared(x, _centres(node.centres, x.shape[1])[at]))
+        d = np.sqrt(squared(x, _centres(node)[at]))
         to = d.argmin(axis=1)
-        reach = d[np.arange(len(x)), to] + np.asarray(node.radius, float)[to]
-        holds = enough(np.asarray(node.many)[to], np.asarray(node.w)[to])
-        return left.drop(columns="block").assign(node=[f"{node.node}/{a}" for a in at[to]], up=np.where(holds, reach, left.up.to_numpy(float)))
+        reach = d[np.arange(len(x)), to] + np.asarray(node.via, float)[to]
+        up = np.fmin(left.up.to_numpy(float), np.where(reach < np.inf, reach, np.nan))
+        return left.drop(columns="block").assign(node=[f"{node.node}/{a}" for a in at[to]], up=up)
 
-    return _asked(tree, queries.withColumn("up", F.lit(None).cast("double")), choose, "")
+    return _asked(tree, queries.withColumn("up", F.lit(None).cast("double")), choose)
 
 
 def visits(tree: Tree, queries: DataFrame, radius: str = "r") -> DataFrame:
     """A row of ``queries`` for every leaf (``node``) that may hold a point within ``radius``; null: every leaf."""
     def choose(left: pd.DataFrame, node: pd.Series) -> pd.DataFrame:
         x, r = np.stack(left.x.to_numpy()), left[radius].to_numpy(float)
-        centres = _centres(node.centres, x.shape[1])
+        centres = _centres(node)
         d2 = squared(x, centres)
         home = d2.argmin(axis=1)
         apart = np.sqrt(squared(centres, centres))[home]
@@ -193,7 +209,7 @@ def visits(tree: Tree, queries: DataFrame, radius: str = "r") -> DataFrame:
         names = np.array([f"{node.node}/{a}" for a in at], object)
         return left.drop(columns="block").iloc[row].assign(node=names[kid])
 
-    return _asked(tree, queries, choose, "")
+    return _asked(tree, queries, choose)
 
 
 def compared(points: DataFrame, guests: DataFrame, compare, schema: str, block: int) -> DataFrame:
