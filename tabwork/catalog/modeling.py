@@ -271,27 +271,51 @@ SELECT vec_id, coalesce(c.cluster, b.cluster, -1) AS cluster FROM v LEFT JOIN c
 
 
 def _classed(spark, d):
-    x = _xdf(spark, d)
-    vec = F.array(F.col("l_quantity") / 50, F.col("l_extendedprice").cast("double") / 100000)
-    return x.select("rid", vec.alias("x"), F.when(F.col("l_discount") >= 0.09, "big").otherwise("usual").alias("label"))
+    o = table(spark, d, "orders")
+    vec = F.array(F.col("o_totalprice") / 1000, F.datediff("o_orderdate", F.lit("1992-01-01")) / 10.0)
+    return o.select(F.col("o_orderkey").alias("id"), vec.alias("x"),
+                    F.when(F.col("o_orderpriority") == "1-URGENT", "urgent").otherwise("other").alias("label"))
 
 
-def _class_sizes(rows):
-    return rows.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"))
+def _grown(rows):
+    return rounded(rows.select("id", "label", "synthetic", F.col("x")[0].alias("price"), F.col("x")[1].alias("days")))
 
 
 def q_oversample_smote(spark, d):
-    return _class_sizes(NB.oversample_smote(_classed(spark, d), "rid", "x", "label"))
+    return _grown(NB.oversample_smote(_classed(spark, d), "id", "x", "label"))
 
 
-SMOTE_SQL = f"""
-WITH c AS (SELECT CASE WHEN l_discount >= 0.09 THEN 'big' ELSE 'usual' END AS label, count(*) AS n FROM {XDF} WHERE l_extendedprice IS NOT NULL GROUP BY 1)
-SELECT label, false AS synthetic, n FROM c UNION ALL
-SELECT label, true, (SELECT max(n) FROM c) - n FROM c WHERE n < (SELECT max(n) FROM c)"""
+def q_oversample_adasyn(spark, d):
+    return _grown(NB.oversample_adasyn(_classed(spark, d), "id", "x", "label"))
 
 
-def q_oversample_adasyn(spark, d):
-    return NB.oversample_adasyn(_classed(spark, d), "rid", "x", "label")
+def _grown_sql(copies: str) -> str:
+    """Row by row: ``copies`` gives (id, j) of each synthetic row, neighbours come from all pairs, draws from md5."""
+    digits = "('0x' || substr(md5(c.id || ':' || j || ':42'), {}, 13))::BIGINT"
+    dist = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
+    return f"""
+WITH v AS MATERIALIZED (SELECT o_orderkey AS id, o_totalprice / 1000 AS x, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) / 10.0::DOUBLE AS y,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN 'urgent' ELSE 'other' END AS label FROM orders),
+n AS (SELECT max(c) AS most, min(c) AS least, arg_min(label, c) AS rare FROM (SELECT label, count(*) AS c FROM v GROUP BY label)),
+mine AS MATERIALIZED (SELECT v.* FROM v, n WHERE label = rare),
+points AS MATERIALIZED (SELECT min(id) AS pid, x, y FROM mine GROUP BY x, y),
+near AS (SELECT a.pid, min(ROW({dist}, b.pid), 5) AS l FROM points a JOIN points b ON a.pid <> b.pid GROUP BY a.pid),
+{copies.format(dist=dist)},
+c AS (SELECT c0.id, j, m.x, m.y, p.pid FROM c0 JOIN mine m USING (id) JOIN points p ON p.x = m.x AND p.y = m.y),
+made AS (SELECT c.id, c.x + (o.x - c.x) * u AS x, c.y + (o.y - c.y) * u AS y FROM (
+  SELECT c.*, l[1 + {digits.format(1)} % len(l)][2] AS other, {digits.format(14)} / pow(2, 52) AS u FROM c JOIN near USING (pid)) c JOIN points o ON o.pid = other)
+SELECT id, label, false AS synthetic, round(x, 5) AS price, round(y, 5) AS days FROM v
+UNION ALL SELECT id, rare, true, round(x, 5), round(y, 5) FROM made, n"""
+
+
+SMOTE_SQL = _grown_sql("""
+c0 AS (SELECT id, unnest(range(1, 1 + whole + (rank <= rest)::INTEGER)) AS j FROM (
+  SELECT id, (most - least) // least AS whole, (most - least) % least AS rest,
+    row_number() OVER (ORDER BY ('0x' || substr(md5(id || ':42'), 1, 13))::BIGINT, id) AS rank FROM mine, n))""")
+ADASYN_SQL = _grown_sql("""
+around AS (SELECT id, sum((t[3] <> label)::INTEGER) / 5.0::DOUBLE AS share FROM (
+  SELECT a.id, any_value(a.label) AS label, unnest(min(ROW({dist}, b.id, b.label), 5)) AS t FROM mine a JOIN v b ON a.id <> b.id GROUP BY a.id) GROUP BY id),
+c0 AS (SELECT id, unnest(range(1, 1 + round(share / (SELECT sum(share) FROM around) * (most - least))::INTEGER)) AS j FROM around, n)""")
 
 
 # formula anomaly scores: |z| of three lineitem measures
@@ -499,6 +523,7 @@ ORACLE = {
     "anomaly_lof": LOF_SQL,
     "cluster_dbscan": DBSCAN_SQL,
     "oversample_smote": SMOTE_SQL,
+    "oversample_adasyn": ADASYN_SQL,
     "anomaly_threshold": THRESH_SQL,
     "anomaly_supervised_metrics": SUP_SQL,
     "anomaly_rank": RANK_SQL,
