@@ -2,7 +2,7 @@
 
 Plan shape: one wide aggregate for moments / counts (partial + final agg,
 no shuffle of rows), one long-form value count (``unpivot`` then
-``groupBy(column, value)``) shared by unique counts, top values and modes,
+``groupBy(column, head, hash)``) shared by unique counts, top values and modes,
 and one bucketed count for histograms.  Nothing row-sized reaches the driver.
 """
 from __future__ import annotations
@@ -112,20 +112,59 @@ def column_stats(df: DataFrame, columns: list[str] | None = None,
     return out
 
 
+HEAD = 32  # characters of a value that travel with its count
+
+
+def _long(f: T.StructField) -> bool:
+    """Whether a value of the column may be longer than HEAD as text."""
+    return isinstance(f.dataType, (T.StringType, T.BinaryType, T.DecimalType))
+
+
+def _cells(df: DataFrame, fields: list[T.StructField], whole: bool = False) -> DataFrame:
+    """(column_name, head, h1, h2[, value]) of every value; the hashes are 0 for a value that its head holds."""
+    cells = []
+    for f in fields:
+        v = F.col(q(f.name)).cast("string")
+        cut = lambda h: F.when(F.length(v) > HEAD, h).otherwise(F.lit(0).cast("long"))  # noqa: E731, B023
+        hashes = (cut(F.xxhash64(v)), cut(F.xxhash64(F.lit(1), v))) if _long(f) else (F.lit(0).cast("long"),) * 2
+        head = F.substring(v, 1, HEAD) if _long(f) else v
+        cells.append(F.struct(head.alias("head"), hashes[0].alias("h1"), hashes[1].alias("h2"),
+                              *([v.alias("value")] if whole else [])).alias(f.name))
+    return df.select(*cells).unpivot([], [q(f.name) for f in fields], "column_name", "cell").select("column_name", "cell.*")
+
+
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, value, count) over all scalar columns, values cast to string.
+    """(column_name, head, h1, h2, count) of the different values of all scalar columns, as text.
 
-    One shuffle for every column at once; map-side combine absorbs hot values.
+    A value is told apart by its first HEAD characters and, if it is longer, a 128-bit hash, so whole
+    texts are never shuffled; ``with_text`` fetches those of a few values.  One shuffle for every
+    column at once; map-side combine absorbs hot values.
     """
     df = nan_to_null(df)
-    cols = [f.name for f in df.schema.fields
-            if is_scalar(f.dataType) and (columns is None or f.name in columns)]
-    if not cols:
-        return df.sparkSession.createDataFrame([], "column_name string, value string, count long")
-    long = df.select(*[F.col(q(c)).cast("string").alias(c) for c in cols]).unpivot(
-        [], cols, "column_name", "value")
-    return (long.where(F.col("value").isNotNull())
-                .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count")))
+    fields = [f for f in df.schema.fields if is_scalar(f.dataType) and (columns is None or f.name in columns)]
+    if not fields:
+        return df.sparkSession.createDataFrame([], "column_name string, head string, h1 long, h2 long, count long")
+    cells = _cells(df, fields).where(F.col("head").isNotNull())
+    return cells.groupBy("column_name", "head", "h1", "h2").agg(F.count(F.lit(1)).alias("count"))
+
+
+def with_text(df: DataFrame, values: DataFrame) -> DataFrame:
+    """``values`` (rows of ``value_counts``) with the whole ``value`` in place of head and hashes.
+
+    The long ones are looked up in ``df`` by their hashes; only their texts are shuffled.
+    """
+    df = nan_to_null(df)
+    named = values.schema.names
+    rest = [c for c in named if c not in ("head", "h1", "h2")]
+    fields = [f for f in df.schema.fields if is_scalar(f.dataType) and _long(f)]
+    if not fields:
+        return values.select(*rest, F.col("head").alias("value"))
+    wanted = values.where("h1 <> 0 or h2 <> 0").select("column_name", "h1", "h2")
+    cells = _cells(df, fields, whole=True).where("h1 <> 0 or h2 <> 0").drop("head")
+    texts = (cells.join(wanted, ["column_name", "h1", "h2"], "left_semi")
+             .groupBy("column_name", "h1", "h2").agg(F.min("value").alias("text")))
+    return (values.join(texts, ["column_name", "h1", "h2"], "left")
+            .select(*rest, F.coalesce("text", "head").alias("value")))
 
 
 def profile_unique(df: DataFrame, columns: list[str] | None = None,
@@ -136,9 +175,20 @@ def profile_unique(df: DataFrame, columns: list[str] | None = None,
 
 def profile_top_values(df: DataFrame, k: int = 5, columns: list[str] | None = None,
                        counts: DataFrame | None = None) -> DataFrame:
-    """Top ``k`` values per column by count, ties broken by value."""
+    """Top ``k`` values per column by count, ties broken by value.
+
+    Heads order like whole values, so the k-th by (count, head) bounds the top; values that tie with
+    it in both are told apart by their texts.
+    """
     vc = counts if counts is not None else value_counts(df, columns)
-    return top_k_per_group(vc, ["column_name"], [F.desc("count"), F.asc("value")], k)
+    by_head = top_k_per_group(vc, ["column_name"], [F.desc("count"), F.asc("head"), F.asc("h1"), F.asc("h2")], k)
+    if any(_long(f) for f in df.schema.fields):
+        last = by_head.groupBy("column_name").agg(F.max_by(F.struct("count", "head"), "rank").alias("last"))  # a row per column
+        top = vc.join(F.broadcast(last), "column_name").where(
+            (F.col("count") > F.col("last.count")) | ((F.col("count") == F.col("last.count")) & (F.col("head") <= F.col("last.head"))))
+        return top_k_per_group(with_text(df, top.drop("last")), ["column_name"], [F.desc("count"), F.asc("value")], k).select(
+            "column_name", "value", "count", "rank")
+    return by_head.select("column_name", F.col("head").alias("value"), "count", "rank")
 
 
 def profile_columns(df: DataFrame, columns: list[str] | None = None,

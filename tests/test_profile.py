@@ -73,3 +73,26 @@ def test_duplicates_and_string_dates(spark):
     assert cols["d"]["inferred_type"] == "datetime"
     years = spark.createDataFrame([("2024",), ("12",)], "y string")
     assert _rows(P.profile_columns(years))["y"]["inferred_type"] == "categorical"
+
+
+def test_values_longer_than_their_head(spark):
+    from collections import Counter
+
+    from tabwork.operators import profile as P
+    long = "x" * 40
+    texts = [long + "b", long + "a", long + "a", "x" * 32, "short", "short", None, "", long + "c", "é" * 33, "é" * 32]
+    df = spark.createDataFrame([(t, i % 3, float(i), f"only {i:02d} " + long) for i, t in enumerate(texts)], "s string, n int, count double, `a.b` string")
+    want = Counter(t for t in texts if t is not None)
+    assert {r.column_name: r.unique_count for r in P.profile_unique(df).collect()} == {"s": len(want), "n": 3, "count": 11, "a.b": 11}
+    for k in (1, 2, 4, 20):
+        got = [(r.value, r["count"]) for r in P.profile_top_values(df, k).where("column_name = 's'").orderBy("rank").collect()]
+        assert got == sorted(want.items(), key=lambda r: (-r[1], r[0].encode()))[:k]
+    first = P.profile_top_values(df, 3).where("column_name = 'a.b'").orderBy("rank").collect()
+    assert [r.value for r in first] == [f"only {i:02d} " + long for i in range(3)]
+
+
+def test_whole_texts_are_not_shuffled(spark):
+    from tabwork.operators import profile as P
+    df = spark.createDataFrame([("t" * 5000 + str(i),) for i in range(300)], "s string")
+    counted = P.value_counts(df).agg({"head": "max", "h1": "count"}).first()
+    assert len(counted["max(head)"]) == P.HEAD and counted["count(h1)"] == 300
