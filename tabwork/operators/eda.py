@@ -1,18 +1,22 @@
 """Exploratory analysis (survey §2.5): issues, correlations, target view, MI.
 
-Correlations are one aggregate of ``corr(a, b)`` for all pairs (chunked for
-wide tables).  Mutual information is a plug-in estimate on quantile bins:
-one pass for bin edges (bounded: 9 numbers per feature), then one grouped
-count of (feature, x-bin, y-bin) over an unpivot, reduced map-side, so the
-cost is one scan and a shuffle of a contingency table, whatever the row count.
+Correlations come from the co-moments of all pairs, taken by matrix products in one scan
+(``comoments``).  Mutual information is a plug-in estimate on quantile bins: one pass for bin edges
+(bounded: 9 numbers per feature), then each task counts (feature, x-bin, y-bin) cells of its rows in
+tables, so what leaves the scan is bounded by tasks times cells, whatever the row count.
 """
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import chunks, column_quantiles, nan_to_null, numeric_columns, q
+from ..functions.columns import column_quantiles, nan_to_null, numeric_columns, q
+from .comoments import comoments
+
+CELLS = 200_000  # cells a task holds before it sends them
 
 # Thresholds of the reference analyzer.
 MAR_BELOW = 0.1
@@ -67,40 +71,29 @@ def eda_issue_duplicates(profile_ds: DataFrame) -> DataFrame:
         "cleaning", F.round(share, 4), F.array().cast("array<string>")))
 
 
-def eda_correlation_matrix(df: DataFrame, columns: list[str] | None = None,
-                           max_exprs: int = 400) -> DataFrame:
+def eda_correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Long form (col_a, col_b, r) over all numeric columns (or those given).
 
-    Pearson, pairwise-complete; a null or undefined r is reported as 0; the
-    diagonal is 1 for a non-constant column.  Both (a, b) and (b, a) rows.
+    Pearson, pairwise-complete, from the co-moments of one scan; a null or undefined r is reported as
+    0 (so is one with an infinite value); the diagonal is 1 for a non-constant column.  Both (a, b)
+    and (b, a) rows.
     """
-    df = nan_to_null(df)
     cols = columns or numeric_columns(df)
     spark = df.sparkSession
     if len(cols) < 2:
         return spark.createDataFrame([], "col_a string, col_b string, r double")
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    parts = []
-    for n_chunk, ch in enumerate(chunks(pairs, max_exprs)):
-        aggs = [F.corr(F.col(q(a)).cast("double"), F.col(q(b)).cast("double")).alias(f"p{i}")
-                for i, (a, b) in enumerate(ch)]
-        if n_chunk == 0:  # the diagonal rides along with the first chunk: one scan
-            aggs += [F.stddev_samp(F.col(q(c)).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]
-        wide = df.agg(*aggs)
-        structs = []
-        for i, (a, b) in enumerate(ch):
-            r = F.coalesce(F.when(~F.isnan(F.col(f"p{i}")), F.col(f"p{i}")), F.lit(0.0))
-            structs.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), r.alias("r")))
-            structs.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), r.alias("r")))
-        if n_chunk == 0:
-            structs += [F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"),
-                                 F.when(F.col(f"s{i}") > 0, F.lit(1.0)).otherwise(F.lit(0.0)).alias("r"))
-                        for i, c in enumerate(cols)]
-        parts.append(wide.select(F.explode(F.array(*structs)).alias("s")).select("s.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    shape = F.col("ab") / (F.sqrt("aa") * F.sqrt("bb"))
+    r = F.when((F.col("aa") > 0) & (F.col("bb") > 0) & ~F.isnan("ab"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), shape)))
+    pairs = comoments(df, cols).select("a", "b", F.when(F.col("a") == F.col("b"), (r.isNotNull()).cast("double"))
+                                       .otherwise(F.coalesce(F.when(~F.isnan(r), r), F.lit(0.0))).alias("r"))
+    # the pairs cover all columns, also where the table has no row
+    names = F.array(*[F.lit(c) for c in cols])
+    grid = spark.range(len(cols)).select(F.col("id").cast("int").alias("a"), F.explode(F.sequence(F.col("id").cast("int"), F.lit(len(cols) - 1))).alias("b"))
+    pairs = grid.join(pairs, ["a", "b"], "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
+    ends = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(
+        F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = pairs.select(F.explode(ends).alias("e"), "r")
+    return both.select(F.get(names, F.col("e.a")).alias("col_a"), F.get(names, F.col("e.b")).alias("col_b"), "r")
 
 
 def eda_high_correlation(corr_long: DataFrame, columns: list[str], threshold: float = HIGH_CORR) -> DataFrame:
@@ -178,12 +171,46 @@ def _bin_plan(df: DataFrame, cols: list[str], bins: int, discrete_max: int, appr
     return plan
 
 
-def _binned(col: Column, spec: dict) -> Column:
-    x = F.coalesce(col.cast("double"), F.lit(spec["median"]).cast("double"))
-    if spec["discrete"]:
-        return x.cast("string")
-    arr = F.array(*[F.lit(e) for e in spec["edges"]])
-    return F.size(F.filter(arr, lambda e: x > e)).cast("string")
+def _binned(x: np.ndarray, spec: dict) -> np.ndarray:
+    """Values of a discrete column, numbers of edges below the value of any other; missing is the median."""
+    x = np.where(np.isnan(x), np.nan if spec["median"] is None else spec["median"], x)
+    return x if spec["discrete"] else np.searchsorted(np.array(spec["edges"], float), x, "left").astype(float)
+
+
+def _cells(features: list[str], plan: dict, target: dict | None):
+    """Counts of (feature, x, y) of a task's rows; the last column is the target."""
+    def count(batches):
+        held: dict[tuple, int] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = batch.column(batch.num_columns - 1)
+            if target is None:
+                coded = last.dictionary_encode()
+                names, y = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            else:
+                values, y = np.unique(_binned(last.to_numpy(zero_copy_only=False).astype(float), target), return_inverse=True)
+                names = [repr(float(v)) for v in values]
+            for i, f in enumerate(features):
+                x, at = np.unique(_binned(batch.column(i).to_numpy(zero_copy_only=False).astype(float), plan[f]), return_inverse=True)
+                both, many = np.unique(at * len(names) + y, return_counts=True)
+                for cell, n in zip(both.tolist(), many.tolist(), strict=True):
+                    key = (i, float(x[cell // len(names)]), names[cell % len(names)])
+                    held[key] = held.get(key, 0) + n
+            if len(held) > CELLS:
+                yield _sent(held, features)
+                held = {}
+        if held:
+            yield _sent(held, features)
+
+    return count
+
+
+def _sent(held: dict, features: list[str]) -> pa.RecordBatch:
+    feature, x, y = zip(*held, strict=True)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([features[i] for i in feature]), pa.array(x, pa.float64()), pa.array(y, pa.string()), pa.array(list(held.values()), pa.int64())],
+        ["feature", "x", "y", "n"])
 
 
 def mutual_information(df: DataFrame, features: list[str], target: str, bins: int = MI_BINS,
@@ -198,11 +225,10 @@ def mutual_information(df: DataFrame, features: list[str], target: str, bins: in
     tfield = df.schema[target].dataType
     numeric_target = not isinstance(tfield, (T.StringType, T.BooleanType))
     plan = _bin_plan(df, features + ([target] if numeric_target else []), bins, discrete_max, approx)
-    y = _binned(F.col(q(target)), plan[target]) if numeric_target else F.col(q(target)).cast("string")
-    long = df.select(y.alias("y"), F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), _binned(F.col(q(f)), plan[f]).alias("x")) for f in features
-    ])).alias("s")).select("y", "s.feature", "s.x")
-    nxy = long.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("nxy"))
+    y = F.col(q(target)).cast("double" if numeric_target else "string")
+    rows = df.select(*[F.col(q(f)).cast("double").alias(f"c{i}") for i, f in enumerate(features)], y.alias("y"))
+    cells = rows.mapInArrow(_cells(features, plan, plan[target] if numeric_target else None), "feature string, x double, y string, n long")
+    nxy = cells.groupBy("feature", "x", "y").agg(F.sum("n").alias("nxy"))
     wx, wy, wf = (Window.partitionBy("feature", "x"), Window.partitionBy("feature", "y"),
                   Window.partitionBy("feature"))
     t = nxy.select("feature", "nxy", F.sum("nxy").over(wx).alias("nx"), F.sum("nxy").over(wy).alias("ny"),
