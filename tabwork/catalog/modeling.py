@@ -82,28 +82,54 @@ def q_train_text(spark, d):
 
 
 # ------------------------------------------------------------------ verdicts (formula-scored candidates)
+# formula models stand for the families, with a stated distance between training and CV score
+FAMILIES = {"disc": ("logistic_regression", 0.0), "tax": ("random_forest", 0.12), "qty": ("gbt", 0.2), "mix": ("ridge", 0.07)}
+
+
 def q_model_verdicts(spark, d):
-    from ..operators.evaluate import eval_accuracy
+    from ..operators.evaluate import eval_accuracy, eval_auc_roc, eval_macro_weighted
     from .inputs import scored_binary
-    pf = eval_accuracy(scored_binary(spark, d), ["model", "fold"])
-    lb = pf.groupBy(F.col("model").alias("model_name")).agg(
-        F.avg("accuracy").alias("cv_score"), F.stddev_pop("accuracy").alias("cv_std"),
-        F.max("accuracy").alias("train_score"))
+    scored = scored_binary(spark, d)
+    pf = eval_accuracy(scored, ["model", "fold"])
+    lb = (pf.groupBy("model").agg(F.avg("accuracy").alias("cv_score"), F.stddev_pop("accuracy").alias("cv_std"))
+          .join(eval_auc_roc(scored, ["model"]).select("model", F.col("auc").alias("auc_roc")), "model")
+          .join(eval_macro_weighted(scored, ["model"]).select("model", F.col("weighted_f1").alias("f1")), "model"))
+    family = F.create_map(*[x for m, (name, _) in FAMILIES.items() for x in (F.lit(m), F.lit(name))])
+    gap = F.create_map(*[x for m, (_, g) in FAMILIES.items() for x in (F.lit(m), F.lit(g))])
+    lb = lb.withColumn("train_score", F.col("cv_score") + gap[F.col("model")]).withColumn("model_name", family[F.col("model")])
     return rounded(CV.model_verdicts(lb))
 
 
+# the rules as the survey's source states them, written once more
+_FAMILY_SQL = " ".join(f"WHEN '{m}' THEN '{name}'" for m, (name, _) in FAMILIES.items())
+_GAP_SQL = " ".join(f"WHEN '{m}' THEN {g}" for m, (_, g) in FAMILIES.items())
 VERDICT_SQL = f"""
-WITH pf AS (SELECT model, fold, avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) AS a FROM ({SCORED_BINARY_SQL}) GROUP BY ALL),
-lb AS (SELECT model AS model_name, avg(a) AS cv_score, stddev_pop(a) AS cv_std, max(a) AS train_score FROM pf GROUP BY 1),
-g AS (SELECT *, coalesce(cv_std, 0.0) AS s, coalesce(train_score - cv_score, 0.0) AS gap FROM lb)
-SELECT model_name, round(cv_score, 5) AS cv_score, round(cv_std, 5) AS cv_std, round(train_score, 5) AS train_score,
-  concat_ws('; ', CASE WHEN s < 0.02 THEN 'Stable across folds' END, CASE WHEN gap < 0.05 THEN 'Generalises well (small train/CV gap)' END,
-    CASE WHEN cv_score >= 0.8 THEN 'High cross-validated score' END,
-    CASE WHEN model_name IN ('gbt', 'random_forest') THEN 'Captures non-linear interactions' END,
-    CASE WHEN model_name IN ('logistic_regression', 'ridge') THEN 'Interpretable linear model' END) AS strengths,
-  concat_ws('; ', CASE WHEN s >= 0.05 THEN 'Unstable across folds' END, CASE WHEN gap > 0.10 THEN 'Over-fits (train score well above CV)' END,
-    CASE WHEN cv_score < 0.6 THEN 'Weak cross-validated score' END,
-    CASE WHEN model_name IN ('logistic_regression', 'ridge') THEN 'Cannot model non-linear effects' END) AS weaknesses
+WITH s AS ({SCORED_BINARY_SQL}),
+pf AS (SELECT model, fold, avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) AS a FROM s GROUP BY ALL),
+acc AS (SELECT model, avg(a) AS cv_score, stddev_pop(a) AS cv_std FROM pf GROUP BY 1),
+sc AS (SELECT model, probability, sum((label = 1)::INTEGER) AS p, sum((label <> 1)::INTEGER) AS n FROM s GROUP BY ALL),
+au AS (SELECT model, sum(p * (below + 0.5 * n)) / (sum(p) * sum(n)) AS auc_roc FROM (
+  SELECT *, coalesce(sum(n) OVER (PARTITION BY model ORDER BY probability ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM sc) GROUP BY model),
+cl AS (SELECT model, c, sum((label = c AND prediction = c)::INTEGER) AS tp, sum((label = c)::INTEGER) AS support, sum((prediction = c)::INTEGER) AS said
+  FROM s, (VALUES (0.0), (1.0)) t(c) GROUP BY ALL),
+f AS (SELECT model, sum(support * CASE WHEN said + support > 0 THEN 2.0 * tp / (said + support) ELSE 0 END) / sum(support) AS f1 FROM cl GROUP BY model),
+g AS (SELECT CASE acc.model {_FAMILY_SQL} END AS model_name, cv_score, cv_std AS s, cv_score + CASE acc.model {_GAP_SQL} END AS train_score,
+  CASE acc.model {_GAP_SQL} END AS gap, auc_roc, f1 FROM acc JOIN au USING (model) JOIN f USING (model))
+SELECT model_name, round(cv_score, 5) AS cv_score, round(s, 5) AS cv_std, round(train_score, 5) AS train_score,
+  round(auc_roc, 5) AS auc_roc, round(f1, 5) AS f1,
+  concat_ws('; ', CASE WHEN s < 0.02 THEN printf('Very stable across folds (σ=%.1f%%)', s * 100) END,
+    CASE WHEN gap <= 0.05 THEN 'No significant overfitting detected' END,
+    CASE WHEN auc_roc > 0.75 THEN printf('Good discrimination (AUC=%.3f)', auc_roc) WHEN auc_roc > 0.65 THEN printf('Moderate discrimination (AUC=%.3f)', auc_roc) END,
+    CASE WHEN f1 > 0.75 THEN 'Strong weighted F1' END,
+    CASE model_name WHEN 'logistic_regression' THEN 'Fully interpretable (linear coefficients); Very fast inference — linear complexity'
+      WHEN 'random_forest' THEN 'Robust to outliers and noisy features; Feature importances available natively'
+      WHEN 'gbt' THEN 'Fast inference, scalable to large datasets; Handles missing values natively; Usually best tabular performance (Kaggle benchmark)' END) AS strengths,
+  concat_ws('; ', CASE WHEN s > 0.05 THEN printf('Unstable fold scores (σ=%.1f%%) — check for data issues', s * 100) END,
+    CASE WHEN gap > 0.15 THEN printf('Strong overfitting — train-CV gap %.1f%%', gap * 100) WHEN gap > 0.05 THEN printf('Mild overfitting — train-CV gap %.1f%%', gap * 100) END,
+    CASE WHEN auc_roc < 0.6 THEN printf('Weak discrimination (AUC=%.3f) — model may not rank risk well', auc_roc) END,
+    CASE WHEN f1 < 0.6 THEN 'Low F1 — likely struggling with minority class' END,
+    CASE WHEN model_name = 'logistic_regression' THEN 'Cannot capture non-linear relationships' END,
+    CASE WHEN model_name = 'random_forest' AND gap > 0.10 THEN 'Tends to memorise training data — consider lower max_depth' END) AS weaknesses
 FROM g"""
 
 

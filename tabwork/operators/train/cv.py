@@ -1,37 +1,42 @@
 """Cross-validated training on Spark ML (survey §2.10).
 
-One out-of-fold job per candidate writes the ``scored`` table
+One out-of-fold job per candidate and fold writes the ``scored`` table
 (id, label, prediction, probability, model, fold); every evaluation metric of
-§2.11 is an aggregate over it, so nothing is refit for evaluation.  The raw
-rows are kept once and reused by all folds and candidates; imputation and
-encoding are stages of the fitted pipeline, so a fold never sees the values of
-its held-out rows.  Folds come from ``sampling.folds_*`` (hash-based, repartition-proof).
+§2.11 is an aggregate over it, so nothing is refit for evaluation.  Imputation and encoding are
+fitted on each fold's training rows, so a fold never sees the values of its held-out rows, and once:
+all candidates and trials share a fold's vectors.  Fits are independent jobs of many small stages, so
+FITS of them run at a time from driver threads, each in its own scheduler pool.  Folds come from
+``sampling.folds_*`` (hash-based, repartition-proof).
 """
 from __future__ import annotations
 
 import json
 import math
 import random
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import Imputer, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ...functions.columns import is_numeric, q
-from ..evaluate import eval_accuracy, eval_macro_weighted, eval_r2_rmse_mae
+from ..evaluate import eval_accuracy, eval_auc_ovr, eval_auc_roc, eval_macro_weighted, eval_r2_rmse_mae
 from ..features import label_codes
+from ..neighbours import oversample_adasyn, oversample_smote
 from ..sampling import class_weights, hash_share, oversample_random, undersample_random
 
 SEED = 42
+FITS = 8              # fits that run at a time
+ROWS_A_TASK = 65_536  # fewer rows than this per partition make a fit wait for its tasks, not for its work
 
 
 # ------------------------------------------------------------------ candidates
@@ -142,7 +147,56 @@ def assemble(df: DataFrame, features: list[str], label: str, id_col: str, fold_c
     return Pipeline(stages=feature_stages(rows, features)).fit(rows).transform(rows).select(*keep, "features")
 
 
-BALANCERS = {"undersample_random": undersample_random, "oversample_random": oversample_random}
+def concurrently(spark: SparkSession, work: Callable, items: Iterable, fits: int = FITS) -> list:
+    """``work(item)`` of every item, in order, at most ``fits`` at a time, each in its own scheduler pool."""
+    def one(numbered):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{numbered[0] % fits}")
+        return work(numbered[1])
+
+    with ThreadPoolExecutor(max_workers=max(1, fits)) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(one), list(enumerate(items))))
+
+
+def _synthetic(make: Callable) -> Callable:
+    def grow(train: DataFrame, label: str, id_col: str) -> DataFrame:
+        rows = train.select(id_col, label, vector_to_array("features").alias("x"))
+        return make(rows, id_col, "x", label).select(
+            F.col("id").alias(id_col), F.col("label").cast("double").alias(label), array_to_vector("x").alias("features"))
+
+    return grow
+
+
+BALANCERS = {"undersample_random": undersample_random, "oversample_random": oversample_random,
+             "oversample_smote": _synthetic(oversample_smote), "oversample_adasyn": _synthetic(oversample_adasyn)}
+
+
+@dataclass
+class Fold:
+    """Rows as vectors; the features were fitted on the training rows alone."""
+    number: int
+    train: DataFrame
+    test: DataFrame
+
+    def release(self) -> None:
+        self.train.unpersist()
+        self.test.unpersist()
+
+
+def folded(rows: DataFrame, stages: list, fold_col: str, numbers: list | None = None, fits: int = FITS) -> list[Fold]:
+    """The folds of ``rows``; feature ``stages`` are fitted once per fold and its vectors kept."""
+    if numbers is None:
+        numbers = sorted(r[0] for r in rows.select(fold_col).distinct().collect())
+    raw = {c for stage in stages if stage.hasParam("inputCols") for c in stage.getInputCols()}
+    keep = [c for c in rows.columns if c not in raw]
+
+    def one(f) -> Fold:
+        tr, te = rows.where(F.col(fold_col) != f), rows.where(F.col(fold_col) == f)
+        if stages:
+            model = Pipeline(stages=stages).fit(tr)
+            tr, te = (model.transform(x).select(*keep, "features") for x in (tr, te))
+        return Fold(f, tr.persist(), te.persist())
+
+    return concurrently(rows.sparkSession, one, numbers, fits)
 
 
 @dataclass
@@ -162,44 +216,57 @@ def _probabilities(pred: DataFrame):
     return F.lit(None).cast("array<double>")
 
 
+def _fit_fold(fold: Fold, estimator: Estimator, name: str, id_col: str, balance: str | None, classification: bool,
+              positive: float) -> tuple[DataFrame, float | None]:
+    """Held-out rows as scored by the fold's model, written; and the model's score on its training rows."""
+    tr, est = fold.train, estimator
+    if classification and balance == "class_weights":
+        tr = class_weights(tr, "label", "weight")
+        est = with_params(estimator, {"weightCol": "weight"})
+    elif classification and balance in BALANCERS:
+        tr = BALANCERS[balance](tr, "label", id_col).drop("copy")
+    model = est.fit(tr)
+    pred = model.transform(fold.test)
+    prob = _probabilities(pred) if classification else F.lit(None).cast("array<double>")
+    one = F.when(F.size(prob) > int(positive), prob[int(positive)]) if classification else F.lit(None)
+    part = pred.select(F.col(id_col).alias("id"), "label", F.col("prediction").cast("double").alias("prediction"),
+                       one.cast("double").alias("probability"), prob.alias("probabilities"),
+                       F.lit(name).alias("model"), F.lit(fold.number).cast("long").alias("fold"))
+    again = model.transform(fold.train)
+    score = F.avg((F.col("prediction") == F.col("label")).cast("double")) if classification else _r2()
+    return kept(part), again.select(score).first()[0]
+
+
+def _gathered(results: list) -> DataFrame:
+    out = results[0][0]
+    for part, _ in results[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def cv_out_of_fold(matrix: DataFrame, estimator: Estimator, name: str, id_col: str, fold_col: str = "fold",
                    k: int | None = None, balance: str | None = None, classification: bool = True,
-                   positive: float = 1.0) -> CVResult:
+                   positive: float = 1.0, fits: int = FITS) -> CVResult:
     """Fit on k−1 folds, score the held-out fold, for every fold; union of held-out rows.
 
-    ``balance`` (class_weights, undersample_random, oversample_random) acts inside the training
-    folds only.  ``probabilities`` holds every class, ``probability`` the positive one.
+    ``estimator`` takes a ``features`` column, or is a pipeline whose last stage does and whose others make
+    it.  ``balance`` (class_weights, undersample_random, oversample_random, oversample_smote,
+    oversample_adasyn) acts inside the training folds only; the last two on the vectors.
+    ``probabilities`` holds every class, ``probability`` the positive one.
     """
+    _known(balance)
+    stages = estimator.getStages() if isinstance(estimator, Pipeline) else [estimator]
+    folds = folded(matrix, stages[:-1], fold_col, list(range(k)) if k is not None else None, fits)
+    done = concurrently(matrix.sparkSession, lambda f: _fit_fold(f, stages[-1], name, id_col, balance, classification, positive),
+                        folds, fits)
+    for f in folds:
+        f.release()
+    return CVResult(_gathered(done), {f.number: score for f, (_, score) in zip(folds, done, strict=True)})
+
+
+def _known(balance: str | None) -> None:
     if balance not in (None, "none", "class_weights", *BALANCERS):
         raise ValueError(f"unknown balancing {balance!r}")
-    folds = list(range(k)) if k is not None else sorted(r[0] for r in matrix.select(fold_col).distinct().collect())
-    parts, train_scores = [], {}
-    for f in folds:
-        whole = tr = matrix.where(F.col(fold_col) != f)
-        te = matrix.where(F.col(fold_col) == f)
-        est = estimator
-        if classification and balance == "class_weights":
-            tr = class_weights(tr, "label", "weight")
-            est = with_params(estimator, {"weightCol": "weight"})
-        elif classification and balance in BALANCERS:
-            tr = BALANCERS[balance](tr, "label", id_col).drop("copy")
-        model = est.fit(tr)
-        pred = model.transform(te)
-        prob = _probabilities(pred) if classification else F.lit(None).cast("array<double>")
-        one = F.when(F.size(prob) > int(positive), prob[int(positive)]) if classification else F.lit(None)
-        parts.append(pred.select(F.col(id_col).alias("id"), "label", F.col("prediction").cast("double").alias("prediction"),
-                                 one.cast("double").alias("probability"), prob.alias("probabilities"),
-                                 F.lit(name).alias("model"), F.lit(f).cast("long").alias("fold")))
-        again = model.transform(whole)
-        if classification:
-            score = F.avg((F.col("prediction") == F.col("label")).cast("double"))
-        else:
-            score = _r2()
-        train_scores[f] = again.select(score).first()[0]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return CVResult(out, train_scores)
 
 
 def _r2():
@@ -214,14 +281,19 @@ def class_scores(scored: DataFrame) -> DataFrame:
         .withColumn("class", F.col("class").cast("double"))
 
 
-def leaderboard(scored: DataFrame, train_scores: dict[str, float], classification: bool = True) -> DataFrame:
-    """Per model: cv score (mean accuracy or max(R², 0) over folds), fold std, F1, train score."""
+def leaderboard(scored: DataFrame, train_scores: dict[str, float], classification: bool = True, n_classes: int = 2) -> DataFrame:
+    """Per model: cv score (mean accuracy or max(R², 0) over folds), fold std, F1, AUC, train score.
+
+    Spark has one boosted learner, so boosted trees are one candidate.
+    """
     spark = scored.sparkSession
     if classification:
         acc = eval_accuracy(scored, ["model", "fold"]).groupBy("model").agg(
             F.avg("accuracy").alias("cv_score"), F.stddev_pop("accuracy").alias("cv_std"))
         f1 = eval_macro_weighted(scored, ["model"]).select("model", F.col("weighted_f1").alias("f1"))
-        lb = acc.join(f1, "model")
+        auc = (eval_auc_roc(scored, ["model"]).select("model", F.col("auc").alias("auc_roc")) if n_classes <= 2 else
+               eval_auc_ovr(class_scores(scored), ["model"]).select("model", F.col("auc_weighted").alias("auc_roc")).distinct())
+        lb = acc.join(f1, "model").join(auc, "model", "left")
     else:
         r = eval_r2_rmse_mae(scored, ["model", "fold"]).groupBy("model").agg(
             F.greatest(F.avg("r2"), F.lit(0.0)).alias("cv_score"), F.stddev_pop("r2").alias("cv_std"),
@@ -233,35 +305,39 @@ def leaderboard(scored: DataFrame, train_scores: dict[str, float], classificatio
 
 
 def _rows_and_candidates(df, features, label, id_col, fold_col, classification):
-    """Kept raw rows, and every candidate as a pipeline from raw columns."""
+    """Kept raw rows in partitions of a useful size, the feature stages, the candidates and the number of classes."""
     rows = labelled(df, features, label, id_col, fold_col, index_label=classification).persist()
-    cands = classifiers(rows.select("label").distinct().count()) if classification else regressors(rows.count())
-    stages = feature_stages(rows, features)
-    return rows, {name: Pipeline(stages=[*stages, est]) for name, est in cands.items()}
+    n = rows.count()
+    parts = max(1, -(-n // ROWS_A_TASK))
+    if rows.rdd.getNumPartitions() > parts:
+        rows = rows.coalesce(parts)
+    classes = rows.select("label").distinct().count() if classification else 0
+    return rows, feature_stages(rows, features), classifiers(classes) if classification else regressors(n), classes
 
 
 def train_candidates(df: DataFrame, features: list[str], label: str, id_col: str, fold_col: str,
                      classification: bool = True, balance: str | None = None, models: list[str] | None = None,
-                     params: dict | None = None) -> tuple[DataFrame, DataFrame]:
+                     params: dict | None = None, fits: int = FITS) -> tuple[DataFrame, DataFrame]:
     """All candidates with k-fold CV: (leaderboard, scored rows).
 
-    Features may be numbers or texts with nulls; imputation and encoding are fitted per training
-    fold.  ``params`` overrides parameters by model name.
+    Features may be numbers or texts with nulls; imputation and encoding are fitted once per training
+    fold and shared by the candidates.  ``params`` overrides parameters by model name.
     """
-    rows, cands = _rows_and_candidates(df, features, label, id_col, fold_col, classification)
-    scored, train = None, {}
-    for name, est in cands.items():
-        if models and name not in models:
-            continue
-        est = with_params(est, (params or {}).get(name, {}))
-        res = cv_out_of_fold(rows, est, name, id_col, fold_col, balance=balance, classification=classification)
-        # one pass over each model's held-out rows: what the leaderboard and the caller read
-        part = kept(res.scored)
-        scored = part if scored is None else scored.unionByName(part)
-        vals = [v for v in res.train_scores.values() if v is not None]
-        train[name] = sum(vals) / len(vals) if vals else None
+    _known(balance)
+    rows, stages, cands, classes = _rows_and_candidates(df, features, label, id_col, fold_col, classification)
+    folds = folded(rows, stages, fold_col, fits=fits)
+    # the slowest candidate first, so that its folds do not run alone at the end
+    work = [(name, fold) for name in cands if not models or name in models for fold in folds]
+    done = concurrently(rows.sparkSession, lambda w: _fit_fold(
+        w[1], with_params(cands[w[0]], (params or {}).get(w[0], {})), w[0], id_col, balance, classification, 1.0), work, fits)
+    train: dict[str, list] = {}
+    for (name, _), (_, score) in zip(work, done, strict=True):
+        train.setdefault(name, []).extend([] if score is None else [score])
+    for f in folds:
+        f.release()
     rows.unpersist()
-    return leaderboard(scored, train, classification), scored
+    scored = _gathered(done)
+    return leaderboard(scored, {n: sum(v) / len(v) if v else None for n, v in train.items()}, classification, classes), scored
 
 
 def kept(scored: DataFrame) -> DataFrame:
@@ -313,36 +389,33 @@ def draw(space: dict, rng: random.Random) -> dict:
 
 def tune_random_search(df: DataFrame, features: list[str], label: str, id_col: str, fold_col: str,
                        model_name: str, n_trials: int = 30, seed: int = SEED, classification: bool = True,
-                       parallelism: int = 4) -> DataFrame:
-    """Random search over ``SEARCH_SPACE`` scored by CrossValidator on the given folds.
+                       fits: int = FITS) -> DataFrame:
+    """Random search over ``SEARCH_SPACE``, every trial scored on the given folds (accuracy or R²).
 
     Returns one row per trial asked for (params as text, mean CV metric), best first;
     ``retrain_best`` trains with the first row's parameters.
     """
     if n_trials < 1:
         raise ValueError("at least one trial is needed")
-    rows, cands = _rows_and_candidates(df, features, label, id_col, fold_col, classification)
+    rows, stages, cands, _ = _rows_and_candidates(df, features, label, id_col, fold_col, classification)
     rng = random.Random(seed)
     trials = [draw(SEARCH_SPACE[model_name], rng) for _ in range(n_trials)]
-    # the trials differ in the model alone: features are fitted with each fold by the pipeline
-    pipe = cands[model_name]
-    model = pipe.getStages()[-1]
-    owner = model.getClassifier() if isinstance(model, OneVsRest) else model
-    maps = [{owner.getParam(k): v for k, v in t.items()} for t in trials]
-    if isinstance(model, OneVsRest):  # parameters of the classifier inside: one estimator per trial
-        maps = [{pipe.stages: [*pipe.getStages()[:-1], with_params(model, t)]} for t in trials]
-    ev = (MulticlassClassificationEvaluator(metricName="accuracy") if classification
-          else RegressionEvaluator(metricName="r2"))
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, foldCol="__fold",
-                        parallelism=parallelism, seed=seed)
-    # CrossValidator wants its folds numbered 0..k-1
-    numbers = sorted(r[0] for r in rows.select(fold_col).distinct().collect())
-    position = F.create_map(*[x for i, v in enumerate(numbers) for x in (F.lit(v), F.lit(i))])
-    cv = cv.setNumFolds(len(numbers))
-    found = cv.fit(rows.withColumn("__fold", position[F.col(fold_col)].cast("int")))
+    folds = folded(rows, stages, fold_col, fits=fits)
+    score = F.avg((F.col("prediction") == F.col("label")).cast("double")) if classification else _r2()
+
+    def one(work) -> float | None:
+        trial, fold = work
+        return with_params(cands[model_name], trial).fit(fold.train).transform(fold.test).select(score).first()[0]
+
+    found = concurrently(rows.sparkSession, one, [(t, f) for t in trials for f in folds], fits)
+    for f in folds:
+        f.release()
     rows.unpersist()
-    out = [(json.dumps(t, sort_keys=True), float(s)) for t, s in zip(trials, found.avgMetrics)]
-    return df.sparkSession.createDataFrame(out, "params string, cv_score double").orderBy(F.desc("cv_score"), F.asc("params"))
+    out = []
+    for i, t in enumerate(trials):
+        scores = [v for v in found[i * len(folds):(i + 1) * len(folds)] if v is not None]
+        out.append((json.dumps(t, sort_keys=True), sum(scores) / len(scores) if scores else None))
+    return df.sparkSession.createDataFrame(out, "params string, cv_score double").orderBy(F.desc_nulls_last("cv_score"), F.asc("params"))
 
 
 def retrain_best(df: DataFrame, features: list[str], label: str, id_col: str, fold_col: str, model_name: str,
@@ -359,35 +432,62 @@ def learning_curve(df: DataFrame, features: list[str], label: str, id_col: str,
 
     Samples are drawn inside the pool only (quirk Q14: no hold-out leakage).
     """
-    rows, cands = _rows_and_candidates(df, features, label, id_col, None, classification)
+    rows, stages, cands, _ = _rows_and_candidates(df, features, label, id_col, None, classification)
     u = hash_share(id_col, seed)
-    test, out = rows.where(u < holdout), []
+    test, pipe = rows.where(u < holdout), Pipeline(stages=[*stages, cands[model_name]])
     score = F.avg((F.col("prediction") == F.col("label")).cast("double")) if classification else _r2()
-    for fr in fractions:
+
+    def one(fr: float) -> tuple:
         tr = rows.where((u >= holdout) & (u < holdout + (1 - holdout) * fr))
-        model = cands[model_name].fit(tr)
+        model = pipe.fit(tr)
         trs, size = model.transform(tr).select(score, F.count(F.lit(1))).first()
         vs = model.transform(test).select(score).first()[0]
-        out.append((float(fr), size, trs, vs, (trs - vs) if trs is not None and vs is not None else None))
+        return float(fr), size, trs, vs, (trs - vs) if trs is not None and vs is not None else None
+
+    out = concurrently(rows.sparkSession, one, fractions)
     rows.unpersist()
     return df.sparkSession.createDataFrame(
         out, "training_fraction double, training_size long, train_score double, val_score double, gap double")
 
 
+# Bands of the verdicts and their notes.
+STD_STABLE, STD_UNSTABLE = 0.02, 0.05
+GAP_MILD, GAP_STRONG, GAP_FOREST = 0.05, 0.15, 0.10
+AUC_GOOD, AUC_MODERATE, AUC_WEAK = 0.75, 0.65, 0.6
+F1_STRONG, F1_LOW = 0.75, 0.6
+FAMILY_STRENGTHS = {
+    "logistic_regression": ["Fully interpretable (linear coefficients)", "Very fast inference — linear complexity"],
+    "random_forest": ["Robust to outliers and noisy features", "Feature importances available natively"],
+    "gbt": ["Fast inference, scalable to large datasets", "Handles missing values natively",
+            "Usually best tabular performance (Kaggle benchmark)"],
+}
+NOTE_NON_LINEAR = "Cannot capture non-linear relationships"
+NOTE_MEMORISES = "Tends to memorise training data — consider lower max_depth"
+
+
 def model_verdicts(lb: DataFrame, classification: bool = True) -> DataFrame:
-    """Strength / weakness notes from stability, over-fitting gap, F1 and model family."""
-    std, gap = F.coalesce(F.col("cv_std"), F.lit(0.0)), F.coalesce(F.col("train_score") - F.col("cv_score"), F.lit(0.0))
+    """Strength / weakness notes from fold spread, over-fitting gap, AUC, F1 and model family.
+
+    A missing AUC or F1 gives no note; so does a band between two limits.
+    """
+    std, gap = F.coalesce(F.col("cv_std"), F.lit(0.0)), F.coalesce(F.col("train_score"), F.lit(0.0)) - F.coalesce(F.col("cv_score"), F.lit(0.0))
     name = F.col("model_name")
-    strengths = F.concat_ws("; ", F.filter(F.array(
-        F.when(std < 0.02, F.lit("Stable across folds")),
-        F.when(gap < 0.05, F.lit("Generalises well (small train/CV gap)")),
-        F.when(F.col("cv_score") >= 0.8, F.lit("High cross-validated score")),
-        F.when(name.isin("gbt", "random_forest"), F.lit("Captures non-linear interactions")),
-        F.when(name.isin("logistic_regression", "ridge"), F.lit("Interpretable linear model"))), lambda x: x.isNotNull()))
-    weaknesses = F.concat_ws("; ", F.filter(F.array(
-        F.when(std >= 0.05, F.lit("Unstable across folds")),
-        F.when(gap > 0.10, F.lit("Over-fits (train score well above CV)")),
-        F.when(F.col("cv_score") < 0.6, F.lit("Weak cross-validated score")),
-        F.when(name.isin("logistic_regression", "ridge"), F.lit("Cannot model non-linear effects"))), lambda x: x.isNotNull()))
-    return lb.select("model_name", "cv_score", "cv_std", "train_score", strengths.alias("strengths"),
-                     weaknesses.alias("weaknesses"))
+    auc, f1 = (F.col(c) if classification and c in lb.columns else F.lit(None).cast("double") for c in ("auc_roc", "f1"))
+    text = F.format_string
+    strengths = [
+        F.when(std < STD_STABLE, text("Very stable across folds (σ=%.1f%%)", std * 100)),
+        F.when(gap <= GAP_MILD, F.lit("No significant overfitting detected")),
+        F.when(auc > AUC_GOOD, text("Good discrimination (AUC=%.3f)", auc)).when(auc > AUC_MODERATE, text("Moderate discrimination (AUC=%.3f)", auc)),
+        F.when(f1 > F1_STRONG, F.lit("Strong weighted F1")),
+        *[F.when(name == family, F.lit(note)) for family, notes in FAMILY_STRENGTHS.items() for note in notes]]
+    weaknesses = [
+        F.when(std > STD_UNSTABLE, text("Unstable fold scores (σ=%.1f%%) — check for data issues", std * 100)),
+        F.when(gap > GAP_STRONG, text("Strong overfitting — train-CV gap %.1f%%", gap * 100))
+        .when(gap > GAP_MILD, text("Mild overfitting — train-CV gap %.1f%%", gap * 100)),
+        F.when(auc < AUC_WEAK, text("Weak discrimination (AUC=%.3f) — model may not rank risk well", auc)),
+        F.when(f1 < F1_LOW, F.lit("Low F1 — likely struggling with minority class")),
+        F.when(name == "logistic_regression", F.lit(NOTE_NON_LINEAR)),
+        F.when((name == "random_forest") & (gap > GAP_FOREST), F.lit(NOTE_MEMORISES))]
+    notes = lambda items: F.concat_ws("; ", F.filter(F.array(*items), lambda x: x.isNotNull()))
+    return lb.select("model_name", "cv_score", "cv_std", "train_score", auc.alias("auc_roc"), f1.alias("f1"),
+                     notes(strengths).alias("strengths"), notes(weaknesses).alias("weaknesses"))

@@ -2,6 +2,8 @@
 import random
 
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 from tabwork.operators import evaluate, sampling
@@ -103,3 +105,36 @@ def test_text_weights_equal_the_formula_and_are_fitted_within_the_fold(spark):
     df = {"red": 3, "blue": 2, "red blue": 2}
     raw = np.array([(1 + np.log(2 if v == "red" else 1)) * (np.log(4 / (1 + df[v])) + 1) for v in vocab])
     assert np.allclose(got[1], raw / np.linalg.norm(raw)) and not got[4].any() and not got[5].any()
+
+
+def test_synthetic_rows_inside_the_folds(spark):
+    rows = spark.createDataFrame([(i, float(i % 11), float(i % 7) + (3 if i % 10 == 0 else 0), "big" if i % 10 == 0 else "usual", i % 3) for i in range(300)],
+                                 "id long, a double, b double, label string, fold int")
+    m = cv.labelled(rows, ["a", "b"], "label", "id", "fold", index_label=True)
+    pipe = Pipeline(stages=[*cv.feature_stages(m, ["a", "b"]), LogisticRegression()])
+    held = {}
+    for how in (None, "oversample_smote", "oversample_adasyn"):
+        got = cv.cv_out_of_fold(m, pipe, "m", "id", balance=how)
+        assert got.scored.count() == 300 and sorted(got.train_scores) == [0, 1, 2]
+        assert got.scored.select("id").distinct().count() == 300  # no synthetic row is scored
+        held[how] = got.scored.where("label = 0 and prediction = 0").count()
+    assert held["oversample_smote"] >= (held[None] or 0)
+    fold = cv.folded(m, cv.feature_stages(m, ["a", "b"]), "fold", [0])[0]
+    grown = cv.BALANCERS["oversample_smote"](fold.train, "label", "id")
+    assert {r["count"] for r in grown.groupBy("label").count().collect()} == {180}
+    fold.release()
+
+
+def test_verdict_bands(spark):
+    rows = [("random_forest", 0.7, 0.01, 0.82, 0.8, 0.76), ("gbt", 0.7, 0.06, 0.9, 0.7, 0.7), ("logistic_regression", 0.7, 0.03, 0.7, 0.62, 0.5), ("ridge", 0.5, None, None, None, None)]
+    lb = spark.createDataFrame(rows, "model_name string, cv_score double, cv_std double, train_score double, auc_roc double, f1 double")
+    got = {r.model_name: (r.strengths.split("; "), r.weaknesses.split("; ") if r.weaknesses else []) for r in cv.model_verdicts(lb).collect()}
+    assert got["random_forest"][0][:3] == ["Very stable across folds (σ=1.0%)", "Good discrimination (AUC=0.800)", "Strong weighted F1"]
+    assert got["random_forest"][1] == ["Mild overfitting — train-CV gap 12.0%", cv.NOTE_MEMORISES]
+    assert got["gbt"][1] == ["Unstable fold scores (σ=6.0%) — check for data issues", "Strong overfitting — train-CV gap 20.0%"]
+    assert "Moderate discrimination (AUC=0.700)" in got["gbt"][0]
+    assert got["logistic_regression"] == (["No significant overfitting detected", *cv.FAMILY_STRENGTHS["logistic_regression"]],
+                                          ["Low F1 — likely struggling with minority class", cv.NOTE_NON_LINEAR])
+    assert got["ridge"][1] == []
+    plain = cv.model_verdicts(lb.drop("auc_roc", "f1"), classification=False).collect()
+    assert all(r.auc_roc is None and "discrimination" not in r.strengths + r.weaknesses for r in plain)
