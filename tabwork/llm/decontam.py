@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table
+from .common import table, unused
 
 WINDOW = 10                # words of a verbatim match that counts
 BLOCK_BYTES = 32 << 20     # benchmark text sent to the tasks at a time
@@ -255,7 +256,7 @@ def judged(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_i
     added = [c.split() for c in RESULT.split(", ")]
     kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
     kept = docs.drop(*[n for n, _ in added])
-    kept = kept.select(*kept.columns, F.col(text_col).cast("string").cast("binary").alias("_body"))
+    kept = kept.select(*kept.columns, F.col(text_col).cast("string").cast("binary").alias(unused(kept, "_body")))
     last = len(kept.columns) - 1
 
     def judge(batches):
@@ -266,7 +267,7 @@ def judged(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_i
                 [*batch.columns[:last], *[pa.array(c, kinds[k]) for c, (_, k) in zip(columns, added, strict=True)]],
                 [*batch.schema.names[:last], *[n for n, _ in added]])
 
-    schema = kept.drop("_body").schema
+    schema = T.StructType(kept.schema.fields[:-1])
     for name, kind in added:
         schema = schema.add(name, kind)
     return kept.mapInArrow(judge, schema)

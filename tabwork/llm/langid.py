@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_key, table
+from .common import crc_key, table, unused
 
 BUCKETS = 1 << 17
 SMOOTH = 0.5       # count added to every bucket
@@ -175,7 +175,7 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.drop("lang_pred", "score", "lang_shares")
     names = kept.columns
-    source = kept.select(*names, F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("_body"))
+    source = kept.select(*names, F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias(unused(kept, "_body")))
     shares = pa.map_(pa.string(), pa.float64())
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

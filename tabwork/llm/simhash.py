@@ -25,8 +25,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import lookup, saved, table
+from .common import lookup, saved, table, unused
 from .components import components
 
 SHINGLE = 4      # words
@@ -57,7 +58,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fp", shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with the fingerprint as a signed long; the text column is dropped."""
     kept = [c for c in docs.columns if c not in (text_col, out)]
-    source = docs.select(*kept, F.col(text_col).cast("string").cast("binary").alias("_body"))
+    source = docs.select(*kept, F.col(text_col).cast("string").cast("binary").alias(unused(docs, "_body")))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,7 +66,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fp", shing
             column = pa.array(np.array(values, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], column], [*kept, out])
 
-    return source.mapInArrow(add, source.drop("_body").schema.add(out, "long"))
+    return source.mapInArrow(add, T.StructType(source.schema.fields[:-1]).add(out, "long"))
 
 
 def linked(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -117,13 +118,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                  max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row of every component: that of the smallest id, null ids last, ties by content."""
-    columns = docs.columns
+    names = docs.columns
+    columns = [f"_c{i}" for i in range(len(names))]  # whatever they are called
+    docs, id_col, text_col = docs.toDF(*columns), columns[names.index(id_col)], columns[names.index(text_col)]
     key = F.struct(F.xxhash64(*columns).alias("x"), F.xxhash64(F.lit(SEED), *columns).alias("y"))
     found = classes(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), key.alias("_row")), "_id", "text", shingle, max_bits)
     best = found.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id"), F.col("_row"))).alias("m"))
     keep = best.select(F.col("m._row.x").alias("_x"), F.col("m._row.y").alias("_y"))
     single = docs.withColumns({"_x": F.xxhash64(*columns), "_y": F.xxhash64(F.lit(SEED), *columns)}).dropDuplicates(["_x", "_y"])
-    return single.join(keep, ["_x", "_y"], "left_semi").select(*columns)
+    return single.join(keep, ["_x", "_y"], "left_semi").select(*columns).toDF(*names)
 
 
 def op6_simhash_dedup(spark, sf_dir):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_key, saved, table
+from .common import crc_key, saved, table, unused
 
 SAMPLE = 20_000       # labelled rows the model is fitted on
 FEATURES = 4096       # features it may use
@@ -215,7 +215,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.drop("score", "predicted")
     names = kept.columns
-    source = kept.select(*names, F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("_body"))
+    source = kept.select(*names, F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias(unused(kept, "_body")))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -75,3 +75,10 @@ def test_empty(spark):
     some = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     assert decontam.judged(docs, none).collect() == []
     assert [r.contaminated for r in decontam.judged(some, none).collect()] == [False]
+
+
+def test_a_column_named_as_the_text_inside_stays(spark):
+    docs = spark.createDataFrame([(1, "a b c", "kept")], "doc_id long, text string, _body string")
+    bench = spark.createDataFrame([("i", "b c")], "item_id string, text string")
+    got = decontam.judged(docs, bench).first()
+    assert got._body == "kept" and got.n_hit == 2

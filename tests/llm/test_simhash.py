@@ -116,3 +116,15 @@ def test_query(spark, sf):
     for i, d in enumerate(ids):
         least[group[i]] = min(d, least.get(group[i], d))
     assert [x.component_id for x in got] == [least[group[i]] for i in range(len(ids))]
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["doc_id", "text", "_x", "_y", "_body", "_id", "_row", "root", "fp"]
+    docs = spark.createDataFrame([(i, "one two three four five" if i < 3 else f"w{i} v{i} u{i} t{i}", *[f"keep-{c}-{i}" for c in names[2:]]) for i in range(6)],
+                                 "doc_id long, text string, " + ", ".join(f"{c} string" for c in names[2:]))
+    got = simhash.deduplicated(docs).collect()
+    assert sorted(r.doc_id for r in got) == [0, 3, 4, 5] and got[0].__fields__ == names
+    assert all(r[c] == f"keep-{c}-{r.doc_id}" for r in got for c in names[2:])
+    marked = simhash.fingerprints(docs.drop("fp"), "text", "fp", 4)
+    assert marked.columns == ["doc_id", *names[2:-1], "fp"]
+    assert all(r._body == f"keep-_body-{r.doc_id}" for r in marked.collect())
