@@ -168,9 +168,11 @@ def pii_apply_hash(df: DataFrame, columns: list[str], salt: str) -> DataFrame:
                            for c in columns})
 
 
-def pii_apply_pseudonymize(df: DataFrame, columns: list[str], key: str = "tabwork",
+def pii_apply_pseudonymize(df: DataFrame, columns: list[str], key: str,
                            prefix: str | None = None) -> DataFrame:
-    """Stable token per value: prefix + first 128 bits of sha256(key || value) in hex."""
+    """Stable token per value: prefix + first 128 bits of sha256(key || value) in hex; the key is the caller's secret."""
+    if not key:
+        raise ValueError("pseudonyms of personal data need a key")
     out = {}
     for c in columns:
         p = prefix if prefix is not None else c.upper()[:4] + "_"
@@ -202,8 +204,13 @@ APPLY = {"mask": pii_apply_mask, "hash": pii_apply_hash, "pseudonymize": pii_app
          "drop": pii_apply_drop, "approve": pii_apply_approve}
 
 
-def pii_apply(df: DataFrame, actions: dict[str, str], key: str = "tabwork") -> DataFrame:
-    """Apply ``{column: action}`` in one projection (encrypt needs ``key``)."""
+KEYED = ("encrypt", "pseudonymize", "hash")
+
+
+def pii_apply(df: DataFrame, actions: dict[str, str], key: str | None = None) -> DataFrame:
+    """Apply ``{column: action}`` in one projection; hash, pseudonymize and encrypt need the caller's ``key``."""
+    if not key and any(act in KEYED for act in actions.values()):
+        raise ValueError("hashing, pseudonyms and encryption need a key")
     for col, act in actions.items():
         if col not in df.columns:
             raise ValueError(f"unknown column {col!r}")
@@ -239,8 +246,10 @@ def pii_text_redact(df: DataFrame, text_col: str, keep: list[str] = ()) -> DataF
     red = t
     for e in PT.REDACT_ORDER:
         if e == "CREDIT_CARD":
-            cards = F.filter(F.regexp_extract_all(red, F.lit(PT.CREDIT_CARD), 0), luhn_valid)
-            red = F.aggregate(cards, red, lambda text, card: F.replace(text, card, F.lit(f"[{e}]")))
+            # by place: the same digits within a longer number elsewhere stay
+            found, between = F.regexp_extract_all(red, F.lit(PT.CREDIT_CARD), 0), F.split(red, PT.CREDIT_CARD, -1)
+            red = F.array_join(F.zip_with(between, found, lambda text, card: F.concat(
+                text, F.when(card.isNull(), "").when(luhn_valid(card), f"[{e}]").otherwise(card))), "")  # noqa: B023
         else:
             red = F.regexp_replace(red, PT.CONTENT_PATTERNS[e], f"[{e}]")
     return df.select(*keep, *[v.alias(k) for k, v in counts.items()], red.alias("redacted"))

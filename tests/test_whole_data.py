@@ -61,6 +61,12 @@ def test_hashes_are_salted_and_tokens_wide(spark):
     df = spark.createDataFrame([("123-45-6789",)], "ssn string")
     with pytest.raises(ValueError):
         pii.pii_apply_hash(df, ["ssn"], "")
+    with pytest.raises(ValueError):
+        pii.pii_apply_pseudonymize(df, ["ssn"], "")
+    for how in ("hash", "pseudonymize", "encrypt"):
+        with pytest.raises(ValueError):
+            pii.pii_apply(df, {"ssn": how})
+    assert pii.pii_apply(df, {"ssn": "mask"}).first().ssn != "123-45-6789"
     token = pii.pii_apply_pseudonymize(df, ["ssn"], "k").first().ssn
     assert len(token) == len("SSN_") + 32
     assert pii.pii_apply(df, {"ssn": "hash"}, key="k").first().ssn != pii.pii_apply(df, {"ssn": "hash"}, key="l").first().ssn
@@ -134,3 +140,13 @@ def test_ordered_fill_within_and_without_keys(spark):
                 last[key] = v if v is not None else last.get(key)
                 want[o] = last[key]
             assert got == want
+
+
+def test_cards_are_redacted_by_place(spark):
+    card = "4111111111111111"
+    texts = [f"{card}", f"a {card} b 9{card}9 c", f"{card} {card}", f"no 4111111111111112 but {card}.", "", None, "none"]
+    got = [r.redacted for r in pii.pii_text_redact(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").coalesce(1), "t", ["id"]).orderBy("id").collect()]
+    assert got[0] == "[CREDIT_CARD]" and got[2] == "[CREDIT_CARD] [CREDIT_CARD]"
+    # the longer number is no card; what later entities make of it is theirs
+    assert got[1].count("[CREDIT_CARD]") == 1 and got[1].startswith("a [CREDIT_CARD] b ") and got[1].endswith("9 c")
+    assert got[3].endswith("but [CREDIT_CARD].") and got[4:] == ["", None, "none"]
