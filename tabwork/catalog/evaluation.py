@@ -95,6 +95,19 @@ LEFT JOIN cnt ON cnt.model = a.model AND cnt.actual = a.c AND cnt.predicted = p.
 JOIN tot ON tot.model = a.model"""
 
 
+def q_eval_confusion_cells(spark, d):
+    return rounded(E.eval_confusion_cells(scored_multiclass(spark, d), ["model"]))
+
+
+CELLS_SQL = f"""
+WITH s AS {SM}
+SELECT model, label AS actual, prediction AS predicted, count(*) AS count,
+  round(count(*) / sum(count(*)) OVER (PARTITION BY model) * 100, 5) AS pct,
+  CAST(sum(count(*)) OVER (PARTITION BY model, label) AS BIGINT) AS actual_rows,
+  CAST(sum(count(*)) OVER (PARTITION BY model, prediction) AS BIGINT) AS predicted_rows
+FROM s GROUP BY model, label, prediction"""
+
+
 # ------------------------------------------------------------------ thresholds
 def _sweep_sql(thresholds):
     arr = ", ".join(repr(float(t)) for t in thresholds)
@@ -376,6 +389,7 @@ QUERIES = {
     "eval_macro_weighted": q_eval_macro_weighted,
     "eval_f1_weighted": q_eval_f1_weighted,
     "eval_confusion_matrix": q_eval_confusion_matrix,
+    "eval_confusion_cells": q_eval_confusion_cells,
     "eval_threshold_sweep": q_eval_threshold_sweep,
     "eval_threshold_sweep_fine": q_eval_threshold_sweep_fine,
     "eval_optimal_threshold": q_eval_optimal_threshold,
@@ -401,6 +415,7 @@ ORACLE = {
     "eval_macro_weighted": MW_SQL,
     "eval_f1_weighted": F1W_SQL,
     "eval_confusion_matrix": CM_SQL,
+    "eval_confusion_cells": CELLS_SQL,
     "eval_threshold_sweep": SWEEP_SQL,
     "eval_threshold_sweep_fine": SWEEP_FINE_SQL,
     "eval_optimal_threshold": OPT_SQL,

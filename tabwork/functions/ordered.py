@@ -7,25 +7,57 @@ helpers here avoid that:
   a third of all rows is still ranked by many tasks, then ranks the small set
   of survivors.
 * ``cumulative_sum`` computes running totals over a global order in two
-  passes: rows are put into range buckets taken from approximate quantiles,
-  each bucket is summed (a tiny frame), bucket offsets are broadcast back and
-  added to a per-bucket running window.
+  passes: rows are put into range buckets, each bucket is summed (a small
+  frame), bucket offsets are joined back and added to a per-bucket running
+  window.  With groups the ranges are those of (group, value), so a hot group
+  spans many buckets and many small groups share one.
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def bucket_of(x: Column, bounds: list[float]) -> Column:
-    """Number of sorted ``bounds`` below ``x``: a binary search written as nested conditions,
+SAMPLED = 64  # sampled rows per range bucket, from which the bounds of grouped ranges are taken
+
+
+def _search(n: int, beyond) -> Column:
+    """How many of ``n`` sorted bounds a row lies beyond: a binary search written as nested conditions,
     compiled by Spark, so the cost per row is the logarithm of the number of bounds."""
     def search(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(x > F.lit(float(bounds[mid])), search(mid + 1, hi)).otherwise(search(lo, mid))
-    return search(0, len(bounds))
+        return F.when(beyond(mid), search(mid + 1, hi)).otherwise(search(lo, mid))
+    return search(0, n)
+
+
+def bucket_of(x: Column, bounds: list[float]) -> Column:
+    """Number of sorted ``bounds`` below ``x``."""
+    return _search(len(bounds), lambda i: x > F.lit(float(bounds[i])))
+
+
+def grouped_bucket(df: DataFrame, part: list[str], x: Column, n_buckets: int) -> Column:
+    """Number of the range of (group, ``x``) that a row lies in; it rises with ``x`` inside a group.
+
+    Groups are ordered by a hash, nulls of ``x`` come first.  The bounds are taken from a sample of
+    at most about SAMPLED rows a bucket, chosen by a hash; they decide how even the ranges are, never
+    the result, and stand in the plan as numbers, so a repeated task deals its rows alike.
+    """
+    group = F.xxhash64(*[F.col("`" + c + "`") for c in part])
+    keys = df.select(group.alias("g"), x.alias("x"))
+    share = min(1.0, SAMPLED * n_buckets / max(1, keys.count()))
+    chosen = F.pmod(F.xxhash64("g", "x", F.lit(7)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+    seen = sorted((r.g, -math.inf if r.x is None else r.x) for r in keys.where(chosen).collect()
+                  if r.x is None or not math.isnan(r.x))
+    bounds = sorted({seen[len(seen) * i // n_buckets] for i in range(1, n_buckets)}) if seen else []
+
+    def beyond(i: int) -> Column:
+        g, v = bounds[i]
+        return (group > F.lit(g)) | ((group == F.lit(g)) & F.coalesce(x > F.lit(float(v)), F.lit(False)))
+    return _search(len(bounds), beyond)
 
 
 def top_k_per_group(df: DataFrame, group_cols: list[str], order: list[Column], k: int,
@@ -52,27 +84,18 @@ def cumulative_sum(df: DataFrame, order_col: str, sum_cols: list[str],
 
     ``order_col`` should be unique within a group (pre-aggregate ties with a
     ``groupBy`` first; that also absorbs any hot value by map-side combine).
-    Range bounds come from approximate quantiles (per group when grouped), so
-    no group's rows ever have to sit in one task.
+    Range bounds come from approximate quantiles, or with groups from a sample of
+    (group, value), so no group's rows ever have to sit in one task.
     """
     spark = df.sparkSession
     part = list(partition_cols)
     if n_buckets is None:
         n_buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
     x = F.col(order_col).cast("double")
     if part:
-        # one row of bounds per group: grows with the number of groups, so no forced
-        # broadcast — AQE broadcasts it at run time only if it is actually small
-        bounds = df.groupBy(*part).agg(F.percentile_approx(x, probs, 10000).alias("__bounds"))
-        tagged = (df.join(bounds, part, "left")
-                  .withColumn("__bucket", F.size(F.filter(F.coalesce("__bounds", F.array().cast("array<double>")),
-                                                          lambda b: b < x)))
-                  .drop("__bounds"))
+        tagged = df.withColumn("__bucket", grouped_bucket(df, part, x, n_buckets))
     else:
-        bounds_row = df.agg(F.percentile_approx(x, probs, 10000).alias("b")).first()
-        bs = sorted(set(v for v in (bounds_row["b"] or []) if v is not None))
-        tagged = df.withColumn("__bucket", bucket_of(x, bs))
+        tagged = df.withColumn("__bucket", _order_buckets(df, order_col, n_buckets))
     totals = tagged.groupBy(*part, "__bucket").agg(*[F.sum(c).alias(c) for c in sum_cols])
     wo = (Window.partitionBy(*part) if part else Window).orderBy("__bucket") \
         .rowsBetween(Window.unboundedPreceding, -1)
@@ -80,7 +103,7 @@ def cumulative_sum(df: DataFrame, order_col: str, sum_cols: list[str],
                                                  for c in sum_cols])
     w = Window.partitionBy(*part, "__bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     out = tagged.select("*", *[F.sum(c).over(w).alias("__run_" + c) for c in sum_cols])
-    # offsets: n_buckets rows (bounded) without groups; groups × buckets rows with them
+    # offsets: n_buckets rows (bounded) without groups; at most groups + n_buckets rows with them
     out = out.join(offsets if part else F.broadcast(offsets), part + ["__bucket"])
     return out.select(*[F.col("`" + c + "`") for c in df.columns],
                       *[(F.col("__run_" + c) + F.col("__off_" + c)).alias(c + suffix) for c in sum_cols])

@@ -99,22 +99,45 @@ def eval_f1_weighted(scored: DataFrame, by: list[str] = ()) -> DataFrame:
     return eval_macro_weighted(scored, by).select(*by, "weighted_f1")
 
 
+def eval_confusion_cells(scored: DataFrame, by: list[str] = ()) -> DataFrame:
+    """The observed cells of the confusion matrix: count, % of all rows, rows of either class.
+
+    At most as many rows as the data has pairs of (actual, predicted); cells without rows are left
+    out, so it suits any number of classes.  Null classes are cells of their own.
+    """
+    by = list(by)
+    lab, pred = F.col("label").cast("string"), F.col("prediction").cast("string")
+    counts = scored.groupBy(*by, lab.alias("actual"), pred.alias("predicted")).agg(F.count(F.lit(1)).alias("count"))
+    total = counts.groupBy(*by).agg(F.sum("count").alias("total"))
+    of = [counts.groupBy(*by, c).agg(F.sum("count").alias(f"{c}_rows")) for c in ("actual", "predicted")]
+    out = counts
+    for side, c in zip(of, ("actual", "predicted")):
+        keys = [*by, c]
+        side = side.select(*[F.col(k).alias(f"__{k}") for k in keys], f"{c}_rows")
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+        out = out.join(side, same).drop(*[f"__{k}" for k in keys])
+    out = attach(out, total, by)
+    return out.select(*by, "actual", "predicted", "count", (F.col("count") / F.col("total") * 100).alias("pct"), "actual_rows", "predicted_rows")
+
+
 def eval_confusion_matrix(scored: DataFrame, by: list[str] = ()) -> DataFrame:
-    """Full grid over the sorted union of classes: count and % of total.
+    """Full grid over the union of classes: count and % of total.
 
-    The grid is built from the (small) per-group class set with two explodes;
-    counts come from one grouped count.
+    The square of the number of classes in rows; for very many classes see ``eval_confusion_cells``.
+    The grid is a join of the distinct classes of a group with themselves.
     """
+    by = list(by)
     lab, pred = F.col("label").cast("string"), F.col("prediction").cast("string")
     counts = scored.groupBy(*by, lab.alias("actual"), pred.alias("predicted")).agg(
         F.count(F.lit(1)).alias("count"))
     classes = (counts.select(*by, F.explode(F.array("actual", "predicted")).alias("c"))
-               .groupBy(*by).agg(F.array_sort(F.collect_set("c")).alias("classes")))
+               .where(F.col("c").isNotNull()).distinct().withColumn("__k", F.lit(0)))
     totals = counts.groupBy(*by).agg(F.sum("count").alias("total"))
-    grid = (classes.select(*by, F.explode("classes").alias("actual"), "classes")
-            .select(*by, "actual", F.explode("classes").alias("predicted")))
-    keys = list(by) + ["actual", "predicted"]
-    out = attach(grid.join(counts, keys, "left"), totals, list(by), "left")
+    grid = (classes.withColumnRenamed("c", "actual").join(classes.withColumnRenamed("c", "predicted"), [*by, "__k"]).drop("__k"))
+    keys = [*by, "actual", "predicted"]
+    out = attach(grid.join(counts, keys, "left"), totals, by, "left")
     n = F.coalesce(F.col("count"), F.lit(0)).cast("long")
     return out.select(*by, "actual", "predicted", n.alias("count"),
                       (n / F.greatest(F.col("total"), F.lit(1)) * 100).alias("pct"))

@@ -118,7 +118,7 @@ def label_codes(df: DataFrame, cols: list[str], missing: str = MISSING) -> DataF
     per = tagged.groupBy("column_name", "__pid").agg(F.count(F.lit(1)).alias("__n"), F.min("__pos").alias("__first"))
     w = Window.partitionBy("column_name").orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = per.select("column_name", "__pid", "__first", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
-    return (tagged.join(F.broadcast(offs), ["column_name", "__pid"])
+    return (tagged.join(offs, ["column_name", "__pid"])  # columns x sort partitions: Spark sees the size
             .select("column_name", "value", (F.col("__off") + F.col("__pos") - F.col("__first")).cast("int").alias("code")))
 
 

@@ -2,8 +2,8 @@
 
 Input is long ``(series, ts, y)``.  Backtests use expanding-window folds per
 series (``sampling.folds_time_series``).  Naive forecasts and metrics are
-DataFrame aggregates; Holt smoothing runs one series per task with
-``applyInPandas`` (many series in parallel); lag models are one global Spark
+DataFrame aggregates; Holt smoothing runs over chunks of a series (``applyInPandas``),
+whose affine maps compose, so one long series is many tasks; lag models are one global Spark
 ML model over all series' lag rows.
 """
 from __future__ import annotations
@@ -21,6 +21,7 @@ from ..sampling import folds_time_series
 from .cv import kept
 
 HOLT_GRID = [round(x, 2) for x in np.arange(0.1, 1.0, 0.1)]
+HOLT_CHUNK = 4096  # observations that one task smooths at a time
 
 
 def backtest_frame(series: DataFrame, n_splits: int = 5) -> DataFrame:
@@ -77,18 +78,89 @@ def _holt(y: np.ndarray, h: int) -> tuple[np.ndarray, float, float]:
     return level[i] + trend[i] * np.arange(1, h + 1), float(a[i]), float(b[i])
 
 
-def forecast_holt(folds: DataFrame) -> DataFrame:
-    """Holt forecasts for every (series, fold) test window, one group per task."""
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        tr = pdf[pdf.role == "train"].sort_values("pos")
-        te = pdf[pdf.role == "test"].sort_values("pos")
-        pred, _, _ = _holt(tr.y.to_numpy(dtype=float), len(te))
-        return pd.DataFrame({"series": te.series.values, "fold": te.fold.values, "pos": te.pos.values,
-                             "ts": te.ts.values, "actual": te.y.to_numpy(dtype=float), "predicted": pred,
-                             "model": "holt"})
-    schema = "series string, fold long, pos long, ts date, actual double, predicted double, model string"
-    return (folds.select("series", "fold", "pos", "role", "ts", F.col("y").cast("double"))
-            .groupBy("series", "fold").applyInPandas(fit, schema))
+def _grid() -> tuple[np.ndarray, np.ndarray]:
+    a, b = (g.ravel() for g in np.meshgrid(HOLT_GRID, HOLT_GRID, indexing="ij"))
+    return a, b
+
+
+def _advance(y: np.ndarray, level: np.ndarray, trend: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Level, trend and one-step squared error after the observations, for every pair of the grid (last axis)."""
+    a, b = _grid()
+    sse = np.zeros(np.broadcast(level, a).shape)
+    for v in y:
+        ahead = level + trend
+        sse += (v - ahead) ** 2
+        new = a * v + (1 - a) * ahead
+        trend = b * (new - level) + (1 - b) * trend
+        level = new
+    return level, trend, sse
+
+
+def holt_map(y: np.ndarray) -> np.ndarray:
+    """The chunk as an affine map of (level, trend): images of (0, 0), (1, 0), (0, 1), by pair of the grid.
+
+    The images of the unit vectors are those under observations of zero, so that large values of the
+    series cancel nowhere.
+    """
+    n = len(HOLT_GRID) ** 2
+    unit = _advance(np.zeros(len(y)), np.array([[1.0], [0.0]]) * np.ones(n), np.array([[0.0], [1.0]]) * np.ones(n))
+    zero = _advance(y, np.zeros(n), np.zeros(n))
+    return np.stack([np.stack(zero[:2]), *np.stack(unit[:2], axis=1)])  # (3, level and trend, pairs)
+
+
+def forecast_holt(folds: DataFrame, chunk: int = HOLT_CHUNK) -> DataFrame:
+    """Holt forecasts for every (series, fold) test window.
+
+    A step is an affine map of (level, trend), so chunks of a series are mapped in parallel, the maps
+    of a series (a few kB a chunk) are composed to the state at every chunk's beginning, and errors per
+    grid pair are summed over chunks in a second pass.  The pair of least error forecasts; fewer than
+    three observations repeat the last one.
+    """
+    key = ["series", "fold"]
+    rows = folds.select(F.col("series").cast("string").alias("series"), F.col("fold").cast("long").alias("fold"),
+                        F.col("pos").cast("long").alias("pos"), "role", F.col("ts").cast("date").alias("ts"), F.col("y").cast("double").alias("y"))
+    train = rows.where(F.col("role") == "train")
+    facts = train.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max_by("y", "pos").alias("last"),
+                                    F.max(F.when(F.col("pos") == 1, F.col("y"))).alias("first"),
+                                    F.max(F.when(F.col("pos") == 2, F.col("y"))).alias("second"))
+    steps = (train.where(F.col("pos") >= 2)
+             .select(*key, F.floor((F.col("pos") - 2) / chunk).cast("long").alias("chunk"), "pos", "y"))
+
+    def mapped(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf.sort_values("pos").y.to_numpy(float)
+        return pd.DataFrame({"series": pdf.series.iloc[:1], "fold": pdf.fold.iloc[:1], "chunk": pdf.chunk.iloc[:1], "map": [holt_map(y).tobytes()]})
+
+    def composed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk")
+        n = len(HOLT_GRID) ** 2
+        level, trend = np.full(n, pdf["first"].iloc[0]), np.full(n, pdf["second"].iloc[0] - pdf["first"].iloc[0])
+        states = []
+        for packed in pdf["map"]:
+            states.append(np.stack([level, trend]).tobytes())
+            zero, one, two = np.frombuffer(packed).reshape(3, 2, n)
+            level, trend = zero + one * level + two * trend
+        return pd.DataFrame({"series": pdf.series, "fold": pdf.fold, "chunk": pdf.chunk, "state": states})
+
+    def errors(pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        n = len(HOLT_GRID) ** 2
+        level, trend = np.frombuffer(state.state.iloc[0]).reshape(2, n)
+        level, trend, sse = _advance(pdf.sort_values("pos").y.to_numpy(float), level, trend)
+        return pd.DataFrame({"series": pdf.series.iloc[0], "fold": pdf.fold.iloc[0], "chunk": pdf.chunk.iloc[0],
+                             "pair": np.arange(n), "sse": sse, "level": level, "trend": trend})
+
+    keys = "series string, fold long, chunk long"
+    maps = steps.groupBy(*key, "chunk").applyInPandas(mapped, f"{keys}, map binary")
+    states = (maps.join(facts.where(F.col("n") >= 3).select(*key, "first", "second"), key)
+              .groupBy(*key).applyInPandas(composed, f"{keys}, state binary"))
+    by_chunk = (steps.join(states.select(*key, "chunk"), [*key, "chunk"], "left_semi").groupBy(*key, "chunk")
+                .cogroup(states.groupBy(*key, "chunk")).applyInPandas(errors, f"{keys}, pair long, sse double, level double, trend double"))
+    pairs = by_chunk.groupBy(*key, "pair").agg(F.sum("sse").alias("sse"), F.max_by("level", "chunk").alias("level"),
+                                               F.max_by("trend", "chunk").alias("trend"))
+    best = pairs.groupBy(*key).agg(F.min_by(F.struct("level", "trend"), F.struct("sse", "pair")).alias("best"))
+    test = rows.where(F.col("role") == "test").join(facts.select(*key, "n", "last"), key, "left").join(best, key, "left")
+    ahead = F.col("best.level") + F.col("best.trend") * (F.col("pos") - F.col("n"))
+    return test.select(*key, "pos", "ts", F.col("y").alias("actual"), F.coalesce(ahead, "last", F.lit(0.0)).alias("predicted"),
+                       F.lit("holt").alias("model"))
 
 
 def lag_rows(series: DataFrame, lags: int) -> DataFrame:

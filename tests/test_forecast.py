@@ -30,6 +30,23 @@ def test_holt_over_the_whole_grid_at_once():
     assert np.allclose(FC._holt(np.array([5.0]), 2)[0], [5, 5])
 
 
+def test_holt_chunks_equal_the_plain_loop(spark):
+    r = np.random.default_rng(4)
+    day = datetime.date(1990, 1, 1)
+    whole = {"a": 1e6 + np.cumsum(r.normal(1, 2, 700)), "b": r.normal(0, 1, 65), "c": np.full(40, 7.0), "d": np.array([1.0, 4.0, 2.0, 9.0])}
+    rows = [(s, f, i + 1, "train" if i < n - 5 - 3 * f else "test", day + datetime.timedelta(days=i), float(v))
+            for s, y in whole.items() for n in [len(y)] for f in (0, 1) for i, v in enumerate(y) if i < n - 3 * f or n < 9]
+    rows += [("e", 0, i + 1, "test", day, 3.0) for i in range(2)]  # nothing to learn from
+    folds = spark.createDataFrame(rows, "series string, fold long, pos long, role string, ts date, y double").repartition(5)
+    got = FC.forecast_holt(folds, chunk=16).toPandas()
+    assert len(got) == sum(x[3] == "test" for x in rows)
+    for (s, f), part in got.groupby(["series", "fold"]):
+        part = part.sort_values("pos")
+        y = np.array([x[5] for x in sorted(rows, key=lambda x: x[2]) if x[:2] == (s, f) and x[3] == "train"])
+        want = loop_holt(y, len(part)) if len(y) >= 3 else np.repeat(y[-1] if len(y) else 0.0, len(part))
+        assert np.allclose(part.predicted, want, rtol=1e-9, atol=1e-6)
+
+
 def made(spark, n=90):
     day = datetime.date(2024, 1, 1)
     rows = [(s, day + datetime.timedelta(days=i), float((i % 7) * k + 3 * k)) for s, k in (("a", 1), ("b", 4)) for i in range(n)]

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabwork.functions.ordered import cumulative_sum, fill_nulls_ordered, top_k_per_group
+from tabwork.functions.ordered import cumulative_sum, fill_nulls_ordered, grouped_bucket, top_k_per_group
 from tabwork.operators import evaluate as E
 
 
@@ -18,6 +18,22 @@ def test_cumulative_sum_matches_pandas(spark):
     assert got.v_cum.tolist() == exp.tolist()
 
 
+def test_grouped_sums_with_hot_and_null_groups(spark):
+    rng = np.random.default_rng(6)
+    g = np.concatenate([np.full(4000, 7), rng.integers(0, 900, 2000)])
+    pdf = pd.DataFrame({"g": g, "k": np.arange(6000) * 0.5 - 900, "v": rng.integers(0, 10, 6000)})
+    df = spark.createDataFrame(pdf).select(F.when(F.col("g") > 0, F.col("g")).alias("g"), F.when(F.col("k") > -900, F.col("k")).alias("k"), "v")
+    out = cumulative_sum(df.repartition(7).where("g IS NOT NULL"), "k", ["v"], n_buckets=16, partition_cols=["g"])
+    got = out.toPandas().sort_values(["g", "k"], na_position="first")
+    want = pdf[pdf.g > 0].sort_values(["g", "k"])
+    assert got.v_cum.tolist() == want.groupby("g").v.cumsum().tolist()
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "percentile_approx" not in plan
+    # the hot group spans many ranges, no range holds much more than its share
+    sizes = df.where("g IS NOT NULL").select(grouped_bucket(df.where("g IS NOT NULL"), ["g"], F.col("k"), 16).alias("b")).groupBy("b").count().collect()
+    assert len(sizes) == 16 and max(r["count"] for r in sizes) < 3 * 6000 / 16
+
+
 @pytest.mark.parametrize("backward", [False, True])
 def test_fill_matches_pandas(spark, backward):
     rng = np.random.default_rng(1)
@@ -75,6 +91,19 @@ def test_confusion_grid_complete_and_single_class(spark):
     assert len(pc) == 1 and pc[0].f1 == 1.0
 
 
+def test_confusion_cells_are_the_observed_part_of_the_grid(spark):
+    df = spark.createDataFrame([("a", "a"), ("a", "b"), ("a", "b"), ("c", None), (None, "c")], "label string, prediction string")
+    got = {(r.actual, r.predicted): r for r in E.eval_confusion_cells(df).collect()}
+    assert set(got) == {("a", "a"), ("a", "b"), ("c", None), (None, "c")}
+    assert (got["a", "b"]["count"], got["a", "b"].actual_rows, got["a", "b"].predicted_rows, got["a", "b"].pct) == (2, 3, 2, 40.0)
+    assert got[None, "c"].actual_rows == got["c", None].predicted_rows == 1
+    many = spark.range(3000).selectExpr("CAST(id AS STRING) AS label", "CAST(id + id % 2 AS STRING) AS prediction")
+    assert E.eval_confusion_cells(many).count() == 3000
+    grid = {(r.actual, r.predicted): r["count"] for r in E.eval_confusion_matrix(df).collect()}
+    assert len(grid) == 9 and all(grid[k] == v["count"] for k, v in got.items() if None not in k)
+    assert E.eval_confusion_cells(df.limit(0)).collect() == []
+
+
 def test_mcnemar_statistic(spark):
     rows = [(i, 1.0, 1.0, "a") for i in range(10)] + [(i, 1.0, 0.0, "b") for i in range(10)]
     rows += [(10 + i, 0.0, 1.0, "a") for i in range(2)] + [(10 + i, 0.0, 0.0, "b") for i in range(2)]
