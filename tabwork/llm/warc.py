@@ -2,12 +2,13 @@
 
 Records are encoded once, in the tasks that read the pages (headers, payload digest, one gzip
 member each), so that only compressed records are shuffled.  They are dealt to shards that are
-ranges of the page id, cut by payload bytes, sorted inside a shard, and rolled into files by
-compressed size.  A task writes under a temporary name and returns a manifest row; the manifest is
+ranges of the page id, cut by running payload bytes in id order, sorted inside a shard, and rolled into files by
+compressed size; read in the order of their names, the files are in the order of the ids.  A task writes under a temporary name and returns a manifest row; the manifest is
 saved, and only then are the named files moved to their final names by a second, repeatable job.
 A lost or repeated task leaves a stray temporary file that no manifest names.
 
-Defined cases: a null html is an empty payload; a null page id is kept and read back as null (it
+Defined cases: records without an id, or of one id with more bytes than a shard, are dealt over as many shards as
+they need (null ids first); a null html is an empty payload; a null page id is kept and read back as null (it
 never counts as the largest id); records with equal payload and equal, largest page id are all
 responses; columns other than the id, url and html are not archived; an empty table writes no file.
 """
@@ -21,15 +22,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordered import cumulative_sum
 from .common import lookup, saved, scratch, table
 
 REVISIT_FROM = 1000          # payloads of at least this many bytes are stored once
 SHARD_BYTES = 32 << 20       # payload bytes that make one shard
 FILE_BYTES = 16 << 20        # compressed bytes after which the next file begins
-RANGE_BUCKETS = 4096         # cells of the id histogram from which shards are cut
 DATE = "1970-01-01T00:00:00Z"  # no clock: equal input gives equal files
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value
 
@@ -73,40 +74,24 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["page_id", "url", "digest", "payload_bytes", "record"])
 
 
-def shard_bounds(pages: DataFrame, shard_bytes: int) -> tuple[list[int], list[int]]:
-    """Upper ids of the shards, and the number of parts each is split into.
+def shard_places(facts: DataFrame, shard_bytes: int) -> tuple[DataFrame, int, int]:
+    """(id, first, parts, n) of every page id, shards and rows altogether.
 
-    A histogram of RANGE_BUCKETS equal id ranges (that many rows at most) is cut by its payload
-    bytes.  A range that alone exceeds a shard, such as one repeated id, is split into parts.
+    ``first`` is the shard that holds the bytes of all smaller ids before this one, ``parts`` the
+    number of shards that its own bytes span.  Null ids come first.  Sums run over range buckets, so no task
+    sees all ids, and no bounds pass through the driver.
     """
-    ends = pages.agg(F.min("page_id").alias("a"), F.max("page_id").alias("b")).first()
-    if ends.a is None:
-        return [], []
-    width = max(1, -(-(ends.b - ends.a + 1) // RANGE_BUCKETS))
-    cell = F.floor((F.col("page_id").cast("double") - float(ends.a)) / float(width)).cast("int")
-    rows = (pages.filter(F.col("page_id").isNotNull()).groupBy(cell.alias("cell"))
-            .agg(F.sum(F.col("payload_bytes") + 512).alias("bytes")).orderBy("cell").collect())
-    uppers, parts, held = [], [], 0
-    for r in rows:
-        if held and held + r.bytes > shard_bytes:
-            uppers.append(ends.a + r.cell * width - 1)
-            parts.append(max(1, -(-held // shard_bytes)))
-            held = 0
-        held += r.bytes
-    uppers.append(ends.b)
-    parts.append(max(1, -(-held // shard_bytes)))
-    return uppers, parts
-
-
-def _shard_of(uppers: list[int], parts: list[int]) -> Column:
-    """Number of the shard of a page: first its id range, then a part of it by record salt."""
-    if not uppers:
-        return F.lit(0)
-    first = [sum(parts[:i]) + 1 for i in range(len(parts))]  # 0 is left to null ids
-    ups, starts, counts = (F.array(*[F.lit(int(x)) for x in xs]) for xs in (uppers, first, parts))
-    at = F.size(F.filter(ups, lambda u: u < F.col("page_id")))
-    salt = F.pmod(F.xxhash64("page_id", "digest", "url"), F.element_at(counts, at + 1))
-    return F.when(F.col("page_id").isNull(), F.lit(0)).otherwise((F.element_at(starts, at + 1) + salt).cast("int"))
+    sizes = saved(facts.groupBy("page_id").agg(F.sum(F.col("payload_bytes") + 512).alias("bytes"), F.count("*").alias("n")), "warc-ids")
+    whole = sizes.agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), F.sum(F.when(F.col("page_id").isNull(), F.col("bytes"))).alias("null")).first()
+    nulls = -(-(whole.null or 0) // shard_bytes)
+    running = cumulative_sum(sizes.filter("page_id IS NOT NULL"), "page_id", ["bytes"])
+    first = F.floor((F.col("bytes_cum") - F.col("bytes")) / F.lit(shard_bytes))
+    last = F.floor((F.col("bytes_cum") - 1) / F.lit(shard_bytes))
+    # an id that begins in a shard goes there whole; only one of more bytes than a shard is split
+    parts = F.when(F.col("bytes") > shard_bytes, last - first + 1).otherwise(1)
+    placed = running.select(F.col("page_id").cast("string").alias("id"), (first + nulls).cast("int").alias("first"), parts.cast("int").alias("parts"), "n")
+    shards = nulls + -(-((whole.bytes or 0) - (whole.null or 0)) // shard_bytes) + 1
+    return placed, nulls, shards
 
 
 class _File:
@@ -183,16 +168,24 @@ def write_archive(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, f
     groups = saved(facts.filter(F.col("payload_bytes") >= REVISIT_FROM).groupBy("digest")
                    .agg(F.max("page_id").alias("last_id"), F.count("*").alias("n"))
                    .filter("n > 1"), "warc-groups")
-    uppers, parts = shard_bounds(facts, shard_bytes)
+    places, nulls, shards = shard_places(facts, shard_bytes)
+    total = facts.count()
     encoded = source.mapInArrow(_encode, ENCODED)
     # a shorter payload can't share a digest with one of REVISIT_FROM bytes
-    known = lookup(encoded, "digest", groups, "last_id", "n", facts.count(), ["page_id", "url"])
+    known = lookup(encoded, "digest", groups, "last_id", "n", total, ["page_id", "url"])
     older = F.col("last_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last_id"))
     # the record of a page that will be a revisit need not travel
-    placed = (known.withColumn("refers_to", F.when(older, F.col("last_id")))
-              .withColumn("record", F.when(~older | F.col("last_id").isNull(), F.col("record")))
-              .withColumn("shard", _shard_of(uppers, parts))
-              .repartition(4 * (sum(parts) + 1), "shard")  # more tasks than shards: few tasks get two
+    known = (known.withColumn("refers_to", F.when(older, F.col("last_id")))
+             .withColumn("record", F.when(~older | F.col("last_id").isNull(), F.col("record")))
+             .drop("last_id", "n").withColumn("id", F.col("page_id").cast("string")))
+    place = places.select("id", F.struct("first", "parts").alias("place"), "n")
+    known = lookup(known, "id", place, "place", "n", total, ["digest", "url"])
+    # repeated rows of a split id are told apart by their place in the table only
+    part = lambda n: F.pmod(F.xxhash64("digest", "url", F.monotonically_increasing_id()), n)
+    shard = F.when(F.col("id").isNull(), part(F.lit(max(1, nulls)))).otherwise(
+        F.col("place.first") + F.when(F.col("place.parts") > 1, part(F.col("place.parts"))).otherwise(0))
+    placed = (known.withColumn("shard", shard.cast("int"))
+              .repartition(4 * (shards + 1), "shard")  # more tasks than shards: few tasks get two
               .sortWithinPartitions("shard", "page_id", "digest", "url"))
     placed = placed.select("shard", "page_id", "url", "digest", "payload_bytes", "refers_to", "record")
     manifest = saved(placed.mapInArrow(_writer(path, file_bytes), MANIFEST), "warc-manifest")
@@ -258,7 +251,7 @@ d AS (
   SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest FROM p),
 g AS (SELECT payload_digest, max(page_id) AS last_id FROM d WHERE payload_bytes >= {REVISIT_FROM} GROUP BY 1)
 SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN last_id IS NULL OR last_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN last_id <> page_id THEN last_id END AS refers_to
+       CASE WHEN last_id IS NULL OR last_id IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN last_id IS DISTINCT FROM page_id THEN last_id END AS refers_to
 FROM d LEFT JOIN g USING (payload_digest)
 """

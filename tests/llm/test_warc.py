@@ -52,3 +52,21 @@ def test_equal_input_gives_equal_files(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert warc.write_archive(spark.createDataFrame([], SCHEMA), f"file://{tmp_path}/w").collect() == []
+
+
+def test_files_are_in_id_order_whatever_the_ids(spark, tmp_path):
+    rows = [((i * 7919) % 10_007, f"http://h/{i}", f"page {i} " * (i % 30), None) for i in range(3000)]
+    rows += [(1 << 60, "http://far", "far", None), (-(1 << 62), "http://near", "near", None)]
+    rows += [(None, f"http://n/{i}", f"null {i}", None) for i in range(300)]
+    rows += [(5000, f"http://same/{i}", f"same {i} " * 20, None) for i in range(300)]  # an id of several shards
+    manifest, got = run(spark, rows, tmp_path, shard_bytes=20_000)
+    assert got == expected(rows)
+    by_shard = {}
+    for m in manifest:
+        by_shard[m.shard] = by_shard.get(m.shard, 0) + m.records
+    assert len(by_shard) > 80 and max(by_shard.values()) < 200
+    names = sorted(m.name for m in manifest)
+    files = [[fields.get("WARC-Page-ID") for fields, _ in warc._records((tmp_path / "w" / n).read_bytes())] for n in names]
+    ids = [int(x) for f in files for x in f if x is not None]
+    assert ids == sorted(ids) and len(ids) == 3302
+    assert all(x is None for x in [x for f in files for x in f][:300])
