@@ -10,7 +10,8 @@ states that they are no article text (menus, forms, ...) have importance zero fr
 such a part may well change from page to page and no entropy shows it.  A class or id that states so
 (adverts, comments, ...) is a prior only: layout wrappers bear such names too, so the branch stays if
 it holds most of the page's text, NAMED_ODDS times that of the unnamed text around it, and its
-importance is not low.  Plain prose elements inside
+importance is not low.  Forms, dialogs, hidden elements and branches named header may wrap a whole page as well:
+they stay if they hold WRAPPED_ODDS times the text around them.  Plain prose elements inside
 an article are never removed for being alike: copies of an article are still articles.
 
 If a page has article or main elements that keep any text, only their text counts, unless a branch
@@ -35,10 +36,11 @@ from pyspark.sql import functions as F
 
 from .common import lookup, saved, table
 
-LEAST_PAGES = 5       # pages of a host that must hold a node before it can be judged
+PRIOR_PAGES = 1       # pages of full importance that every node is given, so few pages prove little
 LEAST_IMPORTANCE = 0.2
 CONTENT_WEIGHT = 0.9  # of content importance; the rest is presentation
 NAMED_ODDS = 4        # a branch named like boilerplate must hold so many times the unnamed text around it
+WRAPPED_ODDS = 20     # and one that is rarely more than a part of a page, such as a form, so many times
 MASK = (1 << 63) - 1
 
 # Names below are fixed values.
@@ -54,12 +56,13 @@ ENDS = {
 }
 PROSE = set("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th section div figure figcaption details summary center hgroup address".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
-NO_TEXT = set("nav footer aside form button select option optgroup datalist object applet embed svg canvas audio video dialog menu search map frameset progress meter input".split())
-NO_TEXT_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
+NO_TEXT = set("nav footer aside button select option optgroup datalist object applet embed svg canvas audio video menu search map frameset progress meter input".split())
+NO_TEXT_ROLES = set("navigation banner contentinfo complementary search alert alertdialog menu menubar toolbar".split())
 NO_TEXT_NAMES = set("""ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promos banner cookie cookies consent gdpr notice notices
 alert popup modal overlay menu menus nav navbar navigation breadcrumb breadcrumbs sidebar sidebars aside widget widgets masthead topbar footer foot copyright
 comment comments disqus reply replies respond share sharing social related recommended recommendations newsletter subscribe subscription
 signup login search pagination pager toolbar skip skiplink""".split())
+WRAPPERS = {"form", "dialog"}  # elements and roles
 HEAD_NAMES = {"header"}
 NOT_REALLY = {"has", "no", "with", "without", "hide", "hides"}
 
@@ -72,7 +75,7 @@ NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 class _Element:
     """What the parser has to know about an opening tag below a given path."""
 
-    __slots__ = ("tag", "path", "sign", "drop", "named", "main", "plain", "head")
+    __slots__ = ("tag", "path", "sign", "drop", "named", "soft", "main", "plain", "head")
 
 
 class Parser:
@@ -82,18 +85,20 @@ class Parser:
         self.memo: dict = {}
 
     def _element(self, above: _Element | None, tag: str, attributes: str) -> _Element:
-        key = (above.path if above else 0, above.drop if above else False, above.named if above else (), tag, attributes)
+        key = (*((above.path, above.drop, above.named, above.soft, above.main, above.head) if above else ()), tag, attributes)
         found = self.memo.get(key)
         if found is not None:
             return found
-        names, role, hidden = [], "", False
+        names, role, hidden, unread = [], "", False, False
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id"):
                 names += value.split()
             elif name == "role":
                 role = value.lower()
-            elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            elif name == "aria-hidden":
+                unread = value.lower() == "true"
+            elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 hidden = True
         e = _Element()
         signs = sorted({re.sub(r"\d+", "#", n.lower()) for n in names})
@@ -104,10 +109,14 @@ class Parser:
             words = [w.lower() for w in NAME_PART.findall(n)]
             parts.update(w for i, w in enumerate(words) if not i or words[i - 1] not in NOT_REALLY)
         whole = tag in ("html", "body", "article", "main")
-        e.main = (above.main if above else False) or tag in ("article", "main") or role in ("main", "article")
-        e.head = (above.head if above else False) or tag == "header" or not whole and bool(parts & HEAD_NAMES)
+        begins = tag in ("article", "main") or role in ("main", "article")
+        e.main = (above.main if above else False) or begins
+        headed = not whole and bool(parts & HEAD_NAMES)
+        e.head = (above.head if above and not begins else False) or tag == "header" or headed
         named = bool(parts & NO_TEXT_NAMES) and (not whole or tag == "article" and bool(parts & {"comment", "comments", "reply"}))
-        e.drop = (above.drop if above else False) or hidden or tag in NO_TEXT or role in NO_TEXT_ROLES or e.head and not e.main
+        e.drop = (above.drop if above else False) or unread or tag in NO_TEXT or role in NO_TEXT_ROLES or tag == "header" and not e.main
+        wraps = hidden or tag in WRAPPERS or role in WRAPPERS or headed and not e.main
+        e.soft = (above.soft if above else ()) + ((e.path,) if wraps else ())
         # branches named like boilerplate, the outermost first
         e.named = (above.named if above else ()) + ((e.path,) if named else ())
         # plain prose below an article or main element
@@ -129,7 +138,8 @@ class Parser:
                 pieces.clear()
                 top = stack[-1]
                 if text:  # of a header within an article only headings are text
-                    out.append((text, not top.drop and (not top.head or any(e.tag in HEADINGS for e in stack)), tuple(stack)))
+                    headed = top.head and top.main
+                    out.append((text, not top.drop and (not headed or any(e.tag in HEADINGS for e in stack)), tuple(stack)))
 
         size = len(page)
         while at < size:
@@ -166,7 +176,7 @@ class Parser:
             if tag in INLINE:
                 if attributes and tag not in VOID:
                     e = self._element(stack[-1], tag, attributes)
-                    if e.drop and not stack[-1].drop or len(e.named) > len(stack[-1].named):  # an inline advert, a share link
+                    if e.drop and not stack[-1].drop or len(e.named + e.soft) > len(stack[-1].named + stack[-1].soft):  # an inline advert, a share link
                         flush()
                         stack.append(e)
                 continue
@@ -194,7 +204,7 @@ class Parser:
             if not attributes.endswith("/") or tag in ("p", "div"):
                 stack.append(e)
         flush()
-        return out, children
+        return _unwrapped(out), children
 
     def facts(self, page: str) -> list[tuple[int, bool, int, int]]:
         """(path, whether entropy decides on it, structure hash, content hash) of the nodes of a page."""
@@ -237,6 +247,26 @@ class Parser:
 _ENDS_OF = {t: re.compile(f"</{t}(?=[\\s/>])", re.I) for t in RAW}
 
 
+def _unwrapped(blocks: list[tuple[str, bool, tuple]]) -> list[tuple[str, bool, tuple]]:
+    """The blocks; those in forms, dialogs, hidden or header branches are no article text unless the branch wraps the page."""
+    if not any(good and stack[-1].soft for _, good, stack in blocks):
+        return blocks
+    held = Counter()
+    unnamed = any(good and not stack[-1].named for _, good, stack in blocks)
+    for text, good, stack in blocks:
+        if good and not (unnamed and stack[-1].named):
+            held[stack[-1].soft] += len(text)
+    chains = {stack[-1].soft[:k] for _, good, stack in blocks if good for k in range(1, len(stack[-1].soft) + 1)}
+    wrapping = set()
+    for chain in chains:
+        inside = sum(n for soft, n in held.items() if soft[:len(chain)] == chain)
+        around = sum(held[chain[:k]] for k in range(len(chain)))
+        if inside and inside >= WRAPPED_ODDS * around:
+            wrapping.add(chain)
+    return [(text, good and all(stack[-1].soft[:k] in wrapping for k in range(1, len(stack[-1].soft) + 1)), stack)
+            for text, good, stack in blocks]
+
+
 def _most(blocks: list[tuple[str, tuple]], paths: frozenset) -> set[int]:
     """Those of the paths that hold more than half of the blocks' text."""
     held = Counter()
@@ -315,7 +345,8 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                           F.col(html_col).cast("string").alias("html"), host.alias("host"))
     tree = importances(source)
-    low = (tree.filter(F.col("free") & (F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
+    smoothed = (F.col("pages") * F.col("importance") + PRIOR_PAGES) / (F.col("pages") + PRIOR_PAGES)
+    low = (tree.filter(F.col("free") & (smoothed < LEAST_IMPORTANCE))
            .groupBy("host").agg(F.collect_list("path").alias("low"), F.max("copies").alias("n")))
     found = lookup(source, "host", saved(low, "low-branches"), "low", "n", source.count(), ["page_id", "url"])
 

@@ -124,3 +124,19 @@ def test_names_are_a_prior_only(spark):
     # a named branch that reads the same on every page is boilerplate, however long
     rows = [(i, f"http://e.example/{i}", f"<div class=sidebar>{story}</div><div class=x><p>{c * 15}</p></div>") for i, c in enumerate("abcdefgh")]
     assert {r.text for r in sitetree.extracted(frame(spark, rows)).collect()} == {c * 15 for c in "abcdefgh"}
+
+
+def test_wrappers_of_a_whole_page_keep_its_text():
+    story = "<h1>Title</h1><p>A long story begins on this page.</p><p>It goes on, and ends in a second paragraph.</p>"
+    want = "Title\n\nA long story begins on this page.\n\nIt goes on, and ends in a second paragraph."
+    assert text(f"<body><form id=aspnetForm><nav>menu</nav><div class=c>{story}</div></form></body>") == want
+    assert text(f"<div class='page-header-wrap'>{story}</div><footer>f</footer>") == want
+    assert text(f"<div class='page-header-wrap'><main>{story}</main></div>") == want
+    assert text(f"<body style='display:none'>{story}</body>") == want
+    assert text(f"<div hidden=until-found>{story}</div><div class=ad>buy this, and that, and all of it</div>") == want
+    assert text(f"<div role=dialog><form>{story}</form></div>") == want
+    # inside the wrapper and beside the text they are no article text
+    assert text(f"<form id=aspnetForm>{story}<form><label>Your name and your address</label></form><p hidden>secret</p></form>") == want
+    assert text(f"{story}<dialog><p>We use cookies on all our pages, as everybody does.</p></dialog>") == want
+    assert text(f"<div class='site-header'><p>The site of sites, for all of us.</p></div>{story}") == want
+    assert text(f"<div aria-hidden=true>{story}</div>") == ""
