@@ -18,10 +18,14 @@ import gzip
 import hashlib
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +38,7 @@ FILE_BYTES = 16 << 20        # compressed bytes after which the next file begins
 DATE = "1970-01-01T00:00:00Z"  # no clock: equal input gives equal files
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value
 
-ENCODED = "page_id long, url string, digest string, payload_bytes long, record binary"
+ENCODED = "page_id long, url string, digest string, payload_bytes long, record binary, shard int"
 MANIFEST = "shard int, seq int, temporary string, name string, records long, bytes long, sha1 string"
 PAGES = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -58,40 +62,74 @@ def _http(size: int) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
 
 
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A complete response record for every page."""
-    for batch in batches:
-        ids, urls, bodies = (batch.column(i) for i in range(3))
-        digests, sizes, records = [], [], []
-        for page_id, url, body in zip(ids, urls, bodies, strict=True):
-            payload = body.as_buffer().to_pybytes() if body.is_valid else b""
-            digest = hashlib.sha1(payload).hexdigest()
-            digests.append(digest)
-            sizes.append(len(payload))
-            records.append(_member(_head("response", page_id.as_py(), url.as_py(), digest), _http(len(payload)) + payload))
-        yield pa.RecordBatch.from_arrays(
-            [ids, urls, pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(records, pa.binary())],
-            ["page_id", "url", "digest", "payload_bytes", "record"])
-
-
-def shard_places(facts: DataFrame, shard_bytes: int) -> tuple[DataFrame, int, int]:
-    """(id, first, parts, n) of every page id, shards and rows altogether.
-
-    ``first`` is the shard that holds the bytes of all smaller ids before this one, ``parts`` the
-    number of shards that its own bytes span.  Null ids come first.  Sums run over range buckets, so no task
-    sees all ids, and no bounds pass through the driver.
+def _encode(shards: Broadcast):
+    """A complete response record for every page, with its shard."""
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, repeats = shards.value, Counter()
+        for batch in batches:
+            ids, urls, bodies = (batch.column(i) for i in range(3))
+            first, parts = cut.of(ids)
+            digests, sizes, records = [], [], []
+            for i, (page_id, url, body) in enumerate(zip(ids, urls, bodies, strict=True)):
+                payload = body.as_buffer().to_pybytes() if body.is_valid else b""
+                digest = hashlib.sha1(payload).hexdigest()
+                digests.append(digest)
+                sizes.append(len(payload))
+                records.append(_member(_head("response", page_id.as_py(), url.as_py(), digest), _http(len(payload)) + payload))
+                if parts[i] > 1:  # by content; repeated rows by their place in the table
+                    salt = zlib.crc32(f"{digest}{url.as_py()}".encode())
+                    first[i] += (salt + repeats[salt]) % parts[i]
+                    repeats[salt] += 1
+            yield pa.RecordBatch.from_arrays(
+                [ids, urls, pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(records, pa.binary()), pa.array(first, pa.int32())],
+                ["page_id", "url", "digest", "payload_bytes", "record", "shard"])
+
+    return encode
+
+
+@dataclass
+class Shards:
+    """Largest id of every shard, its number, and the parts of that id; ``nulls`` shards of null ids come first.
+
+    24 bytes for shard_bytes of payload: that is what is broadcast.
+    """
+
+    upper: np.ndarray
+    first: np.ndarray
+    parts: np.ndarray
+    nulls: int
+    total: int
+
+    def of(self, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """First shard of every id, and over how many its records are dealt."""
+        at = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        null = np.array(ids.is_null(), bool)
+        first, parts = np.zeros(len(at), np.int64), np.where(null, max(1, self.nulls), 1)
+        if len(self.upper):
+            spot = np.minimum(np.searchsorted(self.upper, at), len(self.upper) - 1)
+            first = np.where(null, 0, self.first[spot])
+            parts = np.where(~null & (at == self.upper[spot]), self.parts[spot], parts)
+        return first, parts
+
+
+def shards_of(facts: DataFrame, shard_bytes: int) -> Shards:
+    """Shards of about ``shard_bytes`` of payload, from the running bytes in the order of the ids.
+
+    An id that begins in a shard goes there whole; one of more bytes than a shard, always the largest
+    of the shard it begins in, is dealt over all the shards its bytes span.  Sums run over range buckets, so no task
+    sees all ids, and a few numbers a shard come to the driver.
     """
-    sizes = saved(facts.groupBy("page_id").agg(F.sum(F.col("payload_bytes") + 512).alias("bytes"), F.count("*").alias("n")), "warc-ids")
-    whole = sizes.agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), F.sum(F.when(F.col("page_id").isNull(), F.col("bytes"))).alias("null")).first()
-    nulls = -(-(whole.null or 0) // shard_bytes)
+    sizes = saved(facts.groupBy("page_id").agg(F.sum(F.col("payload_bytes") + 512).alias("bytes")), "warc-ids")
+    nulls = sizes.filter("page_id IS NULL").agg(F.sum("bytes")).first()[0] or 0
+    nulls = -(-nulls // shard_bytes)
     running = cumulative_sum(sizes.filter("page_id IS NOT NULL"), "page_id", ["bytes"])
     first = F.floor((F.col("bytes_cum") - F.col("bytes")) / F.lit(shard_bytes))
     last = F.floor((F.col("bytes_cum") - 1) / F.lit(shard_bytes))
-    # an id that begins in a shard goes there whole; only one of more bytes than a shard is split
     parts = F.when(F.col("bytes") > shard_bytes, last - first + 1).otherwise(1)
-    placed = running.select(F.col("page_id").cast("string").alias("id"), (first + nulls).cast("int").alias("first"), parts.cast("int").alias("parts"), "n")
-    shards = nulls + -(-((whole.bytes or 0) - (whole.null or 0)) // shard_bytes) + 1
-    return placed, nulls, shards
+    rows = (running.select("page_id", first.alias("first"), last.alias("last"), parts.alias("parts")).groupBy("first")
+            .agg(F.max("page_id").alias("upper"), F.max("parts").alias("parts"), F.max("last").alias("last")).orderBy("first").collect())
+    column = lambda name: np.array([r[name] for r in rows], np.int64)
+    return Shards(column("upper"), column("first") + nulls, column("parts"), nulls, nulls + 1 + (rows[-1].last if rows else 0))
 
 
 class _File:
@@ -168,24 +206,15 @@ def write_archive(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, f
     groups = saved(facts.filter(F.col("payload_bytes") >= REVISIT_FROM).groupBy("digest")
                    .agg(F.max("page_id").alias("last_id"), F.count("*").alias("n"))
                    .filter("n > 1"), "warc-groups")
-    places, nulls, shards = shard_places(facts, shard_bytes)
-    total = facts.count()
-    encoded = source.mapInArrow(_encode, ENCODED)
+    shards = shards_of(facts, shard_bytes)
+    encoded = source.mapInArrow(_encode(pages.sparkSession.sparkContext.broadcast(shards)), ENCODED)
     # a shorter payload can't share a digest with one of REVISIT_FROM bytes
-    known = lookup(encoded, "digest", groups, "last_id", "n", total, ["page_id", "url"])
+    known = lookup(encoded, "digest", groups, "last_id", "n", facts.count(), ["page_id", "url"])
     older = F.col("last_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last_id"))
     # the record of a page that will be a revisit need not travel
-    known = (known.withColumn("refers_to", F.when(older, F.col("last_id")))
-             .withColumn("record", F.when(~older | F.col("last_id").isNull(), F.col("record")))
-             .drop("last_id", "n").withColumn("id", F.col("page_id").cast("string")))
-    place = places.select("id", F.struct("first", "parts").alias("place"), "n")
-    known = lookup(known, "id", place, "place", "n", total, ["digest", "url"])
-    # repeated rows of a split id are told apart by their place in the table only
-    part = lambda n: F.pmod(F.xxhash64("digest", "url", F.monotonically_increasing_id()), n)
-    shard = F.when(F.col("id").isNull(), part(F.lit(max(1, nulls)))).otherwise(
-        F.col("place.first") + F.when(F.col("place.parts") > 1, part(F.col("place.parts"))).otherwise(0))
-    placed = (known.withColumn("shard", shard.cast("int"))
-              .repartition(4 * (shards + 1), "shard")  # more tasks than shards: few tasks get two
+    placed = (known.withColumn("refers_to", F.when(older, F.col("last_id")))
+              .withColumn("record", F.when(~older | F.col("last_id").isNull(), F.col("record")))
+              .repartition(4 * (shards.total + 1), "shard")  # more tasks than shards: few tasks get two
               .sortWithinPartitions("shard", "page_id", "digest", "url"))
     placed = placed.select("shard", "page_id", "url", "digest", "payload_bytes", "refers_to", "record")
     manifest = saved(placed.mapInArrow(_writer(path, file_bytes), MANIFEST), "warc-manifest")
