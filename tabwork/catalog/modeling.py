@@ -17,6 +17,7 @@ from ..operators import sampling as S
 from ..operators.train import cv as CV
 from ..operators.train import forecast as FC
 from ..operators.train import text as TX
+from ..operators.train import boards as B
 from ..operators.train import unsupervised as U
 from ..session import table
 from .balance import DAILY_SQL
@@ -247,6 +248,37 @@ def q_cluster_silhouette(spark, d):
     return spark.createDataFrame([(10, U.cluster_silhouette(pred))], "k long, silhouette double")
 
 
+def q_cluster_silhouette_euclidean(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding", "label", F.pmod("vec_id", F.lit(7)).alias("formula"))
+    return rounded(B.silhouettes(rows, "vec_id", "embedding", ["label", "formula"]), 4)
+
+
+def _silhouette_sql(labelling: str) -> str:
+    """From all pairs; exact while the table has at most the asked rows."""
+    return f"""
+SELECT '{labelling}' AS labelling, vec_id, cluster, round(a, 4) AS inner, round(b, 4) AS outer,
+  round(CASE WHEN b IS NULL THEN NULL WHEN a IS NULL OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END, 4) AS silhouette
+FROM (SELECT i AS vec_id, any_value(ci) AS cluster, max(CASE WHEN ci = cj THEN m END) AS a, min(CASE WHEN ci <> cj THEN m END) AS b
+      FROM (SELECT p.i, x.c AS ci, y.c AS cj, avg(p.d) AS m FROM p
+            JOIN g x ON x.i = p.i AND x.l = '{labelling}' JOIN g y ON y.i = p.j AND y.l = '{labelling}' GROUP BY p.i, x.c, y.c) GROUP BY i)"""
+
+
+SILHOUETTE_SQL = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT vec_id AS i, 'label' AS l, CAST(label AS BIGINT) AS c FROM embeddings
+      UNION ALL SELECT vec_id, 'formula', CAST(vec_id % 7 AS BIGINT) FROM embeddings),
+p AS MATERIALIZED (SELECT a.vec_id AS i, b.vec_id AS j, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id)
+""" + " UNION ALL ".join(_silhouette_sql(x) for x in ("label", "formula"))
+
+
+def q_cluster_board(spark, d):
+    return rounded(B.cluster_board(_vectors(spark, d), "vec_id")[0], 4)
+
+
+def q_anomaly_board(spark, d):
+    return rounded(B.anomaly_board(_vectors(spark, d), "vec_id")[0], 4)
+
+
 def q_anomaly_isolation_forest(spark, d):
     return U.isolation_forest(_vectors(spark, d), "vec_id")
 
@@ -517,6 +549,9 @@ QUERIES = {
     "forecast_lag_gbm": q_forecast_lag_gbm,
     "cluster_kmeans": q_cluster_kmeans,
     "cluster_silhouette": q_cluster_silhouette,
+    "cluster_silhouette_euclidean": q_cluster_silhouette_euclidean,
+    "cluster_board": q_cluster_board,
+    "anomaly_board": q_anomaly_board,
     "anomaly_isolation_forest": q_anomaly_isolation_forest,
     "anomaly_lof": q_anomaly_lof,
     "cluster_dbscan": q_cluster_dbscan,
@@ -546,6 +581,7 @@ ORACLE = {
     "forecast_naive": NAIVE_SQL,
     "forecast_backtest": BACKTEST_SQL,
     "forecast_timeline": TIMELINE_SQL,
+    "cluster_silhouette_euclidean": SILHOUETTE_SQL,
     "anomaly_lof": LOF_SQL,
     "cluster_dbscan": DBSCAN_SQL,
     "oversample_smote": SMOTE_SQL,
