@@ -8,8 +8,8 @@ training texts thus gains no weight of its own, and neutral mentions of groups s
 threshold.
 
 The model is fitted on a bounded sample of the labelled rows: SAMPLE, chosen by a hash of the id.
-Features are chosen by a likelihood-ratio test over that sample, counted by Spark; the fit sees only
-the chosen features, at most FEATURES per text.  Every text is scored whole.
+Features are chosen by a likelihood-ratio test over that sample, counted by Spark: every feature that reaches
+EVIDENCE is used, so their number is bounded by the sample alone.  Every text is scored whole.
 
 Defined cases: a null or empty text has no features and gets the score of the bias; labels that are
 null or have no document teach nothing; a document with contradicting labels counts as toxic; ids that repeat
@@ -31,7 +31,6 @@ from pyspark.sql import types as T
 from .common import crc_key, saved, table, unused
 
 SAMPLE = 20_000       # labelled rows the model is fitted on
-FEATURES = 4096       # features it may use
 EVIDENCE = 12.0       # likelihood ratio (G squared) a feature must reach
 BEGINNINGS = (4, 5, 6, 7)  # bytes
 THRESHOLD = 0.7
@@ -107,7 +106,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
 
 
 def _chosen_features(sample: DataFrame, toxic: int, total: int) -> list[bytes]:
-    """Features whose frequency differs between the labels, strongest first."""
+    """All features whose frequency differs between the labels, strongest first."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[bytes, list[int]] = {}
         for batch in batches:
@@ -132,11 +131,17 @@ def _chosen_features(sample: DataFrame, toxic: int, total: int) -> list[bytes]:
     gain = (part(bad, seen * (toxic / total)) + part(good, seen * (1 - toxic / total))
             + part(toxic - bad, (total - seen) * (toxic / total)) + part(total - toxic - good, (total - seen) * (1 - toxic / total)))
     best = counted.filter(seen > 2).withColumn("g", 2 * gain).filter(F.col("g") >= EVIDENCE)
-    return [bytes(r.feature) for r in best.orderBy(F.desc("g"), "feature").limit(FEATURES).collect()]
+    return best.orderBy(F.desc("g"), "feature").select("feature").toArrow().column(0).to_pylist()
 
 
-def _rows(sample: DataFrame, features: list[bytes]) -> list:
-    """Per text of the sample: label, numbers of its features, and those of its swapped texts."""
+def _numbers(lists: pa.Array) -> list[np.ndarray]:
+    """The lists of an Arrow column as views of one array of numbers."""
+    values, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+    return np.split(values, ends[:-1]) if len(lists) else []
+
+
+def _rows(sample: DataFrame, features: list[bytes]) -> list[tuple[int, np.ndarray, list[np.ndarray]]]:
+    """Per text of the sample: label, numbers of its features, and those of its swapped texts, gathered as packed numbers."""
     place = sample.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(features)})
 
     def look(batches):
@@ -150,16 +155,23 @@ def _rows(sample: DataFrame, features: list[bytes]) -> list:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(mine, pa.list_(pa.int32())),
                                               pa.array(others, pa.list_(pa.list_(pa.int32())))], ["toxic", "mine", "others"])
 
-    return sample.mapInArrow(look, "toxic int, mine array<int>, others array<array<int>>").collect()
+    gathered, rows = sample.mapInArrow(look, "toxic int, mine array<int>, others array<array<int>>").toArrow(), []
+    for batch in gathered.to_batches():
+        others = iter(_numbers(batch.column(2).flatten()))
+        swaps = [[next(others) for _ in range(n)] for n in batch.column(2).value_lengths().to_pylist()]
+        rows += zip((int(bool(t)) for t in batch.column(0).to_pylist()), _numbers(batch.column(1)), swaps, strict=True)
+    return rows
 
 
 class _Sparse:
     """Rows of feature numbers; the last column is the bias."""
 
-    def __init__(self, rows: list[list[int]], width: int):
+    def __init__(self, rows: list, width: int):
         self.n, self.width = len(rows), width
-        self.columns = np.array([c for r in rows for c in [*r, width - 1]], np.int64)
-        self.rows = np.repeat(np.arange(self.n), [len(r) + 1 for r in rows])
+        sizes = np.array([len(r) for r in rows], np.int64)
+        bias = np.full(self.n, width - 1, np.int64)
+        self.columns = np.concatenate([*(np.asarray(r, np.int64) for r in rows), bias])
+        self.rows = np.concatenate([np.repeat(np.arange(self.n), sizes), np.arange(self.n)])
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.rows, w[self.columns], self.n)
@@ -205,8 +217,7 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     if not total or toxic in (0, total):
         return Model(50.0 if toxic else -50.0)
     features = _chosen_features(sample, toxic, total)
-    rows = [(int(bool(r.toxic)), list(r.mine), [list(x) for x in r.others]) for r in _rows(sample, features)]
-    w = fitted(rows, len(features), counterfactual)
+    w = fitted(_rows(sample, features), len(features), counterfactual)
     return Model(float(w[-1]), {f: float(x) for f, x in zip(features, w, strict=False) if x})
 
 
