@@ -184,7 +184,8 @@ def q_forecast_board(spark, d):
     holt = FC.forecast_holt(FC.backtest_frame(daily(spark, d)))
     lag = FC.backtest_lag_models(daily(spark, d))
     columns = ["series", "fold", "pos", "ts", "actual", "predicted", "model"]
-    return rounded(FC.forecast_board(naive.select(*columns).unionByName(holt.select(*columns)).unionByName(lag.select(*columns))))
+    windows = naive.select(*columns).unionByName(holt.select(*columns))
+    return rounded(FC.forecast_board(windows.unionByName(lag.select(*columns, "horizon"), allowMissingColumns=True)))
 
 
 def q_forecast_timeline(spark, d):

@@ -229,22 +229,33 @@ def backtest_lag_models(series: DataFrame, lags: int = 12, n_splits: int = 5, ma
     Folds are taken over the rows that have all lags; each test row is forecast one step ahead from
     its own lags, by one model per fold over all series.
     """
-    wide = lag_rows(series, lags).persist()
+    wide = kept(lag_rows(series, lags))
     roles = backtest_frame(wide.select("series", "ts", "y"), n_splits).select("series", "ts", "fold", "pos", "role")
-    rows = wide.join(roles, ["series", "ts"]).persist()
+    rows = kept(wide.join(roles, ["series", "ts"]))
     out = None
     for fold in [r.fold for r in rows.select("fold").distinct().orderBy("fold").collect()]:
         here = rows.where(F.col("fold") == fold)
         train, test = here.where(F.col("role") == "train"), here.where(F.col("role") == "test")
         for name, est in lag_candidates(lags, train.count(), max_iter=max_iter).items():
             part = est.fit(train).transform(test).select(
-                "series", "fold", "pos", "ts", F.col("y").alias("actual"), F.col("prediction").alias("predicted"), F.lit(name).alias("model"))
+                "series", "fold", "pos", "ts", F.col("y").alias("actual"), F.col("prediction").alias("predicted"),
+                F.lit(name).alias("model"), F.lit(1).cast("long").alias("horizon"))
             out = part if out is None else out.unionByName(part)
     return kept(out)
 
 
 def forecast_board(preds: DataFrame) -> DataFrame:
-    """Models ranked by their mean RMSE over series and folds, as the reference ranks candidates."""
+    """Models ranked by their mean RMSE over series and folds, as the reference ranks candidates.
+
+    ``horizon`` is the most steps that a model looked ahead: forecasts of one step from true lags (horizon 1) are an
+    easier task than those of a whole test window, so ranks compare alike only at equal horizons.  A forecast without a
+    horizon of its own was made for the whole window of its fold.
+    """
     per = forecast_backtest(preds, ["model", "series", "fold"])
     mean = per.groupBy("model").agg(*[F.avg(c).alias(c) for c in ("rmse", "mae", "mape", "smape")])
-    return mean.withColumn("rank", F.row_number().over(Window.orderBy("rmse", "model")).cast("long"))  # one row per model
+    own = F.col("horizon") if "horizon" in preds.columns else F.lit(None).cast("long")
+    window = preds.select("model", "series", "fold", own.alias("own")).groupBy("model", "series", "fold").agg(
+        F.max("own").alias("own"), F.count(F.lit(1)).alias("n"))
+    ahead = window.groupBy("model").agg(F.max(F.coalesce("own", "n")).cast("long").alias("horizon"))
+    rank = F.row_number().over(Window.orderBy("rmse", "model")).cast("long")  # one row per model
+    return mean.join(ahead, "model").withColumn("rank", rank)

@@ -65,3 +65,9 @@ def test_lag_models_are_back_tested_on_unseen_rows(spark):
     both = pd.concat([got, naive.assign(model="naive")])[["series", "fold", "pos", "ts", "actual", "predicted", "model"]]
     board = FC.forecast_board(spark.createDataFrame(both)).toPandas().sort_values("rank")
     assert list(board["rank"]) == [1, 2, 3] and board.model.iloc[-1] == "naive" and board.rmse.is_monotonic_increasing
+    ahead = pd.concat([got, naive.assign(model="naive", horizon=None)])[["series", "fold", "pos", "ts", "actual", "predicted", "model", "horizon"]]
+    ahead = ahead.assign(horizon=ahead.horizon.map(lambda h: None if pd.isna(h) else int(h)).astype(object))
+    frame = spark.createDataFrame(ahead.astype({"pos": int}).where(ahead.notna(), None), "series string, fold int, pos long, ts date, actual double, "
+                                  "predicted double, model string, horizon long")
+    horizon = {r.model: r.horizon for r in FC.forecast_board(frame).collect()}
+    assert horizon == {"lag_ridge": 1, "lag_gbm": 1, "naive": naive.groupby(["series", "fold"]).size().max()}
