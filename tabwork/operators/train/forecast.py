@@ -8,6 +8,8 @@ ML model over all series' lag rows.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..features import fe_lags
 from ..sampling import folds_time_series
-from .cv import kept
+from .cv import ROWS_A_TASK, concurrently, kept
 
 HOLT_GRID = [round(x, 2) for x in np.arange(0.1, 1.0, 0.1)]
 HOLT_CHUNK = 4096  # observations that one task smooths at a time
@@ -232,16 +234,23 @@ def backtest_lag_models(series: DataFrame, lags: int = 12, n_splits: int = 5, ma
     wide = kept(lag_rows(series, lags))
     roles = backtest_frame(wide.select("series", "ts", "y"), n_splits).select("series", "ts", "fold", "pos", "role")
     rows = kept(wide.join(roles, ["series", "ts"]))
-    out = None
-    for fold in [r.fold for r in rows.select("fold").distinct().orderBy("fold").collect()]:
+    sizes = {r.fold: r["count"] for r in rows.where("role = 'train'").groupBy("fold").count().collect()}
+
+    def forecast(item: tuple) -> DataFrame:
+        fold, name = item
         here = rows.where(F.col("fold") == fold)
-        train, test = here.where(F.col("role") == "train"), here.where(F.col("role") == "test")
-        for name, est in lag_candidates(lags, train.count(), max_iter=max_iter).items():
-            part = est.fit(train).transform(test).select(
-                "series", "fold", "pos", "ts", F.col("y").alias("actual"), F.col("prediction").alias("predicted"),
-                F.lit(name).alias("model"), F.lit(1).cast("long").alias("horizon"))
-            out = part if out is None else out.unionByName(part)
-    return kept(out)
+        train = here.where(F.col("role") == "train").coalesce(-(-sizes[fold] // ROWS_A_TASK))
+        model = lag_candidates(lags, sizes[fold], max_iter=max_iter)[name].fit(train)
+        return model.transform(here.where(F.col("role") == "test")).select(
+            "series", "fold", "pos", "ts", F.col("y").alias("actual"), F.col("prediction").alias("predicted"),
+            F.lit(name).alias("model"), F.lit(1).cast("long").alias("horizon"))
+
+    items = [(fold, name) for fold in sorted(sizes) for name in lag_candidates(lags, 1)]
+    parts = concurrently(series.sparkSession, forecast, items)
+    if not parts:
+        return rows.select("series", "fold", "pos", "ts", F.col("y").alias("actual"), F.lit(None).cast("double").alias("predicted"),
+                           F.lit(None).cast("string").alias("model"), F.lit(1).cast("long").alias("horizon")).limit(0)
+    return kept(reduce(DataFrame.unionByName, parts))
 
 
 def forecast_board(preds: DataFrame) -> DataFrame:
