@@ -14,7 +14,10 @@ Features are shares and repetitions that need no vocabulary: kinds of bytes, nei
 ASCII sign, the shapes of words, repeated words, pairs of words and lines, and how well the text
 compresses.  Every text is read whole.
 
-The model is fitted on a bounded sample of the labelled rows or pairs: SAMPLE, chosen by a hash of the ids.
+All labelled rows or pairs teach.  Their features are written once; a Newton step is a job that adds up loss, slope
+and curvature in the tasks and returns one array for each of them.  Labelled rows are dealt by hash to blocks of
+about BLOCK and meet rows of their own block; a class too rare for that comes into several blocks, so that about
+RARE rows of it are met in each.  The quantile is taken over the strengths of all rows learned from.
 
 Defined cases: a null or empty text has all features zero; labels or pairs with a null, of no document
 or of a document paired with itself teach nothing; documents with contradicting labels teach nothing; ids
@@ -27,7 +30,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,9 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.ordered import cumulative_sum
 from .common import crc_key, saved, table
 
-SAMPLE = 20_000     # labelled rows (or pairs) the model is fitted on
+BLOCK = 2048        # labelled rows that meet among themselves
+RARE = 64           # rows of the rarer class wanted in every block
 PARTNERS = 8        # documents of the other class that a labelled document meets
 THRESHOLD = 0.3
 RIDGE = 1e-3        # per pair, on standardised features
@@ -102,9 +107,12 @@ class Model:
     cut: float = 0.0        # strength that scores THRESHOLD
     fixed: float | None = None  # the score where nothing could be learned
 
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.centre) / self.scale, -CLIP, CLIP)
+
     def strengths(self, x: np.ndarray) -> np.ndarray:
         # summed row by row, so that a score does not depend on the rows beside it
-        return (np.clip((x - self.centre) / self.scale, -CLIP, CLIP) * self.weights).sum(axis=1)
+        return (self.standard(x) * self.weights).sum(axis=1)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         if self.fixed is not None:
@@ -114,31 +122,48 @@ class Model:
                         np.minimum(1 / (1 + np.exp(-np.clip(z, -500, 500))), np.nextafter(THRESHOLD, 0)))
 
 
-def fitted(x: np.ndarray, better: np.ndarray, worse: np.ndarray, ridge: float = RIDGE) -> Model:
-    """The optimum of the Bradley-Terry loss over pairs of rows of ``x``; the cut is not set."""
-    centre, scale = x.mean(axis=0), x.std(axis=0)
-    model = Model(centre=centre, scale=np.where(scale > 1e-9, scale, 1.0))
-    z = np.clip((x - model.centre) / model.scale, -CLIP, CLIP)
-    gaps = z[better] - z[worse]
-    w, n = np.zeros(x.shape[1]), max(1, len(gaps))
+def _sums(gaps: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Number, loss, slope and curvature of feature differences at weights ``w``, packed."""
+    ahead = gaps @ w
+    lose = 1 / (1 + np.exp(np.clip(ahead, -500, 500)))
+    bend = (gaps * (lose * (1 - lose))[:, None]).T @ gaps
+    return np.concatenate([[len(gaps), np.logaddexp(0, -ahead).sum()], -(gaps.T @ lose), bend.ravel()])
+
 
-    def loss(w):
-        return np.logaddexp(0, -(gaps @ w)).sum() / n + ridge / 2 * w @ w
+def _optimum(summed: Callable[[np.ndarray], np.ndarray], size: int, ridge: float) -> np.ndarray:
+    """Weights of least loss; ``summed`` gives the ``_sums`` over all pairs at any weights."""
+    def at(w):
+        total = summed(w)
+        n = max(1.0, total[0])
+        return (total[1] / n + ridge / 2 * w @ w, total[2:2 + size] / n + ridge * w,
+                total[2 + size:].reshape(size, size) / n + ridge * np.eye(size))
 
-    now = loss(w)
+    w = np.zeros(size)
+    now, slope, bend = at(w)
     for _ in range(STEPS):
-        lose = 1 / (1 + np.exp(np.clip(gaps @ w, -500, 500)))
-        slope = -(gaps.T @ lose) / n + ridge * w
-        bend = (gaps * (lose * (1 - lose))[:, None]).T @ gaps / n + ridge * np.eye(len(w))
         step = np.linalg.solve(bend, slope)
-        size = 1.0
-        while loss(w - size * step) > now and size > 1e-6:
-            size /= 2
-        w = w - size * step
-        before, now = now, loss(w)
-        if before - now < 1e-12:
-            break
-    model.weights = w
+        if slope @ step < 2e-12:  # what a step would still gain, twice
+            return w - step
+        part = 1.0
+        found = at(w - step)
+        while found[0] > now and part > 1e-6:
+            part /= 2
+            found = at(w - part * step)
+        w = w - part * step
+        now, slope, bend = found
+    return w
+
+
+def _standard(centre: np.ndarray, spread: np.ndarray) -> Model:
+    return Model(weights=np.zeros(len(centre)), centre=centre, scale=np.where(spread > 1e-9, spread, 1.0))
+
+
+def fitted(x: np.ndarray, better: np.ndarray, worse: np.ndarray, ridge: float = RIDGE) -> Model:
+    """The optimum of the Bradley-Terry loss over pairs of rows of ``x``; the cut is not set."""
+    model = _standard(x.mean(axis=0), x.std(axis=0))
+    z = model.standard(x)
+    gaps = z[better] - z[worse]
+    model.weights = _optimum(lambda w: _sums(gaps, w), x.shape[1], ridge)
     return model
 
 
@@ -173,16 +198,97 @@ def _with_features(rows: DataFrame, names: list[str]) -> DataFrame:
     return kept.mapInArrow(look, T.StructType([*kept.schema.fields[:-1], T.StructField("features", T.BinaryType())]))
 
 
-def _gathered(rows: DataFrame, names: list[str]) -> tuple[list, np.ndarray]:
-    """Rows of a bounded sample in a fixed order: their ``names`` and their features, about 1 KB each."""
-    got = _with_features(rows, names).collect()
-    got.sort(key=lambda r: tuple((v is None, v) for v in r))
-    return got, np.frombuffer(b"".join(bytes(r.features) for r in got), float).reshape(len(got), N_FEATURES)
+def _unpacked(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), float).reshape(len(column), N_FEATURES)
+
+
+def _total(rows: DataFrame, add: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]) -> np.ndarray:
+    """The sum of the arrays that ``add`` makes of the rows; a task returns one."""
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for part in add(batches):
+            total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+    parts = [np.frombuffer(r.total) for r in rows.mapInArrow(look, "total binary").collect()]
+    return np.sum(parts, axis=0)
+
 
+def _centred(rows: DataFrame) -> Model:
+    """Mean and standard deviation of ``features`` over all rows, of which there is at least one."""
+    only = rows.select("features")
+
+    def sums(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield np.concatenate([[batch.num_rows], _unpacked(batch.column(0)).sum(axis=0)])
+
+    total = _total(only, sums)
+    n, centre = total[0], total[1:] / total[0]
+
+    def squares(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield ((_unpacked(batch.column(0)) - centre) ** 2).sum(axis=0)
 
-def _bounded(marks: DataFrame, keys: list[str]) -> DataFrame:
-    share = min(1.0, SAMPLE / max(1, marks.count()))
-    return marks.filter(F.pmod(F.xxhash64(*keys, F.lit(11)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    return _standard(centre, np.sqrt(_total(only, squares) / n))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Labels and features of each block of rows (block, y, features) that come block by block."""
+    held: list[pa.RecordBatch] = []
+
+    def whole():
+        return np.concatenate([b.column(1).to_numpy() for b in held]), np.concatenate([_unpacked(b.column(2)) for b in held])
+
+    for batch in batches:
+        block = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                if held and held[-1].column(0)[0].as_py() != block[a]:
+                    yield whole()
+                    held = []
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield whole()
+
+
+def _fitted(source: DataFrame, model: Model, gaps: Callable, ridge: float = RIDGE) -> Model:
+    """``model`` with the best weights for all pairs; ``gaps`` makes the feature differences of a task's batches."""
+    source = source.persist()
+
+    def summed(w: np.ndarray) -> np.ndarray:
+        return _total(source, lambda batches: (_sums(g, w) for g in gaps(batches)))
+
+    model.weights = _optimum(summed, N_FEATURES, ridge)
+    source.unpersist()
+    return model
+
+
+def _dealt(rows: DataFrame, blocks: int, *order: str) -> DataFrame:
+    """``rows`` with column ``block`` in tasks of whole blocks, block by block; a few tasks for each core."""
+    tasks = min(blocks, 4 * rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, "block").sortWithinPartitions("block", *order)
+
+
+def _cut(rows: DataFrame, model: Model, quantile: float) -> float:
+    """``quantile_cut`` of the strengths of all rows."""
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(model.strengths(_unpacked(batch.column(0))))], ["s"])
+
+    strengths = rows.select("features").mapInArrow(look, "s double")
+    counted = saved(strengths.groupBy("s").agg(F.count(F.lit(1)).alias("c")), "strengths")
+    n = counted.agg(F.sum("c")).first()[0]
+    at = min(max(round(quantile * n), 0), n)
+    running = cumulative_sum(counted, "s", ["c"])
+    ranks = [max(at - 1, 0), min(at, n - 1)]
+    met = [((F.col("c_cum") > rank) & (F.col("c_cum") - F.col("c") <= rank)) for rank in ranks]
+    found = running.filter(met[0] | met[1]).select("s").collect()
+    return float((min(r.s for r in found) + max(r.s for r in found)) / 2)
 
 
 def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
@@ -191,14 +297,33 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     one = (F.col(label_col).cast("int") > 0).cast("int")
     marks = (labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
              .agg(F.min(one).alias("low"), F.max(one).alias("y")).filter("low = y").select("id", "y"))
-    sample = F.broadcast(_bounded(saved(marks, "marks"), ["id"]))  # about SAMPLE rows whatever the size of the input
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).join(sample, "id").select("y", "body")
-    got, x = _gathered(rows, ["y"])
-    y = np.array([r.y for r in got], int)
-    if not len(y) or y.min() == y.max():
-        return Model(fixed=0.5 if not len(y) else float(y[0]))
-    model = fitted(x, *preferences(y))
-    model.cut = quantile_cut(model.strengths(x), 1 - y.mean() if quantile is None else quantile)
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
+    # features are shuffled to the marks, not texts, which are longer; marks grow with the corpus, so they are not sent whole
+    rows = _with_features(rows, ["id"]).join(marks.hint("shuffle_hash"), "id")
+    rows = saved(rows.select("id", "y", "features"), "labelled")
+    counts = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    if len(counts) < 2:
+        return Model(fixed=0.5 if not counts else float(next(iter(counts))))
+    n, rarer = sum(counts.values()), min(counts, key=lambda y: (counts[y], y))
+    blocks = -(-n // BLOCK)
+    copies = min(blocks, -(-blocks * RARE // counts[rarer]))
+    deal = F.pmod(F.xxhash64("id", "features", F.lit(11)), F.lit(blocks))
+    # a rare row comes into ``copies`` blocks, one after another from its own
+    turns = F.when(F.col("y") == rarer, F.lit(copies)).otherwise(F.lit(1))
+    stride = max(1, blocks // copies)
+    dealt = rows.withColumn("_own", deal).withColumn("_turn", F.explode(F.sequence(F.lit(0), turns - 1))).select(
+        F.pmod(F.col("_own") + F.col("_turn") * stride, F.lit(blocks)).alias("block"), "y", "features")
+
+    def gaps(batches):
+        for y, x in _blocks(batches):
+            if y.min() != y.max():
+                z = model.standard(x)
+                better, worse = preferences(y)
+                yield z[better] - z[worse]
+
+    model = _centred(rows)
+    model = _fitted(_dealt(dealt, blocks, "y", "features"), model, gaps)
+    model.cut = _cut(rows, model, 1 - counts[1] / n if quantile is None else quantile)
     return model
 
 
@@ -206,20 +331,27 @@ def learned_from_pairs(docs: DataFrame, pairs: DataFrame, quantile: float, id_co
                        better_col: str = "better", worse_col: str = "worse") -> Model:
     """The model of stated preferences, pairs of ids; an id that several documents hold stands for the first by text."""
     ends = pairs.select(F.col(better_col).alias("better"), F.col(worse_col).alias("worse")).distinct().filter("better <> worse")
-    chosen = _bounded(saved(ends, "preferences"), ["better", "worse"]).collect()  # about SAMPLE pairs
-    names = sorted({i for r in chosen for i in r})
-    if not names:
-        return Model(fixed=0.5)
-    wanted = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in names], T.StructType([T.StructField("id", docs.schema[id_col].dataType)])))
-    rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body")).join(wanted, "id")
+    ends = saved(ends, "preferences")
+    names = ends.select(F.col("better").alias("id")).union(ends.select("worse")).distinct()
+    rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body")).join(names, "id")
             .groupBy("id").agg(F.min(F.coalesce("body", F.lit(""))).alias("body")))
-    got, x = _gathered(rows, ["id"])
-    place = {r.id: i for i, r in enumerate(got)}
-    found = [(place[a], place[b]) for a, b in sorted(map(tuple, chosen)) if a in place and b in place]
-    if not found:
+    rows = saved(_with_features(rows, ["id"]), "preferred")
+    side = lambda end: rows.select(F.col("id").alias(end), F.col("features").alias(f"_{end}"))
+    found = ends.join(side("better"), "better").join(side("worse"), "worse")
+    n = found.count()
+    if not n:
         return Model(fixed=0.5)
-    model = fitted(x, *(np.array(s) for s in zip(*found, strict=True)))
-    model.cut = quantile_cut(model.strengths(x), quantile)
+    model = _centred(rows)
+    blocks = -(-n // BLOCK)
+    dealt = found.select(F.pmod(F.xxhash64("better", "worse", F.lit(11)), F.lit(blocks)).alias("block"), "_better", "_worse")
+
+    def gaps(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield model.standard(_unpacked(batch.column(1))) - model.standard(_unpacked(batch.column(2)))
+
+    model = _fitted(_dealt(dealt, blocks), model, gaps)
+    model.cut = _cut(rows, model, quantile)
     return model
 
 

@@ -144,3 +144,22 @@ def test_query_on_held_out_rows(spark):
     model = Q.learned(docs, labels)
     few, many = ({r.doc_id: r.score for r in Q.scored(d, model).collect()} for d in (docs.coalesce(1), docs.repartition(17, F.rand(1))))
     assert few == many
+
+
+def test_every_labelled_row_teaches(spark, monkeypatch):
+    # more rows than a block: centre, spread and cut are those of all rows, and so are the pairs that teach
+    monkeypatch.setattr(Q, "BLOCK", 16)
+    monkeypatch.setattr(Q, "RARE", 4)
+    texts = [f"Plain words, number {i}." if i % 23 else f"NOISE || {i} !!" for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(i, int(i % 23 > 0)) for i in range(120)], "doc_id long, quality int")
+    model = Q.learned(docs, labels)
+    x = np.array([Q.features(t.encode()) for t in texts])
+    assert np.allclose(model.centre, x.mean(axis=0)) and np.allclose(model.scale, np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1))
+    assert model.cut == pytest.approx(Q.quantile_cut(model.strengths(x), 6 / 120), abs=1e-12)
+    assert [r.predicted for r in Q.scored(docs, model).orderBy("doc_id").collect()] == [int(i % 23 > 0) for i in range(120)]
+    pairs = spark.createDataFrame([(i, j) for i in range(120) if i % 23 for j in range(0, 120, 23)], "better long, worse long")
+    by_pairs = Q.learned_from_pairs(docs, pairs, 6 / 120)
+    places = np.array([(r.better, r.worse) for r in pairs.collect()])
+    assert np.allclose(by_pairs.weights, Q.fitted(x, places[:, 0], places[:, 1]).weights, atol=1e-7)
+    assert not hasattr(Q, "SAMPLE")
