@@ -64,3 +64,21 @@ def test_comparisons_per_point_do_not_grow_with_the_points(spark):
 
     few, many = taken(2_000), taken(10_000)
     assert many < 1.5 * few
+
+
+@pytest.mark.parametrize("radius", [0.3, None])
+def test_calls_name_the_leaves_that_are_visited(spark, radius):
+    # one row per parent of leaves, not one per leaf, and the home leaf left out
+    r = np.random.default_rng(11)
+    x = np.concatenate([r.normal(size=(300, 8)), np.full((40, 8), 4.0), r.normal(size=(60, 8)) * 1e-3 + 7])
+    tree = M.build(frame(spark, x), 10, lambda n, w: n > 3)
+    home = {p.pid: p.node for p in tree.points.collect()}
+    asked = tree.points.select("pid", "x", F.col("node").alias("home")).withColumn("r", F.lit(radius).cast("double"))
+    want = {(v.pid, v.node) for v in M.visits(tree, asked).collect() if v.node != home[v.pid]}
+    calls = M.calls(tree, asked).collect()
+    got = [(c.pid, f"{c.node}/{leaf}") for c in calls for leaf in c.leaves]
+    assert len(got) == len(set(got)) and set(got) == want
+    places = {p.pid: f"{p.node}/{p.leaves}" for p in M.residents(tree.points).collect()}
+    assert places == home
+    if radius is None:
+        assert len(calls) < len(want) / 4
