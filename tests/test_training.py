@@ -138,3 +138,17 @@ def test_verdict_bands(spark):
     assert got["ridge"][1] == []
     plain = cv.model_verdicts(lb.drop("auc_roc", "f1"), classification=False).collect()
     assert all(r.auc_roc is None and "discrimination" not in r.strengths + r.weaknesses for r in plain)
+
+
+def test_candidates_for_texts_share_the_weights_of_a_fold(spark, monkeypatch):
+    from tabwork.operators.train import text
+
+    r = random.Random(5)
+    docs = [(i, " ".join(r.choices(["good", "fine", "calm"] if i % 2 else ["bad", "loud", "worse"], k=6)) + " common words", float(i % 2)) for i in range(60)]
+    df = sampling.folds_kfold(spark.createDataFrame(docs, "id long, t string, label double"), "id", k=3)
+    fits, fit = [], text.SublinearTfidf._fit
+    monkeypatch.setattr(text.SublinearTfidf, "_fit", lambda self, rows: fits.append(1) or fit(self, rows))
+    board, scored = text.train_text(df, "t", "label", "id", "fold")
+    assert len(fits) == 3  # once a fold, for all candidates
+    assert {b.model: b.cv_accuracy for b in board.collect()} == {"naive_bayes": 1.0, "logistic_regression": 1.0, "linear_svm": 1.0}
+    assert scored.count() == 180 and "terms" not in scored.columns
