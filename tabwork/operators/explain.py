@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import column_quantiles, q
+from .metric_tree import kept
 
 PDP_POINTS = 30
 
@@ -87,12 +88,14 @@ def explain_pdp(model, df: DataFrame, feature: str, n_points: int = PDP_POINTS)
     ex = df.select("*", F.explode(g).alias("__g")).withColumn(feature, F.col("__g.value"))
     pred = model.transform(ex).select(F.col("__g.point").cast("long").alias("point"),
                                       F.col("__g.value").alias("value"), F.col("prediction").cast("double"))
-    from ..functions.quantiles import quantiles_long
-    qs = quantiles_long(pred.withColumnRenamed("value", "grid_value"), ["point", "grid_value"], "prediction", [0.1, 0.9])
-    bands = qs.groupBy("point", "grid_value").agg(F.max(F.when(F.col("p") == 0.1, F.col("value"))).alias("p10"),
-                                                 F.max(F.when(F.col("p") == 0.9, F.col("value"))).alias("p90"))
-    means = pred.groupBy("point", F.col("value").alias("grid_value")).agg(F.avg("prediction").alias("mean"))
-    return (means.join(bands, ["point", "grid_value"])
+    from ..functions.quantiles import quantile_bounds, quantiles_between
+    keys, probs = ["point", "grid_value"], [0.1, 0.9]
+    pred = pred.withColumnRenamed("value", "grid_value")
+    first = kept(pred.groupBy(*keys).agg(F.avg("prediction").alias("mean"), quantile_bounds("prediction", probs).alias("__b")))
+    qs = quantiles_between(pred, first, keys, "prediction", probs)
+    bands = qs.groupBy(*keys).agg(F.max(F.when(F.col("p") == 0.1, F.col("value"))).alias("p10"),
+                                  F.max(F.when(F.col("p") == 0.9, F.col("value"))).alias("p90"))
+    return (first.join(bands, keys)
             .select("point", F.col("grid_value").alias("value"), "mean", "p10", "p90"))
 
 

@@ -15,6 +15,7 @@ from ..functions.columns import (chunks, finite_or_null, is_datetime, is_numeric
                                  is_scalar, nan_to_null, q, sample_kurtosis,
                                  sample_skewness)
 from ..functions.ordered import top_k_per_group
+from .metric_tree import kept
 
 # Thresholds and labels used by the reference profiler.
 HIGH_MISSING = 0.3
@@ -77,16 +78,20 @@ def _column_stats(name: str, dt: T.DataType) -> list[Column]:
     return stats
 
 
+STATS_AT_ONCE = 4  # columns of one aggregate: the loop over rows of a wider one is too long for the JVM to compile
+STATS_SCANS = 32   # aggregates of one table, unless that makes them wider than max_exprs
+
+
 def column_stats(df: DataFrame, columns: list[str] | None = None,
                  max_exprs: int = 480) -> DataFrame:
     """Long frame: one row per column with raw aggregate statistics.
 
-    Each chunk of columns is one aggregate job; the one-row result is turned
+    Each chunk of columns is one aggregate job that reads these columns only; the one-row result is turned
     into rows with ``stack`` lazily, so no Python loop over data.
     """
     df = nan_to_null(df)
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
-    per_chunk = max(1, max_exprs // len(STAT_COLS))
+    per_chunk = max(1, min(max_exprs // len(STAT_COLS), max(STATS_AT_ONCE, -(-len(fields) // STATS_SCANS))))
     parts = []
     for ch in chunks(fields, per_chunk):
         if not ch:
@@ -144,22 +149,58 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     fields = [f for f in df.schema.fields if is_scalar(f.dataType) and (columns is None or f.name in columns)]
     if not fields:
         return df.sparkSession.createDataFrame([], "column_name string, head string, h1 long, h2 long, count long")
-    cells = _cells(df, fields).where(F.col("head").isNotNull())
-    return cells.groupBy("column_name", "head", "h1", "h2").agg(F.count(F.lit(1)).alias("count"))
+    parts = []
+    for kind in NATIVE:
+        plain = [f for f in fields if isinstance(f.dataType, kind)]
+        if plain:
+            parts.append(_native_counts(df, plain, kind))
+    rest = [f for f in fields if not isinstance(f.dataType, tuple(t for kind in NATIVE for t in kind))]
+    if rest:
+        cells = _cells(df, rest).where(F.col("head").isNotNull())
+        parts.append(cells.groupBy("column_name", "head", "h1", "h2").agg(F.count(F.lit(1)).alias("count")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# Types whose different values have different texts, by the type that holds them all: these are counted
+# as they are and only the different ones become text.
+WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+NATIVE = (WHOLE, (T.DoubleType,), (T.FloatType,), (T.DateType,), (T.TimestampNTZType,), (T.BooleanType,))
+
+
+def _native_counts(df: DataFrame, fields: list[T.StructField], kind: tuple) -> DataFrame:
+    """Value counts of columns of one kind, grouped by value; a negative zero has a text of its own."""
+    value = lambda f: F.col(q(f.name)).cast("long") if kind is WHOLE else F.col(q(f.name))
+    cells = df.select(*[value(f).alias(f.name) for f in fields]).unpivot(
+        [], [q(f.name) for f in fields], "column_name", "v").where(F.col("v").isNotNull())
+    keys = ["column_name", "v"]
+    text = F.col("v").cast("string")
+    if kind in ((T.DoubleType,), (T.FloatType,)):
+        cells = cells.withColumn("minus", (F.col("v") == 0) & (text == "-0.0"))
+        keys, text = [*keys, "minus"], F.when(F.col("minus"), "-0.0").otherwise(text)
+    none = F.lit(0).cast("long")
+    return cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("count")).select(
+        "column_name", text.alias("head"), none.alias("h1"), none.alias("h2"), "count")
 
 
 def with_text(df: DataFrame, values: DataFrame) -> DataFrame:
     """``values`` (rows of ``value_counts``) with the whole ``value`` in place of head and hashes.
 
-    The long ones are looked up in ``df`` by their hashes; only their texts are shuffled.
+    The long ones are looked up in ``df`` by their hashes; only their texts are shuffled, and only
+    columns with such values are read again.
     """
     df = nan_to_null(df)
     named = values.schema.names
     rest = [c for c in named if c not in ("head", "h1", "h2")]
     fields = [f for f in df.schema.fields if is_scalar(f.dataType) and _long(f)]
+    wanted = values.where("h1 <> 0 or h2 <> 0").select("column_name", "h1", "h2")
+    if fields:
+        cut = {r[0] for r in wanted.select("column_name").distinct().collect()}  # column names only
+        fields = [f for f in fields if f.name in cut]
     if not fields:
         return values.select(*rest, F.col("head").alias("value"))
-    wanted = values.where("h1 <> 0 or h2 <> 0").select("column_name", "h1", "h2")
     cells = _cells(df, fields, whole=True).where("h1 <> 0 or h2 <> 0").drop("head")
     texts = (cells.join(wanted, ["column_name", "h1", "h2"], "left_semi")
              .groupBy("column_name", "h1", "h2").agg(F.min("value").alias("text")))
@@ -180,13 +221,13 @@ def profile_top_values(df: DataFrame, k: int = 5, columns: list[str] | None = No
     Heads order like whole values, so the k-th by (count, head) bounds the top; values that tie with
     it in both are told apart by their texts.
     """
-    vc = counts if counts is not None else value_counts(df, columns)
+    vc = counts if counts is not None else kept(value_counts(df, columns))
     by_head = top_k_per_group(vc, ["column_name"], [F.desc("count"), F.asc("head"), F.asc("h1"), F.asc("h2")], k)
     if any(_long(f) for f in df.schema.fields):
         last = by_head.groupBy("column_name").agg(F.max_by(F.struct("count", "head"), "rank").alias("last"))  # a row per column
         top = vc.join(F.broadcast(last), "column_name").where(
             (F.col("count") > F.col("last.count")) | ((F.col("count") == F.col("last.count")) & (F.col("head") <= F.col("last.head"))))
-        return top_k_per_group(with_text(df, top.drop("last")), ["column_name"], [F.desc("count"), F.asc("value")], k).select(
+        return top_k_per_group(with_text(df, kept(top.drop("last"))), ["column_name"], [F.desc("count"), F.asc("value")], k).select(
             "column_name", "value", "count", "rank")
     return by_head.select("column_name", F.col("head").alias("value"), "count", "rank")
 

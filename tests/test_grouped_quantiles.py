@@ -32,3 +32,35 @@ def test_pdp_distributed_equals_exact(spark, sf):
     finally:
         spark.conf.unset("tabwork.quantile.exactMaxBytes")
     assert exact == dist
+
+
+def test_narrowed_quantiles_equal_the_exact_ones(spark):
+    """Ties, negative zeros, infinities, a group of one, a group of nulls; and bounds that miss every wanted rank."""
+    import pytest
+    from tabwork.functions.quantiles import quantile_bounds, quantiles_between, quantiles_long
+    inf = float("inf")
+    rows = [("a", float(i % 7919)) for i in range(20_000)] + [("b", 5.0)] * 300 + [("c", 1.5), ("n", None)]
+    rows += [("z", v) for v in (-0.0, 0.0, -inf, inf, 2.0)] + [("k", 3.0)] * 500 + [("k", float(i)) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.1, 0.5, 0.9]
+    want = {(r.g, r.p): r.value for r in quantiles_long(df, ["g"], "v", probs).collect()}
+    good = df.groupBy("g").agg(quantile_bounds("v", probs).alias("__b"))
+    bad = df.groupBy("g").agg(F.array(*[F.lit(-9e9)] * 6).alias("__b")).where("g <> 'n'")
+    for bounds in (good, bad):
+        got = {(r.g, r.p): r.value for r in quantiles_between(df, bounds, ["g"], "v", probs).collect()}
+        assert got == pytest.approx(want, nan_ok=True)
+
+
+def test_pdp_shuffles_values_near_the_quantiles_only(spark, monkeypatch):
+    """The whole exact plan over all predictions is not run while the bounds hold."""
+    from pyspark.ml.feature import SQLTransformer
+    from tabwork.functions import quantiles
+    from tabwork.operators.explain import explain_pdp
+    df = spark.range(20_000).select((F.col("id") % 50).cast("double").alias("x"), F.rand(3).alias("u"))
+    model = SQLTransformer(statement="SELECT *, x + u AS prediction FROM __THIS__")
+    seen = []
+    of_counts = quantiles._of_counts
+    monkeypatch.setattr(quantiles, "_of_counts", lambda vc, keys, probs: (seen.append((keys, vc)), of_counts(vc, keys, probs))[1])
+    got = explain_pdp(model, df, "x", 3).collect()
+    (vc,) = [v for k, v in seen if k == ["point", "grid_value"]]
+    assert len(got) == 3 and vc.count() < 3_000

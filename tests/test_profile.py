@@ -96,3 +96,38 @@ def test_whole_texts_are_not_shuffled(spark):
     df = spark.createDataFrame([("t" * 5000 + str(i),) for i in range(300)], "s string")
     counted = P.value_counts(df).agg({"head": "max", "h1": "count"}).first()
     assert len(counted["max(head)"]) == P.HEAD and counted["count(h1)"] == 300
+
+
+def test_value_counts_of_native_types_have_the_texts_of_the_values(spark):
+    """Grouped as they are, values are told apart just as by their texts: negative zero, NaN, dates, booleans."""
+    import datetime
+    from tabwork.operators.profile import value_counts
+    rows = [(0.0, 1, True, datetime.date(2020, 1, 2), datetime.datetime(2020, 1, 2, 3, 4, 5), "x" * 40),
+            (-0.0, 1, None, datetime.date(2020, 1, 2), None, "x" * 40), (0.0, 300, False, None, None, "y"),
+            (float("nan"), None, True, None, None, None)]
+    df = spark.createDataFrame(rows, "d double, i int, b boolean, t date, n timestamp_ntz, s string")
+    df = df.withColumn("f", F.col("d").cast("float")).withColumn("m", F.col("i").cast("decimal(9,2)")).withColumn("l", F.col("i").cast("long"))
+    for c in df.columns:
+        text = F.substring(F.col(c).cast("string"), 1, 32).alias("head")
+        want = df.where(~F.col(c).cast("string").isin("NaN")).groupBy(text).count().where("head is not null").collect()
+        got = value_counts(df).where(F.col("column_name") == c).select("head", "count").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)), c
+
+
+def test_wide_statistics_are_several_small_aggregates(spark):
+    """One aggregate over many columns is too long for the JVM to compile; each now reads a few columns."""
+    from tabwork.operators.profile import STATS_AT_ONCE, column_stats
+    df = spark.range(50).select(*[(F.col("id") * (i + 1)).cast("double").alias(f"c{i}") for i in range(9)])
+    got = {r.column_name: (r.n_rows, r.mean, r.max, r.position) for r in column_stats(df).collect()}
+    assert got == {f"c{i}": (50, 24.5 * (i + 1), 49.0 * (i + 1), i) for i in range(9)}
+    plan = column_stats(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == -(-9 // STATS_AT_ONCE)
+
+
+def test_texts_are_read_again_only_where_heads_were_cut(spark):
+    from tabwork.operators.profile import value_counts, with_text
+    df = spark.createDataFrame([("a", "b"), ("a", "c" * 50)], "short string, long string")
+    counts = value_counts(df)
+    short = with_text(df, counts.where("column_name = 'short'"))
+    assert "Join" not in short._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.column_name, r.value) for r in with_text(df, counts).collect()} == {("short", "a"), ("long", "b"), ("long", "c" * 50)}
