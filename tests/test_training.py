@@ -152,3 +152,29 @@ def test_candidates_for_texts_share_the_weights_of_a_fold(spark, monkeypatch):
     assert len(fits) == 3  # once a fold, for all candidates
     assert {b.model: b.cv_accuracy for b in board.collect()} == {"naive_bayes": 1.0, "logistic_regression": 1.0, "linear_svm": 1.0}
     assert scored.count() == 180 and "terms" not in scored.columns
+
+
+def test_rows_stay_where_they_are_when_labels_get_codes(spark):
+    """Joined without a hint, rows went to the task of their class: two classes, two tasks at most."""
+    df = frame(spark, classes=2).repartition(6)
+    rows = cv.labelled(df, FEATURES, "label", "id", "fold", index_label=True)
+    assert rows.rdd.getNumPartitions() == 6
+    assert {(r.label_str, r.label) for r in rows.collect()} == {("class0", 0.0), ("class1", 1.0)} and rows.count() == 360
+    from tabwork.operators import features
+    encoded = features.fe_label_encode(df, ["label", "colour"])
+    assert encoded.rdd.getNumPartitions() == 6 and encoded.count() == 360
+
+
+def test_many_codes_are_joined_without_a_hint(spark, monkeypatch):
+    from tabwork.operators import features
+    df = frame(spark, classes=2)
+    want = sorted(features.fe_label_encode(df, ["label"]).select("id", "label").collect())
+    monkeypatch.setattr(features, "BROADCAST_CODES", 1)
+    assert sorted(features.fe_label_encode(df, ["label"]).select("id", "label").collect()) == want
+
+
+def test_a_task_of_a_fit_holds_a_bounded_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(cv, "ROWS_A_TASK", 10)
+    monkeypatch.setattr(cv, "MOST_ROWS_A_TASK", 50)
+    rows, *_ = cv._rows_and_candidates(frame(spark).repartition(2), FEATURES, "label", "id", "fold", True)
+    assert rows.rdd.getNumPartitions() == 8 and rows.count() == 360 and rows.select("id").distinct().count() == 360
