@@ -64,3 +64,29 @@ def test_pdp_shuffles_values_near_the_quantiles_only(spark, monkeypatch):
     got = explain_pdp(model, df, "x", 3).collect()
     (vc,) = [v for k, v in seen if k == ["point", "grid_value"]]
     assert len(got) == 3 and vc.count() < 3_000
+
+
+def test_pdp_scores_all_rows_once_and_a_sample_for_the_bounds(spark, monkeypatch):
+    """Means and bands of all rows, also where the sample's bounds miss them; only the sample is scored twice."""
+    import pytest
+    from pyspark.ml.feature import SQLTransformer
+    from tabwork.functions import quantiles
+    from tabwork.operators import explain
+    df = spark.range(6_000).select((F.col("id") % 50).cast("double").alias("x"), ((F.col("id") * 37) % 6_000).cast("double").alias("u"))
+    model = SQLTransformer(statement="SELECT *, x + u AS prediction FROM __THIS__")
+    bounded = []
+    of_counts = quantiles._of_counts
+    monkeypatch.setattr(quantiles, "_of_counts", lambda vc, keys, probs: (bounded.append(keys), of_counts(vc, keys, probs))[1])
+    want = explain.explain_pdp(model, df, "x", 3).orderBy("point").collect()
+    sampled, wide = [], quantiles.quantile_bounds_wide
+    monkeypatch.setattr(quantiles, "quantile_bounds_wide", lambda *a: (sampled.append(a), wide(*a))[1])
+    for rows, margin, missed in ((1_000, 0.2, 0), (1_000, 0.0, 1)):
+        monkeypatch.setattr(explain, "BOUND_ROWS", rows)
+        monkeypatch.setattr(explain, "BOUND_MARGIN", margin)
+        sampled.clear()
+        bounded.clear()
+        got = explain.explain_pdp(model, df, "x", 3).orderBy("point").collect()
+        assert len(sampled) == 1 and bounded.count(["point", "grid_value"]) == 1 + missed
+        assert [(r.point, r.value, r.p10, r.p90) for r in got] == [(r.point, r.value, r.p10, r.p90) for r in want]
+        assert [r.mean for r in got] == pytest.approx([r.mean for r in want])
+        assert [r.mean for r in got] == pytest.approx([r.value + 2_999.5 for r in got])
