@@ -7,7 +7,7 @@ and one bucketed count for histograms.  Nothing row-sized reaches the driver.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,16 +125,19 @@ def _long(f: T.StructField) -> bool:
     return isinstance(f.dataType, (T.StringType, T.BinaryType, T.DecimalType))
 
 
+def _cell(f: T.StructField) -> dict[str, Column]:
+    v = F.col(q(f.name)).cast("string")
+    none = F.lit(0).cast("long")
+    if not _long(f):
+        return {"head": v, "h1": none, "h2": none}
+    cut = lambda h: F.when(F.length(v) > HEAD, h).otherwise(none)
+    return {"head": F.substring(v, 1, HEAD), "h1": cut(F.xxhash64(v)), "h2": cut(F.xxhash64(F.lit(1), v))}
+
+
 def _cells(df: DataFrame, fields: list[T.StructField], whole: bool = False) -> DataFrame:
     """(column_name, head, h1, h2[, value]) of every value; the hashes are 0 for a value that its head holds."""
-    cells = []
-    for f in fields:
-        v = F.col(q(f.name)).cast("string")
-        cut = lambda h: F.when(F.length(v) > HEAD, h).otherwise(F.lit(0).cast("long"))  # noqa: E731, B023
-        hashes = (cut(F.xxhash64(v)), cut(F.xxhash64(F.lit(1), v))) if _long(f) else (F.lit(0).cast("long"),) * 2
-        head = F.substring(v, 1, HEAD) if _long(f) else v
-        cells.append(F.struct(head.alias("head"), hashes[0].alias("h1"), hashes[1].alias("h2"),
-                              *([v.alias("value")] if whole else [])).alias(f.name))
+    cells = [F.struct(*[x.alias(n) for n, x in _cell(f).items()], *([F.col(q(f.name)).cast("string").alias("value")] if whole else []))
+             .alias(f.name) for f in fields]
     return df.select(*cells).unpivot([], [q(f.name) for f in fields], "column_name", "cell").select("column_name", "cell.*")
 
 
@@ -142,14 +145,16 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column_name, head, h1, h2, count) of the different values of all scalar columns, as text.
 
     A value is told apart by its first HEAD characters and, if it is longer, a 128-bit hash, so whole
-    texts are never shuffled; ``with_text`` fetches those of a few values.  One shuffle for every
-    column at once; map-side combine absorbs hot values.
+    texts are never shuffled; ``with_text`` fetches those of a few values.  Up to COUNTS_SCANS columns
+    are counted one by one, those of a wider table by one shuffle for all; map-side combine absorbs hot values.
     """
     df = nan_to_null(df)
     fields = [f for f in df.schema.fields if is_scalar(f.dataType) and (columns is None or f.name in columns)]
     if not fields:
         return df.sparkSession.createDataFrame([], "column_name string, head string, h1 long, h2 long, count long")
     parts = []
+    if len(fields) <= COUNTS_SCANS:
+        parts, fields = [_column_counts(df, f) for f in fields], []
     for kind in NATIVE:
         plain = [f for f in fields if isinstance(f.dataType, kind)]
         if plain:
@@ -164,6 +169,26 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return out
 
 
+COUNTS_SCANS = 32  # columns up to which each is counted by itself
+
+
+def _column_counts(df: DataFrame, f: T.StructField) -> DataFrame:
+    """Value counts of one column: reads that column only, and a row costs one short key."""
+    name, none = F.lit(f.name).alias("column_name"), F.lit(0).cast("long")
+    c = F.col(q(f.name))
+    if not any(isinstance(f.dataType, kind) for kind in NATIVE):
+        cells = df.select(*[x.alias(n) for n, x in _cell(f).items()]).where(F.col("head").isNotNull())
+        return cells.groupBy("head", "h1", "h2").agg(F.count(F.lit(1)).alias("count")).select(name, "head", "h1", "h2", "count")
+    keys, text = ["v"], F.col("v").cast("string")
+    cells = df.select(c.alias("v")).where(F.col("v").isNotNull())
+    if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+        # grouping takes a negative zero for zero; its text differs
+        cells = cells.withColumn("minus", (F.col("v") == 0) & (F.col("v").cast("string") == "-0.0"))
+        keys, text = ["v", "minus"], F.when(F.col("minus"), "-0.0").otherwise(text)
+    return cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("count")).select(
+        name, text.alias("head"), none.alias("h1"), none.alias("h2"), "count")
+
+
 # Types whose different values have different texts, by the type that holds them all: these are counted
 # as they are and only the different ones become text.
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -208,21 +233,33 @@ def with_text(df: DataFrame, values: DataFrame) -> DataFrame:
             .select(*rest, F.coalesce("text", "head").alias("value")))
 
 
+def count_sizes(counts: DataFrame) -> DataFrame:
+    """(column_name, count, n): how many values of a column come ``count`` times; far fewer rows than values."""
+    return counts.groupBy("column_name", "count").agg(F.count(F.lit(1)).alias("n"))
+
+
 def profile_unique(df: DataFrame, columns: list[str] | None = None,
-                   counts: DataFrame | None = None) -> DataFrame:
+                   counts: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    if sizes is not None:
+        return sizes.groupBy("column_name").agg(F.sum("n").alias("unique_count"))
     vc = counts if counts is not None else value_counts(df, columns)
     return vc.groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count"))
 
 
 def profile_top_values(df: DataFrame, k: int = 5, columns: list[str] | None = None,
-                       counts: DataFrame | None = None) -> DataFrame:
+                       counts: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """Top ``k`` values per column by count, ties broken by value.
 
+    The count of the k-th is known from ``count_sizes``, so only values that come as often are ranked.
     Heads order like whole values, so the k-th by (count, head) bounds the top; values that tie with
     it in both are told apart by their texts.
     """
     vc = counts if counts is not None else kept(value_counts(df, columns))
-    by_head = top_k_per_group(vc, ["column_name"], [F.desc("count"), F.asc("head"), F.asc("h1"), F.asc("h2")], k)
+    before = F.sum("n").over(Window.partitionBy("column_name").orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, -1))
+    least = (sizes if sizes is not None else count_sizes(vc)).withColumn("before", F.coalesce(before, F.lit(0)))
+    least = least.where(F.col("before") < k).groupBy("column_name").agg(F.min("count").alias("least"))  # a row per column
+    often = vc.join(F.broadcast(least), "column_name").where(F.col("count") >= F.col("least")).select(*vc.columns)
+    by_head = top_k_per_group(often, ["column_name"], [F.desc("count"), F.asc("head"), F.asc("h1"), F.asc("h2")], k)
     if any(_long(f) for f in df.schema.fields):
         last = by_head.groupBy("column_name").agg(F.max_by(F.struct("count", "head"), "rank").alias("last"))  # a row per column
         top = vc.join(F.broadcast(last), "column_name").where(
@@ -233,14 +270,14 @@ def profile_top_values(df: DataFrame, k: int = 5, columns: list[str] | None = No
 
 
 def profile_columns(df: DataFrame, columns: list[str] | None = None,
-                    counts: DataFrame | None = None) -> DataFrame:
+                    counts: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """One row per column: type tag, missing share, distinct count, moments, warnings.
 
-    Pass ``counts`` (from ``value_counts``) to share one value-count shuffle
-    with top values or the advisor.
+    Pass ``counts`` (from ``value_counts``) or ``sizes`` (from ``count_sizes``) to share one value-count
+    shuffle with top values or the advisor.
     """
     stats = column_stats(df, columns)
-    uniq = profile_unique(df, columns, counts=counts)
+    uniq = profile_unique(df, columns, counts=counts, sizes=sizes)
     n = F.col("n_rows")
     nn = F.col("n_nonnull")
     inferred = (F.when(F.col("kind") == "boolean", "boolean")

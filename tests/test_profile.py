@@ -131,3 +131,32 @@ def test_texts_are_read_again_only_where_heads_were_cut(spark):
     short = with_text(df, counts.where("column_name = 'short'"))
     assert "Join" not in short._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.column_name, r.value) for r in with_text(df, counts).collect()} == {("short", "a"), ("long", "b"), ("long", "c" * 50)}
+
+
+def _odd(spark):
+    return spark.range(2_000).select(
+        (F.col("id") % 700).alias("whole"), F.when(F.col("id") % 3 > 0, F.expr("CASE id % 5 WHEN 0 THEN -0.0D WHEN 1 THEN 0.0D WHEN 2 THEN double('NaN') ELSE id / 7 END")).alias("x"),
+        F.expr("float(id % 4) * -0.0").alias("f"), F.expr("if(id % 9 = 0, null, concat(repeat('long ', 7), id % 11))").alias("s.t"),
+        F.expr("cast(id % 6 as decimal(38, 2))").alias("d"), F.expr("timestamp_seconds(id % 13)").alias("ts"), F.expr("date_add(date'2020-01-01', int(id % 17))").alias("day"),
+        (F.col("id") % 2 == 0).alias("b"), F.expr("encode('x', 'UTF-8')").alias("bytes"), F.lit(None).cast("int").alias("none"))
+
+
+def test_columns_counted_one_by_one_equal_those_counted_together(spark, monkeypatch):
+    """A narrow table is not multiplied by its columns before the counting; a wide one still is, with the same counts."""
+    df = _odd(spark)
+    alone, plan = P.value_counts(df), P.value_counts(df)._jdf.queryExecution().executedPlan().toString()
+    one = sorted(map(tuple, alone.collect()))
+    monkeypatch.setattr(P, "COUNTS_SCANS", 0)
+    both = P.value_counts(df)
+    assert "Expand" not in plan and "Expand" in both._jdf.queryExecution().executedPlan().toString()
+    assert one == sorted(map(tuple, both.collect())) and {r[0] for r in one} == set(df.columns) - {"none", "bytes"}
+
+
+def test_only_values_as_frequent_as_the_last_wanted_are_ranked(spark, monkeypatch):
+    df = spark.range(5_000).select(F.when(F.col("id") < 900, F.col("id") % 9).otherwise(F.col("id")).alias("k"), F.col("id").alias("u"))
+    ranked, rank = [], P.top_k_per_group
+    monkeypatch.setattr(P, "top_k_per_group", lambda d, *a: (ranked.append(d), rank(d, *a))[1])
+    top = P.profile_top_values(df, k=4).orderBy("column_name", "rank").collect()
+    assert [(r.column_name, r.value, r["count"]) for r in top] == (
+        [("k", str(i), 100) for i in range(4)] + [("u", v, 1) for v in ("0", "1", "10", "100")])
+    assert ranked[0].where("column_name = 'k'").count() == 9
