@@ -1,8 +1,8 @@
 """Profiling (survey §2.4): per-column statistics as DataFrames.
 
 Plan shape: one wide aggregate for moments / counts (partial + final agg,
-no shuffle of rows), one long-form value count (``unpivot`` then
-``groupBy(column, head, hash)``) shared by unique counts, top values and modes,
+no shuffle of rows), one value count (column by column, or for wide tables ``unpivot``
+then ``groupBy(column, head, hash)``) shared by unique counts, top values and modes,
 and one bucketed count for histograms.  Nothing row-sized reaches the driver.
 """
 from __future__ import annotations
