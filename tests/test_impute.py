@@ -85,3 +85,26 @@ def test_cleaning_strategy(spark):
     got = clean.clean_apply(df.drop("id"), [{"column": names[1], "strategy": "knn_impute"}])
     assert got.where(F.abs(F.col("`m.1`") - 2 * F.col("`m.0`")) > 1e-9).count() == 0 and got.count() == 60
     assert not math.isnan(got.agg(F.sum("`m.1`")).first()[0])
+
+
+def test_donors_are_not_copied_for_every_way_to_miss_columns(spark, monkeypatch):
+    from tabwork.operators import cells
+    met, seen = cells.met, []
+
+    def counted(points, guests, *rest):
+        seen.append((points.count(), guests.count()))
+        return met(points, guests, *rest)
+
+    monkeypatch.setattr(cells, "met", counted)
+    r = np.random.default_rng(5)
+    rows = [[float(v) for v in x] for x in r.uniform(size=(600, 4))]
+    for i, row in enumerate(rows[:60]):
+        row[i % 4] = None
+        if i % 3 == 0:
+            row[(i + 1) % 4] = None
+    df, names = frame(spark, rows)
+    got = impute.knn_impute(df, names, k=5, block=50, leaf=10)
+    np.testing.assert_allclose(np.array(filled(got, names)), np.array(brute(rows, 5)), rtol=1e-9)
+    asked = sum(v is None for row in rows for v in row)
+    assert [p for p, _ in seen] == [600, 600]          # every different row once
+    assert seen[0][1] == asked and seen[1][1] < 20 * asked  # and not every cell of theirs is asked
