@@ -178,3 +178,13 @@ def test_a_task_of_a_fit_holds_a_bounded_number_of_rows(spark, monkeypatch):
     monkeypatch.setattr(cv, "MOST_ROWS_A_TASK", 50)
     rows, *_ = cv._rows_and_candidates(frame(spark).repartition(2), FEATURES, "label", "id", "fold", True)
     assert rows.rdd.getNumPartitions() == 8 and rows.count() == 360 and rows.select("id").distinct().count() == 360
+
+
+def test_terms_end_where_their_weights_begin(spark):
+    """They went through Python in both directions with every row, though nothing reads them any more."""
+    from tabwork.operators.train import text
+
+    rows = text.text_rows(spark.createDataFrame([(1, "red red blue", 0.0, 0), (2, "red blue", 1.0, 0)], "id long, t string, label double, fold int"), "t", "label", "id", "fold")
+    weighted = text.SublinearTfidf(min_df=2).fit(rows).transform(rows)
+    assert weighted.columns == ["id", "fold", "label", "features"]
+    assert "terms" not in weighted._jdf.queryExecution().analyzed().children().head().output().mkString(",")
